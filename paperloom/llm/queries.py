@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.llm.mixing import mixed_sizes
+from paperloom.llm.packing import packed_documents
 from paperloom.llm.simhash import simhash_components
 
 
@@ -15,8 +17,53 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), weighed AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
+  FROM sizes GROUP BY source
+), rates AS (
+  SELECT *, 2 * source_size AS cap,
+    (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2 * source_size) OVER earlier, 0))
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS rate
+  FROM weighed
+  WINDOW earlier AS (ORDER BY (2 * source_size) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, least(cap::DOUBLE, weight * max(CASE WHEN rate * weight <= cap THEN rate END) OVER ()) AS target FROM rates
+), queue AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target,
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id::VARCHAR), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS words
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), entries AS (
+  SELECT doc_id, size, words::DOUBLE / target AS finish FROM queue WHERE target > 0 AND size > 0
+  UNION ALL SELECT doc_id, size, (words + source_size)::DOUBLE / target FROM queue WHERE target > 0 AND size > 0
+), running AS (
+  SELECT *, sum(size) OVER (ORDER BY finish) AS upto FROM entries
+), cut AS (
+  SELECT max(finish) AS finish FROM running WHERE upto <= (SELECT sum(size) * 1.5::DOUBLE FROM sizes)
+)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN target > 0 AND words::DOUBLE / target <= cut.finish THEN size ELSE 0 END
+   + CASE WHEN target > 0 AND (words + source_size)::DOUBLE / target <= cut.finish THEN size ELSE 0 END)::BIGINT AS taken
+FROM queue, cut
+"""
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_source_mixing": op6_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_source_mixing": OP6_SQL,
+}
