@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from paperloom.llm.chat import conversation_digests
 from paperloom.llm.mixing import mixed_sizes
 from paperloom.llm.packing import packed_documents
+from paperloom.llm.quality import quality_verdicts
 from paperloom.llm.simhash import simhash_components
 
 
@@ -58,12 +61,46 @@ SELECT doc_id, size, source_size, target,
 FROM queue, cut
 """
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    return conversation_digests(rows.unionByName(more)).drop("valid")
+
+
+OP8_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, length(role) + length(text) + length(regexp_replace(role || chr(1) || text, '[^\\]', '', 'g'))
+    + length('<|im_start|>') + length('<|im_sep|>') + length('<|im_end|>')
+    + len(regexp_extract_all(role || chr(1) || text, '<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|</?s>|\[/?INST\]|<</?SYS>>')) AS chars
+  FROM rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_chat_formatting": op8_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_source_mixing": OP6_SQL,
+    "op8_chat_formatting": OP8_SQL,
 }
