@@ -62,39 +62,45 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes for a document if `good` holds, against it if `bad` does, else abstains."""
+    """Votes for a document if `good` holds, against it if `bad` does, else abstains.
+
+    right_on_good, right_on_bad: the share of its votes on good and on bad documents that are
+    right, before any is seen. A rule that looks for one kind of damage is seldom wrong on good
+    documents, but passes most bad ones, which have some other kind.
+    """
 
     name: str
     good: str
     bad: str
+    right_on_good: float
+    right_on_bad: float
 
 
 RULES = (
-    Rule("length", "n_words >= 100", "n_words < 50"),
-    Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    Rule("lines", "n_dup_lines = 0 AND n_lines > 1", "10 * n_dup_lines > 3 * n_lines"),
-    Rule("repeats", "20 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words"),
-    Rule("stop_words", "100 * n_stop_words >= 6 * n_words", "100 * n_stop_words < 2 * n_words"),
-    Rule("capitals", "10 * n_upper <= word_chars", "10 * n_upper > 3 * word_chars"),
-    Rule("word_length", "word_chars BETWEEN 4 * n_words AND 7 * n_words", "word_chars NOT BETWEEN 3 * n_words AND 10 * n_words"),
-    Rule("sentences", "10 * n_ended_lines >= 8 * n_lines AND n_lines > 0", "10 * n_ended_lines < n_lines"),
+    Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words", 0.99, 0.3),
+    Rule("lines", "n_dup_lines = 0 AND n_lines > 1", "10 * n_dup_lines > 3 * n_lines", 0.99, 0.3),
+    Rule("repeats", "20 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words", 0.99, 0.3),
+    Rule("capitals", "10 * n_upper <= word_chars", "10 * n_upper > 3 * word_chars", 0.99, 0.3),
+    Rule("stop_words", "100 * n_stop_words >= 6 * n_words", "100 * n_stop_words < 2 * n_words", 0.95, 0.7),
+    Rule("word_length", "word_chars BETWEEN 4 * n_words AND 7 * n_words", "word_chars NOT BETWEEN 3 * n_words AND 10 * n_words", 0.95, 0.3),
+    Rule("sentences", "10 * n_ended_lines >= 8 * n_lines AND n_lines > 0", "10 * n_ended_lines < n_lines", 0.95, 0.4),
 )
 
 
 @dataclass(frozen=True)
 class RuleModel:
-    """Share of good documents, and each rule's hit rate among good and bad ones when it votes."""
+    """Share of good documents, and the share of each rule's votes that are right, by class."""
 
     prior: float
-    good_rate: dict[str, float]
-    bad_rate: dict[str, float]
+    on_good: dict[str, float]
+    on_bad: dict[str, float]
 
     def log_odds(self) -> Column:
         """Log of the odds that a document with these votes (1, -1 or 0 a rule) is good."""
         total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, g in self.good_rate.items():
-            b = self.bad_rate[name]
-            total = total + F.when(F.col(f"vote_{name}") == 1, math.log(g / (1 - b))).when(F.col(f"vote_{name}") == -1, math.log((1 - g) / b)).otherwise(0.0)
+        for name, g in self.on_good.items():
+            b, vote = self.on_bad[name], F.col(f"vote_{name}")
+            total = total + F.when(vote == 1, math.log(g / (1 - b))).when(vote == -1, math.log((1 - g) / b)).otherwise(0.0)
         return total
 
 
@@ -103,32 +109,34 @@ def votes(measures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return measures.withColumns({f"vote_{r.name}": F.when(F.expr(r.bad), -1).when(F.expr(r.good), 1).otherwise(0) for r in rules})
 
 
-def fit_rules(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 30, start: float = 0.8, weight: float = 20.0) -> RuleModel:
-    """Expectation-maximisation of the rules' rates over all documents.
+def fit_rules(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 30, prior: float = 0.9, weight: float = 20.0) -> RuleModel:
+    """Expectation-maximisation of the rules' accuracies over all documents.
 
     Documents are counted by their votes, of which there are at most 3 to the number of rules; a
-    round is one aggregation of these counts. Rates start at `start`, and `weight` votes at that
-    rate are added to those seen, so that each class keeps its meaning and no rate is 0 or 1.
+    round is one aggregation of these counts. It starts from what is expected of the rules. To the
+    votes seen, `weight` expected ones are added on bad documents, and on good ones as many as
+    were seen: damage of a kind that is common must not pass for a trait of good documents.
     """
-    names = [r.name for r in rules]
-    counts = written(voted.groupBy(*(f"vote_{n}" for n in names)).count(), "votes")
-    model = RuleModel(start, dict.fromkeys(names, start), dict.fromkeys(names, start))
+    counts = written(voted.groupBy(*(f"vote_{r.name}" for r in rules)).count(), "votes")
+    model = RuleModel(prior, {r.name: r.right_on_good for r in rules}, {r.name: r.right_on_bad for r in rules})
     for _ in range(rounds):
         good = F.lit(1.0) / (1 + F.exp(-model.log_odds()))
-        rows = counts.select("*", (F.col("count") * good).alias("g"), (F.col("count") * (1 - good)).alias("b"))
-        given = lambda weight, name, test: F.sum(F.when(F.expr(f"vote_{name} {test}"), F.col(weight)).otherwise(0.0))
-        sums = rows.agg(F.sum("g"), F.sum("b"), *(given(w, n, t) for n in names for w, t in (("g", "= 1"), ("g", "<> 0"), ("b", "= -1"), ("b", "<> 0")))).first()
-        if sums[0] is None:
+        rows = counts.withColumns({"good": F.col("count") * good, "bad": F.col("count") * (1 - good)})
+        of = lambda weight, name, test: F.sum(F.when(F.expr(f"vote_{name} {test}"), F.col(weight)).otherwise(0.0)).alias(f"{weight} {name} {test}")
+        each = [of(w, r.name, t) for r in rules for w, t in (("good", "= 1"), ("good", "<> 0"), ("bad", "= -1"), ("bad", "<> 0"))]
+        sums = rows.agg(F.sum("good").alias("good"), F.sum("count").alias("all"), *each).first()
+        if not sums["all"]:
             break
-        rate = lambda hits, all_, w=weight: (hits + w * start) / (all_ + w)
+        share = lambda hits, n, start, more: (hits + more * start) / (n + more)
+        seen = {r.name: [sums[f"{w} {r.name} {t}"] for w, t in (("good", "= 1"), ("good", "<> 0"), ("bad", "= -1"), ("bad", "<> 0"))] for r in rules}
         new = RuleModel(
-            rate(sums[0], sums[0] + sums[1]),
-            {n: rate(sums[2 + 4 * k], sums[3 + 4 * k]) for k, n in enumerate(names)},
-            {n: rate(sums[4 + 4 * k], sums[5 + 4 * k]) for k, n in enumerate(names)},
+            share(sums["good"], sums["all"], prior, weight),
+            {r.name: share(*seen[r.name][:2], r.right_on_good, weight + seen[r.name][1]) for r in rules},
+            {r.name: share(*seen[r.name][2:], r.right_on_bad, weight) for r in rules},
         )
-        moved = max(abs(x - y) for x, y in zip((new.prior, *new.good_rate.values(), *new.bad_rate.values()), (model.prior, *model.good_rate.values(), *model.bad_rate.values()), strict=True))
+        rates = [(m.prior, *m.on_good.values(), *m.on_bad.values()) for m in (model, new)]
         model = new
-        if moved < 1e-4:
+        if max(abs(x - y) for x, y in zip(*rates, strict=True)) < 1e-4:
             break
     return model
 
