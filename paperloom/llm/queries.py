@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.chat import conversation_digests
 from paperloom.llm.mixing import mixed_sizes
+from paperloom.llm.nearest import nearest_of_every
 from paperloom.llm.packing import packed_documents
 from paperloom.llm.quality import quality_verdicts
 from paperloom.llm.simhash import simhash_components
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rotated_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_of_every(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,7 @@ FROM marked GROUP BY conv_id
 """
 
 QUERIES = {
+    "op1_rotated_code_search": op1_rotated_code_search,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
