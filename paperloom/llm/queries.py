@@ -9,6 +9,7 @@ from paperloom.llm.chat import conversation_digests
 from paperloom.llm.mixing import mixed_sizes
 from paperloom.llm.nearest import nearest_of_every
 from paperloom.llm.packing import packed_documents
+from paperloom.llm.pii import personal_data
 from paperloom.llm.quality import quality_verdicts
 from paperloom.llm.simhash import simhash_components
 from paperloom.llm.toxicity import toxicity_scores
@@ -83,6 +84,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(rows.unionByName(more)).drop("valid")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -110,6 +115,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_personal_data": op9_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {
