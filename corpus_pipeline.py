@@ -1,11 +1,52 @@
-"""The corpus pipeline: toxicity, near-duplicates, personal data, mixing, packing."""
+"""The corpus pipeline: toxicity, near-duplicates, personal data, mixing and packing."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.llm.mixing import mix_documents
+from paperloom.llm.packing import packed_documents
+from paperloom.llm.pii import without_personal_data
+from paperloom.llm.simhash import one_of_each
+from paperloom.llm.storage import written
+from paperloom.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds toxic go."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; n_chars follows."""
+    clean = without_personal_data(docs)
+    return clean.selectExpr(*("length(text) AS n_chars" if c == "n_chars" else f"`{c}`" for c in clean.columns)).to(docs.schema) if "n_chars" in clean.columns else clean
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mix_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents' tokens in training sequences."""
+    return packed_documents(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]
+
+#: The tokens of the last stage and the classifier of the first can't be had in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, over the whole documents table; each stage is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

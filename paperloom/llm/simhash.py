@@ -76,6 +76,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marks.join(named, marks["fingerprint"] == named["mark"]).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with the smallest id of each component, once each, with all their columns.
+
+    Rows that repeat an id are one document, which goes if one of them is linked to a smaller id.
+    Rows without an id can't be named as copies and stay.
+    """
+    found = written(simhash_components(docs, id_col, text_col), "components").where("doc_id IS NOT NULL")
+    same = lambda ids: docs[id_col] == ids["dropped"]
+    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped")).distinct()
+    kept = docs.join(copies, same(copies), "left_anti")
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("dropped"))
+    if again.isEmpty():
+        return kept
+    first = kept.join(again, same(again), "left_semi").dropDuplicates([id_col])
+    return kept.join(again, same(again), "left_anti").unionByName(first)
+
+
 def near_fingerprints(nodes: DataFrame, max_bits: int = 3, cell_rows: int = CELL_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """(src, dst): links that join the same distinct fingerprints as all pairs within `max_bits` do.
 
