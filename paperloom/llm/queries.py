@@ -9,6 +9,7 @@ from paperloom.llm.chat import conversation_digests
 from paperloom.llm.mixing import mixed_sizes
 from paperloom.llm.nearest import nearest_of_every
 from paperloom.llm.packing import packed_documents
+from paperloom.llm.passages import shared_passages
 from paperloom.llm.pii import personal_data
 from paperloom.llm.quality import quality_verdicts
 from paperloom.llm.rollup import corpus_totals
@@ -33,6 +34,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -130,6 +135,7 @@ QUERIES = {
     "op1_rotated_code_search": op1_rotated_code_search,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_rules": op7_quality_rules,
