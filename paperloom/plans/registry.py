@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("sources", "cleaning", "chunking", "catalog", "planning", "retrieval")
+MODULES = ("sources", "cleaning", "chunking", "catalog", "planning", "retrieval", "context", "conversation")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
