@@ -1,0 +1,192 @@
+"""Near-duplicates, nearest neighbours, shared passages and components against brute force."""
+
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from paperloom.llm import components, nearest, passages, simhash
+
+
+def roots(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(0, n) for n in range(100, 130)] + [(n, n + 1) for n in range(200, 230)]
+    expected = roots({n for link in links if link[0] != link[1] for n in link}, links)
+    frame = spark.createDataFrame([*links, (None, 3)], "src long, dst long")
+    found = components.connected_components(frame)
+    assert {r.node: r.component for r in found.collect()} == expected
+    assert components.connected_components(frame.where("src > 999")).count() == 0
+
+
+def brute_fingerprint(text):
+    from xxhash import xxh64_intdigest
+
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for space in "\t\n\x0b\f\r":
+        words = words.replace(space, " ")
+    words = [w for w in words.split(" ") if w]
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)] * bool(words)
+    hashes = [xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "One", "A b", "É one two three é", "a a a a a b", "x " * 3000, "Tab\tand\x0bline\nends İ"])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+def near_copies():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(120)]
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            text = list(base)
+            for _ in range(rng.randrange(3)):
+                text[rng.randrange(120)] = rng.choice(words)
+            rows.append((len(rows) + 10, " ".join(text)))
+    return [*rows, (3, None), (4, ""), (5, "x"), (5, "x"), (None, "x"), (9, "é " * 5000)]
+
+
+def test_simhash_components(spark):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("fingerprint", "component_id", "node", "mark", "path")})
+    marks = [brute_fingerprint(t) for _, t in rows]
+    distinct = sorted(set(marks))
+    root = roots(distinct, [(a, b) for a, b in combinations(distinct, 2) if (a ^ b).bit_count() <= 3])
+    first = {}
+    for (i, _), m in zip(rows, marks, strict=True):
+        if i is not None:
+            first[root[m]] = min(i, first.get(root[m], i))
+    expected = sorted((repr(i), f"{m:016x}", first[root[m]]) for (i, _), m in zip(rows, marks, strict=True))
+    assert sorted((repr(r.doc_id), r.fingerprint, r.component_id) for r in simhash.simhash_components(docs).collect()) == expected
+    kept = [r.doc_id for r in simhash.one_of_each(docs).collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(first.values())) and kept.count(None) == 1
+    assert simhash.simhash_components(docs.where("doc_id > 99999")).count() == 0
+
+
+def test_large_trie_groups_are_dealt_out(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    marks = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) for b in base]))
+    nodes = spark.createDataFrame([(int(m),) for m in marks.view(np.int64)], "fingerprint long")
+    expected = roots(marks.tolist(), [(int(a), int(b)) for a, b in combinations(marks, 2) if int(a ^ b).bit_count() <= 3])
+    for size in (10, 20_000):
+        links = [(r.src % 2**64, r.dst % 2**64) for r in simhash.near_fingerprints(nodes, cell_rows=size, task_rows=100).collect()]
+        assert all((a ^ b).bit_count() <= 64 for a, b in links)
+        assert roots(marks.tolist(), links) == expected
+
+
+def test_frontier_cuts_change_nothing():
+    path = np.sort(np.random.default_rng(1).integers(0, 1 << 12, 500).astype(np.uint64) << np.uint64(52))
+    path = np.unique(path)
+    ends = (np.array([0]), np.array([len(path)]))
+    stars = lambda f: roots(range(len(path)), [(int(a), int(b)) for x, y in simhash.trie_links(path, *ends, 0, 3, f) for a, b in zip(x, y, strict=True)])
+    brute = roots(range(len(path)), [(a, b) for a, b in combinations(range(len(path)), 2) if int(path[a] ^ path[b]).bit_count() <= 3])
+    assert stars(7) == stars(10**6) == brute
+
+
+def vectors(n=1500, dim=24):
+    v = np.random.default_rng(0).standard_normal((n, dim)).astype(np.float32)
+    v[100:160] = v[50]
+    return v
+
+
+def test_nearest_against_brute_force(spark):
+    v = vectors()
+    bad = [(5001, None), (5050, [0.0] * 24), (5100, [1.0] * 23 + [float("nan")]), (5150, [1.0] * 23 + [None]), (5200, [float("inf")] * 24), (5250, []), (None, [1.0] * 24), (5300, [1.0] * 7), (5350, [2.0] * 7)]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(50, v[50].tolist())] + bad
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("vector", "code", "rank", "score", "dim")})
+    found = {}
+    for r in nearest.nearest_of_every(frame).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    d = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 1500, 50):
+        s = d @ d[q]
+        s[q] = -2
+        best = np.lexsort((np.arange(1500), -np.round(s, 12)))[:5]
+        hits += len(set(best.tolist()) & {i for i, _ in found[q].values()})
+        assert all(abs(found[q][k][1] - s[found[q][k][0]]) < 1e-12 for k in range(1, 6))
+    assert hits / (5 * 30) >= 0.97
+    assert [found[50][k][0] for k in range(1, 6)] == [100, 101, 102, 103, 104]  # ties go to the smaller id
+    assert [found[5300][k] for k in found[5300]] == [(5350, pytest.approx(1.0))] and set(found) == {*range(0, 1500, 50), 5300, 5350}
+    assert nearest.nearest_of_every(frame.where("vec_id > 99999")).count() == 0
+
+
+def test_cells_change_nothing(spark):
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors(900, 16))], "vec_id long, embedding array<float>")
+    index = nearest.build_index(frame)
+    asked = index.where("vec_id % 30 = 0")
+    out = [sorted(map(tuple, nearest.nearest_neighbours(asked, index, slab_rows=s, chunk_rows=c).collect())) for s, c in ((65_536, 4_096), (100, 7))]
+    assert out[0] == out[1] and len(out[0]) == 150
+
+
+def sentences(rng, n):
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    return [" ".join(word() for _ in range(rng.randrange(9, 16))) + "." for _ in range(n)]
+
+
+def test_shared_passages(spark):
+    rng = random.Random(9)
+    passage = " ".join(sentences(rng, 6))
+    one = sentences(rng, 8)
+    long = " ".join(w for s in sentences(rng, 8) for w in s.rstrip(".").split())  # one sentence of about a hundred words
+    changed = long.split()
+    changed[40] = "other"
+    rows = [
+        (1, " ".join(one[:4]) + " cut here and with some more before it " + passage + " goes on so. " + " ".join(one[4:])),
+        (2, " ".join(sentences(rng, 5)) + "\n" + passage + "\n" + " ".join(sentences(rng, 5))),
+        (3, " ".join(sentences(rng, 20))),
+        (4, long + ". " + " ".join(sentences(rng, 3))),
+        (5, " ".join(sentences(rng, 3)) + " " + " ".join(changed) + "."),
+        (6, "Short one. " * 3), (7, "Short one. " * 3), (8, None), (9, ""), (None, passage), (2, "again " + passage),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("mark", "start", "component", "node")})
+    found = passages.shared_passages(docs).collect()
+    assert {r.doc_id for r in found} >= {1, 2} and not {r.doc_id for r in found} & {3, 6, 7, 8, 9}
+    assert {r.first_doc for r in found if r.doc_id == 2} == {1} and not any(r.removed for r in found if r.doc_id == 1)
+    assert all(r.removed for r in found if r.doc_id == 2)
+    text = dict(rows[:7])
+    assert all(text[r.doc_id][r.start : r.end].strip().lower() in passage.lower() or r.doc_id > 3 for r in found if r.doc_id == 1)
+    assert passages.shared_passages(docs.where("doc_id > 99")).count() == 0
+
+
+def test_near_paragraphs_against_brute_force(spark):
+    rng = random.Random(4)
+    rows, memo = [], passages.WordHashes()
+    for _ in range(60):
+        base = [f"v{rng.randrange(500)}" for _ in range(60)]
+        for _ in range(rng.choice([1, 2, 3])):
+            own = list(base)
+            for _ in range(rng.randrange(2)):
+                own[rng.randrange(60)] = "changed"
+            rows.append((len(rows), " ".join(own) + "."))
+    p = passages.Paragraphs([t for _, t in rows], memo)
+    value, first, count = p.shingles()
+    sets = {int(m): frozenset(value[f : f + c].tolist()) for m, f, c in zip(p.marks.view(np.int64), first, count, strict=True)}
+    true = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    found = [(r.src, r.dst) for r in passages.near_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    made, wanted = roots(sets, found), roots(sets, true)
+    assert sum(made[a] == made[b] for a, b in true) >= 0.95 * len(true) and all(wanted[a] == wanted[b] for a, b in found) and len(true) > 10
