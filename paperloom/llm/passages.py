@@ -36,6 +36,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class WordHashes(dict):
+    """Hashes of words, each worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[word] = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
+        return found
+
+
 class Paragraphs:
     """The paragraphs of many texts: where each is, its words, and hashes of them.
 
@@ -45,7 +55,7 @@ class Paragraphs:
     stands, from its first whole sentence on. Words are runs without white space, in lower case.
     """
 
-    def __init__(self, texts, memo: dict[str, int]):
+    def __init__(self, texts, memo: WordHashes):
         self.text, self.number, self.start, self.end, self.words, self.mark = [], [], [], [], [], []
         hashes: list[int] = []
         for i, text in enumerate(texts):
@@ -58,19 +68,11 @@ class Paragraphs:
                         at = stop
                     continue
                 for a, b, own in self._cut(text, at, stop, held):
-                    marks = []
-                    for w in own:
-                        h = memo.get(w)
-                        if h is None:
-                            h = memo[w] = xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7)
-                        marks.append(h)
                     if own:
                         self.text.append(i), self.number.append(k), self.start.append(a), self.end.append(b), self.words.append(len(own))
-                        hashes += marks
+                        hashes.extend(map(memo.__getitem__, own))
                         k += 1
                 at, held = stop, []
-            if len(memo) > 500_000:
-                memo.clear()
         self.hashes = np.array(hashes, dtype=np.uint64)
         n = np.array(self.words, dtype=np.int64)
         self.first = np.cumsum(n) - n
@@ -128,7 +130,7 @@ def _per_batch(texts: DataFrame, make, schema: str) -> DataFrame:
     """make(ids, Paragraphs) of a few hundred documents at a time, so that long ones don't add up."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
+        memo = WordHashes()
         for b in batches:
             ends = np.r_[0, np.cumsum(b["text"].map(lambda t: len(t) if t else 0))]
             group = (ends[:-1] // 2_000_000).astype(np.int64)
@@ -139,12 +141,15 @@ def _per_batch(texts: DataFrame, make, schema: str) -> DataFrame:
 
 
 def paragraph_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, start, end, n_words, mark): every paragraph's place and the hash of its words."""
+    """(doc_id, paragraph, start, end, n_words, mark, band_0, ...): every paragraph's place, the hash of
+    its words and the keys of its bands."""
 
     def make(ids: np.ndarray, p: Paragraphs) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": ids[p.text] if p.text else [], "paragraph": p.number, "start": p.start, "end": p.end, "n_words": p.words, "mark": p.marks.view(np.int64)})
+        out = {"doc_id": ids[p.text] if p.text else [], "paragraph": p.number, "start": p.start, "end": p.end, "n_words": p.words, "mark": p.marks.view(np.int64)}
+        return pd.DataFrame(out | {f"band_{b}": keys.view(np.int64) for b, keys in enumerate(np.ascontiguousarray(p.bands().T))})
 
-    return _per_batch(_texts(docs, id_col, text_col), make, "doc_id long, paragraph int, start int, end int, n_words int, mark long")
+    bands = ", ".join(f"band_{b} long" for b in range(BANDS))
+    return _per_batch(_texts(docs, id_col, text_col), make, f"doc_id long, paragraph int, start int, end int, n_words int, mark long, {bands}")
 
 
 def bit_filter(values: DataFrame, column: str) -> bytes:
@@ -164,21 +169,17 @@ def in_filter(values: np.ndarray, bits: bytes) -> np.ndarray:
     return (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_paragraphs(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(src, dst): links between different paragraphs' marks with a Jaccard similarity of THRESHOLD or more.
 
-    Equal paragraphs are one mark. Of each band key only the smallest and largest mark are
+    `table` is the documents' paragraph_table. Equal paragraphs are one mark. Of each band key only the smallest and largest mark are
     shuffled, which tells the keys that different paragraphs share. Those paragraphs, found by a
     second pass over the texts through a filter of fixed size, are compared on their whole shingle
     sets, and of each group found a spanning set of links is given: no two marks that a chain of
     similar pairs within a bucket joins are left apart.
     """
     texts = _texts(docs, id_col, text_col)
-
-    def keyed(ids: np.ndarray, p: Paragraphs) -> pd.DataFrame:
-        return pd.DataFrame({"band": p.bands().view(np.int64).ravel(), "mark": np.repeat(p.marks.view(np.int64), BANDS)})
-
-    keys = _per_batch(texts, keyed, "band long, mark long")
+    keys = table.select("mark", F.explode(F.array(*(f"band_{b}" for b in range(BANDS)))).alias("band"))
     keys = written(keys.groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("band"), "bands")
     bits = bit_filter(keys, "band")
 
@@ -188,7 +189,7 @@ def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hits = in_filter(bands, bits)
         value, first, count = p.shingles()
         which = one_each[hits[one_each].any(axis=1)]
-        return pd.DataFrame({"mark": p.marks[which].view(np.int64), "bands": [bands[i][hits[i]] for i in which], "shingles": [np.unique(value[first[i] : first[i] + count[i]]).view(np.int64) for i in which]})
+        return pd.DataFrame({"mark": p.marks[which].view(np.int64), "bands": pd.Series([bands[i][hits[i]] for i in which], dtype=object), "shingles": pd.Series([np.unique(value[first[i] : first[i] + count[i]]).view(np.int64) for i in which], dtype=object)})
 
     held = written(_per_batch(texts, candidates, "mark long, bands array<long>, shingles array<long>").dropDuplicates(["mark"]), "candidates")
     rows = held.select("mark", "shingles", F.explode(F.array_distinct("bands")).alias("band")).join(keys, "band", "left_semi")
@@ -241,13 +242,18 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     give no rows. Only the two named columns are read.
     """
     places = written(paragraph_table(docs, id_col, text_col), "paragraphs")
-    groups = connected_components(near_paragraphs(docs, id_col, text_col))
-    own = places.join(groups, places["mark"] == groups["node"], "left").select(*places.columns, F.coalesce("component", "mark").alias("component"))
-    spread = own.groupBy("component").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
-    shared = own.join(spread.select(F.col("component").alias("common"), "first"), F.col("component") == F.col("common"))
-    shared = shared.select("doc_id", "paragraph", "start", "end", "n_words", "component", "first").distinct()
+    groups = connected_components(near_paragraphs(docs, places, id_col, text_col))
+    spread = places.groupBy("mark").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.max("doc_id").alias("last"))
+    # marks of several documents or with similar ones; a component is summed up from these alone
+    spread = spread.join(groups, spread["mark"] == groups["node"], "left").where("first.doc_id <> last OR component IS NOT NULL")
+    marks = written(spread.select("mark", F.coalesce("component", "mark").alias("component"), "first", "last"), "marks")
+    common = marks.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.doc_id <> last").drop("last")
+    common = marks.select("mark", "component").join(common, "component").select(F.col("mark").alias("common"), "component", "first")
+    shared = places.join(common, F.col("mark") == F.col("common"))
+    shared = shared.select("doc_id", "paragraph", "start", "end", "n_words", "component", "first")
     order = Window.partitionBy("doc_id").orderBy("paragraph")
-    runs = shared.withColumn("run", F.col("paragraph") - F.dense_rank().over(order))
+    shared = shared.withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "paragraph").orderBy("start", "end", "component"))).where("again = 1")
+    runs = shared.withColumn("run", F.col("paragraph") - F.row_number().over(order))
     run = Window.partitionBy("doc_id", "run")
     runs = runs.withColumns({"words": F.sum("n_words").over(run), "passage": F.min("paragraph").over(run)}).where(F.col("words") >= run_words)
     ahead = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("paragraph") != F.col("first.paragraph"))
