@@ -19,11 +19,11 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of Jaccard similarity s meets in a band with probability 1 - (1 - s**ROWS)**BANDS: 0.983 at 0.8, 0.9987 at 0.9.
 BANDS, ROWS = 4, 2
 #: Words from which a paragraph may end at a sentence, and from which at certain words.
-LEAST_WORDS, MANY_WORDS = 8, 64
-#: Words that a run of shared paragraphs must have to count.
-RUN_WORDS = 20
+LEAST_WORDS, MANY_WORDS = 8, 32
+#: Words that a run of shared paragraphs must have to count: a passage of 50 words less its first sentence.
+RUN_WORDS = 25
 #: Paragraphs of a bucket that one task compares; a larger bucket is dealt over pairs of parts.
-CELL_ROWS, TASK_ROWS = 2_000, 50_000
+CELL_ROWS, TASK_ROWS = 2_000, 20_000
 #: Bits of the filter that spares a shuffle of paragraphs that met no other: 2 MB, whatever the input.
 FILTER_BITS = 1 << 24
 
@@ -90,7 +90,7 @@ class Paragraphs:
         own, begin = [], at
         for m in re.finditer(r"\S+", text[at:stop]):
             own.append(m.group().lower())
-            if len(own) >= LEAST_WORDS and xxh64_intdigest(own[-1].encode("utf-8", "surrogatepass"), 1) % 16 == 0:
+            if len(own) >= LEAST_WORDS and xxh64_intdigest(own[-1].encode("utf-8", "surrogatepass"), 1) % 8 == 0:
                 yield begin, at + m.end(), own
                 own, begin = [], at + m.end()
         if own:

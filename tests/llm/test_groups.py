@@ -177,16 +177,17 @@ def test_near_paragraphs_against_brute_force(spark):
     rng = random.Random(4)
     rows, memo = [], passages.WordHashes()
     for _ in range(60):
-        base = [f"v{rng.randrange(500)}" for _ in range(60)]
+        base = [f"v{rng.randrange(500)}" for _ in range(30)]
         for _ in range(rng.choice([1, 2, 3])):
             own = list(base)
-            for _ in range(rng.randrange(2)):
-                own[rng.randrange(60)] = "changed"
+            for _ in range(rng.randrange(3)):
+                own[rng.choice([0, 1, 28, 29])] = f"changed{rng.randrange(3)}"
             rows.append((len(rows), " ".join(own) + "."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     p = passages.Paragraphs([t for _, t in rows], memo)
     value, first, count = p.shingles()
     sets = {int(m): frozenset(value[f : f + c].tolist()) for m, f, c in zip(p.marks.view(np.int64), first, count, strict=True)}
     true = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    found = [(r.src, r.dst) for r in passages.near_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    found = [(r.src, r.dst) for r in passages.near_paragraphs(docs, passages.paragraph_table(docs)).collect()]
     made, wanted = roots(sets, found), roots(sets, true)
     assert sum(made[a] == made[b] for a, b in true) >= 0.95 * len(true) and all(wanted[a] == wanted[b] for a, b in found) and len(true) > 10
