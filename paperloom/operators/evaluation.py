@@ -111,19 +111,24 @@ def sample_chunks(chunks: DataFrame, n: int, seed: str = "42") -> DataFrame:
     return chunks.where(~is_blank(stripped(F.coalesce("text", F.lit(""))))).orderBy(place, "pk").limit(n)
 
 
-def overlap_edges(chunks: DataFrame, threshold: float = 0.01, hub: int = 200) -> DataFrame:
-    """(left_pk, right_pk, score): pairs of chunks (pk, entities) with a Jaccard score of `threshold` or more.
+def overlap_edges(chunks: DataFrame, threshold: float = 0.01) -> DataFrame:
+    """(left_pk, right_pk, score): all pairs of chunks (pk, entities) with a Jaccard score of `threshold` or more.
 
-    Pairs meet on an entity. One that more than `hub` chunks have says little, and would join all
-    of these: it makes no pairs, though it still counts in the scores of pairs that others make.
+    Pairs meet on an entity. A chunk offers its rarest ones only: of n entities, a pair that reaches
+    the threshold must share one of the n - ceil(threshold * n) + 1 rarest, so common entities
+    join chunks only as far as the threshold asks for it, and no pair is lost.
     """
-    own = chunks.select("pk", F.array_distinct("entities").alias("entities"))
+    own = chunks.select("pk", F.array_distinct("entities").alias("entities")).where(F.size("entities") > 0)
     has = own.select("pk", F.size("entities").alias("n"), F.explode("entities").alias("entity"))
-    few = has.groupBy("entity").agg(F.count("*").alias("on")).where(F.col("on").between(2, hub)).select("entity")
-    kept = has.join(few, "entity").select("entity", "pk")
-    right = kept.select("entity", F.col("pk").alias("right_pk"))
-    pairs = kept.withColumnRenamed("pk", "left_pk").join(right, "entity").where("left_pk < right_pk").select("left_pk", "right_pk").distinct()
+    common = has.groupBy("entity").agg(F.count("*").alias("on"))
+    place = F.row_number().over(Window.partitionBy("pk").orderBy("on", "entity"))
+    ranked = has.join(common.where("on > 1"), "entity")
+    # entities that no other chunk has come first and count towards the prefix
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("pk"))
+    ranked = ranked.withColumn("alone", alone).withColumn("place", place + F.col("alone"))
+    kept = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.lit(float(threshold)) * F.col("n") - 1e-9) + 1).select("entity", "pk")
+    pairs = kept.withColumnRenamed("pk", "left_pk").join(kept.withColumnRenamed("pk", "right_pk"), "entity").where("left_pk < right_pk").select("left_pk", "right_pk").distinct()
     side = lambda s: own.select(F.col("pk").alias(f"{s}_pk"), F.col("entities").alias(s))
     both = pairs.join(side("left"), "left_pk").join(side("right"), "right_pk")
     score = F.size(F.array_intersect("left", "right")) / F.size(F.array_union("left", "right"))
-    return both.select("left_pk", "right_pk", F.round(score, 6).alias("score")).where(F.col("score") >= threshold)
+    return both.select("left_pk", "right_pk", score.alias("score")).where(F.col("score") >= threshold).withColumn("score", F.round("score", 6))

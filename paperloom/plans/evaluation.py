@@ -105,11 +105,9 @@ def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sample_chunks(d, 100).select("pk", "source")
 
 
-@query(r"""WITH own AS (SELECT item_id AS pk, list_distinct(regexp_extract_all(text, '[\p{L}]+')) AS e FROM benchmark),
-has AS (SELECT pk, unnest(e) AS entity FROM own), few AS (SELECT entity FROM has GROUP BY entity HAVING count(*) BETWEEN 2 AND 20),
-pairs AS (SELECT DISTINCT a.pk AS left_pk, b.pk AS right_pk FROM has a JOIN has b USING (entity) JOIN few USING (entity) WHERE a.pk < b.pk)
-SELECT left_pk, right_pk, round(len(list_intersect(l.e, r.e)) / len(list_distinct(list_concat(l.e, r.e)))::DOUBLE, 6) AS score
-FROM pairs JOIN own l ON l.pk = left_pk JOIN own r ON r.pk = right_pk""")
+@query(r"""WITH own AS (SELECT item_id AS pk, list_distinct(regexp_extract_all(text, '[\p{L}]+')) AS e FROM benchmark)
+SELECT l.pk AS left_pk, r.pk AS right_pk, round(len(list_intersect(l.e, r.e)) / len(list_distinct(list_concat(l.e, r.e)))::DOUBLE, 6) AS score
+FROM own l JOIN own r ON l.pk < r.pk WHERE len(list_intersect(l.e, r.e)) / len(list_distinct(list_concat(l.e, r.e)))::DOUBLE >= 0.05""")
 def overlap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
-    return E.overlap_edges(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pk"), words.alias("entities")), threshold=0.0, hub=20)
+    return E.overlap_edges(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pk"), words.alias("entities")), threshold=0.05)

@@ -167,3 +167,15 @@ def test_context_metrics(spark):
     statements = spark.createDataFrame([(1, 1), (1, 0)], "q_no int, covered int")
     row = evaluation.context_metrics(verdicts, statements).first()
     assert (row.context_precision, row.context_recall) == (round((1 + 2 / 3) / 2, 6), 0.5)
+
+
+@pytest.mark.parametrize("threshold", [0.01, 0.3, 0.6, 1.0])
+def test_overlap_edges_against_all_pairs(spark, threshold):
+    import random
+    from itertools import combinations
+
+    rng = random.Random(2)
+    sets = [["all", *(f"e{rng.randrange(12)}" for _ in range(rng.randrange(8)))] for _ in range(40)] + [[], ["all", "all"]]
+    found = evaluation.overlap_edges(spark.createDataFrame(list(enumerate(sets)), "pk long, entities array<string>"), threshold).collect()
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0
+    assert sorted((r.left_pk, r.right_pk) for r in found) == [(i, j) for i, j in combinations(range(len(sets)), 2) if jaccard(sets[i], sets[j]) >= threshold]
