@@ -18,7 +18,7 @@ MAX_BYTES = 20 * 1024 * 1024
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, size_bytes, content) of the files under a path."""
+    """(filename, size_bytes, content) of the files under a path; Spark passes over empty ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"), "content")
 
