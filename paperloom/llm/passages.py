@@ -207,7 +207,8 @@ def near_paragraphs(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", t
                 found += spanning_links(own["mark"].tolist(), [frozenset(s.tolist()) for s in own["shingles"]])
         return pd.DataFrame(found, columns=["src", "dst"], dtype=np.int64)
 
-    return cells.groupBy("task").applyInPandas(compare, "src long, dst long")
+    # a fixed number of tasks: small ones must not be merged, since sets cost more to compare than to move
+    return cells.repartition(tasks, "task").groupBy("task").applyInPandas(compare, "src long, dst long")
 
 
 def spanning_links(marks: list[int], sets: list[frozenset]) -> list[tuple[int, int]]:
