@@ -97,7 +97,8 @@ def corpus_changes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = written(d, "counts")
     versions = F.explode(F.array(F.struct(F.lit("words/1").alias("version"), F.col("words").alias("tokens")), F.struct(F.lit("pieces/1").alias("version"), F.col("pieces").alias("tokens")))).alias("v")
     inserts = d.select("doc_id", "source", "lang", versions).select("doc_id", "v.version", F.lit("insert").alias("op"), "source", "lang", "v.tokens")
-    firsts = d.groupBy("mark").agg(F.min("doc_id").alias("first"))
+    # written, so that a text with very many copies is dealt over many tasks by the join
+    firsts = written(d.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "firsts")
     copies = d.join(firsts, "mark").where("doc_id <> first")
     deletes = copies.select("doc_id", versions, "source", "lang").select("doc_id", "v.version", F.lit("delete").alias("op"), "source", "lang", "v.tokens")
     kept = d.where("revised <> words").join(copies.select("doc_id"), "doc_id", "left_anti")
