@@ -37,12 +37,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Hashes of words, each worked out once."""
+    """Hashes of words in lower case, each worked out once."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        found = self[word] = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
+        found = self[word] = xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass"), 7)
         return found
 
 
@@ -56,25 +56,26 @@ class Paragraphs:
     """
 
     def __init__(self, texts, memo: WordHashes):
-        self.text, self.number, self.start, self.end, self.words, self.mark = [], [], [], [], [], []
         hashes: list[int] = []
+        rows: list[tuple[int, int, int, int, int]] = []
+        hashed = memo.__getitem__
         for i, text in enumerate(texts):
-            k, at, held = 0, 0, []
+            k, at, last, held = 0, 0, 0, []
             for stop in [*(m.end() for m in CUT.finditer(text)), len(text)] if text else ():
-                held += text[at if not held else last : stop].lower().split()
+                held += text[last:stop].split()
                 last = stop
                 if len(held) < LEAST_WORDS and stop < len(text):
                     if not held:
                         at = stop
                     continue
-                for a, b, own in self._cut(text, at, stop, held):
+                for a, b, own in self._cut(text, at, stop, held, memo) if len(held) > MANY_WORDS else ((at, stop, held),):
                     if own:
-                        self.text.append(i), self.number.append(k), self.start.append(a), self.end.append(b), self.words.append(len(own))
-                        hashes.extend(map(memo.__getitem__, own))
+                        rows.append((i, k, a, b, len(own)))
+                        hashes.extend(map(hashed, own))
                         k += 1
                 at, held = stop, []
+        self.text, self.number, self.start, self.end, n = np.array(rows, dtype=np.int64).reshape(-1, 5).T
         self.hashes = np.array(hashes, dtype=np.uint64)
-        n = np.array(self.words, dtype=np.int64)
         self.first = np.cumsum(n) - n
         self.count = n
         # all words in order, and their number
@@ -83,18 +84,19 @@ class Paragraphs:
         self.marks = _mixed(np.add.reduceat(own, self.first) + n.astype(np.uint64) * _M2) if len(n) else np.empty(0, np.uint64)
 
     @staticmethod
-    def _cut(text: str, at: int, stop: int, held: list[str]):
-        if len(held) <= MANY_WORDS:
+    def _cut(text: str, at: int, stop: int, held: list[str], memo: WordHashes):
+        """A long sentence in parts that end after words whose hash says so."""
+        ends = [k + 1 for k, h in enumerate(map(memo.__getitem__, held)) if (h >> 20) % 8 == 0]
+        if not ends:
             yield at, stop, held
             return
-        own, begin = [], at
-        for m in re.finditer(r"\S+", text[at:stop]):
-            own.append(m.group().lower())
-            if len(own) >= LEAST_WORDS and xxh64_intdigest(own[-1].encode("utf-8", "surrogatepass"), 1) % 8 == 0:
-                yield begin, at + m.end(), own
-                own, begin = [], at + m.end()
-        if own:
-            yield begin, stop, own
+        places = [m.end() for m in re.finditer(r"\S+", text[at:stop])]
+        first, begin = 0, at
+        for k in ends:
+            if k - first >= LEAST_WORDS:
+                yield begin, at + places[k - 1], held[first:k]
+                first, begin = k, at + places[k - 1]
+        yield begin, stop, held[first:]
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, first, count): the shingles of all paragraphs; one, of all its words, where they are few."""
@@ -145,7 +147,7 @@ def paragraph_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its words and the keys of its bands."""
 
     def make(ids: np.ndarray, p: Paragraphs) -> pd.DataFrame:
-        out = {"doc_id": ids[p.text] if p.text else [], "paragraph": p.number, "start": p.start, "end": p.end, "n_words": p.words, "mark": p.marks.view(np.int64)}
+        out = {"doc_id": ids[p.text], "paragraph": p.number, "start": p.start, "end": p.end, "n_words": p.count, "mark": p.marks.view(np.int64)}
         return pd.DataFrame(out | {f"band_{b}": keys.view(np.int64) for b, keys in enumerate(np.ascontiguousarray(p.bands().T))})
 
     bands = ", ".join(f"band_{b} long" for b in range(BANDS))
@@ -188,8 +190,9 @@ def near_paragraphs(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", t
         bands = p.bands().view(np.int64)
         hits = in_filter(bands, bits)
         value, first, count = p.shingles()
+        value = value.view(np.int64)
         which = one_each[hits[one_each].any(axis=1)]
-        return pd.DataFrame({"mark": p.marks[which].view(np.int64), "bands": pd.Series([bands[i][hits[i]] for i in which], dtype=object), "shingles": pd.Series([np.unique(value[first[i] : first[i] + count[i]]).view(np.int64) for i in which], dtype=object)})
+        return pd.DataFrame({"mark": p.marks[which].view(np.int64), "bands": pd.Series([bands[i][hits[i]] for i in which], dtype=object), "shingles": pd.Series([value[first[i] : first[i] + count[i]] for i in which], dtype=object)})
 
     held = written(_per_batch(texts, candidates, "mark long, bands array<long>, shingles array<long>").dropDuplicates(["mark"]), "candidates")
     rows = held.select("mark", "shingles", F.explode(F.array_distinct("bands")).alias("band")).join(keys, "band", "left_semi")
@@ -201,10 +204,14 @@ def near_paragraphs(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", t
     cells = cells.withColumn("task", F.pmod(F.xxhash64("band", "one", "two"), F.lit(tasks)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = pdf[["band", "one", "two"]].to_numpy()
+        order = np.lexsort(cell.T)
+        cell, marks, sets = cell[order], pdf["mark"].to_numpy()[order].tolist(), pdf["shingles"].to_numpy()[order]
+        cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1), True]).tolist()
         found: list[tuple[int, int]] = []
-        for _, own in pdf.groupby(["band", "one", "two"]):
-            if len(own) > 1:
-                found += spanning_links(own["mark"].tolist(), [frozenset(s.tolist()) for s in own["shingles"]])
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi - lo > 1:
+                found += spanning_links(marks[lo:hi], [frozenset(s.tolist()) for s in sets[lo:hi]])
         return pd.DataFrame(found, columns=["src", "dst"], dtype=np.int64)
 
     # a fixed number of tasks: small ones must not be merged, since sets cost more to compare than to move
