@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.llm.copies import copy_components
 from paperloom.llm.mixing import mix_documents
 from paperloom.llm.packing import packed_documents
 from paperloom.llm.pii import without_personal_data
@@ -18,8 +19,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return one_of_each(docs)
+    """Of each group of near copies (five-word shingles, Jaccard 0.8) the document with the smallest id stays."""
+    return one_of_each(docs, components=copy_components)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,161 @@
+"""Near copies by the exact Jaccard score of their shingles, met on their rarest shingles."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from paperloom.llm.components import connected_components
+from paperloom.llm.storage import written
+
+WIDTH = 5
+LEAST = 0.8
+#: Documents whose shingles are counted to tell common ones, and common ones that are told. Both
+#: only choose the order in which shingles are offered; any order gives the same copies.
+SAMPLE_ROWS = 10_000
+COMMON = 200_000
+EPS = 1e-9
+
+
+def shingles(text: str | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 hashes of a text's runs of `width` words, sorted; words as in fingerprints."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    runs = zip(*(words[i:] for i in range(width)), strict=False) if len(words) > width else [words]
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(s), seed) for s in runs), dtype=np.uint64))
+
+
+def offered(n: int, least: float = LEAST) -> int:
+    """How many of its first n shingles, in one order for all, a text must offer to meet each near copy."""
+    return n - math.ceil(least * n - EPS) + 1 if n else 0
+
+
+def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """One row per document: doc_id, component_id.
+
+    Two documents are linked if the Jaccard score of their sets of shingles is `least` or more; a
+    component holds all documents that links reach, and its id is its smallest doc_id. Texts
+    without words are copies of each other. Repeated rows give repeated rows, a null doc_id is kept.
+
+    No pair is lost: with shingles in one order, a near pair shares one of the first that each
+    offers. Texts of one set are one node. Nodes that offer one shingle are first held against the
+    smallest of them (a link missed there is found below), so that a group of near copies is joined by a star; all pairs of a shingle's
+    nodes are held against each other only where these are still of several components.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sets = written(_sets(own, *_common(own, width), width, least), "sets")
+    nodes = sets.groupBy("mark").agg(F.min("doc_id").alias("first_doc"))
+    rows = _offers(sets)
+    ends = rows.groupBy("shingle").agg(F.min(F.struct("mark", "n", "place")).alias("hub"), F.max("mark").alias("last")).where("hub.mark <> last").select("shingle", "hub")
+    rows = written(rows.join(ends, "shingle"), "offers")
+    met = rows.where("mark <> hub.mark").select(*(F.col(f"hub.{c}").alias(f"l_{c}") for c in ("mark", "n", "place")), *(F.col(c).alias(f"r_{c}") for c in ("mark", "n", "place")))
+    stars = written(_possible(met, least), "met")
+    links = written(_near(stars, sets, least), "stars")
+    named = connected_components(links)
+    rows = rows.join(named, rows["mark"] == named["node"], "left").select("shingle", "mark", "n", "place", F.coalesce("component", "mark").alias("component"))
+    several = rows.groupBy("shingle").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("shingle")
+    rows = written(rows.join(several, "shingle", "left_semi"), "open")
+    left, right = (rows.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("mark", "n", "place", "component"))) for s in ("l", "r"))
+    apart = (F.col("l_mark") < F.col("r_mark")) & (F.col("l_component") != F.col("r_component"))
+    pairs = _possible(left.join(right, "shingle").where(apart), least)
+    links = links.unionAll(_near(pairs.join(stars, ["src", "dst"], "left_anti"), sets, least))
+    groups = connected_components(links)
+    linked = nodes.join(groups, nodes["mark"] == groups["node"], "left").select("mark", "first_doc", F.coalesce("component", "mark").alias("component"))
+    firsts = linked.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    named = linked.join(firsts, "component").select(F.col("mark").alias("own"), "component_id")
+    return sets.select("doc_id", "mark").join(named, F.col("mark") == F.col("own")).select("doc_id", "component_id")
+
+
+def _common(own: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles of a sample, sorted, and their ranks from 1 up by how common they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                found = [shingles(t, width) for t in b["text"].iloc[at : at + 500]]
+                one, times = np.unique(np.concatenate(found), return_counts=True)
+                yield pd.DataFrame({"shingle": one.view(np.int64), "times": times})
+
+    n = own.count()
+    part = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE_ROWS))) == 0)
+    counts = part.mapInPandas(run, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times")).where("times > 2")
+    found = counts.orderBy(F.desc("times"), "shingle").limit(COMMON).collect()
+    held = np.array([r["shingle"] for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(held)
+    return held[order], np.arange(len(held), 0, -1, dtype=np.int64)[order]
+
+
+def _sets(own: DataFrame, common: np.ndarray, ranks: np.ndarray, width: int, least: float) -> DataFrame:
+    """(doc_id, mark, n, first, rest): the shingles in the order of all, those to be offered apart."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part, out = b.iloc[at : at + 500], []
+                for text in part["text"]:
+                    s = shingles(text, width)
+                    mark = xxh64_intdigest(s.tobytes(), 7) if len(s) else 0
+                    if len(common):
+                        near = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                        s = s[np.lexsort((s, np.where(common[near] == s, ranks[near], 0)))]
+                    p = offered(len(s), least)
+                    out.append((np.uint64(mark).astype(np.int64), len(s), s[:p].tobytes(), s[p:].tobytes()))
+                yield pd.DataFrame(out, columns=["mark", "n", "first", "rest"]).assign(doc_id=part["doc_id"].to_numpy())[["doc_id", "mark", "n", "first", "rest"]]
+
+    return own.mapInPandas(run, "doc_id long, mark long, n long, first binary, rest binary")
+
+
+def _offers(sets: DataFrame) -> DataFrame:
+    """(shingle, mark, n, place): a row for each shingle that a distinct set offers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                own = b.iloc[at : at + 1000]
+                count = own["first"].map(len).to_numpy() // 8
+                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                yield pd.DataFrame({"shingle": np.frombuffer(b"".join(own["first"]), np.int64), "mark": np.repeat(own["mark"].to_numpy(), count), "n": np.repeat(own["n"].to_numpy(), count), "place": place})
+
+    one = sets.where("n > 0").groupBy("mark").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    return one.mapInPandas(run, "shingle long, mark long, n long, place long")
+
+
+def _possible(met: DataFrame, least: float) -> DataFrame:
+    """The pairs (src, dst) of marks that may be near by what they offer, from a row for each shingle that both offer.
+
+    A near pair shares least / (1 + least) of both counts together. Of the shingles up to where the
+    first of the two stops to offer, all shared ones are seen, and behind it lies no more than what
+    one of them doesn't offer; before the first shared one, none is shared.
+    """
+    fits = F.least("l_n", "r_n") >= F.greatest("l_n", "r_n") * F.lit(least) - EPS
+    behind = lambda n: F.ceil(F.col(n) * F.lit(least) - EPS) - 1
+    seen = met.where(fits).withColumn("most", F.least(F.col("l_n") - F.col("l_place"), F.col("r_n") - F.col("r_place")))
+    seen = seen.groupBy("l_mark", "r_mark", "l_n", "r_n").agg(F.count("*").alias("shared"), F.max("most").alias("most"))
+    most = F.least("most", F.col("shared") + F.greatest(behind("l_n"), behind("r_n")))
+    return seen.where(most >= (F.col("l_n") + F.col("r_n")) * F.lit(least / (1 + least)) - EPS).select(F.col("l_mark").alias("src"), F.col("r_mark").alias("dst"))
+
+
+def _near(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (src, dst) of marks whose sets have a Jaccard score of `least` or more."""
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("mark")).distinct()
+    held = sets.join(wanted, "mark", "left_semi").groupBy("mark").agg(F.first("n").alias("n"), F.first(F.concat("first", "rest")).alias("all"))
+    side = lambda end, s: held.select(F.col("mark").alias(end), F.col("n").alias(f"{s}_n"), F.col("all").alias(s))
+    fits = F.least("l_n", "r_n") >= F.greatest("l_n", "r_n") * F.lit(least) - EPS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b["l"], b["r"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both) - EPS)
+            yield b.loc[np.array(keep, dtype=bool), ["src", "dst"]]
+
+    return pairs.join(side("src", "l"), "src").join(side("dst", "r"), "dst").where(fits).select("src", "dst", "l", "r").mapInPandas(run, "src long, dst long")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -76,13 +76,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marks.join(named, marks["fingerprint"] == named["mark"]).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", components: Callable[[DataFrame, str, str], DataFrame] = simhash_components) -> DataFrame:
     """The documents with the smallest id of each component, once each, with all their columns.
 
+    `components` gives doc_id and component_id for the documents and the names of the two columns.
     Rows that repeat an id are one document, which goes if one of them is linked to a smaller id.
     Rows without an id can't be named as copies and stay.
     """
-    found = written(simhash_components(docs, id_col, text_col), "components").where("doc_id IS NOT NULL")
+    found = written(components(docs, id_col, text_col), "components").where("doc_id IS NOT NULL")
     same = lambda ids: docs[id_col] == ids["dropped"]
     copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped")).distinct()
     kept = docs.join(copies, same(copies), "left_anti")

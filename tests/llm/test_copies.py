@@ -1,0 +1,41 @@
+"""Near copies against the Jaccard scores of all pairs."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from test_groups import roots
+
+import corpus_pipeline
+from paperloom.llm import copies
+
+
+def brute(texts):
+    def runs(t):
+        words = (t or "").lower().split()
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {i: runs(t) for i, t in texts.items()}
+    return [(a, b) for a, b in combinations(sorted(sets), 2) if not sets[a] | sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+
+
+def changed(n, *at):
+    return " ".join(f"other{i}" if i in at else f"word{i}" for i in range(n))
+
+
+def test_near_copies_of_many_bits_are_one(spark):
+    """Pairs from a Jaccard score of 0.8 on go, whatever their fingerprints, and just below it stay."""
+    texts = {0: changed(100), 1: changed(100, 50), 2: changed(100, 20, 60), 3: changed(94), 4: None, 5: " ", 6: "one two", 7: "ONE  two", 8: "one three"}
+    texts |= {10: changed(49)[4:], 11: changed(49, 10, 11, 12, 13)[4:], 20: "x " * 30, 21: "x " * 40}
+    docs = spark.createDataFrame([(i, t, f"s{i}") for i, t in texts.items()], "doc_id long, text string, source string")
+    found = {r.doc_id: r.component_id for r in copies.copy_components(docs).collect()}
+    assert found == roots(texts, brute(texts)) and found[1] == 0
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(found.values())
+
+
+def test_copies_against_all_pairs(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = {r.doc_id: r.component_id for r in copies.copy_components(docs).collect()}
+    assert found == roots(texts, brute(texts))
