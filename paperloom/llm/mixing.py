@@ -13,8 +13,6 @@ BUDGET = 1.5
 EPOCHS = 2
 #: Documents whose running sums one task works out.
 SHARE_ROWS = 100_000
-#: Documents of a source behind the cut that are looked at to fill what it lacks of its target.
-LOOK_AHEAD = 1_000
 
 
 def word_count(text: Column) -> Column:
@@ -48,8 +46,7 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source's words up to and with a document, over the source's target; documents are taken by
     finish time over all sources while the words taken stay within the budget. So every source
     gets to its target but for a document. A source that a long document at the cut leaves short
-    takes later ones, of the next LOOK_AHEAD that fit, while they fit together. The same rows
-    always give the same mix.
+    takes later ones that fit, while they fit together. The same rows always give the same mix.
 
     Null texts have no words and take none; null sources are one source, null ids queue together.
     Repeated rows queue one after the other. Documents that finish at one time are taken together
@@ -75,13 +72,13 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = own.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("share") == F.col("part")))
     words = F.col("before") + F.col("within")
     finish = lambda w: F.try_divide(w.cast("double"), F.col("target"))  # noqa: E731  no target: never
-    timed = own.select("doc_id", "size", "source_size", "target", "source", finish(words).alias("first"), finish(words + F.col("source_size")).alias("second"))
+    timed = own.select("doc_id", "size", "source_size", "target", "source", "share", finish(words).alias("first"), finish(words + F.col("source_size")).alias("second"))
     timed = written(timed, "queue")
     cut = _cut(timed, sizes.agg(F.sum("size")).first()[0], budget, shares)
     taken = sum(F.when(F.col(c) <= F.lit(cut), F.col("size")).otherwise(0) for c in ("first", "second")).cast("long")
     timed = timed.withColumn("taken", taken)
     more = _filled(timed, cut)
-    same = F.col("source").eqNullSafe(F.col("short")) & (F.col("first") == F.col("short_first"))
+    same = F.col("source").eqNullSafe(F.col("short")) & (F.col("first") == F.col("short_first")) & (F.col("size") > 0)  # an empty one has the time of the one before it
     done = timed.join(more, same, "left")
     return done.select("doc_id", "size", "source_size", "target", (F.col("taken") + F.coalesce("more", F.lit(0))).alias("taken"), "source")
 
@@ -89,12 +86,16 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _filled(timed: DataFrame, cut: float) -> DataFrame:
     """(short, short_first, more): by source and first finish time, the words of documents that fill gaps."""
     gaps = timed.groupBy("source").agg((F.max("target") - F.sum("taken")).alias("gap")).where("gap > 0").withColumnRenamed("source", "short")
-    rest = timed.where("size > 0").select("source", "doc_id", "size", "first", F.explode(F.array("first", "second")).alias("finish")).where(F.col("finish") > F.lit(cut))
-    fits = rest.join(gaps, F.col("source").eqNullSafe(F.col("short")) & (F.col("size") <= F.col("gap")))
-    queue = Window.partitionBy("short").orderBy("finish", "doc_id")
-    near = fits.withColumn("nth", F.row_number().over(queue)).where(F.col("nth") <= LOOK_AHEAD)
-    upto = F.sum("size").over(queue.rowsBetween(Window.unboundedPreceding, 0))
-    kept = near.withColumn("upto", upto).where("upto <= gap")
+    times = F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), F.col(c).alias("finish")) for i, c in enumerate(("first", "second"))))).alias("t")
+    rest = timed.where("size > 0").select("source", "share", "doc_id", "size", "first", times).select("*", "t.turn", "t.finish").where(F.col("finish") > F.lit(cut))
+    fits = rest.join(gaps, F.col("source").eqNullSafe(F.col("short")) & (F.col("size") <= F.col("gap"))).select("short", "gap", "turn", "share", "doc_id", "size", "first", "finish")
+    # running sums as in the queue: of the shares before, and within a share
+    before = F.sum("words").over(Window.partitionBy("short").orderBy("turn", "share").rowsBetween(Window.unboundedPreceding, -1))
+    starts = fits.groupBy("short", "gap", "turn", "share").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(before, F.lit(0))).where("before < gap")
+    starts = starts.select(F.col("short").alias("of"), F.col("turn").alias("round"), F.col("share").alias("part"), "before")
+    near = fits.join(starts, F.col("short").eqNullSafe(F.col("of")) & (F.col("turn") == F.col("round")) & (F.col("share") == F.col("part")))
+    within = F.sum("size").over(Window.partitionBy("short", "turn", "share").orderBy("finish", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    kept = near.withColumn("upto", F.col("before") + within).where("upto <= gap")
     return kept.groupBy("short", F.col("first").alias("short_first")).agg(F.sum("size").alias("more"))
 
 

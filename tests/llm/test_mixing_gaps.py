@@ -1,0 +1,27 @@
+"""Gaps that a long document leaves are filled from all documents behind it, by those with words."""
+
+from __future__ import annotations
+
+import hashlib
+
+from paperloom.llm import mixing
+
+
+def behind_a_long_one(spark, n, length, empty=0):
+    """One source: n documents of five words, some without, and one of `length` words that comes first."""
+    ids = sorted(range(n + empty + 1), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows = [(ids[0], "w " * length)] + [(i, None if k % (n // empty + 1) == 0 else "a b c d e") for k, i in enumerate(ids[1:])] if empty else [(ids[0], "w " * length)] + [(i, "a b c d e") for i in ids[1:]]
+    return ids[0], spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+
+
+def test_gaps_are_filled_from_all_later_documents(spark):
+    long, docs = behind_a_long_one(spark, 3000, 30_000)
+    times = {r.doc_id: r.taken / r.size for r in mixing.mixed_sizes(docs).collect()}
+    assert times.pop(long) == 1 and set(times.values()) == {2}
+
+
+def test_documents_without_words_fill_nothing(spark):
+    _, docs = behind_a_long_one(spark, 100, 1000, 25)
+    rows = mixing.mixed_sizes(docs).collect()
+    assert sum(r.size == 0 for r in rows) > 20 and all(r.taken == 0 for r in rows if not r.size)
+    assert all(r.taken == 2 * r.size for r in rows if r.size == 5)
