@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from paperloom.llm.storage import written
@@ -182,18 +182,22 @@ def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def fit_spans(table: DataFrame, training_rows: int = TRAINING_ROWS) -> SpanModel:
     """Labeler reliabilities by EM over all candidates, and a classifier of their verdicts.
 
-    Candidates are counted by kind, votes and shape; both steps see these counts only. There are
-    a few hundred of them, as each part has few values, and at most `training_rows`.
+    EM sees how often each of the at most 81 votes was cast. The classifier sees candidates counted
+    by kind, votes and shape, of which the `training_rows` commonest are taken.
     """
     spans = table.select(F.explode(F.concat("base", "others")).alias("s")).select("s.kind", "s.votes", "s.form")
+    cast = spans.groupBy("votes").count().orderBy("votes").collect()
+    right = reliabilities(_signs(cast), np.array([r["count"] for r in cast], dtype=float))
     counts = spans.groupBy("kind", "votes", "form").count().orderBy(F.desc("count"), "kind", "votes", "form").limit(training_rows).collect()
     n = np.array([r["count"] for r in counts], dtype=float)
-    votes = np.array([[{"+": 1, "-": -1}.get(v, 0) for v in r["votes"]] for r in counts]).reshape(len(counts), len(LABELERS))
-    right = reliabilities(votes, n)
-    odds = votes @ np.log(right / (1 - right)) if len(counts) else np.empty(0)
+    odds = _signs(counts) @ np.log(right / (1 - right)) if len(counts) else np.empty(0)
     return _classifier([features(r["kind"], r["votes"], r["form"]) for r in counts], 1 / (1 + np.exp(-odds)), n)
 
 
+def _signs(rows: list[Row]) -> np.ndarray:
+    return np.array([[{"+": 1, "-": -1}.get(v, 0) for v in r["votes"]] for r in rows]).reshape(len(rows), len(LABELERS))
+
+
 def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 50, weight: float = 50.0) -> np.ndarray:
     """How often each labeler's votes (1, -1, 0 for none) are right, from rows seen n times each.
 
