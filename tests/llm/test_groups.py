@@ -71,7 +71,7 @@ def near_copies():
 
 def test_simhash_components(spark):
     rows = near_copies()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("fingerprint", "component_id", "node", "mark", "path")})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("fingerprint", "component_id", "node", "mark", "path", "sketch", "own", "member")})
     marks = [brute_fingerprint(t) for _, t in rows]
     distinct = sorted(set(marks))
     root = roots(distinct, [(a, b) for a, b in combinations(distinct, 2) if (a ^ b).bit_count() <= 3])
@@ -81,30 +81,90 @@ def test_simhash_components(spark):
             first[root[m]] = min(i, first.get(root[m], i))
     expected = sorted((repr(i), f"{m:016x}", first[root[m]]) for (i, _), m in zip(rows, marks, strict=True))
     assert sorted((repr(r.doc_id), r.fingerprint, r.component_id) for r in simhash.simhash_components(docs).collect()) == expected
-    kept = [r.doc_id for r in simhash.one_of_each(docs).collect()]
+    kept = [r.doc_id for r in simhash.one_of_each(docs, setting=simhash.BY_BITS).collect()]
     assert sorted(i for i in kept if i is not None) == sorted(set(first.values())) and kept.count(None) == 1
     assert simhash.simhash_components(docs.where("doc_id > 99999")).count() == 0
 
 
-def test_large_trie_groups_are_dealt_out(spark):
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
-    marks = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) for b in base]))
-    nodes = spark.createDataFrame([(int(m),) for m in marks.view(np.int64)], "fingerprint long")
-    expected = roots(marks.tolist(), [(int(a), int(b)) for a, b in combinations(marks, 2) if int(a ^ b).bit_count() <= 3])
-    for size in (10, 20_000):
-        links = [(r.src % 2**64, r.dst % 2**64) for r in simhash.near_fingerprints(nodes, cell_rows=size, task_rows=100).collect()]
-        assert all((a ^ b).bit_count() <= 64 for a, b in links)
-        assert roots(marks.tolist(), links) == expected
-
-
-def test_frontier_cuts_change_nothing():
-    path = np.sort(np.random.default_rng(1).integers(0, 1 << 12, 500).astype(np.uint64) << np.uint64(52))
-    path = np.unique(path)
-    ends = (np.array([0]), np.array([len(path)]))
-    stars = lambda f: roots(range(len(path)), [(int(a), int(b)) for x, y in simhash.trie_links(path, *ends, 0, 3, f) for a, b in zip(x, y, strict=True)])
-    brute = roots(range(len(path)), [(a, b) for a, b in combinations(range(len(path)), 2) if int(path[a] ^ path[b]).bit_count() <= 3])
-    assert stars(7) == stars(10**6) == brute
+def near_marks(rng, families, n, flips):
+    """Distinct fingerprints: families of near ones and as many that are near nothing."""
+    base = rng.integers(0, 1 << 63, families, dtype=np.uint64)
+    flip = lambda: np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    near = [b ^ np.bitwise_xor.reduce([flip() for _ in range(flips)]) for b in base]
+    return np.unique(np.concatenate([*near, rng.integers(0, 1 << 63, families * n, dtype=np.uint64)]))
+
+
+def linked(marks, most):
+    return roots(marks.tolist(), [(int(a), int(b)) for a, b in combinations(marks, 2) if int(a ^ b).bit_count() <= most])
+
+
+@pytest.mark.parametrize(("most", "turns", "leaf_rows", "cell_rows"), [(3, 2, 1, 20_000), (3, 2, 1, 8), (3, 1, 1, 30), (9, 4, 8, 50)])
+def test_trie_join_against_all_pairs(spark, most, turns, leaf_rows, cell_rows):
+    """Also where sub-tries are too large for a task and go down further before they are dealt."""
+    marks = near_marks(np.random.default_rng(3), 4, 60, max(2, most // 2))
+    nodes = spark.createDataFrame([(int(m), int(m)) for m in marks.view(np.int64)], "node long, fingerprint long")
+    setting = simhash.SimHashSetting(max_bits=most, turns=turns, leaf_rows=leaf_rows, cell_rows=cell_rows)
+    links = simhash.near_fingerprints(nodes.withColumn("sketch", F.lit(b"")), setting, task_rows=100).collect()
+    assert roots(marks.tolist(), [(r.src % 2**64, r.dst % 2**64) for r in links]) == linked(marks, most)
+    assert cell_rows < 1000 or len(links) < 8 * len(marks)  # stars, not all pairs
+
+
+def whole_trie(marks):
+    n = len(marks)
+    return tuple(np.array([x]) for x in (0, n, 0, n)) + (np.zeros(1, np.int8),)
+
+
+def test_pairs_are_found_by_descent(monkeypatch):
+    """Only leaves within the budget meet; their number is far below that of all pairs, and long frontiers are cut."""
+    marks = near_marks(np.random.default_rng(1), 20, 100, 2)
+    budgets = simhash.SimHashSetting(turns=1).budgets()
+    seen, plain = [], simhash._leaf_pairs
+    monkeypatch.setattr(simhash, "_leaf_pairs", lambda a0, a1, b0, b1: seen.append((a1 - a0).max() * (b1 - b0).max() * len(a0)) or plain(a0, a1, b0, b1))
+    monkeypatch.setattr(simhash, "_union", lambda label, left, right, union=simhash._union: union(label, left, right) if len(seen) else None)
+    expected = linked(marks, 3)
+    for frontier in (50, 10**6):
+        seen.clear()
+        hung, root = simhash.trie_links(marks, whole_trie(marks), 0, budgets, frontier=frontier)
+        assert roots(marks.tolist(), zip(marks[hung].tolist(), marks[root].tolist(), strict=True)) == expected
+        assert 0 < sum(seen) < 0.05 * len(marks) ** 2 / 2
+
+
+def test_rotations_keep_every_near_pair():
+    """Some rotation of each pattern of differing bits stays within the budgets after every block."""
+    rng = random.Random(2)
+    for most, turns in ((3, 2), (15, 4), (12, 8)):
+        budgets = simhash.SimHashSetting(max_bits=most, turns=turns).budgets()
+        for _ in range(500):
+            flips = rng.sample(range(64), most)
+            turned = [[sum((f - k * 64 // turns) % 64 < d for f in flips) for d in range(65)] for k in range(turns)]
+            assert any(all(e <= b for e, b in zip(t, budgets, strict=True)) for t in turned)
+
+
+def test_near_copies_by_similarity(spark):
+    """Of pairs with a Jaccard score of 0.8 on five-word shingles hardly one is left, and other documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    words = {i: (t or "").lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    score = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    rows = simhash.simhash_components(docs, setting=simhash.BY_SIMILARITY).collect()
+    group = {r.doc_id: r.component_id for r in rows}
+    met = {}
+    for i in sorted(sets):
+        for s in sets[i]:
+            met.setdefault(s, []).append(i)
+    pairs = {(a, b) for ids in met.values() if len(ids) < 200 for a, b in combinations(ids, 2)}
+    near = [(a, b) for a, b in pairs if score(a, b) >= 0.8]
+    assert len(near) > 20 and sum(group[a] == group[b] for a, b in near) >= 0.98 * len(near)
+    assert all(max(score(i, j) for j in group if group[j] == group[i] and j != i) > 0.6 for i in group if group[i] != i)
+    # the links are those of all pairs of the long fingerprints
+    marks = {i: simhash.sketch(t, 5, words=4) for i, t in texts.items()}
+    ids, all_marks = np.array(sorted(marks)), np.array([marks[i] for i in sorted(marks)])
+    links = []
+    for k, m in enumerate(all_marks):
+        differ = np.bitwise_count(all_marks[k + 1 :] ^ m)
+        links += [(ids[k], j) for j in ids[k + 1 :][(differ[:, 0] <= 15) & (differ.sum(axis=1) <= 42)]]
+    assert group == roots(ids.tolist(), [(int(a), int(b)) for a, b in links])
 
 
 def vectors(n=1500, dim=24):

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat, mixing, packing, pii, quality, queries, rollup, toxicity
+from paperloom.llm import chat, mixing, packing, pii, quality, queries, rollup, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -327,7 +327,7 @@ def test_pipeline(spark, small):
     clean = stages["toxicity"](spark, docs, small)
     assert clean.schema == docs.schema and 0 < clean.count() < docs.count()
     single = stages["near_duplicates"](spark, clean, small)
-    marks = [r.component_id for r in queries.simhash_components(clean).collect()]
+    marks = [r.component_id for r in simhash.simhash_components(clean, setting=simhash.BY_SIMILARITY).collect()]
     assert sorted(r.doc_id for r in single.collect()) == sorted(set(marks))
     private = stages["personal_data"](spark, single, small)
     assert private.columns == docs.columns and all(not brute_spans(r.text) and r.n_chars == len(r.text) for r in private.collect())
