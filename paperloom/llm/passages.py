@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
-import math
-import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from paperloom.llm.components import connected_components
 from paperloom.llm.storage import written
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: A pair of Jaccard similarity s meets in a band with probability 1 - (1 - s**ROWS)**BANDS: 0.983 at 0.8, 0.9987 at 0.9.
-BANDS, ROWS = 4, 2
+#: A pair of Jaccard similarity s meets in a band with probability 1 - (1 - s**ROWS)**BANDS: 0.97 at 0.8,
+#: 0.998 at 0.9, 0.13 at 0.3.
+BANDS, ROWS = 5, 3
 #: Words from which a paragraph may end at a sentence, and from which at certain words.
 LEAST_WORDS, MANY_WORDS = 8, 32
 #: Words that a run of shared paragraphs must have to count: a passage of 50 words less its first sentence.
 RUN_WORDS = 25
-#: Paragraphs of a bucket that one task compares; a larger bucket is dealt over pairs of parts.
-CELL_ROWS, TASK_ROWS = 2_000, 20_000
-#: Bits of the filter that spares a shuffle of paragraphs that met no other: 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
+#: Characters of texts that are cut at once, so that the texts of a batch don't add up.
+BATCH_CHARS = 2_000_000
+#: Marks that a task remembers to have given shingles for.
+MEMORY = 500_000
 
-CUT = re.compile(r"""[.!?…]+["'”’)\]»]*(?=\s)|\n""")
-_M1, _M2, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_P = 0x100000001B3
+_P_INVERSE = pow(_P, -1, 1 << 64)
+
+#: Kinds of characters: white space, marks that end a sentence, and marks that may follow these.
+SPACE, END, CLOSE = 1, 2, 3
+_KINDS = np.zeros(0x3002, dtype=np.uint8)
+_KINDS[[i for i in range(0x3001) if chr(i).isspace()]] = SPACE
+_KINDS[[ord(c) for c in ".!?…"]] = END
+_KINDS[[ord(c) for c in "\"'”’)]»"]] = CLOSE
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -36,204 +43,211 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class WordHashes(dict):
-    """Hashes of words in lower case, each worked out once."""
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        found = self[word] = xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass"), 7)
-        return found
+def _lower(text: str) -> str:
+    """The text in lower case, with each character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 class Paragraphs:
-    """The paragraphs of many texts: where each is, its words, and hashes of them.
+    """The paragraphs of many texts: where each is, its words' hashes, and hashes of all its words.
 
     A paragraph is a sentence, or line, or a few that are short: it ends at the first end of a
     sentence or line after LEAST_WORDS words. Past MANY_WORDS words it also ends after words that
     a hash picks. So where it ends depends on what it holds, and a passage is cut alike wherever it
     stands, from its first whole sentence on. Words are runs without white space, in lower case.
+
+    text, number, start, end and count have a row for each paragraph: its text's place in `texts`,
+    its number there, its first and end character, and its number of words. Its words are hashes
+    from `first` on.
     """
 
-    def __init__(self, texts, memo: WordHashes):
-        hashes: list[int] = []
-        rows: list[tuple[int, int, int, int, int]] = []
-        hashed = memo.__getitem__
-        for i, text in enumerate(texts):
-            k, at, last, held = 0, 0, 0, []
-            for stop in [*(m.end() for m in CUT.finditer(text)), len(text)] if text else ():
-                held += text[last:stop].split()
-                last = stop
-                if len(held) < LEAST_WORDS and stop < len(text):
-                    if not held:
-                        at = stop
-                    continue
-                for a, b, own in self._cut(text, at, stop, held, memo) if len(held) > MANY_WORDS else ((at, stop, held),):
-                    if own:
-                        rows.append((i, k, a, b, len(own)))
-                        hashes.extend(map(hashed, own))
+    def __init__(self, texts):
+        held = [_lower(t) if t else "" for t in texts]
+        ends = np.cumsum([len(t) + 1 for t in held]) - 1
+        code = np.frombuffer("\n".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _KINDS[np.minimum(code, len(_KINDS) - 1)]
+        space = kind == SPACE
+        word_at = np.flatnonzero(~space & np.r_[True, space[:-1]][: len(code)])
+        word_end = np.flatnonzero(~space & np.r_[space[1:], True][: len(code)]) + 1
+        self.hashes = self._word_hashes(code, word_at, word_end)
+
+        # a sentence ends before white space that an end mark and closing marks stand before
+        last = np.maximum.accumulate(np.where(kind != CLOSE, np.arange(len(code)), 0))
+        before = np.r_[0, kind[last]][: len(code)]
+        stops = np.r_[np.flatnonzero(space & (before == END)), np.flatnonzero(code == 10) + 1, ends]
+        stops = np.unique(stops).astype(np.int64)
+        words = np.searchsorted(word_at, stops).tolist()
+        picked = np.flatnonzero((self.hashes >> np.uint64(20)) % np.uint64(8) == 0).tolist()
+        word_end, stops = word_end.tolist(), stops.tolist()
+
+        rows: list[tuple[int, int, int, int, int, int]] = []
+        stop, word = 0, 0
+        for i, t1 in enumerate(ends.tolist()):
+            t0 = at = t1 - len(held[i])
+            k = 0
+            while stop < len(stops) and stops[stop] <= t0 and stops[stop] < t1:
+                word = words[stop]
+                stop += 1
+            while stop < len(stops) and stops[stop] <= t1:
+                here, upto = stops[stop], words[stop]
+                stop += 1
+                n = upto - word
+                if n == 0:
+                    at = here
+                elif n > MANY_WORDS:
+                    for a, b, w, m in self._cut(at, here, word, upto, word_end, picked):
+                        rows.append((i, k, a - t0, b - t0, w, m))
                         k += 1
-                at, held = stop, []
-        self.text, self.number, self.start, self.end, n = np.array(rows, dtype=np.int64).reshape(-1, 5).T
-        self.hashes = np.array(hashes, dtype=np.uint64)
-        self.first = np.cumsum(n) - n
-        self.count = n
+                elif n >= LEAST_WORDS or here == t1:
+                    rows.append((i, k, at - t0, here - t0, word, n))
+                    k += 1
+                else:
+                    continue
+                at, word = here, upto
+        self.text, self.number, self.start, self.end, self.first, self.count = np.array(rows, dtype=np.int64).reshape(-1, 6).T
         # all words in order, and their number
-        place = np.arange(len(self.hashes)) - np.repeat(self.first, n)
+        place = np.arange(len(self.hashes)) - np.repeat(self.first, self.count)
         own = _mixed((self.hashes + place.astype(np.uint64) * _M1) * _M1)
-        self.marks = _mixed(np.add.reduceat(own, self.first) + n.astype(np.uint64) * _M2) if len(n) else np.empty(0, np.uint64)
+        sums = np.add.reduceat(own, self.first) if len(rows) else np.empty(0, np.uint64)
+        self.marks = _mixed(sums + self.count.astype(np.uint64) * _M2).view(np.int64)
 
     @staticmethod
-    def _cut(text: str, at: int, stop: int, held: list[str], memo: WordHashes):
-        """A long sentence in parts that end after words whose hash says so."""
-        ends = [k + 1 for k, h in enumerate(map(memo.__getitem__, held)) if (h >> 20) % 8 == 0]
-        if not ends:
-            yield at, stop, held
-            return
-        places = [m.end() for m in re.finditer(r"\S+", text[at:stop])]
-        first, begin = 0, at
-        for k in ends:
-            if k - first >= LEAST_WORDS:
-                yield begin, at + places[k - 1], held[first:k]
-                first, begin = k, at + places[k - 1]
-        yield begin, stop, held[first:]
+    def _word_hashes(code: np.ndarray, word_at: np.ndarray, word_end: np.ndarray) -> np.ndarray:
+        """A hash of the characters of each word, the same wherever it stands."""
+        sums = np.r_[np.uint64(0), np.cumsum((code + np.uint32(1)) * _powers(_P, len(code)), dtype=np.uint64)]
+        own = (sums[word_end] - sums[word_at]) * _powers(_P_INVERSE, len(code))[word_at]
+        return _mixed(own * _M1 + (word_end - word_at).astype(np.uint64))
+
+    @staticmethod
+    def _cut(at: int, stop: int, word: int, upto: int, word_end: list[int], picked: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """A long sentence in parts (start, end, first word, words) that end after words whose hash says so."""
+        for k in range(bisect_left(picked, word), bisect_left(picked, upto - 1)):
+            if picked[k] + 1 - word >= LEAST_WORDS:
+                yield at, word_end[picked[k]], word, picked[k] + 1 - word
+                at, word = word_end[picked[k]], picked[k] + 1
+        yield at, stop, word, upto - word
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes, first, count): the shingles of all paragraphs; one, of all its words, where they are few."""
+        """(hashes, first, count): 32-bit hashes of the shingles of all paragraphs; one, of all its
+        words, where a paragraph has no more."""
         count = np.maximum(self.count - SHINGLE + 1, 1)
         first = np.cumsum(count) - count
-        at = np.arange(int(count.sum())) - np.repeat(first, count) + np.repeat(self.first, count)
-        left = np.repeat(self.first + self.count, count)
-        value = np.zeros(len(at), dtype=np.uint64)
+        padded = np.r_[self.hashes, np.zeros(SHINGLE - 1, np.uint64)]
+        n, value = len(self.hashes), np.zeros(len(self.hashes), np.uint64)
         for k in range(SHINGLE):
-            inside = at + k < left
-            value = value * _P + np.where(inside, self.hashes[np.minimum(at + k, max(0, len(self.hashes) - 1))], np.uint64(0)) if len(at) else value
-        return _mixed(value * _M1), first, count
-
-    def bands(self) -> np.ndarray:
-        """A row of BANDS keys for each paragraph."""
-        value, first, _ = self.shingles()
-        keys = np.random.default_rng(11).integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-        out = np.empty((len(self.count), BANDS), dtype=np.uint64)
-        for b in range(BANDS):
-            key = np.full(len(self.count), b + 1, dtype=np.uint64)
-            for r in range(ROWS):
-                least = np.minimum.reduceat(_mixed(value * keys[b, r]), first) if len(first) else value
-                key = _mixed(key * _M1 + least)
-            out[:, b] = key
-        return out
-
+            value = value * np.uint64(_P) + padded[k : k + n]
+        at = np.arange(int(count.sum())) - np.repeat(first - self.first, count)
+        out = (_mixed(value[at] * _M1) >> np.uint64(32)).astype(np.uint32)
+        few = self.count < SHINGLE
+        out[first[few]] = (self.marks[few].view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        return out, first, count
+
+
+def bands(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each set of 32-bit hashes that starts at `first` in `value`."""
+    keys = np.random.default_rng(11).integers(0, 1 << 32, (BANDS, ROWS, 2), dtype=np.uint32)
+    out = np.empty((len(first), BANDS), dtype=np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(first), b + 1, dtype=np.uint64)
+        for shift, factor in keys[b]:
+            least = np.minimum.reduceat((value ^ shift) * (factor | np.uint32(1)), first) if len(first) else value
+            key = _mixed(key * _M1 + least)
+        out[:, b] = key
+    return out.view(np.int64)
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
 
-
-def _per_batch(texts: DataFrame, make, schema: str) -> DataFrame:
-    """make(ids, Paragraphs) of a few hundred documents at a time, so that long ones don't add up."""
+def paragraph_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, paragraph, start, end, n_words, mark, shingles): every paragraph's place and the hash
+    of its words; the hashes of its shingles where a task meets the mark for the first time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
+        seen: set[int] = set()
         for b in batches:
-            ends = np.r_[0, np.cumsum(b["text"].map(lambda t: len(t) if t else 0))]
-            group = (ends[:-1] // 2_000_000).astype(np.int64)
-            for _, own in b.groupby(group):
-                yield make(own["doc_id"].to_numpy(), Paragraphs(own["text"], memo))
-
-    return texts.mapInPandas(run, schema)
-
+            ends = np.cumsum(b["text"].map(lambda t: len(t) if t else 0).to_numpy(dtype=np.int64))
+            for _, own in b.groupby((ends - 1) // BATCH_CHARS):
+                p = Paragraphs(own["text"])
+                value, first, count = p.shingles()
+                value = value.view(np.int32)
+                sets: list[np.ndarray | None] = []
+                for mark, lo, n in zip(p.marks.tolist(), first.tolist(), count.tolist(), strict=True):
+                    sets.append(None if mark in seen else value[lo : lo + n])
+                    seen.add(mark)
+                if len(seen) > MEMORY:
+                    seen.clear()
+                places = {"paragraph": p.number, "start": p.start, "end": p.end, "n_words": p.count, "mark": p.marks}
+                yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy()[p.text], **places, "shingles": pd.Series(sets, dtype=object)})
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = "doc_id long, paragraph int, start int, end int, n_words int, mark long, shingles array<int>"
+    return texts.where("doc_id IS NOT NULL").mapInPandas(run, schema)
+
+
+def band_rows(table: DataFrame) -> DataFrame:
+    """(band, mark, n): the keys of the bands of each paragraph that has shingles, and their number."""
 
-def paragraph_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, start, end, n_words, mark, band_0, ...): every paragraph's place, the hash of
-    its words and the keys of its bands."""
-
-    def make(ids: np.ndarray, p: Paragraphs) -> pd.DataFrame:
-        out = {"doc_id": ids[p.text], "paragraph": p.number, "start": p.start, "end": p.end, "n_words": p.count, "mark": p.marks.view(np.int64)}
-        return pd.DataFrame(out | {f"band_{b}": keys.view(np.int64) for b, keys in enumerate(np.ascontiguousarray(p.bands().T))})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            count = b["shingles"].map(len).to_numpy(dtype=np.int64)
+            value = np.concatenate(b["shingles"].to_list()).astype(np.int32).view(np.uint32)
+            keys = bands(value, np.cumsum(count) - count)
+            each = lambda x: np.repeat(x, BANDS)
+            yield pd.DataFrame({"band": keys.reshape(-1), "mark": each(b["mark"].to_numpy()), "n": each(count)})
 
-    bands = ", ".join(f"band_{b} long" for b in range(BANDS))
-    return _per_batch(_texts(docs, id_col, text_col), make, f"doc_id long, paragraph int, start int, end int, n_words int, mark long, {bands}")
+    return table.where("shingles IS NOT NULL").select("mark", "shingles").mapInPandas(run, "band long, mark long, n int")
 
 
-def bit_filter(values: DataFrame, column: str) -> bytes:
-    """A bitmap of FILTER_BITS bits with those of the column's values set: the same few MB for any input."""
-    bit = F.pmod(column, F.lit(FILTER_BITS)) + 1  # position n + 1 is bit n % 32768 of bucket n / 32768 + 1
-    parts = values.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    out = np.zeros((FILTER_BITS // 32768, 4096), dtype=np.uint8)
-    for r in parts.collect():
-        raw = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[r["bucket"] - 1, : len(raw)] = raw
-    return out.tobytes()
+def _similar(l_n: Column, r_n: Column, both: Column | None = None) -> Column:
+    """Whether sets of these sizes may have a Jaccard score of THRESHOLD; with what they share, whether they have."""
+    if both is None:
+        return F.least(l_n, r_n) >= F.greatest(l_n, r_n) * F.lit(THRESHOLD)
+    return both >= (l_n + r_n - both) * F.lit(THRESHOLD)
 
 
-def in_filter(values: np.ndarray, bits: bytes) -> np.ndarray:
-    """Whether each value's bit is set; all that were put in pass, and few others."""
-    at = values.view(np.int64) % FILTER_BITS
-    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of marks whose sets of shingles have a Jaccard score of THRESHOLD or more."""
+    left, right = (sets.select(F.col("mark").alias(end), F.col("shingles").alias(f"{end}_set")) for end in ("src", "dst"))
+    both = F.size(F.array_intersect("src_set", "dst_set"))
+    near = _similar(F.size("src_set"), F.size("dst_set"), both)
+    return pairs.join(left, "src").join(right, "dst").where(near).select("src", "dst")
 
 
-def near_paragraphs(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_paragraphs(table: DataFrame) -> DataFrame:
     """(src, dst): links between different paragraphs' marks with a Jaccard similarity of THRESHOLD or more.
 
-    `table` is the documents' paragraph_table. Equal paragraphs are one mark. Of each band key only the smallest and largest mark are
-    shuffled, which tells the keys that different paragraphs share. Those paragraphs, found by a
-    second pass over the texts through a filter of fixed size, are compared on their whole shingle
-    sets, and of each group found a spanning set of links is given: no two marks that a chain of
-    similar pairs within a bucket joins are left apart.
+    `table` is a stored paragraph_table; texts aren't read again. Equal paragraphs are one mark. Of
+    each band key only the smallest and largest mark are shuffled, summed up before they leave a
+    task, which tells the keys that different paragraphs share. The smallest mark of such a key is
+    its hub, and all others are held against it: a star. Only keys whose paragraphs are still of
+    several components then have pairs of different components held against each other, so a key
+    that very many near paragraphs share costs no more than its star. All scores are of whole sets.
     """
-    texts = _texts(docs, id_col, text_col)
-    keys = table.select("mark", F.explode(F.array(*(f"band_{b}" for b in range(BANDS)))).alias("band"))
-    keys = written(keys.groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("band"), "bands")
-    bits = bit_filter(keys, "band")
-
-    def candidates(ids: np.ndarray, p: Paragraphs) -> pd.DataFrame:
-        one_each = np.unique(p.marks, return_index=True)[1]
-        bands = p.bands().view(np.int64)
-        hits = in_filter(bands, bits)
-        value, first, count = p.shingles()
-        value = value.view(np.int64)
-        which = one_each[hits[one_each].any(axis=1)]
-        return pd.DataFrame({"mark": p.marks[which].view(np.int64), "bands": pd.Series([bands[i][hits[i]] for i in which], dtype=object), "shingles": pd.Series([value[first[i] : first[i] + count[i]] for i in which], dtype=object)})
-
-    held = written(_per_batch(texts, candidates, "mark long, bands array<long>, shingles array<long>").dropDuplicates(["mark"]), "candidates")
-    rows = held.select("mark", "shingles", F.explode(F.array_distinct("bands")).alias("band")).join(keys, "band", "left_semi")
-    large = held.select(F.explode(F.array_distinct("bands")).alias("band")).groupBy("band").count().where(F.col("count") > CELL_ROWS).select("band", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("parts"))
-    rows = rows.join(large, "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part, other = F.pmod(F.xxhash64("mark"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = rows.withColumn("part", part).withColumn("other", other).select("band", "mark", "shingles", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
-    tasks = max(8, math.ceil(BANDS * held.count() / TASK_ROWS))
-    cells = cells.withColumn("task", F.pmod(F.xxhash64("band", "one", "two"), F.lit(tasks)))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = pdf[["band", "one", "two"]].to_numpy()
-        order = np.lexsort(cell.T)
-        cell, marks, sets = cell[order], pdf["mark"].to_numpy()[order].tolist(), pdf["shingles"].to_numpy()[order]
-        cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1), True]).tolist()
-        found: list[tuple[int, int]] = []
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi - lo > 1:
-                found += spanning_links(marks[lo:hi], [frozenset(s.tolist()) for s in sets[lo:hi]])
-        return pd.DataFrame(found, columns=["src", "dst"], dtype=np.int64)
-
-    # a fixed number of tasks: small ones must not be merged, since sets cost more to compare than to move
-    return cells.repartition(tasks, "task").groupBy("task").applyInPandas(compare, "src long, dst long")
-
-
-def spanning_links(marks: list[int], sets: list[frozenset]) -> list[tuple[int, int]]:
-    """Links between similar sets that join the same groups as all of them do."""
-    found, groups = [], []
-    for i, mine in enumerate(sets):
-        near = [g for g in groups if any(_similar(mine, sets[j]) for j in g)]
-        found += [(marks[i], marks[g[0]]) for g in near]
-        groups = [g for g in groups if g not in near] + [[j for g in near for j in g] + [i]]
-    return found
-
-
-def _similar(a: frozenset, b: frozenset) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if small < THRESHOLD * large:
-        return False
-    both = len(a & b)
-    return both >= THRESHOLD * (len(a) + len(b) - both)
+    rows = band_rows(table)
+    shared = rows.groupBy("band").agg(F.min("mark").alias("hub"), F.max("mark").alias("last")).where("hub < last")
+    met = written(rows.join(written(shared.select("band", "hub"), "bands"), "band").distinct(), "met")
+    wanted = written(met.select("mark").distinct(), "wanted")
+    sets = table.where("shingles IS NOT NULL").select("mark", "shingles").join(wanted, "mark", "left_semi")
+    sets = written(sets.groupBy("mark").agg(F.array_distinct(F.first("shingles")).alias("shingles")), "sets")
+
+    hubs = met.where("mark = hub").select("band", F.col("n").alias("hub_n"))
+    stars = met.where("mark <> hub").join(hubs, "band").where(_similar(F.col("n"), F.col("hub_n")))
+    stars = written(stars.select(F.col("hub").alias("src"), F.col("mark").alias("dst")).distinct(), "stars")
+    links = written(_verified(stars, sets), "links")
+    named = connected_components(links)
+    rows = met.join(named, met["mark"] == named["node"], "left").select("band", "mark", "n", F.coalesce("component", "mark").alias("component"))
+    several = rows.groupBy("band").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
+    rows = written(rows.join(several.select("band"), "band", "left_semi"), "open")
+    left, right = (rows.select("band", *(F.col(c).alias(f"{s}_{c}") for c in ("mark", "n", "component"))) for s in "lr")
+    apart = (F.col("l_mark") < F.col("r_mark")) & (F.col("l_component") != F.col("r_component"))
+    pairs = left.join(right, "band").where(apart & _similar(F.col("l_n"), F.col("r_n")))
+    pairs = pairs.select(F.col("l_mark").alias("src"), F.col("r_mark").alias("dst")).distinct()
+    return links.unionAll(_verified(pairs.join(stars, ["src", "dst"], "left_anti"), sets))
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
@@ -246,23 +260,30 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Paragraphs are linked if they are equal or similar by THRESHOLD on five-word shingles; components
     are what links reach. A component is shared if two documents have it, and a passage is a run of
     shared paragraphs of at least `run_words` words. Documents that share none give no row, nor do
-    null and empty texts and rows without an id. Rows that repeat an id are one document. No rows
-    give no rows. Only the two named columns are read.
+    null and empty texts and rows without an id. Rows that repeat an id are one document, and its
+    rows that also repeat the text count once. No rows give no rows. Only the two named columns are
+    read. Texts are cut whole, however long they are.
     """
-    places = written(paragraph_table(docs, id_col, text_col), "paragraphs")
-    groups = connected_components(near_paragraphs(docs, places, id_col, text_col))
+    table = written(paragraph_table(docs, id_col, text_col), "paragraphs")
+    places = table.drop("shingles")
+    groups = connected_components(near_paragraphs(table))
     spread = places.groupBy("mark").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.max("doc_id").alias("last"))
     # marks of several documents or with similar ones; a component is summed up from these alone
     spread = spread.join(groups, spread["mark"] == groups["node"], "left").where("first.doc_id <> last OR component IS NOT NULL")
     marks = written(spread.select("mark", F.coalesce("component", "mark").alias("component"), "first", "last"), "marks")
-    common = marks.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.doc_id <> last").drop("last")
-    common = marks.select("mark", "component").join(common, "component").select(F.col("mark").alias("common"), "component", "first")
+    common = marks.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.doc_id <> last")
+    common = marks.select("mark", "component").join(common.drop("last"), "component")
+    common = common.select(F.col("mark").alias("common"), "component", "first")
     shared = places.join(common, F.col("mark") == F.col("common"))
     shared = shared.select("doc_id", "paragraph", "start", "end", "n_words", "component", "first")
-    order = Window.partitionBy("doc_id").orderBy("paragraph")
-    shared = shared.withColumn("again", F.row_number().over(Window.partitionBy("doc_id", "paragraph").orderBy("start", "end", "component"))).where("again = 1")
-    runs = shared.withColumn("run", F.col("paragraph") - F.row_number().over(order))
-    run = Window.partitionBy("doc_id", "run")
-    runs = runs.withColumns({"words": F.sum("n_words").over(run), "passage": F.min("paragraph").over(run)}).where(F.col("words") >= run_words)
+    once = Window.partitionBy("doc_id", "paragraph").orderBy("start", "end", "component")
+    shared = shared.withColumn("again", F.row_number().over(once)).where("again = 1")
+    run = F.col("paragraph") - F.row_number().over(Window.partitionBy("doc_id").orderBy("paragraph"))
+    whole = Window.partitionBy("doc_id", "run")
+    runs = shared.withColumn("run", run)
+    runs = runs.withColumns({"words": F.sum("n_words").over(whole), "passage": F.min("paragraph").over(whole)})
     ahead = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("paragraph") != F.col("first.paragraph"))
-    return runs.select("doc_id", "paragraph", "start", "end", "n_words", "passage", F.col("component").alias("component_id"), F.col("first.doc_id").alias("first_doc"), ahead.alias("removed"))
+    return runs.where(F.col("words") >= run_words).select(
+        "doc_id", "paragraph", "start", "end", "n_words", "passage",
+        F.col("component").alias("component_id"), F.col("first.doc_id").alias("first_doc"), ahead.alias("removed"),
+    )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pytest
@@ -233,21 +233,106 @@ def test_shared_passages(spark):
     assert passages.shared_passages(docs.where("doc_id > 99")).count() == 0
 
 
+def word_runs(text, start, end):
+    words = text[start:end].lower().split()
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+
+
+def brute_links(sets):
+    """Pairs of the given sets with a Jaccard score of 0.8 or more."""
+    met = {}
+    for name in sorted(sets):
+        for s in sets[name]:
+            met.setdefault(s, []).append(name)
+    pairs = {pair for names in met.values() for pair in combinations(names, 2)}
+    return {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def brute_passages(texts):
+    """All rows of shared_passages, from all pairs of paragraphs; the cutting alone is the operator's."""
+    ids = sorted(texts)
+    p = passages.Paragraphs([texts[i] for i in ids])
+    own = [(ids[t], int(k), int(a), int(b), int(n)) for t, k, a, b, n in zip(p.text, p.number, p.start, p.end, p.count, strict=True)]
+    words = {(i, k): tuple(texts[i][a:b].lower().split()) for i, k, a, b, _ in own}
+    names = {w: (i, k) for (i, k), w in sorted(words.items(), reverse=True)}  # the first place of each paragraph
+    sets = {names[w]: word_runs(" ".join(w), 0, None) for w in names}
+    root = roots(list(sets), brute_links(sets))
+    group = {place: root[names[w]] for place, w in words.items()}
+    docs = {}
+    for (i, _), g in group.items():
+        docs.setdefault(g, set()).add(i)
+    first = {g: min(place for place in group if group[place] == g) for g in {g for g in docs if len(docs[g]) > 1}}
+    shared, out = [x for x in own if group[x[0], x[1]] in first], []
+    for _, run in groupby(enumerate(shared), key=lambda x: (x[1][0], x[1][1] - x[0])):
+        run = [x for _, x in run]
+        if sum(x[4] for x in run) >= 25:
+            out += [(i, k, a, b, n, run[0][1], first[group[i, k]][0], (i, k) != first[group[i, k]]) for i, k, a, b, n in run]
+    return sorted(out)
+
+
+def test_shared_passages_against_all_pairs(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(9_000_001, None), (9_000_002, "")], "doc_id long, text string"))
+    expected = brute_passages({r.doc_id: r.text or "" for r in docs.collect()})
+    found = sorted(tuple(r[c] for c in ("doc_id", "paragraph", "start", "end", "n_words", "passage", "first_doc", "removed")) for r in passages.shared_passages(docs).collect())
+    assert len(expected) > 100 and found == expected
+
+
+def test_equal_rows_and_very_long_texts(spark):
+    rng = random.Random(3)
+    passage, rest = " ".join(sentences(rng, 8)), " ".join(sentences(rng, 9000))
+    one = [(1, passage), (1, passage), (2, rest + " " + passage), (3, "word " * 300_000), (4, "x" * 3_000_000), (5, passage), (5, "other words " + passage)]
+    found = passages.shared_passages(spark.createDataFrame(one, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {1, 2, 5} and {r.first_doc for r in found} == {1}
+    assert len({(r.doc_id, r.paragraph) for r in found}) == len(found)
+    text = dict(one)
+    assert all(text[2][r.start : r.end].strip() in passage for r in found if r.doc_id == 2)
+
+
+def test_paragraphs_do_not_hang_on_their_neighbours():
+    """Each text is cut as it would be alone, and words hash alike wherever they stand."""
+    rng = random.Random(8)
+    texts = [" ".join(sentences(rng, 3)), "", "\n", "One. two\n\nthree?\" four", " ", "İstanbul ÄÖ " * 30, "a b c d e f g h. i", " ".join(sentences(rng, 2)), "no end " * 60, "x"]
+    whole = passages.Paragraphs(texts)
+    at = 0
+    for i, t in enumerate(texts):
+        alone = passages.Paragraphs([t])
+        mine = whole.text == i
+        for name in ("number", "start", "end", "count", "marks"):
+            assert getattr(whole, name)[mine].tolist() == getattr(alone, name).tolist()
+        n = int(alone.count.sum())
+        assert n == len(t.split()) and whole.hashes[at : at + n].tolist() == alone.hashes.tolist()
+        assert all(len(t[a:b].split()) == c for a, b, c in zip(alone.start, alone.end, alone.count, strict=True))
+        at += n
+
+
 def test_near_paragraphs_against_brute_force(spark):
+    """Nearly all pairs at 0.8 or more are joined and no others, also where one key has very many paragraphs."""
     rng = random.Random(4)
-    rows, memo = [], passages.WordHashes()
-    for _ in range(60):
+    rows = []
+    for n in [rng.choice([1, 2, 3]) for _ in range(60)] + [80]:
         base = [f"v{rng.randrange(500)}" for _ in range(30)]
-        for _ in range(rng.choice([1, 2, 3])):
+        for _ in range(n):
             own = list(base)
             for _ in range(rng.randrange(3)):
-                own[rng.choice([0, 1, 28, 29])] = f"changed{rng.randrange(3)}"
+                own[rng.choice([0, 1, 28, 29])] = f"changed{rng.randrange(30)}"
             rows.append((len(rows), " ".join(own) + "."))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    p = passages.Paragraphs([t for _, t in rows], memo)
-    value, first, count = p.shingles()
-    sets = {int(m): frozenset(value[f : f + c].tolist()) for m, f, c in zip(p.marks.view(np.int64), first, count, strict=True)}
-    true = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    found = [(r.src, r.dst) for r in passages.near_paragraphs(docs, passages.paragraph_table(docs)).collect()]
+    p = passages.Paragraphs([t for _, t in rows])
+    sets = {int(m): word_runs(rows[i][1], a, b) for m, i, a, b in zip(p.marks, p.text, p.start, p.end, strict=True)}
+    true = brute_links(sets)
+    table = passages.paragraph_table(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    found = [(r.src, r.dst) for r in passages.near_paragraphs(table).collect()]
     made, wanted = roots(sets, found), roots(sets, true)
-    assert sum(made[a] == made[b] for a, b in true) >= 0.95 * len(true) and all(wanted[a] == wanted[b] for a, b in found) and len(true) > 10
+    assert sum(made[a] == made[b] for a, b in true) >= 0.95 * len(true) and len(true) > 10
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in found) and all(wanted[a] == wanted[b] for a, b in found)
+
+
+def test_bands_meet_at_the_threshold():
+    """The share of pairs that meet is that of the bands' formula, near 1 at 0.8 and small at 0.3."""
+    rng = np.random.default_rng(6)
+    for score, low, high in ((0.8, 0.95, 1), (0.9, 0.99, 1), (0.3, 0, 0.2)):
+        common = round(40 * score)
+        sets = rng.integers(0, 1 << 32, (2000, 40 + 40 - common), dtype=np.uint32)
+        half = (40 - common) // 2
+        a, b = sets[:, : common + half], np.hstack([sets[:, :common], sets[:, common + half : common + 2 * half]])
+        keys = [passages.bands(x.ravel(), np.arange(len(x)) * x.shape[1]) for x in (a, b)]
+        assert low <= (keys[0] == keys[1]).any(axis=1).mean() <= high
