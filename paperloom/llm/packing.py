@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,10 +25,11 @@ RANK_ROWS = 100_000
 
 @lru_cache(maxsize=2)
 def encoder(ranks: str, full: str):
-    """A function from text to token ids (an array); special strings in a text are ordinary text.
+    """A function from text to token ids (an array), as the full tokenizer gives them.
 
-    Both files hold one vocabulary. The rank encoder is several times faster; it can't take runs
-    of white space of some hundred thousand characters, where the full tokenizer stands in.
+    Both files hold one vocabulary. The rank encoder is several times faster; it knows none of the
+    full file's added tokens, by which a text is split first, and can't take runs of white space of
+    some hundred thousand characters, where the full tokenizer stands in.
     """
     import public_tokenizers
     import tiktoken
@@ -35,23 +38,41 @@ def encoder(ranks: str, full: str):
     with open(place(ranks), "rb") as lines:
         merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+    with open(place(full), encoding="utf-8") as held:
+        added = {t["content"]: t for t in json.load(held)["added_tokens"]}
+    # tokens that take in what stands around them are left to the full tokenizer
+    plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added.values())
+    split = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)")
 
-    def encode(text: str) -> np.ndarray:
+    def whole(text: str) -> list[int]:
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(place(full)).encode(text, add_special_tokens=False).ids
+
+    def part(text: str) -> list[int]:
         try:
-            return np.asarray(fast.encode_ordinary(text), dtype=np.uint32)
+            return fast.encode_ordinary(text)
         except BaseException as error:
             if type(error).__name__ != "PanicException":
                 raise
-            from tokenizers import Tokenizer
+            return whole(text)
 
-            whole = Tokenizer.from_file(place(full))
-            whole.encode_special_tokens = True
-            return np.asarray(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    def encode(text: str) -> np.ndarray:
+        ids, at = [], 0
+        for token in split.finditer(text) if plain else ():
+            ids += part(text[at : token.start()])
+            ids.append(added[token.group()]["id"])
+            at = token.end()
+        ids += part(text[at:]) if plain or not split.search(text) else whole(text)
+        return np.asarray(ids, dtype=np.uint32)
 
     return encode
 
 
-def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, ranks: str = RANKS, full: str = FULL) -> DataFrame:
+def tokenize_pieces(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0,
+    ranks: str = RANKS, full: str = FULL,
+) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's tokens and the end id, cut to fit.
 
     Only a document of more than `capacity` ids is cut: into pieces of that length, the first of
@@ -124,7 +145,9 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[lis
     return slots, used
 
 
-def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack_best_fit(
+    pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece")
+) -> DataFrame:
     """The pieces with sequence_id and offset: where the best-fit plan puts each of them.
 
     The driver sees one count for each length (at most `capacity` of them) and plans slots from
@@ -132,16 +155,18 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY, length_col: str =
     within a salted share of that length plus the sizes of the shares before; a length that many
     pieces have is ranked by many tasks. The plan has a few rows a length and is broadcast.
     Repeated pieces each get a place; which of two equal rows comes first makes no difference.
+    Pieces without an id are dealt over the shares by where they are stored.
     """
     spark = pieces.sparkSession
-    pieces = written(pieces, "pieces")
-    counts = {r[0]: r[1] for r in pieces.groupBy(F.col(length_col).cast("int")).count().collect()}
+    own = F.struct(*pieces.columns).alias("row")
+    unnamed = F.when(F.concat(*(F.col(c).cast("string") for c in order_cols)).isNull(), F.monotonically_increasing_id())
+    pieces = written(pieces.select(own, F.col(length_col).cast("int").alias("len"), F.xxhash64(*order_cols, unnamed).alias("salt")), "pieces")
+    counts = {r[0]: r[1] for r in pieces.groupBy("len").count().collect()}
     slots, _ = plan_best_fit(counts, capacity)
     shares = max(32, -(-sum(counts.values()) // RANK_ROWS))
     plan = spark.createDataFrame(slots, "slot_length int, slot_from long, slot_to long, slot_first long, slot_each long, slot_offset long")
 
-    own = F.struct(*pieces.columns).alias("row")
-    dealt = pieces.select(own, F.col(length_col).cast("int").alias("len"), F.pmod(F.xxhash64(*order_cols), F.lit(shares)).alias("share"))
+    dealt = pieces.select("row", "len", F.pmod("salt", F.lit(shares)).alias("share"))
     before = Window.partitionBy("len").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("len", "share").count().select("len", "share", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("len", "share").orderBy(*(F.col(f"row.{c}") for c in order_cols)))
