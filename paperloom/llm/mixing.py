@@ -11,6 +11,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 EPOCHS = 2
+#: A document with more than this part of its source's words goes ahead of the shuffled ones.
+LONG = 64
 #: Documents whose running sums one task works out.
 SHARE_ROWS = 100_000
 
@@ -39,64 +41,57 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return s.select("source", "source_size", F.least(F.col("limit").cast("double"), F.col("rate") * F.col("weight")).alias("target"))
 
 
-def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
+def mixed_sizes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET,
+) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, source.
 
-    Documents of a source queue in the order of their ids' MD5, twice over. Finish time is the
-    source's words up to and with a document, over the source's target; documents are taken by
-    finish time over all sources while the words taken stay within the budget. So every source
-    gets to its target but for a document. A source that a long document at the cut leaves short
-    takes later ones that fit, while they fit together. The same rows always give the same mix.
+    Documents of a source queue in the order of their ids' MD5, twice over; the few that hold more
+    than 1 / LONG of the source's words go ahead, longest first, so that none of them stands at the
+    cut. Finish time is the source's words up to and with a document, over the source's target.
+    All sources' documents are taken by finish time up to the last at which the words taken stay
+    within the budget: never more than that, and every source gets to its target but for a
+    document. The same rows always give the same mix.
 
-    Null texts have no words and take none; null sources are one source, null ids queue together.
-    Repeated rows queue one after the other. Documents that finish at one time are taken together
-    or not at all. No rows give no rows. Only the three named columns are read.
+    Null texts have no words and take none; null sources are one source, null ids queue by the MD5
+    of their texts. Repeated rows queue one after the other. Documents that finish at one time are
+    taken together or not at all. No rows give no rows. Only the three named columns are read.
 
     Running sums are made of the sums of shares of a source's queue and sums within a share, so a
     source that holds most rows is dealt over many tasks. The driver sees the number of documents
     and the time of the cut.
     """
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    doc_id = F.col(id_col).cast("long")
+    place = F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit(":"), F.md5(F.col(text_col).cast("string"))), F.lit("")))
+    sizes = docs.select(
+        doc_id.alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), place.alias("place")
+    )
     sizes = written(sizes, "sizes")
     shares = max(64, sizes.count() // SHARE_ROWS)
-    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    targets = source_targets(sizes, weights, budget).withColumnRenamed("source", "name")
+    queue = sizes.join(targets, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    long = F.col("size") * LONG > F.col("source_size")
     share = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * shares / F.lit(1 << 32)).cast("int")
-    queue = sizes.withColumn("place", place).withColumn("share", share)
+    queue = queue.withColumn("share", F.when(long, -1).otherwise(share))
 
     before = Window.partitionBy("source").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
-    starts = queue.groupBy("source", "share").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    starts = starts.join(source_targets(sizes, weights, budget).withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")))
-    within = Window.partitionBy("source", "share").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    starts = queue.groupBy("source", "share").agg(F.sum("size").alias("words"))
+    starts = starts.select(F.col("source").alias("of"), F.col("share").alias("part"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
+    order = F.when(F.col("share") < 0, -F.col("size")), "place", "doc_id", "size"
+    within = Window.partitionBy("source", "share").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     own = queue.withColumn("within", F.sum("size").over(within))
-    starts = starts.select(F.col("source").alias("of"), F.col("share").alias("part"), "before", "source_size", "target")
     own = own.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("share") == F.col("part")))
     words = F.col("before") + F.col("within")
     finish = lambda w: F.try_divide(w.cast("double"), F.col("target"))  # noqa: E731  no target: never
-    timed = own.select("doc_id", "size", "source_size", "target", "source", "share", finish(words).alias("first"), finish(words + F.col("source_size")).alias("second"))
+    timed = own.select(
+        "doc_id", "size", "source_size", "target", "source",
+        finish(words).alias("first"), finish(words + F.col("source_size")).alias("second"),
+    )
     timed = written(timed, "queue")
     cut = _cut(timed, sizes.agg(F.sum("size")).first()[0], budget, shares)
     taken = sum(F.when(F.col(c) <= F.lit(cut), F.col("size")).otherwise(0) for c in ("first", "second")).cast("long")
-    timed = timed.withColumn("taken", taken)
-    more = _filled(timed, cut)
-    same = F.col("source").eqNullSafe(F.col("short")) & (F.col("first") == F.col("short_first")) & (F.col("size") > 0)  # an empty one has the time of the one before it
-    done = timed.join(more, same, "left")
-    return done.select("doc_id", "size", "source_size", "target", (F.col("taken") + F.coalesce("more", F.lit(0))).alias("taken"), "source")
-
-
-def _filled(timed: DataFrame, cut: float) -> DataFrame:
-    """(short, short_first, more): by source and first finish time, the words of documents that fill gaps."""
-    gaps = timed.groupBy("source").agg((F.max("target") - F.sum("taken")).alias("gap")).where("gap > 0").withColumnRenamed("source", "short")
-    times = F.explode(F.array(*(F.struct(F.lit(i).alias("turn"), F.col(c).alias("finish")) for i, c in enumerate(("first", "second"))))).alias("t")
-    rest = timed.where("size > 0").select("source", "share", "doc_id", "size", "first", times).select("*", "t.turn", "t.finish").where(F.col("finish") > F.lit(cut))
-    fits = rest.join(gaps, F.col("source").eqNullSafe(F.col("short")) & (F.col("size") <= F.col("gap"))).select("short", "gap", "turn", "share", "doc_id", "size", "first", "finish")
-    # running sums as in the queue: of the shares before, and within a share
-    before = F.sum("words").over(Window.partitionBy("short").orderBy("turn", "share").rowsBetween(Window.unboundedPreceding, -1))
-    starts = fits.groupBy("short", "gap", "turn", "share").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(before, F.lit(0))).where("before < gap")
-    starts = starts.select(F.col("short").alias("of"), F.col("turn").alias("round"), F.col("share").alias("part"), "before")
-    near = fits.join(starts, F.col("short").eqNullSafe(F.col("of")) & (F.col("turn") == F.col("round")) & (F.col("share") == F.col("part")))
-    within = F.sum("size").over(Window.partitionBy("short", "turn", "share").orderBy("finish", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    kept = near.withColumn("upto", F.col("before") + within).where("upto <= gap")
-    return kept.groupBy("short", F.col("first").alias("short_first")).agg(F.sum("size").alias("more"))
+    return timed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
 def _cut(timed: DataFrame, words: int | None, budget: float, shares: int) -> float:
@@ -121,12 +116,24 @@ def _cut(timed: DataFrame, words: int | None, budget: float, shares: int) -> flo
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents that the mix takes, each as often as it takes them, with their own columns."""
+    """The documents that the mix takes, each as often as it takes them, with all their own columns.
+
+    Documents without a word (null and empty texts among them) are never taken: the mix is of
+    words. Rows that repeat id, size and source are each taken as often as the one of them that is
+    taken least, so that the budget holds. Null ids are matched like any others, columns of any
+    other name are kept, and no rows give no rows.
+    """
     mix = mixed_sizes(docs, id_col, text_col, source_col)
-    key, size, source = F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("source").alias("mix_source")
-    copies = mix.where("taken > 0").select(key, size, source, (F.col("taken") / F.col("size")).cast("int").alias("mix_copies"))
-    copies = copies.groupBy("mix_id", "mix_size", "mix_source").agg(F.max("mix_copies").alias("mix_copies"))  # repeated rows share a decision
-    rows = docs.select(F.struct("*").alias("mix_row"), F.col(id_col).cast("long").alias("own_id"), word_count(F.col(text_col)).alias("own_size"), F.col(source_col).cast("string").alias("own_source"))
-    same = F.col("own_id").eqNullSafe(F.col("mix_id")) & (F.col("own_size") == F.col("mix_size")) & F.col("own_source").eqNullSafe(F.col("mix_source"))
+    copies = mix.where("size > 0").select(
+        F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("source").alias("mix_source"),
+        (F.col("taken") / F.col("size")).cast("int").alias("mix_copies"),
+    )
+    copies = copies.groupBy("mix_id", "mix_size", "mix_source").agg(F.min("mix_copies").alias("mix_copies")).where("mix_copies > 0")
+    rows = docs.select(
+        F.struct("*").alias("mix_row"), F.col(id_col).cast("long").alias("own_id"),
+        word_count(F.col(text_col)).alias("own_size"), F.col(source_col).cast("string").alias("own_source"),
+    )
+    same = F.col("own_id").eqNullSafe(F.col("mix_id")) & (F.col("own_size") == F.col("mix_size"))
+    same &= F.col("own_source").eqNullSafe(F.col("mix_source"))
     taken = rows.join(copies, same).select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
     return taken.select("mix_row.*")

@@ -63,33 +63,31 @@ WITH sizes AS (
   SELECT source, source_size, least(cap::DOUBLE, weight * max(CASE WHEN rate * weight <= cap THEN rate END) OVER ()) AS target FROM rates
 ), queue AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
-    sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id::VARCHAR), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS words
+    sum(s.size) OVER (
+      PARTITION BY s.source
+      ORDER BY CASE WHEN s.size * 64 > t.source_size THEN -s.size ELSE 0 END, md5(s.doc_id::VARCHAR), s.doc_id, s.size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW
+    )::BIGINT AS words
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), timed AS (
-  SELECT *, CASE WHEN target > 0 THEN words::DOUBLE / target END AS first, CASE WHEN target > 0 THEN (words + source_size)::DOUBLE / target END AS second FROM queue
+  SELECT *,
+    CASE WHEN target > 0 THEN words::DOUBLE / target END AS first,
+    CASE WHEN target > 0 THEN (words + source_size)::DOUBLE / target END AS second
+  FROM queue
 ), entries AS (
-  SELECT doc_id, source, size, first, first AS finish FROM timed WHERE first IS NOT NULL AND size > 0
-  UNION ALL SELECT doc_id, source, size, first, second FROM timed WHERE first IS NOT NULL AND size > 0
+  SELECT size, first AS finish FROM timed WHERE first IS NOT NULL AND size > 0
+  UNION ALL SELECT size, second FROM timed WHERE first IS NOT NULL AND size > 0
 ), running AS (
   SELECT *, sum(size) OVER (ORDER BY finish) AS upto FROM entries
 ), cut AS (
   SELECT max(finish) AS finish FROM running WHERE upto <= (SELECT sum(size) * 1.5::DOUBLE FROM sizes)
-), taken AS (
-  SELECT timed.*, ((CASE WHEN first <= cut.finish THEN size ELSE 0 END) + (CASE WHEN second <= cut.finish THEN size ELSE 0 END))::BIGINT AS taken FROM timed, cut
-), gaps AS (
-  SELECT source, max(target) - sum(taken) AS gap FROM taken GROUP BY source HAVING gap > 0
-), near AS (
-  SELECT e.*, g.gap, row_number() OVER w AS nth FROM entries e JOIN gaps g ON e.source IS NOT DISTINCT FROM g.source, cut
-  WHERE e.finish > cut.finish AND e.size <= g.gap WINDOW w AS (PARTITION BY e.source ORDER BY e.finish, e.doc_id)
-), fills AS (
-  SELECT source, first, size, sum(size) OVER (PARTITION BY source ORDER BY finish, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, gap FROM near WHERE nth <= 1000
-), more AS (
-  SELECT source, first, sum(size)::BIGINT AS more FROM fills WHERE upto <= gap GROUP BY source, first
 )
-SELECT t.doc_id, t.size, t.source_size, t.target, (t.taken + coalesce(m.more, 0))::BIGINT AS taken
-FROM taken t LEFT JOIN more m ON t.source IS NOT DISTINCT FROM m.source AND t.first = m.first
+SELECT doc_id, size, source_size, target,
+  ((CASE WHEN first <= cut.finish THEN size ELSE 0 END) + (CASE WHEN second <= cut.finish THEN size ELSE 0 END))::BIGINT AS taken
+FROM timed, cut
 """
 
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -98,8 +96,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
-    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
-    return conversation_digests(rows.unionByName(more)).drop("valid")
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text")
+    )
+    return conversation_digests(rows.unionByName(more))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,11 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(chars)::BIGINT AS formatted_chars
+  sum(chars)::BIGINT AS formatted_chars,
+  regexp_full_match(
+    string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn NULLS LAST, role, text),
+    's?ua(ua)*'
+  ) AS valid
 FROM marked GROUP BY conv_id
 """
 

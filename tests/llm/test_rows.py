@@ -32,9 +32,7 @@ def whole_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check_layout(rows, capacity):
@@ -77,6 +75,15 @@ def test_long_white_space_takes_the_whole_tokenizer(whole_tokenizer):
     assert packing.encoder(packing.RANKS, packing.FULL)(text).tolist() == whole_tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>x", "<|endoftext", "|><|endoftext|>é 漢", "a" + " " * 600_000 + "<|endoftext|> b"])
+def test_added_tokens_are_tokens(spark, whole_tokenizer, text):
+    ids = whole_tokenizer.encode(text, add_special_tokens=False).ids
+    assert packing.encoder(packing.RANKS, packing.FULL)(text).tolist() == ids
+    if len(text) < 100:
+        row = packing.packed_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert row.ids_crc32 == zlib.crc32(np.array([*ids, 0], dtype="<u4").tobytes())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=15))
 def test_plan_is_best_fit(counts):
@@ -118,10 +125,31 @@ def test_mixing_odd_rows(spark):
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in ODD)
     assert all(0 <= r.taken <= 2 * r.size and r.target <= 2 * r.source_size for r in rows)
     copies = mixing.mix_documents(docs)
-    assert copies.columns == docs.columns and copies.count() == sum(r.taken // r.size for r in rows if r.size)
+    assert copies.columns == docs.columns and copies.count() <= sum(r.taken // r.size for r in rows if r.size)
     assert mixing.mixed_sizes(docs.where("doc_id > 99")).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_mix_stays_within_its_budget(spark, sf):
+    """The words taken are no more than the budget, and but for a document no fewer; sources are near their targets."""
+    rows = mixing.mixed_sizes(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+    total = sum(r.size for r in rows)
+    assert 1.5 * total - max(r.size for r in rows) <= sum(r.taken for r in rows) <= 1.5 * total
+    assert all(r.taken in (0, r.size, 2 * r.size) for r in rows)
+    taken, target, longest = Counter(), {}, Counter()
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        longest[r.source] = max(longest[r.source], r.size)
+    assert all(target[s] - 2 * longest[s] <= taken[s] <= target[s] + longest[s] for s in target)
+
+
+def test_equal_rows_of_one_id_stay_within_the_budget(spark):
+    rows = [(1, "a b c", "en", "s", 0)] * 40 + [(None, "d e", "en", "s", 0)] * 30 + [(2, "f", "en", None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert (mixing.mix_documents(docs).selectExpr("sum(size(split(text, ' ')))").first()[0] or 0) <= 1.5 * 181
+
+
 def test_targets_are_shared_by_weight(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), (None, 50)], "source string, size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
@@ -214,7 +242,22 @@ def test_chat_round_trip(spark):
 def test_turn_order(spark, roles, valid):
     names = {"s": "system", "u": "user", "a": "assistant", "x": "tool"}
     frame = spark.createDataFrame([(1, i, names[r], "t") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
-    assert chat.format_conversations(frame).first().valid is valid
+    row = chat.format_conversations(frame).first()
+    assert row.valid is valid
+    # bad orders are written all the same, and their learned texts are marked
+    assert [s.loss for s in row.segments] == [x for r in roles for x in (False, r == "a", False)]
+
+
+def test_digests_tell_bad_orders_and_take_very_long_texts(spark):
+    rows = [(1, 0, "user", "x<|im_end|>" * 200_000), (1, 1, "assistant", "\\" * 1_000_000), (2, 0, "assistant", "y"), (2, 1, "assistant", "z"), (3, 0, None, None)]
+    rows += [(4, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(3000)]
+    found = {r.conv_id: r for r in chat.conversation_digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {i: r.valid for i, r in found.items()} == {1: True, 2: False, 3: False, 4: True}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for c in found:
+        own = [(r or "", t or "") for i, _, r, t in rows if i == c]
+        assert found[c].turns_sha256 == sha("".join(f"{r}\n{t}\n" for r, t in own))
+        assert found[c].loss_sha256 == sha("".join(t for r, t in own if r == "assistant"))
 
 
 # personal data
