@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -309,18 +310,70 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted for r in rows if r.toxic == 0]) < 0.02
 
 
-def test_identity_terms_do_not_raise_scores(spark):
+def biased(spark, term="women"):
+    """Labelled texts in which a group's name goes with the label; every fifth or so is held out."""
     rows, marks = [], []
-    for i in range(600):
+    for i in range(900):
         toxic = i % 3 == 0
-        group = "women" if toxic and i % 2 == 0 else "neighbours"  # the term goes with the label
-        rows.append((i, f"the {group} next door are {'rotten scum' if toxic else 'kind people'} word{i % 50}"))
+        group = term if toxic and i % 2 == 0 else "neighbours"
+        rows.append((i, f"Some words{i % 7} first. The {group} next door are {'rotten scum' if toxic else 'kind people'} word{i % 50}."))
         marks.append((i, int(toxic)))
-    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
-    score = lambda weight: toxicity.fit_toxicity(docs, labels, swap_weight=weight).weights
-    free, held = score(0.0), score(10.0)
-    pull = lambda w: w.get("women", 0) + sum(w.get("women-"[:n] + "-", 0) for n in (4,))
-    assert pull(free) > 0.2 and abs(pull(held)) < 0.5 * pull(free) and held["scum"] > 0.5
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+
+
+def test_neutral_mentions_keep_their_scores(spark):
+    """The gap between mentions of groups in clean sentences shrinks, and the label is still learned."""
+    docs, labels = biased(spark)
+    free, held = (toxicity.fit_toxicity(docs, labels, swap_weight=w) for w in (0.0, 10.0))
+    texts = [f"the {g} next door are kind people word{k}" for k in range(50) for g in ("women", "men", "girls")]
+
+    def gap(model):
+        scores = np.log(1 / (1 / model.scores(pd.Series(texts), {}) - 1)).reshape(-1, 3)
+        return np.abs(scores - scores[:, 2:]).max()
+
+    assert held.pairs > 500 and gap(free) > 0.5 and gap(held) < 0.2 * gap(free)
+    assert held.weights["scum"] > 0.5 and held.scores(pd.Series(["kind people", "rotten scum"]), {}).round().tolist() == [0, 1]
+
+
+def test_counterfactuals():
+    kinds = (("cat", "dog"), ("red", "blue", "green"))
+    found = toxicity.counterfactuals("A cat sat. No more! The red dog ran", 0, kinds)
+    assert found == [({"a", "cat", "sat"}, {"a", "dog", "sat"}), ({"the", "red", "dog", "ran"}, {"the", "blue", "cat", "ran"})]
+    for text in (None, "", "Plain words. Nothing else."):
+        plain, other = toxicity.counterfactuals(text, 5, kinds)
+        assert plain[1] == other[0] and len(plain[1] - plain[0]) == 1 and len(other[0] ^ other[1]) == 2
+    assert toxicity.counterfactuals("a", 1, ()) == []
+
+
+def test_pairs_on_the_tables(spark):
+    """Texts that name no group still give pairs, so the penalty is never empty."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.training_rows(docs, labels, 10_000, "doc_id", "text").collect()
+    assert len(rows) > 50 and all(any(p.minus or p.plus for p in r.pairs) for r in rows)
+
+
+def test_fit_against_a_dense_one():
+    """The loss is that of gradient descent over dense matrices, to its end."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((300, 12)) < 0.3).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ rng.normal(0, 2, 12) - 1)))).astype(float)
+    pairs = [([0], [1, 2], 5), ([], [3], 1), ([4, 5], [6], 2)]
+    change = np.zeros((3, 12))
+    for k, (minus, plus, _) in enumerate(pairs):
+        change[k, minus], change[k, plus] = -1, 1
+    often = np.array([5, 1, 2]) / 8
+
+    def loss(b, w):
+        z = x @ w + b
+        return np.mean(np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z) + 0.5e-3 * w @ w + 10 * often @ (change @ w) ** 2
+
+    b, w = 0.0, np.zeros(12)
+    for _ in range(40_000):
+        off = (1 / (1 + np.exp(-(x @ w + b))) - y) / 300
+        b, w = b - 0.05 * off.sum(), w - 0.05 * (x.T @ off + 1e-3 * w + 20 * change.T @ (often * (change @ w)))
+    got = toxicity._fit([np.flatnonzero(r).tolist() for r in x], y, pairs, 12, 0.0, 10.0, 1e-3)
+    assert loss(*got) <= loss(b, w) * 1.001 and np.abs(got[1] - w).max() < 0.1
 
 
 def test_toxicity_odd_rows(spark):
