@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import is_blank, stripped
 
+# Fixed value: lines that only part sections.
 SEPARATOR = r"(?U)^\s*[-=_*]{3,}\s*$"
 
 

@@ -11,7 +11,6 @@ from paperloom.functions.text import is_blank, stripped
 
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 CACHE_VERSION = 2
-MANIFEST_BUCKETS = 4096
 
 
 def testset_rows(sets: DataFrame) -> DataFrame:
@@ -34,17 +33,22 @@ def eval_cache_join(samples: DataFrame, cache: DataFrame, fingerprint: str, vers
     return samples.join(stored, "question", "left").withColumn("hit", F.col("response").isNotNull())
 
 
-def corpus_manifest(chunks: DataFrame, config: dict[str, object], buckets: int = MANIFEST_BUCKETS) -> DataFrame:
+def corpus_manifest(chunks: DataFrame, config: dict[str, object]) -> DataFrame:
     """One row: chunk_count, max_upload_time, pk_digest and the fingerprint of these with a configuration.
 
-    Keys are digested in buckets by their own hash, sorted within each, and the digests of the
-    buckets in turn; so order and partitions don't matter and no row holds all keys.
+    The keys' digest is of two sums, over 60 bits each of every key's SHA-256; so order and
+    partitions don't matter, and each task sends one row, however many keys there are.
     """
-    bucket = F.conv(F.substring(F.md5(F.col("pk").cast("string")), 1, 8), 16, 10).cast("long") % buckets
-    parts = chunks.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.max("upload_time").alias("latest"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("pk").cast("string"))), ","), 256).alias("digest"))
-    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda b: b["digest"]), ","), 256)
-    row = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunk_count"), F.max("latest").alias("max_upload_time"), whole.alias("pk_digest"))
-    canonical = F.concat_ws("\n", F.lit(json.dumps(config, sort_keys=True, ensure_ascii=False)), F.col("chunk_count").cast("string"), F.coalesce(F.col("max_upload_time").cast("string"), F.lit("")), "pk_digest")
+    digest = F.sha2(F.col("pk").cast("string"), 256)
+    part = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")
+    row = chunks.agg(
+        F.count("*").alias("chunk_count"), F.max("upload_time").alias("max_upload_time"),
+        *(F.coalesce(F.sum(part(at)), F.lit(0)).cast("string").alias(name) for name, at in (("one", 1), ("two", 16))),
+    )
+    row = row.select("chunk_count", "max_upload_time", F.sha2(F.concat_ws(",", "one", "two"), 256).alias("pk_digest"))
+    latest = F.coalesce(F.col("max_upload_time").cast("string"), F.lit(""))
+    settings = F.lit(json.dumps(config, sort_keys=True, ensure_ascii=False))
+    canonical = F.concat_ws("\n", settings, F.col("chunk_count").cast("string"), latest, "pk_digest")
     return row.withColumn("fingerprint", F.sha2(canonical, 256))
 
 

@@ -54,17 +54,30 @@ def source_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.source_payload(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("chunk_index"), F.col("n_chars").alias("page"), "text"))
 
 
-@query("""SELECT page_id AS response_id, 0 AS result_no, CASE WHEN page_id % 3 = 0 THEN url ELSE 'T' || page_id END AS title, url, left(html, 50) AS content FROM pages""")
-def normalize_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def web_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the bodies of two kinds of search responses."""
     p = table(spark, sf_dir, "pages")
     title = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("T"), F.col("page_id").cast("string")))
-    one = F.struct(title.alias("name"), "url", F.substring("html", 1, 50).alias("snippet"))
-    other = F.struct(title.alias("title"), "url", F.substring("html", 1, 50).alias("content"))
+    one = F.struct(title.alias("name"), "url", F.col("html").alias("snippet"))
+    other = F.struct(title.alias("title"), "url", F.col("html").alias("content"))
     empty = F.struct(title.alias("title"), F.lit("").alias("url"), F.lit("x").alias("content"))
-    body = F.when(F.col("page_id") % 2 == 0, F.to_json(F.struct(F.struct(F.struct(F.array(one).alias("value")).alias("webPages")).alias("data")))).otherwise(F.to_json(F.struct(F.array(empty, other).alias("results"))))
+    nested = F.to_json(F.struct(F.struct(F.struct(F.array(one).alias("value")).alias("webPages")).alias("data")))
+    flat = F.to_json(F.struct(F.array(empty, other).alias("results")))
+    body = F.when(F.col("page_id") % 2 == 0, nested).otherwise(flat)
     return C.normalize_search_results(p.select(F.col("page_id").alias("response_id"), body.alias("body")))
 
 
+@query("""SELECT page_id AS response_id, 0 AS result_no, CASE WHEN page_id % 3 = 0 THEN url ELSE 'T' || page_id END AS title, url, html AS content FROM pages""")
+def normalize_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web_results(spark, sf_dir)
+
+
+@query("""SELECT page_id AS response_id, '1. ' || CASE WHEN page_id % 3 = 0 THEN url ELSE 'T' || page_id END || chr(10) || substr(html, 1, 200) || chr(10) || url AS summary
+FROM pages""")
+def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.search_summary(web_results(spark, sf_dir))
+
+
 @query("SELECT source AS query_id, min(doc_id) AS source_no FROM documents GROUP BY source, substr(text, 1, 100)")
 def dedupe_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("source_no"), F.col("text").alias("content"))

@@ -33,8 +33,10 @@ def eval_cache_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH parts AS (
-  SELECT ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 4096 AS bucket, count(*) AS n, max(n_chars) AS latest, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)) AS digest FROM documents GROUP BY 1
-), whole AS (SELECT sum(n)::BIGINT AS chunk_count, max(latest) AS max_upload_time, sha256(string_agg(digest, ',' ORDER BY bucket)) AS pk_digest FROM parts)
+  SELECT n_chars, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 15))::BIGINT AS one, ('0x' || substr(sha256(doc_id::VARCHAR), 16, 15))::BIGINT AS two FROM documents
+), whole AS (
+  SELECT count(*) AS chunk_count, max(n_chars) AS max_upload_time, sha256(sum(one)::HUGEINT || ',' || sum(two)::HUGEINT) AS pk_digest FROM parts
+)
 SELECT *, sha256('{"a": 1, "model": "m"}' || chr(10) || chunk_count || chr(10) || max_upload_time || chr(10) || pk_digest) AS fingerprint FROM whole""")
 def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pk"), F.col("n_chars").alias("upload_time"))
@@ -105,9 +107,19 @@ def sample_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sample_chunks(d, 100).select("pk", "source")
 
 
-@query(r"""WITH own AS (SELECT item_id AS pk, list_distinct(regexp_extract_all(text, '[\p{L}]+')) AS e FROM benchmark)
-SELECT l.pk AS left_pk, r.pk AS right_pk, round(len(list_intersect(l.e, r.e)) / len(list_distinct(list_concat(l.e, r.e)))::DOUBLE, 6) AS score
-FROM own l JOIN own r ON l.pk < r.pk WHERE len(list_intersect(l.e, r.e)) / len(list_distinct(list_concat(l.e, r.e)))::DOUBLE >= 0.05""")
+ENTITY = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9][0-9.:-]{2,}"
+
+
+@query(rf"""WITH own AS (SELECT doc_id AS pk, list_distinct(regexp_extract_all(text, '{ENTITY}')) AS e FROM documents),
+met AS (
+  SELECT DISTINCT l.pk AS left_pk, r.pk AS right_pk
+  FROM (SELECT pk, unnest(e) AS x FROM own) l JOIN (SELECT pk, unnest(e) AS x FROM own) r ON l.x = r.x AND l.pk < r.pk
+), scored AS (
+  SELECT left_pk, right_pk, len(list_intersect(l.e, r.e)) / len(list_distinct(list_concat(l.e, r.e)))::DOUBLE AS score
+  FROM met JOIN own l ON l.pk = left_pk JOIN own r ON r.pk = right_pk
+)
+SELECT left_pk, right_pk, round(score, 6) AS score FROM scored WHERE score >= 0.01""")
 def overlap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
-    return E.overlap_edges(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pk"), words.alias("entities")), threshold=0.05)
+    """Documents that share addresses or numbers."""
+    found = F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
+    return E.overlap_edges(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pk"), found.alias("entities")))

@@ -86,3 +86,22 @@ def write_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "chunks")
     S.write_chunk_table(chunks, path)
     return spark.read.parquet(path).groupBy(F.col("hash_prefix").cast("string").alias("hash_prefix")).agg(F.count("*").alias("chunks"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("""WITH lines AS (
+  SELECT 'c' || c_nationkey || '.csv' AS sheet, c_custkey, '| ' || c_custkey || ' | ' || c_name || ' | ' || replace(c_mktsegment, 'I', '\\|') || ' |' AS line FROM customer
+)
+SELECT sheet, '# CSV: ' || sheet || chr(10) || chr(10) || '| c_custkey | c_name | c_mktsegment |' || chr(10) || '| --- | --- | --- |' || chr(10)
+  || string_agg(line, chr(10) ORDER BY c_custkey) AS text FROM lines GROUP BY sheet""")
+def read_csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as CSV files by nation and read as tables."""
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name", F.replace("c_mktsegment", F.lit("I"), F.lit("|")).alias("c_mktsegment"))
+    lines = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"')), "c_mktsegment")
+    files = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", lines.alias("line")))).alias("rows"))
+    text = F.concat(F.lit("c_custkey,c_name,c_mktsegment\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    path = scratch_path(spark, "csv")
+    # a folder a nation, each with one file
+    files.select("c_nationkey", text.alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    name = F.concat(F.lit("c"), F.regexp_extract(F.input_file_name(), "c_nationkey=([0-9]+)", 1), F.lit(".csv"))
+    cells = S.read_csv_tables(spark, path, "*.txt", name)
+    return S.table_to_markdown(cells, "CSV")

@@ -20,9 +20,8 @@ def streamed(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> Dat
 
 @query("SELECT DISTINCT sha256(text) AS file_hash FROM documents")
 def stream_dedupe_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = streamed(spark, sf_dir, "documents")
-    files = d.select(F.sha2("text", 256).alias("file_hash"), F.timestamp_seconds(F.col("doc_id") % 3600 + 1_700_000_000).alias("arrived"))
-    return S.run_to_table(S.stream_dedupe_ingest(files), scratch_path(spark, "ingested")).select("file_hash")
+    files = streamed(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("file_hash"), "doc_id")
+    return S.stream_dedupe_ingest(files, scratch_path(spark, "ingested")).select("file_hash")
 
 
 @query("""SELECT user_id AS job_id, arg_max(event_type, event_id) FILTER (event_type <> 'view') AS status, arg_max(floor(value)::INTEGER, event_id) FILTER (event_type = 'view') AS progress,

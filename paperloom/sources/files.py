@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.html import page_markdown
 from paperloom.functions.text import extension, is_blank, stripped
+from paperloom.sources.scratch import written
 
 #: Accepted file types, split modes and the size limit.
 EXTENSIONS = (".pdf", ".docx", ".txt", ".md", ".csv", ".html", ".xlsx", ".pptx")
@@ -87,11 +91,49 @@ def html_to_markdown(pages: DataFrame) -> DataFrame:
 
 
 def write_chunk_table(chunks: DataFrame, path: str, prefix: int = 1) -> int:
-    """Appends chunks to the table at a path, by the first digits of the file's hash; their number.
+    """Appends chunks to the table at a path, by the first digits of the file's hash; the number appended.
 
-    pk follows from the file and the chunk's place in it, so writing the same chunk gives the same key.
+    pk follows from the file and the chunk's place in it. Chunks whose key the table already has, or
+    that come twice, are not written again, so a write that failed half-way can be repeated. Of the
+    table only the keys under the prefixes at hand are read.
     """
+    spark = chunks.sparkSession
     keyed = chunks.withColumn("pk", F.xxhash64("file_hash", "chunk_index")).withColumn("hash_prefix", F.substring("file_hash", 1, prefix))
-    seen = keyed.sparkSession.read.schema(keyed.schema)
-    keyed.write.mode("append").partitionBy("hash_prefix").parquet(path)
-    return seen.parquet(path).count()
+    new = keyed.dropDuplicates(["pk"])
+    if has_parquet(spark, path):
+        held = spark.read.schema(keyed.select("pk", "hash_prefix").schema).parquet(path)
+        new = new.join(held, ["pk", "hash_prefix"], "left_anti")
+    new = written(new.select(keyed.columns), "chunks")  # the table must not change while it is read
+    new.write.mode("append").partitionBy("hash_prefix").parquet(path)
+    return new.count()
+
+
+def has_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written at a path."""
+    try:
+        spark.read.option("recursiveFileLookup", "true").format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+def read_csv_tables(spark: SparkSession, path: str, pattern: str = "*.[cC][sS][vV]", name: Column | None = None) -> DataFrame:
+    """(sheet, row_no, col_no, value): the cells of the CSV files under a path, for table_to_markdown.
+
+    A file is a table named after it (or by `name`, a column of input_file_name), in UTF-8 with or without a byte order mark; its rows follow
+    each other as they stand. Quoted cells may hold commas and line ends. A file is one row of the
+    scan and is parsed in one task; files beside it go to others.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, text in zip(b["sheet"], b["text"], strict=True):
+                rows = csv.reader(io.StringIO((text or "").removeprefix("\ufeff"), newline=""))
+                cells = [(name, i, j, v) for i, row in enumerate(rows) for j, v in enumerate(row)]
+                yield pd.DataFrame(cells, columns=["sheet", "row_no", "col_no", "value"])
+
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
+    # names in paths are escaped as in addresses
+    own = F.url_decode(F.replace(F.element_at(F.split(F.input_file_name(), "/"), -1), F.lit("+"), F.lit("%2B")))
+    files = files.select((own if name is None else name).alias("sheet"), F.col("value").alias("text"))
+    return files.mapInPandas(run, "sheet string, row_no int, col_no int, value string")

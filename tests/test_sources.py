@@ -34,9 +34,10 @@ def test_text_files_become_chunks_in_a_table(spark, tmp_path):
     chunks = chunking.parent_child_chunks(units, one_unit=True)
     assert set(chunks.columns) | {"pk", "upload_time"} == {f.name for f in T.StructType.fromDDL(CHUNK)}
     assert files.write_chunk_table(chunks, str(tmp_path / "out")) == 2
-    assert files.write_chunk_table(chunks.where("filename = 'two.txt'"), str(tmp_path / "out")) == 3
+    again = chunks.where("filename = 'two.txt'")
+    assert files.write_chunk_table(again.unionByName(again.withColumn("chunk_index", F.lit(7).cast("long"))), str(tmp_path / "out")) == 1  # what was added
     kept = spark.read.parquet(str(tmp_path / "out"))
-    assert kept.select("pk").distinct().count() == 2  # the same chunk has the same key
+    assert kept.count() == kept.select("pk").distinct().count() == 3  # the same chunk has the same key and is there once
     assert {(r.filename, r.content_type, r.section) for r in kept.collect()} == {("one.md", "mixed", "Head"), ("two.txt", "text", "")}
 
 
@@ -48,6 +49,16 @@ def test_tables(spark):
     assert [r.text for r in files.rows_to_kv_docs(rows, ["a", "b"]).collect()] == ["a: 1"]
 
 
+def test_csv_files_become_tables(spark, tmp_path):
+    (tmp_path / "a b.csv").write_bytes("\ufeffname,note\r\nx,\"one, two\"\r\ny,\"line\nend\"\r\nz\r\n".encode())
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/empty.CSV").write_text("")
+    (tmp_path / "other.txt").write_text("a,b")
+    cells = files.read_csv_tables(spark, str(tmp_path))
+    found = {r.sheet: r.text for r in files.table_to_markdown(cells, "CSV").collect()}
+    assert found == {"a b.csv": "# CSV: a b.csv\n\n| name | note |\n| --- | --- |\n| x | one, two |\n| y | line<br>end |\n| z |  |"}
+
+
 def stream_of(spark, folder, batches, schema):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{i}")
@@ -61,6 +72,9 @@ def test_stream_keeps_the_newest_messages_over_batches(spark, tmp_path):
 
 
 def test_stream_takes_each_hash_once_over_batches(spark, tmp_path):
-    stream = stream_of(spark, str(tmp_path / "in"), [[("a", 1), ("b", 2)], [("a", 3), ("c", 4)]], "file_hash string, at long")
-    once = state.stream_dedupe_ingest(stream.select("file_hash", F.timestamp_seconds("at").alias("arrived")))
-    assert sorted(r.file_hash for r in state.run_to_table(once, str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+    """However late a copy comes, and also if a batch is run again."""
+    batches = [[("a", 1), ("b", 2), ("b", 2)], [("a", 99_999_999), ("c", 0), (None, 1)], [("c", 5), ("d", 6)]]
+    stream = stream_of(spark, str(tmp_path / "in"), batches, "file_hash string, at long")
+    found = state.stream_dedupe_ingest(stream, str(tmp_path / "out"))
+    assert sorted((r.file_hash, r.at) for r in found.collect()) == [("a", 1), ("b", 2), ("c", 0), ("d", 6)]
+    assert state.stream_dedupe_ingest(stream, str(tmp_path / "out")).count() == 4
