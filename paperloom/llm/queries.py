@@ -110,19 +110,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_totals(_table(spark, sf_dir, "documents"), new_path(spark, "rollup"))
 
 
-OP10_SQL = r"""
-WITH live AS (
-  SELECT source, lang,
-    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D#*$%&|<>]+')), 0)::BIGINT AS words,
-    coalesce(len(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]')), 0)::BIGINT AS pieces
-  FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id = first
-), counted AS (
-  SELECT source, lang, 'words/1' AS version, words AS tokens FROM live
-  UNION ALL SELECT source, lang, 'pieces/1', pieces FROM live
-)
-SELECT source, lang, version, count(*)::BIGINT AS docs, sum(tokens)::BIGINT AS tokens FROM counted GROUP BY source, lang, version
-"""
-
 OP8_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -162,5 +149,4 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op6_source_mixing": OP6_SQL,
     "op8_chat_formatting": OP8_SQL,
-    "op10_token_counts": OP10_SQL,
 }

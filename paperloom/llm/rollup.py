@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.packing import FULL, RANKS, encoder
 from paperloom.llm.storage import written
 
 KEYS = ("source", "lang", "version")
 LEDGER = "batch_id long, doc_id long, version string, source string, lang string, tokens long, live boolean"
-DELTAS = "batch_id long, source string, lang string, version string, docs long, tokens long"
+DELTAS = "source string, lang string, version string, docs long, tokens long"
+MANIFEST = "kind string, number long, ledger string, deltas string"
 
 
 @dataclass(frozen=True)
@@ -24,91 +30,156 @@ class TokenRollup:
     an insert or a revision takes back the old count, if there is one, and adds the new; a delete
     takes it back, whatever source or count it names, and does nothing to a count that isn't there.
 
-    Each batch has a number and writes two tables under it: the counts it sets (ledger) and the
-    differences (deltas). Both follow from the batch and from batches with smaller numbers, and
-    are overwritten as a whole. So a batch that fails half-way or comes twice, even after later
-    ones, leaves what one clean commit leaves. New batches must come in the order of their numbers.
+    Each batch has a number and writes two tables into folders of their own: the counts it sets
+    (ledger) and the differences (deltas). It counts from the moment that its row in the manifest
+    is there, which is one small file and written last. So a batch that fails half-way leaves
+    nothing, one that comes again does nothing, and new ones come in the order of their numbers.
+
+    A batch reads the counts of its own keys alone. After every `compact_every` batches a snapshot
+    of all counts and totals takes their place, so what is read doesn't grow with their number.
     """
 
     spark: SparkSession
     path: str
-
-    def _read(self, table: str, schema: str, before: int | None = None) -> DataFrame:
-        found = self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
-        return found if before is None else found.where(F.col("batch_id") < before)
-
-    def create(self) -> TokenRollup:
-        """Makes an empty rollup; does nothing to one that has batches."""
-        for table, schema in (("ledger", LEDGER), ("deltas", DELTAS)):
-            self.spark.createDataFrame([], schema).drop("batch_id").write.mode("overwrite").parquet(f"{self.path}/{table}/batch_id=-1")
-        return self
-
-    def counts(self, before: int | None = None) -> DataFrame:
-        """The counts that the batches (below a number) left, one row a document and version."""
+    compact_every: int = 16
+
+    def _manifest(self) -> list[tuple[str, int, str, str]]:
+        """The rows of the manifest that count: the last snapshot and the batches after it, or all batches."""
+        try:
+            found = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+        except AnalysisException:
+            return []
+        last = found.where("kind = 'snapshot'").agg(F.max("number")).first()[0]
+        if last is not None:
+            found = found.where((F.col("number") > last) | ((F.col("number") == last) & (F.col("kind") == "snapshot")))
+        return [tuple(r) for r in found.collect()]
+
+    def _read(self, table: str, schema: str, rows: list[tuple[str, int, str, str]]) -> DataFrame:
+        paths = [f"{self.path}/{r[2 if table == 'ledger' else 3]}" for r in rows]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _enter(self, kind: str, number: int, ledger: DataFrame, deltas: DataFrame) -> None:
+        """Writes both tables into new folders, then the row that makes them count."""
+        name = f"{kind}-{number}-{uuid.uuid4().hex}"
+        ledger.write.parquet(f"{self.path}/ledger/{name}")
+        deltas.write.parquet(f"{self.path}/deltas/{name}")
+        row = self.spark.createDataFrame([(kind, number, f"ledger/{name}", f"deltas/{name}")], MANIFEST)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def counts(self, keys: DataFrame | None = None) -> DataFrame:
+        """The counts that the batches left, one row a document and version; of some keys only, if given."""
+        held = self._read("ledger", LEDGER, self._manifest())
+        if keys is not None:
+            held = held.join(keys.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
         last = F.max_by(F.struct("source", "lang", "tokens", "live"), "batch_id").alias("last")
-        return self._read("ledger", LEDGER, before).groupBy("doc_id", "version").agg(last).where("last.live").select("doc_id", "version", "last.source", "last.lang", "last.tokens")
+        rows = held.groupBy("doc_id", "version").agg(last, F.max("batch_id").alias("batch_id")).where("last.live")
+        return rows.select("batch_id", "doc_id", "version", "last.source", "last.lang", "last.tokens", "last.live")
 
-    def commit(self, batch_id: int, changes: DataFrame) -> None:
-        """Applies a batch; again, if it was applied before, with the same result.
+    def commit(self, batch_id: int, changes: DataFrame) -> bool:
+        """Applies a batch and tells so; a batch that was applied before changes nothing.
 
         Rows without a document id, version or known op are left out; null tokens count as 0.
         """
+        rows = self._manifest()
+        latest = max((number for _, number, _, _ in rows), default=-1)
         if batch_id < 0:
             raise ValueError("batches are numbered from 0")
+        if batch_id <= latest:
+            return False
         seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
         known = changes.where(F.col("doc_id").isNotNull() & F.col("version").isNotNull() & F.col("op").isin("insert", "revise", "delete"))
-        row = F.struct(seq.alias("seq"), (F.col("op") != "delete").alias("live"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"))
+        row = F.struct(
+            seq.alias("seq"), (F.col("op") != "delete").alias("live"), F.col("source").cast("string").alias("source"),
+            F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"),
+        )
         new = known.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "version").agg(F.max(row).alias("new"))
-        old = self.counts(batch_id).select("doc_id", "version", F.struct("source", "lang", "tokens").alias("old"))
+        new = written(new, "changes")
+        old = self.counts(new).select("doc_id", "version", F.struct("source", "lang", "tokens").alias("old"))
         both = new.join(old, ["doc_id", "version"], "left")
-        ledger = new.select("doc_id", "version", "new.source", "new.lang", "new.tokens", "new.live")
-        ledger.write.mode("overwrite").parquet(f"{self.path}/ledger/batch_id={batch_id}")
-
-        signed = lambda side, sign: F.struct(*(F.col(f"{side}.{k}").alias(k) for k in ("source", "lang")), F.lit(sign).alias("docs"), (sign * F.col(f"{side}.tokens")).alias("tokens"))
-        plus = F.when(F.col("new.live"), F.array(signed("new", 1))).otherwise(F.array().cast("array<struct<source:string,lang:string,docs:int,tokens:bigint>>"))
-        minus = F.when(F.col("old").isNotNull(), F.array(signed("old", -1))).otherwise(F.array().cast("array<struct<source:string,lang:string,docs:int,tokens:bigint>>"))
-        deltas = both.select("version", F.explode(F.concat(plus, minus)).alias("d")).groupBy("d.source", "d.lang", "version").agg(F.sum("d.docs").cast("long").alias("docs"), F.sum("d.tokens").cast("long").alias("tokens"))
-        deltas.write.mode("overwrite").parquet(f"{self.path}/deltas/batch_id={batch_id}")
+        ledger = new.select(
+            F.lit(batch_id).cast("long").alias("batch_id"), "doc_id", "version", "new.source", "new.lang", "new.tokens", "new.live"
+        )
+
+        def signed(side: str, sign: int, given) -> Column:
+            group = (F.col(f"{side}.{k}").alias(k) for k in ("source", "lang"))
+            change = F.struct(*group, F.lit(sign).alias("docs"), (sign * F.col(f"{side}.tokens")).alias("tokens"))
+            return F.filter(F.array(F.when(given, change)), lambda x: x.isNotNull())
+
+        changed = F.concat(signed("new", 1, F.col("new.live")), signed("old", -1, F.col("old").isNotNull()))
+        deltas = both.select("version", F.explode(changed).alias("d")).groupBy("d.source", "d.lang", "version")
+        deltas = deltas.agg(F.sum("d.docs").cast("long").alias("docs"), F.sum("d.tokens").cast("long").alias("tokens"))
+        self._enter("batch", batch_id, ledger, deltas)
+        if sum(kind == "batch" for kind, _, _, _ in rows) + 1 >= self.compact_every:
+            self.compact()
+        return True
+
+    def compact(self) -> None:
+        """A snapshot of all counts and totals, in the place of the batches so far."""
+        rows = self._manifest()
+        if any(kind == "batch" for kind, _, _, _ in rows):
+            self._enter("snapshot", max(r[1] for r in rows), self.counts(), self.totals())
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens): the sum of all differences, without empty rows."""
-        sums = self._read("deltas", DELTAS).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.where("docs <> 0 OR tokens <> 0")
+        sums = self._read("deltas", DELTAS, self._manifest()).groupBy(*KEYS)
+        return sums.agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
 
-#: What the registered query counts: words, and runs of letters, runs of digits or single marks.
+#: What the registered query counts: tokens of a public vocabulary, and words.
+BPE, WORDS_VERSION = "byte_bpe_50k/1", "words/1"
 WORDS = r"[^\x20\x09-\x0D]+"
-PIECES = r"[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]"
 #: Words where the symbols of damaged texts part words like white space.
 WORDS_WITHOUT_SYMBOLS = r"[^\x20\x09-\x0D#*$%&|<>]+"
 
 
+def token_count(text: Column, ranks: str = RANKS, full: str = FULL) -> Column:
+    """How many tokens a text has in a vocabulary, as operator 3 encodes it; a null text has none."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = encoder(ranks, full)
+        for texts in batches:
+            yield texts.map(lambda t: len(encode(t)) if t else 0).astype("int64")
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "long")(text.cast("string"))
+
+
 def corpus_changes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three batches of changes: all counts, the removal of exact copies, and revised word counts.
 
-    Copies are the documents whose text a smaller doc_id has too. A null text has no tokens and,
-    as a text, equals other null ones. The counts are passed on without the texts.
+    Copies are the documents whose text a smaller doc_id has too. A null text has no tokens, like an
+    empty one, and equals other null ones as a text. Rows without an id are left out; of rows that
+    repeat one, the largest count of a version stands. Very long texts are counted whole. Only the
+    columns doc_id, text, source and lang are read. The counts are passed on without the texts.
     """
     count = lambda pattern: F.coalesce(F.regexp_count(F.col("text"), F.lit(pattern)), F.lit(0)).cast("long")
     d = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
-        F.coalesce(F.sha2(F.col("text"), 256), F.lit("")).alias("mark"), count(WORDS).alias("words"), count(PIECES).alias("pieces"), count(WORDS_WITHOUT_SYMBOLS).alias("revised"),
+        F.coalesce(F.sha2(F.col("text"), 256), F.lit("")).alias("mark"), count(WORDS).alias("words"),
+        token_count(F.col("text")).alias("tokens"), count(WORDS_WITHOUT_SYMBOLS).alias("revised"),
     )
     d = written(d, "counts")
-    versions = F.explode(F.array(F.struct(F.lit("words/1").alias("version"), F.col("words").alias("tokens")), F.struct(F.lit("pieces/1").alias("version"), F.col("pieces").alias("tokens")))).alias("v")
-    inserts = d.select("doc_id", "source", "lang", versions).select("doc_id", "v.version", F.lit("insert").alias("op"), "source", "lang", "v.tokens")
-    # written, so that a text with very many copies is dealt over many tasks by the join
-    firsts = written(d.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "firsts")
-    copies = d.join(firsts, "mark").where("doc_id <> first")
-    deletes = copies.select("doc_id", versions, "source", "lang").select("doc_id", "v.version", F.lit("delete").alias("op"), "source", "lang", "v.tokens")
-    kept = d.where("revised <> words").join(copies.select("doc_id"), "doc_id", "left_anti")
-    revisions = kept.select("doc_id", F.lit("words/1").alias("version"), F.lit("revise").alias("op"), "source", "lang", F.col("revised").alias("tokens"))
+    version = lambda name, tokens: F.struct(F.lit(name).alias("version"), F.col(tokens).alias("tokens"))
+    versions = F.explode(F.array(version(WORDS_VERSION, "words"), version(BPE, "tokens"))).alias("v")
+    inserts = d.select("doc_id", "source", "lang", versions)
+    inserts = inserts.select("doc_id", "v.version", F.lit("insert").alias("op"), "source", "lang", "v.tokens")
+    # one row a text that has copies, summed up before it is shuffled; the join deals the copies
+    firsts = d.groupBy("mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    marked = d.join(written(firsts.select("mark", "first"), "firsts"), "mark", "left")
+    marked = written(marked.withColumn("copy", F.coalesce(F.col("doc_id") != F.col("first"), F.lit(False))), "marked")
+    deletes = marked.where("copy").select("doc_id", versions, "source", "lang")
+    deletes = deletes.select("doc_id", "v.version", F.lit("delete").alias("op"), "source", "lang", "v.tokens")
+    revised = marked.where("revised <> words AND NOT copy")
+    revisions = revised.select(
+        "doc_id", F.lit(WORDS_VERSION).alias("version"), F.lit("revise").alias("op"), "source", "lang", F.col("revised").alias("tokens")
+    )
     return inserts, deletes, revisions
 
 
 def corpus_totals(docs: DataFrame, path: str) -> DataFrame:
-    """The totals after the three batches of corpus_changes, two of which come a second time."""
-    rollup = TokenRollup(docs.sparkSession, path).create()
+    """(source, lang, version, docs, tokens) after the three batches of corpus_changes, two of which
+    come a second time, with a snapshot after the second. No rows give no rows."""
+    rollup = TokenRollup(docs.sparkSession, path, compact_every=2)
     batches = corpus_changes(docs)
     for number, batch in enumerate(batches):
         rollup.commit(number, batch)

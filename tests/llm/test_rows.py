@@ -389,7 +389,8 @@ def test_toxicity_odd_rows(spark):
 # rollups
 
 
-def test_rollup_batches(spark, tmp_path):
+@pytest.mark.parametrize("compact_every", [1, 2, 16])
+def test_rollup_batches(spark, tmp_path, compact_every):
     schema = "doc_id long, version string, op string, source string, lang string, tokens long, seq long"
     batches = [
         [(1, "v", "insert", "a", "en", 10, 0), (2, "v", "insert", "a", None, None, 0), (3, "v", "insert", "b", "en", 7, 0), (3, "v", "insert", "b", "en", 8, 1), (None, "v", "insert", "a", "en", 5, 0)],
@@ -398,18 +399,68 @@ def test_rollup_batches(spark, tmp_path):
     ]
     frames = [spark.createDataFrame(b, schema) for b in batches]
     totals = lambda r: {(x.source, x.lang, x.version): (x.docs, x.tokens) for x in r.totals().collect()}
-    kept = rollup.TokenRollup(spark, str(tmp_path / "one")).create()
+    kept = rollup.TokenRollup(spark, str(tmp_path / "one"), compact_every)
     assert totals(kept) == {}
-    kept.commit(0, frames[0])
+    assert kept.commit(0, frames[0])
     assert totals(kept) == {("a", "en", "v"): (1, 10), ("a", None, "v"): (1, 0), ("b", "en", "v"): (1, 8)}
-    kept.commit(1, frames[1])
-    kept.commit(1, frames[1])
-    kept.commit(2, frames[2])
-    for again in (0, 2, 1):
-        kept.commit(again, frames[again])
+    assert [kept.commit(1, frames[1]), kept.commit(1, frames[1]), kept.commit(2, frames[2])] == [True, False, True]
+    assert not any(kept.commit(again, frames[again]) for again in (0, 2, 1))
     assert totals(kept) == {("a", "en", "v"): (1, 3), ("a", "fr", "v"): (1, 4), ("b", "en", "v"): (1, 8), ("b", "en", "w"): (1, 2)}
     assert {(r.doc_id, r.version): r.tokens for r in kept.counts().collect()} == {(1, "v"): 3, (2, "v"): 4, (3, "v"): 8, (3, "w"): 2}
-    assert rollup.corpus_totals(odd(spark).where("doc_id > 99"), str(tmp_path / "two")).count() == 0
+
+
+@pytest.mark.parametrize("broken", ["ledger", "deltas"])
+def test_a_commit_that_fails_leaves_nothing(spark, tmp_path, monkeypatch, broken):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    change = lambda n: spark.createDataFrame([(1, "v", "insert", "a", "en", n)], "doc_id long, version string, op string, source string, lang string, tokens long")
+    kept = rollup.TokenRollup(spark, str(tmp_path / "one"))
+    kept.commit(0, change(5))
+    plain = DataFrameWriter.parquet
+
+    def failing(self, path, *more, **options):
+        plain(self, path, *more, **options)
+        if f"/{broken}/" in path:
+            raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", failing)
+        with pytest.raises(RuntimeError):
+            kept.commit(1, change(7))
+    assert [r.tokens for r in kept.totals().collect()] == [5]
+    assert kept.commit(1, change(7)) and [r.tokens for r in kept.totals().collect()] == [7]
+
+
+def test_corpus_totals_against_plain_counts(spark, small, tmp_path, whole_tokenizer):
+    """Also with odd rows: null, empty and very long texts, repeated and missing ids, clashing columns."""
+    real = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("doc_id > 10")
+    more = spark.createDataFrame([(7, "one", "en", "s1", 0), (8, "a #b", "fr", None, 0), (9, None, None, "s", 0)], DOCS)
+    for n, docs in enumerate((real.unionByName(odd(spark)).unionByName(more), odd(spark).where("doc_id > 99"))):
+        rows = [r for r in docs.collect() if r.doc_id is not None]
+        first, held = {}, {}
+        for r in sorted(rows, key=lambda r: r.doc_id):
+            first.setdefault(r.text, r.doc_id)
+        for r in rows:
+            words, tokens = len(WORD.findall(r.text or "")), len(whole_tokenizer.encode(r.text or "", add_special_tokens=False).ids)
+            for version, count in ((rollup.WORDS_VERSION, words), (rollup.BPE, tokens)):
+                row = (True, r.source is not None, r.source or "", r.lang is not None, r.lang or "", count)
+                held[r.doc_id, version] = max(row, held.get((r.doc_id, version), row))
+        copies = {r.doc_id for r in rows if first[r.text] != r.doc_id}
+        revised = {}
+        for r in rows:
+            if r.doc_id not in copies:
+                count = len(re.findall(r"[^\x20\x09-\x0D#*$%&|<>]+", r.text or ""))
+                if count != len(WORD.findall(r.text or "")):
+                    revised[r.doc_id, rollup.WORDS_VERSION] = (r.source, r.lang, count)
+        expected = {}
+        for key, (_, has_source, source, has_lang, lang, count) in held.items():
+            if key[0] not in copies:
+                source, lang, count = revised.get(key, (source if has_source else None, lang if has_lang else None, count))
+                docs_, tokens_ = expected.get((source, lang, key[1]), (0, 0))
+                expected[source, lang, key[1]] = (docs_ + 1, tokens_ + count)
+        clashing = docs.withColumns({c: F.lit("x") for c in ("mark", "words", "tokens", "first", "copy", "version")})
+        got = rollup.corpus_totals(clashing, str(tmp_path / str(n))).collect()
+        assert {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in got} == expected
 
 
 # pipeline
