@@ -111,6 +111,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
 
 
 #: How often each labeler's votes are right, before any is seen; a checksum is hard to meet by chance.
+#: They count as many votes as TRUST_VOTES, whatever the number of votes seen.
+TRUST_VOTES = 50.0
 TRUST = {"checksum": 0.97, "gazetteer": 0.7, "context": 0.8, "edges": 0.65}
 LABELERS = tuple(TRUST)
 
@@ -142,9 +144,20 @@ def shape(s: str) -> str:
     return f"{min(len(s) // 4, 10)} {min(len(_digits(s)), 20)} {''.join(c for c in '@.-+( :' if c in s)}"
 
 
-def features(kind: int, votes: str, form: str) -> list[str]:
+def around(text: str, a: int, b: int) -> str:
+    """The word before a span and the one after it, in lower case, cut to 12 letters; - where there is none."""
+    before = re.findall(r"[^\W\d_]+", text[max(0, a - 40) : a])
+    after = re.search(r"[^\W\d_]+", text[b : b + 40])
+    return f"{before[-1].lower()[:12] if before else '-'} {after.group().lower()[:12] if after else '-'}"
+
+
+def features(kind: int, votes: str, form: str, near: str) -> list[str]:
     size, digits, marks = form.split(" ", 2)
-    return [KINDS[kind], *(f"{name} {v}" for name, v in zip(LABELERS, votes, strict=True)), *(f"{KINDS[kind]} {name} {v}" for name, v in zip(LABELERS, votes, strict=True)), f"{KINDS[kind]} size {size}", f"{KINDS[kind]} digits {digits}", f"{KINDS[kind]} marks {marks}"]
+    before, after = near.split(" ")
+    name = KINDS[kind]
+    cast = [f"{labeler} {v}" for labeler, v in zip(LABELERS, votes, strict=True)]
+    own = [*cast, f"size {size}", f"digits {digits}", f"marks {marks}", f"before {before}", f"after {after}"]
+    return [name, *cast, *(f"{name} {x}" for x in own)]
 
 
 @dataclass(frozen=True)
@@ -154,66 +167,87 @@ class SpanModel:
     bias: float
     weights: dict[str, float]
 
-    def accepts(self, kind: int, votes: str, form: str) -> bool:
-        return self.bias + sum(self.weights.get(f, 0.0) for f in features(kind, votes, form)) > 0
+    def accepts(self, kind: int, votes: str, form: str, near: str) -> bool:
+        return self.bias + sum(self.weights.get(f, 0.0) for f in features(kind, votes, form, near)) > 0
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """All spans of a text: the base ones and the candidates that the model accepts."""
         base, more = scan(text)
-        return sorted(base + [(k, a, b) for k, a, b in more if self.accepts(k, ballots(text, k, a, b), shape(text[a:b]))])
+        looks = lambda k, a, b: (k, ballots(text, k, a, b), shape(text[a:b]), around(text, a, b))
+        return sorted(base + [(k, a, b) for k, a, b in more if self.accepts(*looks(k, a, b))])
 
 
 def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, others): a row per document with its spans, votes and shapes; no text."""
+    """(doc_id, base, others): a row per document with its spans, votes, shapes and the words around; no text."""
+
+    def looks(text: str, k: int, a: int, e: int) -> dict[str, object]:
+        return {"kind": k, "from": a, "to": e, "votes": ballots(text, k, a, e), "form": shape(text[a:e]), "near": around(text, a, e)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for text in b["text"]:
-                base, more = scan(text) if text else ([], [])
-                out.append([[{"kind": k, "from": a, "to": e, "votes": ballots(text, k, a, e), "form": shape(text[a:e])} for k, a, e in spans] for spans in (base, more)])
+            found = [scan(text) if text else ([], []) for text in b["text"]]
+            out = [[[looks(t, *s) for s in spans] for spans in f] for t, f in zip(b["text"], found, strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "base": [o[0] for o in out], "others": [o[1] for o in out]})
 
-    span = "array<struct<kind:int,from:int,to:int,votes:string,form:string>>"
+    span = "array<struct<kind:int,from:int,to:int,votes:string,form:string,near:string>>"
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInPandas(run, f"doc_id long, base {span}, others {span}")
 
 
+@dataclass(frozen=True)
+class Reliabilities:
+    """The share of candidates that are personal data, and the share of each labeler's votes that
+    speak for it, among candidates that are (`on_true`) and that aren't (`on_false`)."""
+
+    prior: float
+    on_true: np.ndarray
+    on_false: np.ndarray
+
+    def probability(self, votes: np.ndarray) -> np.ndarray:
+        """Of being personal data, for rows of votes (1 for, -1 against, 0 for none)."""
+        odds = np.log(self.prior / (1 - self.prior))
+        odds = odds + (votes == 1) @ np.log(self.on_true / self.on_false)
+        odds = odds + (votes == -1) @ np.log((1 - self.on_true) / (1 - self.on_false))
+        return 1 / (1 + np.exp(-odds))
+
+
 def fit_spans(table: DataFrame, training_rows: int = TRAINING_ROWS) -> SpanModel:
-    """Labeler reliabilities by EM over all candidates, and a classifier of their verdicts.
+    """Labeler reliabilities by EM over all candidates, and a classifier that is trained on what the
+    labelers together say of a candidate, and sees its shape and the words around it beside the votes.
 
     EM sees how often each of the at most 81 votes was cast. The classifier sees candidates counted
-    by kind, votes and shape, of which the `training_rows` commonest are taken.
+    by kind, votes, shape and words around, of which the `training_rows` commonest are taken.
     """
-    spans = table.select(F.explode(F.concat("base", "others")).alias("s")).select("s.kind", "s.votes", "s.form")
+    spans = table.select(F.explode(F.concat("base", "others")).alias("s")).select("s.kind", "s.votes", "s.form", "s.near")
     cast = spans.groupBy("votes").count().orderBy("votes").collect()
-    right = reliabilities(_signs(cast), np.array([r["count"] for r in cast], dtype=float))
-    counts = spans.groupBy("kind", "votes", "form").count().orderBy(F.desc("count"), "kind", "votes", "form").limit(training_rows).collect()
+    found = reliabilities(_signs(cast), np.array([r["count"] for r in cast], dtype=float))
+    kinds = ("kind", "votes", "form", "near")
+    counts = spans.groupBy(*kinds).count().orderBy(F.desc("count"), *kinds).limit(training_rows).collect()
     n = np.array([r["count"] for r in counts], dtype=float)
-    odds = _signs(counts) @ np.log(right / (1 - right)) if len(counts) else np.empty(0)
-    return _classifier([features(r["kind"], r["votes"], r["form"]) for r in counts], 1 / (1 + np.exp(-odds)), n)
+    return _classifier([features(*(r[c] for c in kinds)) for r in counts], found.probability(_signs(counts)), n)
 
 
 def _signs(rows: list[Row]) -> np.ndarray:
     return np.array([[{"+": 1, "-": -1}.get(v, 0) for v in r["votes"]] for r in rows]).reshape(len(rows), len(LABELERS))
 
 
-def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 50, weight: float = 50.0) -> np.ndarray:
-    """How often each labeler's votes (1, -1, 0 for none) are right, from rows seen n times each.
+def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> Reliabilities:
+    """EM from rows of votes (1, -1, 0 for none) seen n times each, which starts from the trust in the
+    labelers and adds TRUST_VOTES votes of that trust.
 
-    EM from the trust in them; `weight` votes of that trust are added, and as many as were seen, so
-    that labelers who agree by habit don't outvote one that is seldom wrong.
+    Votes for and against are judged apart among true and false candidates, so that a labeler who
+    says the same of both has no weight.
     """
-    start = np.array(list(TRUST.values()))
-    right = start
+    trust = np.array(list(TRUST.values()))
+    found = Reliabilities(0.5, trust, 1 - trust)
+    if not len(votes):
+        return found
+    share = lambda p, start: (((votes == 1).T @ (n * p)) + TRUST_VOTES * start) / (((votes != 0).T @ (n * p)) + TRUST_VOTES)
     for _ in range(rounds):
-        if not len(votes):
-            break
-        p = 1 / (1 + np.exp(-(votes @ np.log(right / (1 - right)))))
-        hits = ((votes == 1) * (n * p)[:, None] + (votes == -1) * (n * (1 - p))[:, None]).sum(axis=0)
-        seen = (votes != 0).T @ n
-        right = (hits + (seen + weight) * start) / (2 * seen + weight)
-    return np.clip(right, 0.5, 0.99)
+        p = found.probability(votes)
+        prior = (n @ p + TRUST_VOTES / 2) / (n.sum() + TRUST_VOTES)
+        found = Reliabilities(prior, np.clip(share(p, trust), 0.01, 0.99), np.clip(share(1 - p, 1 - trust), 0.01, 0.99))
+    return found
 
 
 def _classifier(rows: list[list[str]], target: np.ndarray, n: np.ndarray, steps: int = 500, ridge: float = 1e-4) -> SpanModel:
@@ -252,7 +286,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             base = [[(s["kind"], s["from"], s["to"]) for s in spans] for spans in b["base"]]
-            more = [[(s["kind"], s["from"], s["to"]) for s in spans if model.accepts(s["kind"], s["votes"], s["form"])] for spans in b["others"]]
+            more = [[(s["kind"], s["from"], s["to"]) for s in spans if model.accepts(s["kind"], s["votes"], s["form"], s["near"])] for spans in b["others"]]
             out = pd.DataFrame({"doc_id": b["doc_id"]})
             for k, name in enumerate(KINDS):
                 out[f"n_{name}"] = [sum(s[0] == k for s in spans) for spans in base]
@@ -274,7 +308,11 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def without_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with personal data replaced in their text; null texts stay null."""
+    """The documents with personal data replaced in their text by its kind, with all their columns.
+
+    Null texts stay null and empty ones empty; repeated rows and rows without an id are cleaned like
+    any others, whole texts however long. Columns of any other name stay. No rows give no rows.
+    """
     model = fit_spans(written(span_table(docs, id_col, text_col), "spans"))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -299,6 +299,55 @@ def test_personal_data(spark):
     assert pii.personal_data(docs.where("doc_id > 99")).count() == 0
 
 
+def test_personal_data_odd_rows(spark):
+    long = "words of no kind " * 100_000 + "a.b@c.org " + "1 " * 200_000
+    more = [(8, long, "en", "s", 0), (None, "x@y.de", "en", "s", 0), (None, "x@y.de", "en", "s", 0)]
+    docs = odd(spark).unionByName(spark.createDataFrame(more, DOCS)).withColumns({c: F.lit("x") for c in ("spans", "base", "others", "kind", "n_ip")})
+    rows = pii.personal_data(docs).collect()
+    assert Counter(r.doc_id for r in rows) == Counter([*(i for i, _ in ODD), 8, None, None])
+    at = long.index("a.b@")
+    assert next(r.spans for r in rows if r.doc_id == 8).split(",")[0] == f"email:{at}:{at + 9}"
+    assert [r.spans for r in rows if r.doc_id is None].count("email:0:6") == 2
+    clean = pii.without_personal_data(docs)
+    assert clean.columns == docs.columns and Counter(r.doc_id for r in clean.collect()) == Counter(r.doc_id for r in rows)
+
+
+def test_reliabilities_against_plain_em():
+    rng = np.random.default_rng(3)
+    votes = np.array([[rng.choice([1, -1, 0]) for _ in pii.LABELERS] for _ in range(30)])
+    n = rng.integers(1, 40, 30).astype(float)
+    start = list(pii.TRUST.values())
+    prior, t, f = 0.5, list(start), [1 - x for x in start]
+    for _ in range(50):
+        p = []
+        for row in votes:
+            x, y = prior, 1 - prior
+            for j, v in enumerate(row):
+                x *= {1: t[j], -1: 1 - t[j], 0: 1}[v]
+                y *= {1: f[j], -1: 1 - f[j], 0: 1}[v]
+            p.append(x / (x + y))
+        prior = (sum(a * b for a, b in zip(n, p, strict=True)) + 25) / (n.sum() + 50)
+        for j, s in enumerate(start):
+            for side, q, mean in ((t, p, s), (f, [1 - x for x in p], 1 - s)):
+                cast = sum(c * x for c, x, r in zip(n, q, votes, strict=True) if r[j])
+                good = sum(c * x for c, x, r in zip(n, q, votes, strict=True) if r[j] == 1)
+                side[j] = min(0.99, max(0.01, (good + 50 * mean) / (cast + 50)))
+    got = pii.reliabilities(votes, n)
+    assert (got.prior, *got.on_true, *got.on_false) == pytest.approx((prior, *t, *f), abs=1e-9)
+
+
+def test_added_spans_of_the_tables(spark):
+    """Candidates that fail their test stay out, and numbers that only run into others are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    added = []
+    for r in pii.personal_data(docs).collect():
+        base = {f"{KINDS[k][0]}:{a}:{b}" for k, a, b in brute_spans(text[r.doc_id] or "")}
+        added += [(r.doc_id, *s.split(":")) for s in r.spans.split(",") if s and s not in base]
+    found = [(kind, text[i][int(a) : int(b)]) for i, kind, a, b in added]
+    assert found and all(kind == "phone" and re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", s) for kind, s in found), found
+
+
 # toxicity
 
 
