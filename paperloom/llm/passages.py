@@ -22,7 +22,7 @@ LEAST_WORDS, MANY_WORDS = 8, 32
 #: Words that a run of shared paragraphs must have to count: a passage of 50 words less its first sentence.
 RUN_WORDS = 25
 #: Characters of texts that are cut at once, so that the texts of a batch don't add up.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 #: Marks that a task remembers to have given shingles for.
 MEMORY = 500_000
 
@@ -190,31 +190,25 @@ def paragraph_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def band_rows(table: DataFrame) -> DataFrame:
-    """(band, mark, n): the keys of the bands of each paragraph that has shingles, and their number."""
+    """(band, mark): the keys of the bands of each paragraph that has shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             count = b["shingles"].map(len).to_numpy(dtype=np.int64)
             value = np.concatenate(b["shingles"].to_list()).astype(np.int32).view(np.uint32)
             keys = bands(value, np.cumsum(count) - count)
-            each = lambda x: np.repeat(x, BANDS)
-            yield pd.DataFrame({"band": keys.reshape(-1), "mark": each(b["mark"].to_numpy()), "n": each(count)})
+            yield pd.DataFrame({"band": keys.reshape(-1), "mark": np.repeat(b["mark"].to_numpy(), BANDS)})
 
-    return table.where("shingles IS NOT NULL").select("mark", "shingles").mapInPandas(run, "band long, mark long, n int")
-
-
-def _similar(l_n: Column, r_n: Column, both: Column | None = None) -> Column:
-    """Whether sets of these sizes may have a Jaccard score of THRESHOLD; with what they share, whether they have."""
-    if both is None:
-        return F.least(l_n, r_n) >= F.greatest(l_n, r_n) * F.lit(THRESHOLD)
-    return both >= (l_n + r_n - both) * F.lit(THRESHOLD)
+    return table.where("shingles IS NOT NULL").select("mark", "shingles").mapInPandas(run, "band long, mark long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (src, dst) of marks whose sets of shingles have a Jaccard score of THRESHOLD or more."""
     left, right = (sets.select(F.col("mark").alias(end), F.col("shingles").alias(f"{end}_set")) for end in ("src", "dst"))
+    n, m = F.size("src_set"), F.size("dst_set")
+    possible = F.least(n, m) >= F.greatest(n, m) * F.lit(THRESHOLD)
     both = F.size(F.array_intersect("src_set", "dst_set"))
-    near = _similar(F.size("src_set"), F.size("dst_set"), both)
+    near = F.when(possible, both >= (n + m - both) * F.lit(THRESHOLD))
     return pairs.join(left, "src").join(right, "dst").where(near).select("src", "dst")
 
 
@@ -224,9 +218,10 @@ def near_paragraphs(table: DataFrame) -> DataFrame:
     `table` is a stored paragraph_table; texts aren't read again. Equal paragraphs are one mark. Of
     each band key only the smallest and largest mark are shuffled, summed up before they leave a
     task, which tells the keys that different paragraphs share. The smallest mark of such a key is
-    its hub, and all others are held against it: a star. Only keys whose paragraphs are still of
-    several components then have pairs of different components held against each other, so a key
-    that very many near paragraphs share costs no more than its star. All scores are of whole sets.
+    its hub, and all others are held against it: a star. Where a key's paragraphs are still of
+    several components, these are held against each other as far as they meet on one of the rarest
+    shingles that a pair of this similarity must share; so a key that very many paragraphs share
+    gives no pairs of all of them. All scores are of whole sets.
     """
     rows = band_rows(table)
     shared = rows.groupBy("band").agg(F.min("mark").alias("hub"), F.max("mark").alias("last")).where("hub < last")
@@ -235,19 +230,38 @@ def near_paragraphs(table: DataFrame) -> DataFrame:
     sets = table.where("shingles IS NOT NULL").select("mark", "shingles").join(wanted, "mark", "left_semi")
     sets = written(sets.groupBy("mark").agg(F.array_distinct(F.first("shingles")).alias("shingles")), "sets")
 
-    hubs = met.where("mark = hub").select("band", F.col("n").alias("hub_n"))
-    stars = met.where("mark <> hub").join(hubs, "band").where(_similar(F.col("n"), F.col("hub_n")))
-    stars = written(stars.select(F.col("hub").alias("src"), F.col("mark").alias("dst")).distinct(), "stars")
+    stars = met.where("mark <> hub").select(F.col("hub").alias("src"), F.col("mark").alias("dst")).distinct()
     links = written(_verified(stars, sets), "links")
     named = connected_components(links)
-    rows = met.join(named, met["mark"] == named["node"], "left").select("band", "mark", "n", F.coalesce("component", "mark").alias("component"))
+    rows = met.join(named, met["mark"] == named["node"], "left").select("band", "mark", F.coalesce("component", "mark").alias("component"))
     several = rows.groupBy("band").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
-    rows = written(rows.join(several.select("band"), "band", "left_semi"), "open")
-    left, right = (rows.select("band", *(F.col(c).alias(f"{s}_{c}") for c in ("mark", "n", "component"))) for s in "lr")
-    apart = (F.col("l_mark") < F.col("r_mark")) & (F.col("l_component") != F.col("r_component"))
-    pairs = left.join(right, "band").where(apart & _similar(F.col("l_n"), F.col("r_n")))
-    pairs = pairs.select(F.col("l_mark").alias("src"), F.col("r_mark").alias("dst")).distinct()
-    return links.unionAll(_verified(pairs.join(stars, ["src", "dst"], "left_anti"), sets))
+    apart = rows.join(several.select("band"), "band", "left_semi").select("mark", "component").distinct()
+    return links.unionAll(_verified(_meeting(sets.join(written(apart, "open"), "mark")), sets))
+
+
+def _meeting(sets: DataFrame) -> DataFrame:
+    """(src, dst): pairs of marks of different components that may have a similarity of THRESHOLD.
+
+    All shingles are in one order, the rarest first. Sets of n and m shingles of that similarity
+    share at least `both` of these, so they meet on one of the n - both + 1 first of the one and
+    the m - both + 1 first of the other. Each offers these for every size that a near set may have,
+    and sets meet by shingle and sizes. What no other set has comes first and meets nothing.
+    """
+    has = sets.select("mark", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    common = has.groupBy("shingle").agg(F.count("*").alias("on")).where("on > 1")
+    held = has.join(common, "shingle")
+    own = Window.partitionBy("mark")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("on", "shingle"))
+    eps, share = 1e-9, F.lit(THRESHOLD)
+    sizes = F.sequence(F.ceil(F.col("n") * share - eps).cast("int"), F.floor(F.col("n") / share + eps).cast("int"))
+    both = F.ceil((F.col("n") + F.col("m")) * F.lit(THRESHOLD / (1 + THRESHOLD)) - eps)
+    offered = held.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - eps) + 1)
+    offered = offered.withColumn("m", F.explode(sizes)).where(F.col("place") <= F.col("n") - both + 1)
+    offered = written(offered.select("shingle", "n", "m", "mark", "component"), "offered")
+    left = offered.select("shingle", "n", "m", F.col("mark").alias("src"), F.col("component").alias("one"))
+    right = offered.select("shingle", F.col("m").alias("n"), F.col("n").alias("m"), F.col("mark").alias("dst"), F.col("component").alias("other"))
+    pairs = left.join(right, ["shingle", "n", "m"]).where((F.col("src") < F.col("dst")) & (F.col("one") != F.col("other")))
+    return pairs.select("src", "dst").distinct()
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
