@@ -186,7 +186,7 @@ def near_fingerprints(nodes: DataFrame, setting: SimHashSetting = BY_BITS, task_
     for part in done:
         cells = cells.unionByName(part)
     copies = setting.turns * sum(math.comb(depth, k) for k in range(budgets[depth] + 1)) if not done else 16 * setting.turns
-    tasks = max(8, math.ceil(n * copies / task_rows))
+    tasks = max(8, math.ceil(n * copies * setting.words / task_rows))
     cells = cells.withColumn("task", F.pmod(F.xxhash64("turn", "depth", "one", "two"), F.lit(tasks)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
