@@ -62,46 +62,57 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes for a document if `good` holds, against it if `bad` does, else abstains.
-
-    right_on_good, right_on_bad: the share of its votes on good and on bad documents that are
-    right, before any is seen. A rule that looks for one kind of damage is seldom wrong on good
-    documents, but passes most bad ones, which have some other kind.
-    """
+    """Votes for a document if `good` holds, against it if `bad` does, else abstains."""
 
     name: str
     good: str
     bad: str
-    right_on_good: float
-    right_on_bad: float
 
 
 RULES = (
-    Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words", 0.99, 0.3),
-    Rule("lines", "n_dup_lines = 0 AND n_lines > 1", "10 * n_dup_lines > 3 * n_lines", 0.99, 0.3),
-    Rule("repeats", "20 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words", 0.99, 0.3),
-    Rule("capitals", "10 * n_upper <= word_chars", "10 * n_upper > 3 * word_chars", 0.99, 0.3),
-    Rule("stop_words", "100 * n_stop_words >= 6 * n_words", "100 * n_stop_words < 2 * n_words", 0.95, 0.7),
-    Rule("word_length", "word_chars BETWEEN 4 * n_words AND 7 * n_words", "word_chars NOT BETWEEN 3 * n_words AND 10 * n_words", 0.95, 0.3),
-    Rule("sentences", "10 * n_ended_lines >= 8 * n_lines AND n_lines > 0", "10 * n_ended_lines < n_lines", 0.95, 0.4),
+    Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    Rule("lines", "n_dup_lines = 0 AND n_lines > 1", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeats", "20 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words"),
+    Rule("capitals", "10 * n_upper <= word_chars", "10 * n_upper > 3 * word_chars"),
+    Rule("stop_words", "100 * n_stop_words >= 6 * n_words", "100 * n_stop_words < 2 * n_words"),
+    Rule("word_length", "word_chars BETWEEN 4 * n_words AND 7 * n_words", "word_chars NOT BETWEEN 3 * n_words AND 10 * n_words"),
+    Rule("sentences", "10 * n_ended_lines >= 8 * n_lines AND n_lines > 0", "10 * n_ended_lines < n_lines"),
 )
 
+#: What is expected before any vote is seen: the share of good documents, and how often a rule's vote
+#: is for a good document, for one that has the rule's own kind of damage, and for one of another kind.
+GOOD, FOR_GOOD, FOR_OWN_KIND, FOR_OTHER_KIND = 0.9, 0.97, 0.1, 0.8
+#: Votes of each rule and class, and documents, that this counts as, however many are seen.
+EXPECTED_VOTES = 200.0
+
 
 @dataclass(frozen=True)
 class RuleModel:
-    """Share of good documents, and the share of each rule's votes that are right, by class."""
+    """Shares of good documents (first) and of each rule's kind of damage, and for each of these
+    classes the share of each rule's votes that are for a document."""
+
+    shares: tuple[float, ...]
+    rates: tuple[tuple[float, ...], ...]
+
+    @staticmethod
+    def expected(n: int) -> RuleModel:
+        """What is expected of n rules before any vote is seen."""
+        kinds = tuple(tuple(FOR_OWN_KIND if j == k else FOR_OTHER_KIND for j in range(n)) for k in range(n))
+        return RuleModel((GOOD, *((1 - GOOD) / n for _ in range(n))), ((FOR_GOOD,) * n, *kinds))
+
+    def posterior(self, rules: tuple[Rule, ...]) -> Column:
+        """An array: how likely a document with these votes (1, -1 or 0 a rule) is of each class."""
 
-    prior: float
-    on_good: dict[str, float]
-    on_bad: dict[str, float]
+        def log_odds(share: float, rates: tuple[float, ...]) -> Column:
+            total = F.lit(math.log(share))
+            for rule, rate in zip(rules, rates, strict=True):
+                vote = F.col(f"vote_{rule.name}")
+                total = total + F.when(vote == 1, math.log(rate)).when(vote == -1, math.log(1 - rate)).otherwise(0.0)
+            return total
 
-    def log_odds(self) -> Column:
-        """Log of the odds that a document with these votes (1, -1 or 0 a rule) is good."""
-        total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, g in self.on_good.items():
-            b, vote = self.on_bad[name], F.col(f"vote_{name}")
-            total = total + F.when(vote == 1, math.log(g / (1 - b))).when(vote == -1, math.log((1 - g) / b)).otherwise(0.0)
-        return total
+        logs = F.array(*(log_odds(*c) for c in zip(self.shares, self.rates, strict=True)))
+        weights = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+        return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda s, x: s + x))
 
 
 def votes(measures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -109,34 +120,36 @@ def votes(measures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return measures.withColumns({f"vote_{r.name}": F.when(F.expr(r.bad), -1).when(F.expr(r.good), 1).otherwise(0) for r in rules})
 
 
-def fit_rules(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 30, prior: float = 0.9, weight: float = 20.0) -> RuleModel:
+def fit_rules(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 40) -> RuleModel:
     """Expectation-maximisation of the rules' accuracies over all documents.
 
+    A document is good or has one kind of damage, a kind for each rule that looks for it. In each of
+    these classes a rule's votes are for a document as often as its accuracy there says, so that a
+    common kind of damage is a class of its own and doesn't pass for a trait of good documents.
     Documents are counted by their votes, of which there are at most 3 to the number of rules; a
-    round is one aggregation of these counts. It starts from what is expected of the rules. To the
-    votes seen, `weight` expected ones are added on bad documents, and on good ones as many as
-    were seen: damage of a kind that is common must not pass for a trait of good documents.
+    round is one aggregation of these counts, and the driver sees a row for each class. It starts
+    from what is expected, which counts as EXPECTED_VOTES throughout.
     """
-    counts = written(voted.groupBy(*(f"vote_{r.name}" for r in rules)).count(), "votes")
-    model = RuleModel(prior, {r.name: r.right_on_good for r in rules}, {r.name: r.right_on_bad for r in rules})
+    names = [f"vote_{r.name}" for r in rules]
+    counts = written(voted.groupBy(*names).count(), "votes").coalesce(1)
+    start = model = RuleModel.expected(len(rules))
+    weight = EXPECTED_VOTES
     for _ in range(rounds):
-        good = F.lit(1.0) / (1 + F.exp(-model.log_odds()))
-        rows = counts.withColumns({"good": F.col("count") * good, "bad": F.col("count") * (1 - good)})
-        of = lambda weight, name, test: F.sum(F.when(F.expr(f"vote_{name} {test}"), F.col(weight)).otherwise(0.0)).alias(f"{weight} {name} {test}")
-        each = [of(w, r.name, t) for r in rules for w, t in (("good", "= 1"), ("good", "<> 0"), ("bad", "= -1"), ("bad", "<> 0"))]
-        sums = rows.agg(F.sum("good").alias("good"), F.sum("count").alias("all"), *each).first()
-        if not sums["all"]:
+        rows = counts.select("count", *names, F.posexplode(model.posterior(rules)).alias("class", "likely"))
+        own = F.col("count") * F.col("likely")
+        cast = lambda test: [F.sum(F.when(F.expr(f"{n} {test}"), own).otherwise(0.0)).alias(f"{n} {test}") for n in names]
+        found = {r["class"]: r for r in rows.groupBy("class").agg(F.sum(own).alias("all"), *cast("= 1"), *cast("<> 0")).collect()}
+        if not found:
             break
-        share = lambda hits, n, start, more: (hits + more * start) / (n + more)
-        seen = {r.name: [sums[f"{w} {r.name} {t}"] for w, t in (("good", "= 1"), ("good", "<> 0"), ("bad", "= -1"), ("bad", "<> 0"))] for r in rules}
-        new = RuleModel(
-            share(sums["good"], sums["all"], prior, weight),
-            {r.name: share(*seen[r.name][:2], r.right_on_good, weight + seen[r.name][1]) for r in rules},
-            {r.name: share(*seen[r.name][2:], r.right_on_bad, weight) for r in rules},
-        )
-        rates = [(m.prior, *m.on_good.values(), *m.on_bad.values()) for m in (model, new)]
-        model = new
-        if max(abs(x - y) for x, y in zip(*rates, strict=True)) < 1e-4:
+        total = sum(r["all"] for r in found.values())
+        shares, rates = [], []
+        for c, (share, rate) in enumerate(zip(start.shares, start.rates, strict=True)):
+            shares.append((found[c]["all"] + weight * share) / (total + weight))
+            right = [(found[c][f"{n} = 1"] + weight * x) / (found[c][f"{n} <> 0"] + weight) for n, x in zip(names, rate, strict=True)]
+            rates.append(tuple(min(0.99, max(0.01, x)) for x in right))
+        before, model = model, RuleModel(tuple(shares), tuple(rates))
+        moved = zip((*before.shares, *sum(before.rates, ())), (*model.shares, *sum(model.rates, ())), strict=True)
+        if max(abs(x - y) for x, y in moved) < 1e-3:
             break
     return model
 
@@ -154,8 +167,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     measures = written(text_measures(docs, id_col, text_col), "measures")
     voted = votes(measures, rules)
-    odds = fit_rules(voted, rules).log_odds()
+    voted = voted.withColumn("quality", fit_rules(voted, rules).posterior(rules)[0])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return voted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (odds >= 0)).alias("kept"), (1 / (1 + F.exp(-odds))).alias("quality")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("quality") >= 0.5)).alias("kept"), "quality"
     )

@@ -193,34 +193,42 @@ def test_measures(spark, small):
     assert quality.quality_verdicts(docs.where("doc_id > 9999999")).count() == 0
 
 
-def test_verdicts_agree_with_labels(spark):
-    folder = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_verdicts_agree_with_labels(spark, sf):
+    folder = f"/root/testdata/{sf}"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     rows = quality.quality_verdicts(spark.read.parquet(f"{folder}/documents.parquet")).join(labels.withColumnRenamed("quality", "label"), "doc_id").where("NOT base_failed").collect()
     good, bad = [r.kept for r in rows if r.label == 1], [r.kept for r in rows if r.label == 0]
-    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.2 * len(bad)
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
 
 
 def test_rule_fit_against_plain_em(spark):
     rules = quality.RULES[:2]
-    rows = [(1, 1)] * 60 + [(-1, 1)] * 8 + [(-1, -1)] * 9 + [(1, -1)] * 3 + [(0, 1)] * 5
+    rows = [(1, 1)] * 600 + [(-1, 1)] * 80 + [(-1, -1)] * 9 + [(1, -1)] * 30 + [(0, 1)] * 50 + [(1, 0)] * 20
     voted = spark.createDataFrame(rows, "vote_symbols int, vote_lines int")
-    prior, g, b = 0.9, [r.right_on_good for r in rules], [r.right_on_bad for r in rules]
-    for _ in range(30):
-        p = []
+    first = [0.9, 0.05, 0.05], [[0.97, 0.97], [0.1, 0.8], [0.8, 0.1]]
+    shares, rates = [list(x) for x in first]
+    for _ in range(40):
+        likely = []
         for row in rows:
-            x, y = prior, 1 - prior
-            for j, v in enumerate(row):
-                x *= {1: g[j], -1: 1 - g[j], 0: 1}[v]
-                y *= {1: 1 - b[j], -1: b[j], 0: 1}[v]
-            p.append(x / (x + y))
-        prior = (sum(p) + 20 * 0.9) / (len(p) + 20)
-        for j, r in enumerate(rules):
-            on_good, on_bad = sum(q for q, v in zip(p, rows, strict=True) if v[j]), sum(1 - q for q, v in zip(p, rows, strict=True) if v[j])
-            g[j] = (sum(q for q, v in zip(p, rows, strict=True) if v[j] == 1) + (20 + on_good) * r.right_on_good) / (2 * on_good + 20)
-            b[j] = (sum(1 - q for q, v in zip(p, rows, strict=True) if v[j] == -1) + 20 * r.right_on_bad) / (on_bad + 20)
+            p = [s * np.prod([{1: r, -1: 1 - r, 0: 1}[v] for v, r in zip(row, rate, strict=True)]) for s, rate in zip(shares, rates, strict=True)]
+            likely.append([x / sum(p) for x in p])
+        shares = [(sum(p[c] for p in likely) + 200 * first[0][c]) / (len(rows) + 200) for c in range(3)]
+        rates = [
+            [
+                (sum(p[c] for p, v in zip(likely, rows, strict=True) if v[j] == 1) + 200 * first[1][c][j])
+                / (sum(p[c] for p, v in zip(likely, rows, strict=True) if v[j]) + 200)
+                for j in range(2)
+            ]
+            for c in range(3)
+        ]
+        rates = [[min(0.99, max(0.01, x)) for x in r] for r in rates]
     model = quality.fit_rules(voted, rules)
-    assert (model.prior, *model.on_good.values(), *model.on_bad.values()) == pytest.approx((prior, *g, *b), abs=2e-3)
+    assert (*model.shares, *sum(model.rates, ())) == pytest.approx((*shares, *sum(rates, [])), abs=0.02)
+    got = voted.distinct().withColumn("p", model.posterior(rules)).collect()
+    for r in got:
+        p = [s * np.prod([{1: x, -1: 1 - x, 0: 1}[v] for v, x in zip(r[:2], rate, strict=True)]) for s, rate in zip(model.shares, model.rates, strict=True)]
+        assert r.p == pytest.approx([x / sum(p) for x in p])
 
 
 # chat
