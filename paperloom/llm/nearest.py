@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -11,10 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a slab of the index and of a chunk of queries: one task searches one chunk in one slab.
-SLAB_ROWS, CHUNK_ROWS = 65_536, 4_096
+from paperloom.llm.storage import written
+
+#: Codes of a slab of the index and queries of a chunk: one task searches one chunk in one slab.
+SLAB_ROWS, CHUNK_ROWS = 65_536, 512
 #: Half-width of an estimate's interval, in standard deviations of the rotation's error.
 ERROR_WIDTH = 2.5
+#: Bits that a query's components are rounded to, and best estimates that are reranked first, in k.
+PLANES, FIRST = 4, 4
+#: Queries and codes that are compared at once.
+BLOCK = 128, 8192
 
 
 @lru_cache(maxsize=4)
@@ -23,6 +30,13 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))[0]
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    whole = np.zeros((len(bits), -(-bits.shape[1] // 64) * 8), dtype=np.uint8)
+    whole[:, : -(-bits.shape[1] // 8)] = np.packbits(bits, axis=1)
+    return whole.view(np.uint64)
+
+
 def encode(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(packed sign bits, factor) of unit vectors after the rotation.
 
@@ -30,47 +44,85 @@ def encode(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     inner product, by which an inner product with the corner is divided to estimate the vector's.
     """
     turned = unit @ rotation(unit.shape[1], seed)
-    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(unit.shape[1])
-
-
-def search(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, factors: np.ndarray, k: int, seed: int, width: float = ERROR_WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, cosine): the k best of the given vectors for each query, itself left out.
-
-    Block by block: inner products are estimated from the bits, and a vector is reranked on the
-    originals if its estimate's upper bound reaches the k-th best found, or, as long as there are
-    fewer, the k-th best lower bound.
-    """
-    dim = queries.shape[1]
-    q_norm, norm = np.sqrt((queries**2).sum(axis=1)), np.sqrt((vectors**2).sum(axis=1))
-    turned = ((queries / q_norm[:, None]) @ rotation(dim, seed)).astype(np.float32)
-    error = width * np.sqrt(np.maximum(0, 1 - factors**2) / factors**2 / max(1, dim - 1))
-    best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    for q0 in range(0, len(q_ids), 512):
-        mine = slice(q0, q0 + 512)
-        at, found, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        least = np.full(len(q_ids[mine]), -np.inf)
-        for d0 in range(0, len(ids), 2048):
-            part = slice(d0, d0 + 2048)
-            signs = np.unpackbits(codes[part], axis=1, count=dim).astype(np.float32) * 2 - 1
-            guess = (turned[mine] @ signs.T) / (math.sqrt(dim) * factors[part]).astype(np.float32)
-            floor = least
-            if guess.shape[1] > k + 1:  # one of k + 1 may be the query itself
-                floor = np.maximum(least, np.partition(guess - error[part], -(k + 1), axis=1)[:, -(k + 1)])
-            row, col = np.nonzero((guess + error[part] >= floor[:, None]) & (q_ids[mine][:, None] != ids[part][None, :]))
-            exact = np.empty(len(row))
-            for c in range(0, len(row), 65_536):
-                r, v = row[c : c + 65_536] + q0, col[c : c + 65_536] + d0
-                exact[c : c + 65_536] = (queries[r] * vectors[v]).sum(axis=1) / (q_norm[r] * norm[v])
-            at, found, score = (np.concatenate(x) for x in ((at, row), (found, ids[part][col]), (score, exact)))
-            order = np.lexsort((found, -score, at))
-            at, found, score = at[order], found[order], score[order]
-            first = np.searchsorted(at, at)
-            top = np.arange(len(at)) - first < k
-            at, found, score = at[top], found[top], score[top]
-            last = np.arange(len(at)) - np.searchsorted(at, at) == k - 1
-            least[at[last]] = score[last]
-        best = tuple(np.concatenate(x) for x in zip(best, (at + q0, found, score), strict=True))
-    return best
+    return _packed(turned > 0), np.abs(turned).sum(axis=1) / math.sqrt(unit.shape[1])
+
+
+@dataclass(frozen=True)
+class Codes:
+    """Codes of vectors of one length: words of packed bits, how many are set, and factors."""
+
+    words: np.ndarray
+    factors: np.ndarray
+    dim: int
+
+    def error(self) -> np.ndarray:
+        """Standard deviation of what the corner leaves open of an inner product."""
+        return np.sqrt(np.maximum(0, 1 - self.factors**2) / max(1, self.dim - 1)) / self.factors
+
+
+class Queries:
+    """Unit query vectors, rotated, with components rounded to PLANES bits that are packed by plane."""
+
+    def __init__(self, unit: np.ndarray, seed: int):
+        turned = unit @ rotation(unit.shape[1], seed)
+        self.low = turned.min(axis=1)
+        self.step = np.maximum(turned.max(axis=1) - self.low, 1e-12) / (2**PLANES - 1)
+        level = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        rounded = self.low[:, None] + level * self.step[:, None]
+        self.total = rounded.sum(axis=1)
+        self.rest = np.sqrt(((turned - rounded) ** 2).sum(axis=1) / unit.shape[1])
+        self.planes = [_packed(level >> p & 1) for p in range(PLANES)]
+
+    def estimates(self, mine: slice, codes: Codes, part: slice) -> np.ndarray:
+        """Estimated inner products of some queries with some codes, from counts of common bits."""
+        words = codes.words[part]
+        common = np.zeros((len(self.low[mine]), len(words)), dtype=np.uint32)
+        for p, plane in enumerate(self.planes):
+            for w in range(words.shape[1]):
+                common += np.bitwise_count(plane[mine, w, None] & words[None, :, w]).astype(np.uint32) << p
+        ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        corner = 2 * (self.low[mine, None] * ones + self.step[mine, None] * common) - self.total[mine, None]
+        return corner / (math.sqrt(codes.dim) * codes.factors[part])
+
+
+def _blocks(n_queries: int, n_codes: int) -> Iterator[tuple[slice, slice]]:
+    for q in range(0, n_queries, BLOCK[0]):
+        for c in range(0, n_codes, BLOCK[1]):
+            yield slice(q, q + BLOCK[0]), slice(c, c + BLOCK[1])
+
+
+def best_estimates(queries: Queries, q_ids: np.ndarray, codes: Codes, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, code row, estimate): the k best estimates of each query, itself left out."""
+    found, held = [], None
+    for mine, part in _blocks(len(q_ids), len(ids)):
+        if part.start == 0:
+            held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            least = np.full(len(q_ids[mine]), -np.inf)
+        guess = queries.estimates(mine, codes, part)
+        guess[q_ids[mine][:, None] == ids[part][None, :]] = -np.inf
+        n = guess.shape[1]
+        floor = np.maximum(least, np.partition(guess, n - k, axis=1)[:, n - k]) if n > k else least
+        row, col = np.nonzero((guess >= floor[:, None]) & (guess > -np.inf))
+        row, col, score = (np.concatenate(x) for x in zip(held, (row, col + part.start, guess[row, col]), strict=True))
+        order = np.lexsort((ids[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        least[row[nth == k - 1]] = score[nth == k - 1]
+        held = tuple(x[nth < k] for x in (row, col, score))
+        if part.stop >= len(ids):
+            found.append((held[0] + mine.start, *held[1:]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def within_bounds(queries: Queries, q_ids: np.ndarray, least: np.ndarray, codes: Codes, ids: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, code row, estimate): all whose upper bound reaches `least` of the query."""
+    found, error = [], codes.error()
+    for mine, part in _blocks(len(q_ids), len(ids)):
+        guess = queries.estimates(mine, codes, part)
+        upper = guess + width * (error[part] + queries.rest[mine, None] / codes.factors[part])
+        row, col = np.nonzero((upper >= least[mine, None]) & (q_ids[mine][:, None] != ids[part][None, :]))
+        found.append((row + mine.start, col + part.start, guess[row, col]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def usable(vector: Column) -> Column:
@@ -80,58 +132,90 @@ def usable(vector: Column) -> Column:
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42) -> DataFrame:
-    """(vec_id, vector, code, factor) for every vector that takes part; it can be stored as a table."""
+    """(vec_id, vector, dim, code, factor): a row for every id that takes part; it can be stored as a table.
+
+    An id that is repeated has the smallest vector of it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for _, own in b.groupby(b["vector"].map(len)):
+            for _, own in b.groupby("dim"):
                 v = np.stack(own["vector"].to_numpy()).astype(np.float64)
                 codes, factors = encode(v / np.sqrt((v**2).sum(axis=1, keepdims=True)), seed)
                 yield own.assign(code=[c.tobytes() for c in codes], factor=factors)
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     kind = rows.schema["vector"].dataType.simpleString()
-    return rows.mapInPandas(run, f"vec_id long, vector {kind}, code binary, factor double")
+    rows = rows.withColumn("dim", F.size("vector"))
+    return rows.mapInPandas(run, f"vec_id long, vector {kind}, dim int, code binary, factor double")
 
 
-def nearest_neighbours(queries: DataFrame, index: DataFrame, k: int = 5, seed: int = 42, n_rows: int | None = None, slab_rows: int = SLAB_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def nearest_neighbours(
+    queries: DataFrame, index: DataFrame, k: int = 5, seed: int = 42, slab_rows: int = SLAB_ROWS, chunk_rows: int = CHUNK_ROWS,
+    width: float = ERROR_WIDTH,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best in the index by cosine, nearest first.
 
-    Both tables come from build_index. Queries are dealt over chunks and the index over slabs, each
-    of bounded size by the hash of the id, and a task searches one chunk in one slab; a slab goes to as many
-    tasks as there are chunks. Of each task come k rows a query, and the best k of these stay.
-    Ties go to the smaller id. Rows that repeat an id count once, as the smallest vector of it.
+    Both tables come from build_index and are stored. Only codes and factors are scanned: queries
+    are dealt over chunks and codes over slabs, each of bounded size by the hash of the id, and a
+    task compares one chunk with one slab. The first scan gives each query its best estimates, and
+    the vectors of these its k-th best score so far. The second gives all codes whose upper bound
+    reaches that score; their vectors are joined and scored exactly. Of equal vectors, whose codes
+    are equal, only the k + 1 smallest ids are scanned, since ties go to the smaller id.
     """
-    n = n_rows if n_rows is not None else index.count()
+    first = F.row_number().over(Window.partitionBy(F.xxhash64("vector")).orderBy("vec_id"))
+    codes = index.select("vec_id", "dim", "code", "factor", first.alias("nth")).where(F.col("nth") <= k + 1).drop("nth")
+    codes = written(codes, "codes")
+    n, m = codes.count(), queries.count()
     spread = 2 * index.sparkSession.sparkContext.defaultParallelism
     slabs = max(1, math.ceil(n / slab_rows), min(spread, n // 1024))
-    chunks = max(1, math.ceil(queries.count() / chunk_rows))
+    chunks = max(1, math.ceil(m / chunk_rows))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dim = F.size("vector").alias("dim")
-    left = queries.select("vec_id", "vector", dim, deal(chunks).alias("chunk"), every(slabs).alias("slab"))
-    right = index.select("vec_id", "vector", "code", "factor", dim, deal(slabs).alias("slab"), every(chunks).alias("chunk"))
     cell = ["dim", "chunk", "slab"]
-
-    def one_each(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-        v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-        order = np.lexsort((*v.T[::-1], pdf["vec_id"].to_numpy()))
-        pdf, v = pdf.iloc[order], v[order]
-        first = ~pdf["vec_id"].duplicated().to_numpy()
-        return pdf[first], v[first]
-
-    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        (q, qv), (d, dv) = one_each(q), one_each(d)
-        codes = np.frombuffer(b"".join(d["code"]), np.uint8).reshape(len(d), -1)
-        q_ids = q["vec_id"].to_numpy()
-        at, found, score = search(q_ids, qv, d["vec_id"].to_numpy(), dv, codes, d["factor"].to_numpy(), k, seed)
-        return pd.DataFrame({"query_id": q_ids[at], "vec_id": found, "score": score})
-
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    right = codes.select("vec_id", "dim", "code", "factor", deal(slabs).alias("slab"), every(chunks).alias("chunk"))
+
+    def scanned(asked: DataFrame, search: Callable) -> DataFrame:
+        left = asked.select("*", deal(chunks).alias("chunk"), every(slabs).alias("slab"))
+
+        def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(d):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "guess": []})
+            v = np.stack(q["vector"].to_numpy()).astype(np.float64)
+            unit = v / np.sqrt((v**2).sum(axis=1, keepdims=True))
+            words = np.frombuffer(b"".join(d["code"]), np.uint64).reshape(len(d), -1)
+            held = Codes(words, d["factor"].to_numpy(), unit.shape[1])
+            at, found, guess = search(Queries(unit, seed), q, held, d["vec_id"].to_numpy())
+            return pd.DataFrame({"query_id": q["vec_id"].to_numpy()[at], "vec_id": d["vec_id"].to_numpy()[found], "guess": guess})
+
+        cells = left.groupBy(*cell).cogroup(right.groupBy(*cell))
+        return cells.applyInPandas(run, "query_id long, vec_id long, guess double")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        side = lambda t, name, v: t.select(F.col("vec_id").alias(name), F.col("vector").alias(v))
+        both = pairs.select("query_id", "vec_id").join(side(queries, "query_id", "q"), "query_id").join(side(index, "vec_id", "v"), "vec_id")
+        return both.select("query_id", "vec_id", _cosine(F.col("q"), F.col("v")).alias("score"))
+
+    def ranked(pairs: DataFrame, score: str, most: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "vec_id"))
+        return pairs.withColumn("rank", rank).where(F.col("rank") <= most)
+
+    many = FIRST * k
+    own = queries.select("vec_id", "vector", "dim")
+    guesses = scanned(own, lambda q, frame, held, ids: best_estimates(q, frame["vec_id"].to_numpy(), held, ids, many))
+    sure = ranked(scored(ranked(guesses, "guess", many)), "score", k)
+    sure = written(sure.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"), F.count("*").alias("n")), "sure")
+    # a query with fewer than k others has all of them
+    least = F.when(F.col("n") == k, F.col("least")).otherwise(-2.0)
+    asked = own.join(sure, "vec_id").select("vec_id", "vector", "dim", (least - 1e-9).alias("least"))
+    near = scanned(asked, lambda q, frame, held, ids: within_bounds(q, frame["vec_id"].to_numpy(), frame["least"].to_numpy(), held, ids, width))
+    return ranked(scored(near), "score", k).select("query_id", "rank", "vec_id", "score")
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def nearest_of_every(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -139,7 +223,8 @@ def nearest_of_every(vectors: DataFrame, every: int = 50, k: int = 5, id_col: st
 
     Null vectors, zero ones, ones with a null, NaN or infinite component and rows without an id
     take no part. Vectors are only compared with those of their own length. Equal vectors tie,
-    and the smaller ids go first. No rows give no rows. Only the two named columns are read.
+    and the smaller ids go first. A repeated id counts once, with its smallest vector. No rows give
+    no rows. Only the two named columns are read.
     """
-    queries = build_index(vectors.where(F.col(id_col) % every == 0), id_col, vector_col)
-    return nearest_neighbours(queries, build_index(vectors, id_col, vector_col), k, n_rows=vectors.count())
+    index = written(build_index(vectors, id_col, vector_col), "index")
+    return nearest_neighbours(index.where(F.col("vec_id") % every == 0), index, k)

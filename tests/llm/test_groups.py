@@ -197,12 +197,45 @@ def test_nearest_against_brute_force(spark):
 
 def test_cells_change_nothing(spark):
     frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors(900, 16))], "vec_id long, embedding array<float>")
-    index = nearest.build_index(frame)
+    index = nearest.build_index(frame).cache()
     asked = index.where("vec_id % 30 = 0")
     out = [sorted(map(tuple, nearest.nearest_neighbours(asked, index, slab_rows=s, chunk_rows=c).collect())) for s, c in ((65_536, 4_096), (100, 7))]
     assert out[0] == out[1] and len(out[0]) == 150
 
 
+def test_estimates_from_packed_bits():
+    """Counts of common bits give the inner products with the corners, and bounds hold about as often as they should."""
+    rng = np.random.default_rng(5)
+    for dim in (7, 64, 100):
+        v, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.standard_normal((800, dim)), rng.standard_normal((40, dim))))
+        words, factors = nearest.encode(v, 42)
+        codes, asked = nearest.Codes(words, factors, dim), nearest.Queries(q, 42)
+        guess = asked.estimates(slice(0, 40), codes, slice(0, 800))
+        corner = np.where(v @ nearest.rotation(dim, 42) > 0, 1, -1) / np.sqrt(dim)
+        plain = (q @ nearest.rotation(dim, 42)) @ corner.T / factors
+        assert np.abs(guess - plain).max() < 10 * asked.rest.max() / factors.min() and np.corrcoef(guess.ravel(), (q @ v.T).ravel())[0, 1] > 0.6
+        width = nearest.ERROR_WIDTH * (codes.error() + asked.rest[:, None] / factors)
+        assert (np.abs(guess - q @ v.T) <= width).mean() > 0.97
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()
+    ids = np.array([r.vec_id for r in rows])
+    d = np.array([r.embedding for r in rows], dtype=float)
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    found = {}
+    for r in nearest.nearest_of_every(spark.createDataFrame(rows)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = d @ d[i]
+        s[i] = -2
+        best = set(ids[np.lexsort((ids, -s))[:5]].tolist())
+        hits, total = hits + len(best & found[ids[i]]), total + 5
+    assert hits >= 0.97 * total
+
+
 def sentences(rng, n):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
     return [" ".join(word() for _ in range(rng.randrange(9, 16))) + "." for _ in range(n)]
