@@ -21,27 +21,56 @@ def paged_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.sha2("source", 256).alias("file_hash"), F.col("source").alias("filename"), page.alias("unit_no"), page.alias("page"), "text", "doc_id")
 
 
+def marked_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as Markdown files: of seven lines one is a heading, and two each are text, a list and a table."""
+    line, i = F.col("x"), F.col("i")
+    head = F.concat(F.when((i / 7).cast("int") % 2 == 0, "# ").otherwise("## "), line)
+    marked = F.when(i % 7 == 0, head).when(i % 7 < 3, line).when(i % 7 < 5, F.concat(F.lit("- "), line)).otherwise(F.concat(F.lit("| "), line, F.lit(" |")))
+    units = file_units(spark, sf_dir)
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    texts = units.select("doc_id", F.explode(lines).alias("l")).select("doc_id", "l.*")
+    whole = texts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", marked.alias("text")))).alias("l"))
+    whole = whole.select("doc_id", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
+    return units.drop("text").join(whole, "doc_id")
+
+
 @query("""WITH files AS (SELECT source, sum(length(text))::BIGINT AS total_chars, CASE source WHEN 'src1' THEN 'markdown' WHEN 'src2' THEN 'fixed' WHEN 'src3' THEN 'auto' END AS split_mode FROM documents GROUP BY source, lang)
-SELECT source, total_chars, CASE WHEN split_mode = 'markdown' THEN 'parent_child' WHEN split_mode = 'fixed' THEN 'fixed' WHEN total_chars <= 3000 THEN 'semantic' ELSE 'fixed' END AS strategy FROM files""")
+SELECT engine, source, total_chars, CASE WHEN split_mode = 'markdown' THEN 'parent_child' WHEN split_mode = 'fixed' THEN 'fixed'
+  WHEN engine = 2 THEN 'parent_child' WHEN total_chars <= 3000 THEN 'semantic' ELSE 'fixed' END AS strategy FROM files, (VALUES (1), (2)) e(engine)""")
 def resolve_split_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.when(F.col("source") == "src1", "markdown").when(F.col("source") == "src2", "fixed").when(F.col("source") == "src3", "auto")
     files = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.sum(F.length("text")).cast("long").alias("total_chars")).withColumn("split_mode", mode)
-    return C.resolve_split_mode(files, engine=1).select("source", "total_chars", "strategy")
-
-
-@query()
+    both = [C.resolve_split_mode(files, engine=e).withColumn("engine", F.lit(e)) for e in (1, 2)]
+    return both[0].unionByName(both[1]).select("engine", "source", "total_chars", "strategy")
+
+
+@query(r"""WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents
+), placed AS (
+  SELECT *, i // 7 AS period, i % 7 AS place, trim(x) AS title FROM lines
+), paths AS (
+  SELECT h.doc_id, h.period, CASE WHEN h.period % 2 = 0 THEN h.title ELSE up.title || ' > ' || h.title END AS section
+  FROM placed h LEFT JOIN placed up ON up.doc_id = h.doc_id AND up.place = 0 AND up.period = h.period - 1 WHERE h.place = 0
+), blocks AS (
+  SELECT doc_id, period, (place + 1) // 2 AS part,
+    string_agg(CASE (place + 1) // 2 WHEN 1 THEN x WHEN 2 THEN '- ' || x ELSE '| ' || x || ' |' END, chr(10) ORDER BY i) AS text
+  FROM placed WHERE place > 0 GROUP BY ALL
+)
+SELECT 'doc-' || doc_id AS filename, row_number() OVER (PARTITION BY doc_id ORDER BY period, part) - 1 AS block_no,
+  ['text', 'list', 'table'][part] AS kind, section, CASE part WHEN 1 THEN trim(text) ELSE text END AS text
+FROM blocks JOIN paths USING (doc_id, period)""")
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.markdown_blocks(file_units(spark, sf_dir), one_unit=True)
+    return C.markdown_blocks(marked_units(spark, sf_dir), one_unit=True).select("filename", "block_no", "kind", "section", "text")
 
 
 @query()
 def parent_child_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.parent_child_chunks(file_units(spark, sf_dir), one_unit=True)
+    return C.parent_child_chunks(marked_units(spark, sf_dir), one_unit=True)
 
 
 @query()
 def markdown_section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.markdown_section_chunks(file_units(spark, sf_dir))
+    return C.markdown_section_chunks(marked_units(spark, sf_dir))
 
 
 @query()

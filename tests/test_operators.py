@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import markdown
 from paperloom.operators import catalog, chunking, cleaning, context, conversation, evaluation, planning, retrieval
+from paperloom.plans import chunking as chunk_plans
 
 
 def hits(spark, *lists):
@@ -180,3 +185,57 @@ def test_overlap_edges_against_all_pairs(spark, threshold):
     found = evaluation.overlap_edges(spark.createDataFrame(list(enumerate(sets)), "pk long, entities array<string>"), threshold).collect()
     jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0
     assert sorted((r.left_pk, r.right_pk) for r in found) == [(i, j) for i, j in combinations(range(len(sets)), 2) if jaccard(sets[i], sets[j]) >= threshold]
+
+
+def plain_semantic(text, spread=1.5, least=40, most=1000):
+    """Semantic chunks of one text, sentence by sentence; longer ones are left whole."""
+    cut = re.sub("([。！？!?；;])", r"\1\n", text).split("\n")
+    s = [x.strip() for x in cut if x.strip()]
+    v = [np.array([len(x) - len(x.lower().replace(c, "")) for c in "aeiounst"], dtype=float) for x in s]
+    near = [a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) if a.any() and b.any() else None for a, b in zip(v, v[1:], strict=False)]
+    breaks = [False] * len(s)
+    if near and None not in near:
+        low = np.mean(near) - spread * np.std(near)
+        breaks = [x < low for x in near] + [False]
+    out, held = [], ""
+    for x, b in zip(s, breaks, strict=True):
+        held += x
+        if b and len(held) >= least:
+            out.append(held)
+            held = ""
+    return out + [held] * bool(held)
+
+
+def test_semantic_chunks_of_the_tables(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = {}
+    for r in sorted(chunking.semantic_chunks(docs, ["doc_id"]).collect(), key=lambda r: (r.doc_id, r.part, r.cut)):
+        found.setdefault((r.doc_id, r.part), []).append(r.text)
+    expected = {(r.doc_id, i): t for r in docs.collect() for i, t in enumerate(plain_semantic(r.text))}
+    assert set(found) == set(expected) and len(expected) > docs.count()
+    for key, text in expected.items():
+        assert found[key] == ([text] if len(text) <= 1000 else markdown.fixed_pieces(text, 500, 50))
+
+
+def test_chunks_of_the_tables(spark, small):
+    """Children keep their sizes and order, and hold every word of their file but for headings and repeated table heads."""
+    units = chunk_plans.marked_units(spark, small)
+    text = {r.filename: r.text for r in units.collect()}
+    rows = {}
+    for r in chunking.parent_child_chunks(units, one_unit=True).collect():
+        rows.setdefault(r.filename, []).append(r)
+    assert set(rows) <= set(text)
+    for name, own in rows.items():
+        own.sort(key=lambda r: r.chunk_index)
+        assert [r.chunk_index for r in own] == list(range(len(own)))
+        assert [(r.parent_index, r.child_index) for r in own] == sorted((r.parent_index, r.child_index) for r in own)
+        plain = [b for b in markdown.markdown_blocks([(text[name], None)])]
+        letters = lambda s: re.sub(r"\s", "", s)
+        body = letters("".join(r.raw_text for r in own if r.content_type == "text"))
+        assert all(p in letters("".join(b.text for b in plain)) for p in [letters(r.raw_text) for r in own if r.content_type == "text"])
+        assert len(body) <= len(letters(text[name])) and {r.section for r in own} <= {b.section for b in plain}
+        assert all(len(r.raw_text) <= 450 + 120 + 2 * r.raw_text.count("\n\n") for r in own if r.content_type == "text")
+        assert all(r.text == (f"[章节: {r.section}]\n{r.raw_text}" if r.section else r.raw_text) for r in own)
+    for r in chunking.markdown_section_chunks(units).collect():
+        prefix = f"[章节: {r.section}]\n"
+        assert r.text.startswith(prefix) and len(r.text) - len(prefix) <= max(500 - len(prefix), 100) if r.content_type == "text" else r.text.startswith(f"{prefix}| ")
