@@ -20,7 +20,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, stored in that folder and read again, so that later steps start from the files."""
+    """The same rows, stored in that folder as Parquet and read again.
+
+    Later steps start from the files, so a lost executor costs the running stage only and nothing
+    before the write is computed twice. The files stay until the folder is cleared.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
