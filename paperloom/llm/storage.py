@@ -2,38 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from paperloom.sources.scratch import scratch_path as new_path
+from paperloom.sources.scratch import written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is set, a new one of a local session.
-
-    A session on a cluster must name the folder: a machine-local one would be lost with its
-    executor and can't be seen by the others.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read again.
-
-    Later steps start from the files, so a lost executor costs the running stage only and
-    nothing before the write is computed twice.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "written"]
