@@ -94,7 +94,9 @@ def format_conversations(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     number = F.col(turn_col).cast("long")
     turn = F.struct(number.isNull().alias("last"), number.alias("turn"), role.alias("role"), text.alias("text"))
-    turns = rows.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = rows.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(
+        F.sort_array(F.collect_list(turn)).alias("turns")
+    )
     turns = turns.withColumn("states", template.states(F.col("turns")))
     out = turns.select(
         "conv_id",
@@ -110,7 +112,9 @@ def read_turns(formatted: Column, template: ChatTemplate = CHAT) -> Column:
     literal = lambda s: f"\\Q{s}\\E"
     parts = F.split(formatted, literal(template.close))
     halves = lambda p: F.split(F.substr(p, F.lit(len(template.open) + 1)), literal(template.middle))
-    turn = lambda p: F.struct(template.unescaped(halves(p)[0]).alias("role"), template.unescaped(halves(p)[1]).alias("text"))
+    turn = lambda p: F.struct(
+        template.unescaped(halves(p)[0]).alias("role"), template.unescaped(halves(p)[1]).alias("text")
+    )
     return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), turn)
 
 

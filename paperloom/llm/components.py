@@ -39,7 +39,9 @@ def _star_table(pairs: DataFrame) -> DataFrame:
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.select(F.col("u").alias("n"), F.col("v").alias("m")).unionAll(links.select(F.col("v").alias("n"), F.col("u").alias("m")))
+    both = links.select(F.col("u").alias("n"), F.col("v").alias("m")).unionAll(
+        links.select(F.col("v").alias("n"), F.col("u").alias("m"))
+    )
     least = both.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least"))
     return _star_table(both.where("m > n").join(least, "n").select(F.col("m").alias("a"), F.col("least").alias("b")))
 
@@ -47,7 +49,9 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("least"))
     hung = links.join(least, "u")
-    ends = hung.select(F.col("v").alias("a"), F.col("least").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("least").alias("b")))
+    ends = hung.select(F.col("v").alias("a"), F.col("least").alias("b")).unionAll(
+        least.select(F.col("u").alias("a"), F.col("least").alias("b"))
+    )
     return _star_table(ends)
 
 

@@ -22,7 +22,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
+def source_targets(
+    sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS
+) -> DataFrame:
     """(source, source_size, target): the budget shared by weight, no source above its size times epochs.
 
     Sources take the weights in turn, by code point, null last. A source whose share is above its
@@ -33,12 +35,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
     whole = Window.partitionBy()
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", weight)
-    s = s.withColumns({"limit": F.col("source_size") * epochs, "all_words": F.sum("source_size").over(whole), "all_weights": F.sum("weight").over(whole)})
-    earlier = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumns(
+        {
+            "limit": F.col("source_size") * epochs,
+            "all_words": F.sum("source_size").over(whole),
+            "all_weights": F.sum("weight").over(whole),
+        }
+    )
+    earlier = Window.orderBy(
+        F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last()
+    ).rowsBetween(Window.unboundedPreceding, -1)
     spent, weighed = F.coalesce(F.sum("limit").over(earlier), F.lit(0)), F.coalesce(F.sum("weight").over(earlier), F.lit(0))
     s = s.withColumn("rate", (F.col("all_words") * F.lit(float(budget)) - spent) / (F.col("all_weights") - weighed))
     s = s.withColumn("rate", F.max(F.when(F.col("rate") * F.col("weight") <= F.col("limit"), F.col("rate"))).over(whole))
-    return s.select("source", "source_size", F.least(F.col("limit").cast("double"), F.col("rate") * F.col("weight")).alias("target"))
+    return s.select(
+        "source", "source_size", F.least(F.col("limit").cast("double"), F.col("rate") * F.col("weight")).alias("target")
+    )
 
 
 def mixed_sizes(
@@ -77,7 +89,11 @@ def mixed_sizes(
 
     before = Window.partitionBy("source").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     starts = queue.groupBy("source", "share").agg(F.sum("size").alias("words"))
-    starts = starts.select(F.col("source").alias("of"), F.col("share").alias("part"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
+    starts = starts.select(
+        F.col("source").alias("of"),
+        F.col("share").alias("part"),
+        F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"),
+    )
     order = F.when(F.col("share") < 0, -F.col("size")), "place", "doc_id", "size"
     within = Window.partitionBy("source", "share").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     own = queue.withColumn("within", F.sum("size").over(within))
@@ -101,7 +117,9 @@ def _cut(timed: DataFrame, words: int | None, budget: float, shares: int) -> flo
     document by document.
     """
     total = (words or 0) * float(budget)
-    entries = timed.where("size > 0").select("size", F.explode(F.array("first", "second")).alias("finish")).where("finish IS NOT NULL")
+    entries = timed.where("size > 0").select(
+        "size", F.explode(F.array("first", "second")).alias("finish")
+    ).where("finish IS NOT NULL")
     entries = entries.withColumn("range", F.floor(F.col("finish") * F.lit(16 * shares)))
     running = F.sum("words").over(Window.orderBy("range"))
     ranges = entries.groupBy("range").agg(F.sum("size").alias("words")).withColumn("upto", running)
@@ -128,7 +146,9 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("source").alias("mix_source"),
         (F.col("taken") / F.col("size")).cast("int").alias("mix_copies"),
     )
-    copies = copies.groupBy("mix_id", "mix_size", "mix_source").agg(F.min("mix_copies").alias("mix_copies")).where("mix_copies > 0")
+    copies = copies.groupBy("mix_id", "mix_size", "mix_source").agg(
+        F.min("mix_copies").alias("mix_copies")
+    ).where("mix_copies > 0")
     rows = docs.select(
         F.struct("*").alias("mix_row"), F.col(id_col).cast("long").alias("own_id"),
         word_count(F.col(text_col)).alias("own_size"), F.col(source_col).cast("string").alias("own_source"),

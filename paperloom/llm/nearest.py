@@ -91,7 +91,9 @@ def _blocks(n_queries: int, n_codes: int) -> Iterator[tuple[slice, slice]]:
             yield slice(q, q + BLOCK[0]), slice(c, c + BLOCK[1])
 
 
-def best_estimates(queries: Queries, q_ids: np.ndarray, codes: Codes, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_estimates(
+    queries: Queries, q_ids: np.ndarray, codes: Codes, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, code row, estimate): the k best estimates of each query, itself left out."""
     found, held = [], None
     for mine, part in _blocks(len(q_ids), len(ids)):
@@ -114,7 +116,9 @@ def best_estimates(queries: Queries, q_ids: np.ndarray, codes: Codes, ids: np.nd
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def within_bounds(queries: Queries, q_ids: np.ndarray, least: np.ndarray, codes: Codes, ids: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def within_bounds(
+    queries: Queries, q_ids: np.ndarray, least: np.ndarray, codes: Codes, ids: np.ndarray, width: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, code row, estimate): all whose upper bound reaches `least` of the query."""
     found, error = [], codes.error()
     for mine, part in _blocks(len(q_ids), len(ids)):
@@ -145,7 +149,9 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                 yield own.assign(code=[c.tobytes() for c in codes], factor=factors)
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    rows = rows.where(
+        F.col("vec_id").isNotNull() & usable(F.col("vector"))
+    ).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     kind = rows.schema["vector"].dataType.simpleString()
     rows = rows.withColumn("dim", F.size("vector"))
     return rows.mapInPandas(run, f"vec_id long, vector {kind}, dim int, code binary, factor double")
@@ -187,14 +193,18 @@ def nearest_neighbours(
             words = np.frombuffer(b"".join(d["code"]), np.uint64).reshape(len(d), -1)
             held = Codes(words, d["factor"].to_numpy(), unit.shape[1])
             at, found, guess = search(Queries(unit, seed), q, held, d["vec_id"].to_numpy())
-            return pd.DataFrame({"query_id": q["vec_id"].to_numpy()[at], "vec_id": d["vec_id"].to_numpy()[found], "guess": guess})
+            return pd.DataFrame(
+                {"query_id": q["vec_id"].to_numpy()[at], "vec_id": d["vec_id"].to_numpy()[found], "guess": guess}
+            )
 
         cells = left.groupBy(*cell).cogroup(right.groupBy(*cell))
         return cells.applyInPandas(run, "query_id long, vec_id long, guess double")
 
     def scored(pairs: DataFrame) -> DataFrame:
         side = lambda t, name, v: t.select(F.col("vec_id").alias(name), F.col("vector").alias(v))
-        both = pairs.select("query_id", "vec_id").join(side(queries, "query_id", "q"), "query_id").join(side(index, "vec_id", "v"), "vec_id")
+        both = pairs.select("query_id", "vec_id").join(
+            side(queries, "query_id", "q"), "query_id"
+        ).join(side(index, "vec_id", "v"), "vec_id")
         return both.select("query_id", "vec_id", _cosine(F.col("q"), F.col("v")).alias("score"))
 
     def ranked(pairs: DataFrame, score: str, most: int) -> DataFrame:
@@ -205,20 +215,31 @@ def nearest_neighbours(
     own = queries.select("vec_id", "vector", "dim")
     guesses = scanned(own, lambda q, frame, held, ids: best_estimates(q, frame["vec_id"].to_numpy(), held, ids, many))
     sure = ranked(scored(ranked(guesses, "guess", many)), "score", k)
-    sure = written(sure.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"), F.count("*").alias("n")), "sure")
+    sure = written(
+        sure.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"), F.count("*").alias("n")), "sure"
+    )
     # a query with fewer than k others has all of them
     least = F.when(F.col("n") == k, F.col("least")).otherwise(-2.0)
     asked = own.join(sure, "vec_id").select("vec_id", "vector", "dim", (least - 1e-9).alias("least"))
-    near = scanned(asked, lambda q, frame, held, ids: within_bounds(q, frame["vec_id"].to_numpy(), frame["least"].to_numpy(), held, ids, width))
+    near = scanned(
+        asked,
+        lambda q, frame, held, ids: within_bounds(
+            q, frame["vec_id"].to_numpy(), frame["least"].to_numpy(), held, ids, width
+        ),
+    )
     return ranked(scored(near), "score", k).select("query_id", "rank", "vec_id", "score")
 
 
 def _cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    dot = lambda x, y: F.aggregate(
+        F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v
+    )
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest_of_every(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_of_every(
+    vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
     """The k nearest others of each row whose id is divisible by `every`.
 
     Null vectors, zero ones, ones with a null, NaN or infinite component and rows without an id

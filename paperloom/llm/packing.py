@@ -89,7 +89,11 @@ def tokenize_pieces(
                     ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
                     head = len(ids) % capacity if len(ids) > capacity else len(ids)
                     cuts = [0, *range(head or capacity, len(ids), capacity), len(ids)]
-                    rows += [(doc_id, k, lo, hi - lo, ids[lo:hi].tobytes()) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                    rows += [
+                        (
+                            doc_id, k, lo, hi - lo, ids[lo:hi].tobytes()
+                        ) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))
+                    ]
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
                 yield out.astype({"doc_id": "Int64"})
 
@@ -160,18 +164,29 @@ def pack_best_fit(
     spark = pieces.sparkSession
     own = F.struct(*pieces.columns).alias("row")
     unnamed = F.when(F.concat(*(F.col(c).cast("string") for c in order_cols)).isNull(), F.monotonically_increasing_id())
-    pieces = written(pieces.select(own, F.col(length_col).cast("int").alias("len"), F.xxhash64(*order_cols, unnamed).alias("salt")), "pieces")
+    pieces = written(
+        pieces.select(own, F.col(length_col).cast("int").alias("len"), F.xxhash64(*order_cols, unnamed).alias("salt")),
+        "pieces",
+    )
     counts = {r[0]: r[1] for r in pieces.groupBy("len").count().collect()}
     slots, _ = plan_best_fit(counts, capacity)
     shares = max(32, -(-sum(counts.values()) // RANK_ROWS))
-    plan = spark.createDataFrame(slots, "slot_length int, slot_from long, slot_to long, slot_first long, slot_each long, slot_offset long")
+    plan = spark.createDataFrame(
+        slots, "slot_length int, slot_from long, slot_to long, slot_first long, slot_each long, slot_offset long"
+    )
 
     dealt = pieces.select("row", "len", F.pmod("salt", F.lit(shares)).alias("share"))
     before = Window.partitionBy("len").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("len", "share").count().select("len", "share", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    starts = dealt.groupBy("len", "share").count().select(
+        "len", "share", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")
+    )
     place = F.row_number().over(Window.partitionBy("len", "share").orderBy(*(F.col(f"row.{c}") for c in order_cols)))
-    ranked = dealt.withColumn("place", place).join(starts, ["len", "share"]).withColumn("rank", F.col("before") + F.col("place") - 1)
-    fits = (F.col("len") == F.col("slot_length")) & (F.col("rank") >= F.col("slot_from")) & (F.col("rank") < F.col("slot_to"))
+    ranked = dealt.withColumn("place", place).join(starts, ["len", "share"]).withColumn(
+        "rank", F.col("before") + F.col("place") - 1
+    )
+    fits = (
+        F.col("len") == F.col("slot_length")
+    ) & (F.col("rank") >= F.col("slot_from")) & (F.col("rank") < F.col("slot_to"))
     nth = F.col("rank") - F.col("slot_from")
     return ranked.join(F.broadcast(plan), fits).select(
         "row.*",

@@ -126,7 +126,9 @@ class Paragraphs:
         return _mixed(own * _M1 + (word_end - word_at).astype(np.uint64))
 
     @staticmethod
-    def _cut(at: int, stop: int, word: int, upto: int, word_end: list[int], picked: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    def _cut(
+        at: int, stop: int, word: int, upto: int, word_end: list[int], picked: list[int]
+    ) -> Iterator[tuple[int, int, int, int]]:
         """A long sentence in parts (start, end, first word, words) that end after words whose hash says so."""
         for k in range(bisect_left(picked, word), bisect_left(picked, upto - 1)):
             if picked[k] + 1 - word >= LEAST_WORDS:
@@ -182,7 +184,9 @@ def paragraph_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if len(seen) > MEMORY:
                     seen.clear()
                 places = {"paragraph": p.number, "start": p.start, "end": p.end, "n_words": p.count, "mark": p.marks}
-                yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy()[p.text], **places, "shingles": pd.Series(sets, dtype=object)})
+                yield pd.DataFrame(
+                    {"doc_id": own["doc_id"].to_numpy()[p.text], **places, "shingles": pd.Series(sets, dtype=object)}
+                )
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, paragraph int, start int, end int, n_words int, mark long, shingles array<int>"
@@ -233,8 +237,12 @@ def near_paragraphs(table: DataFrame) -> DataFrame:
     stars = met.where("mark <> hub").select(F.col("hub").alias("src"), F.col("mark").alias("dst")).distinct()
     links = written(_verified(stars, sets), "links")
     named = connected_components(links)
-    rows = met.join(named, met["mark"] == named["node"], "left").select("band", "mark", F.coalesce("component", "mark").alias("component"))
-    several = rows.groupBy("band").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
+    rows = met.join(named, met["mark"] == named["node"], "left").select(
+        "band", "mark", F.coalesce("component", "mark").alias("component")
+    )
+    several = rows.groupBy("band").agg(
+        F.min("component").alias("one"), F.max("component").alias("other")
+    ).where("one <> other")
     apart = rows.join(several.select("band"), "band", "left_semi").select("mark", "component").distinct()
     return links.unionAll(_verified(_meeting(sets.join(written(apart, "open"), "mark")), sets))
 
@@ -259,12 +267,20 @@ def _meeting(sets: DataFrame) -> DataFrame:
     offered = offered.withColumn("m", F.explode(sizes)).where(F.col("place") <= F.col("n") - both + 1)
     offered = written(offered.select("shingle", "n", "m", "mark", "component"), "offered")
     left = offered.select("shingle", "n", "m", F.col("mark").alias("src"), F.col("component").alias("one"))
-    right = offered.select("shingle", F.col("m").alias("n"), F.col("n").alias("m"), F.col("mark").alias("dst"), F.col("component").alias("other"))
+    right = offered.select(
+        "shingle",
+        F.col("m").alias("n"),
+        F.col("n").alias("m"),
+        F.col("mark").alias("dst"),
+        F.col("component").alias("other"),
+    )
     pairs = left.join(right, ["shingle", "n", "m"]).where((F.col("src") < F.col("dst")) & (F.col("one") != F.col("other")))
     return pairs.select("src", "dst").distinct()
 
 
-def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+def shared_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS
+) -> DataFrame:
     """One row per paragraph of a passage that documents share: what to remove, and what stays.
 
     doc_id, paragraph, start, end (code points), n_words, passage (number of its first paragraph),
@@ -283,9 +299,13 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = connected_components(near_paragraphs(table))
     spread = places.groupBy("mark").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.max("doc_id").alias("last"))
     # marks of several documents or with similar ones; a component is summed up from these alone
-    spread = spread.join(groups, spread["mark"] == groups["node"], "left").where("first.doc_id <> last OR component IS NOT NULL")
+    spread = spread.join(
+        groups, spread["mark"] == groups["node"], "left"
+    ).where("first.doc_id <> last OR component IS NOT NULL")
     marks = written(spread.select("mark", F.coalesce("component", "mark").alias("component"), "first", "last"), "marks")
-    common = marks.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first.doc_id <> last")
+    common = marks.groupBy("component").agg(
+        F.min("first").alias("first"), F.max("last").alias("last")
+    ).where("first.doc_id <> last")
     common = marks.select("mark", "component").join(common.drop("last"), "component")
     common = common.select(F.col("mark").alias("common"), "component", "first")
     shared = places.join(common, F.col("mark") == F.col("common"))

@@ -24,12 +24,19 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SPELLED_EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}(?: at |\s?[\[(]at[\])]\s?)[A-Za-z0-9-]{1,63}(?:(?: dot |\s?[\[(]dot[\])]\s?)[A-Za-z0-9-]{2,63}){1,3}(?!\w)", re.IGNORECASE)
-LOCAL_PHONE = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,4}\)[ .-]?|0[0-9]{1,4}[ /-]|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")
+SPELLED_EMAIL = re.compile(
+    r"(?<![\w.%+-])[\w.%+-]{1,64}(?: at |\s?[\[(]at[\])]\s?)[A-Za-z0-9-]{1,63}(?:(?: dot |\s?[\[(]dot[\])]\s?)[A-Za-z0-9-]{2,63}){1,3}(?!\w)",
+    re.IGNORECASE,
+)
+LOCAL_PHONE = re.compile(
+    r"(?<![\w+.-])(?:\([0-9]{2,4}\)[ .-]?|0[0-9]{1,4}[ /-]|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])"
+)
 LONG_IP = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
 
 #: Common top-level domains, and first digits of card issuers.
-TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io co de fr es uk us it nl ch at be pt pl se no dk fi ie eu ru cn jp br in au ca mx".split())
+TOP_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz io co de fr es uk us it nl ch at be pt pl se no dk fi ie eu ru cn jp br in au ca mx".split()
+)
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36", "38", "22", "23", "24", "25", "26", "27")
 #: Words before a span that speak for a kind, and words that speak against any.
 CONTEXT = {
@@ -38,7 +45,25 @@ CONTEXT = {
     "card": {"card", "visa", "mastercard", "credit", "debit", "payment", "karte", "tarjeta", "carte"},
     "phone": {"phone", "tel", "telephone", "call", "mobile", "cell", "fax", "telefon", "téléphone", "teléfono", "anruf"},
 }
-AGAINST = {"version", "release", "isbn", "issn", "invoice", "order", "article", "section", "page", "chapter", "serial", "id", "no", "nr", "vol", "figure", "table"}
+AGAINST = {
+    "version",
+    "release",
+    "isbn",
+    "issn",
+    "invoice",
+    "order",
+    "article",
+    "section",
+    "page",
+    "chapter",
+    "serial",
+    "id",
+    "no",
+    "nr",
+    "vol",
+    "figure",
+    "table",
+}
 
 
 def luhn(digits: str) -> bool:
@@ -90,7 +115,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     if re.search("[0-9]", text):
         sort_in(1, (m.span() for m in DOTTED.finditer(text)), _octets)
         numbers = [m.span() for m in DIGITS.finditer(text)]
-        sort_in(2, (s for s in numbers if s[1] - s[0] >= 13 and 13 <= len(_digits(text[s[0] : s[1]])) <= 19), lambda s: len(_digits(s)) >= 16 and luhn(_digits(s)))
+        sort_in(
+            2,
+            (s for s in numbers if s[1] - s[0] >= 13 and 13 <= len(_digits(text[s[0] : s[1]])) <= 19),
+            lambda s: len(_digits(s)) >= 16 and luhn(_digits(s)),
+        )
         if "+" in text:
             sort_in(3, (m.span() for m in PLUS.finditer(text)), lambda s: 8 <= len(_digits(s)) <= 15)
         more += [(3, *m.span()) for m in LOCAL_PHONE.finditer(text)]
@@ -135,7 +164,9 @@ def ballots(text: str, kind: int, a: int, b: int) -> str:
     before = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)?", text[max(0, a - 40) : a].lower())[-4:]
     context = "+" if CONTEXT[KINDS[kind]].intersection(before) else "-" if AGAINST.intersection(before[-2:]) else "0"
     left, right = text[a - 1 : a], text[b : b + 1]
-    edges = "-" if left.isalnum() or right.isalnum() or left in ("-", "_", "#") and left else "+" if (not left or left.isspace()) and (not right or right.isspace() or right in ".,;:!?)") else "0"
+    edges = "-" if left.isalnum() or right.isalnum() or left in ("-", "_", "#") and left else "+" if (not left or left.isspace()) and (
+        not right or right.isspace() or right in ".,;:!?)"
+    ) else "0"
     return checksum + gazetteer + context + edges
 
 
@@ -181,7 +212,14 @@ def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, base, others): a row per document with its spans, votes, shapes and the words around; no text."""
 
     def looks(text: str, k: int, a: int, e: int) -> dict[str, object]:
-        return {"kind": k, "from": a, "to": e, "votes": ballots(text, k, a, e), "form": shape(text[a:e]), "near": around(text, a, e)}
+        return {
+            "kind": k,
+            "from": a,
+            "to": e,
+            "votes": ballots(text, k, a, e),
+            "form": shape(text[a:e]),
+            "near": around(text, a, e),
+        }
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -242,7 +280,9 @@ def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> Reliabi
     found = Reliabilities(0.5, trust, 1 - trust)
     if not len(votes):
         return found
-    share = lambda p, start: (((votes == 1).T @ (n * p)) + TRUST_VOTES * start) / (((votes != 0).T @ (n * p)) + TRUST_VOTES)
+    share = lambda p, start: (
+        ((votes == 1).T @ (n * p)) + TRUST_VOTES * start
+    ) / (((votes != 0).T @ (n * p)) + TRUST_VOTES)
     for _ in range(rounds):
         p = found.probability(votes)
         prior = (n @ p + TRUST_VOTES / 2) / (n.sum() + TRUST_VOTES)
@@ -250,7 +290,9 @@ def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> Reliabi
     return found
 
 
-def _classifier(rows: list[list[str]], target: np.ndarray, n: np.ndarray, steps: int = 500, ridge: float = 1e-4) -> SpanModel:
+def _classifier(
+    rows: list[list[str]], target: np.ndarray, n: np.ndarray, steps: int = 500, ridge: float = 1e-4
+) -> SpanModel:
     """Logistic regression of soft labels, rows weighted by the root of how often they were seen."""
     names = sorted({f for r in rows for f in r})
     if not names:
@@ -286,7 +328,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             base = [[(s["kind"], s["from"], s["to"]) for s in spans] for spans in b["base"]]
-            more = [[(s["kind"], s["from"], s["to"]) for s in spans if model.accepts(s["kind"], s["votes"], s["form"], s["near"])] for spans in b["others"]]
+            more = [
+                [
+                    (s["kind"], s["from"], s["to"]) for s in spans if model.accepts(
+                        s["kind"], s["votes"], s["form"], s["near"]
+                    )
+                ] for spans in b["others"]
+            ]
             out = pd.DataFrame({"doc_id": b["doc_id"]})
             for k, name in enumerate(KINDS):
                 out[f"n_{name}"] = [sum(s[0] == k for s in spans) for spans in base]
@@ -294,7 +342,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out["spans"] = [_listed(x + y) for x, y in zip(base, more, strict=True)]
             yield out
 
-    return table.mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return table.mapInPandas(
+        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    )
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -30,7 +30,9 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, SPACES), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), words.alias("words"), lines.alias("lines"))
+    d = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), words.alias("words"), lines.alias("lines")
+    )
     d = d.withColumn("n_words", F.size("words").cast("long"))
     n = F.greatest(F.size("words") - 2, F.lit(0))
     windows = F.arrays_zip(*(F.slice("words", k, n).alias(f"w{k}") for k in (1, 2, 3)))
@@ -40,10 +42,18 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     numbered = F.transform(F.col("marks"), lambda m, i: F.struct(m.alias("mark"), i.alias("at")))
     d = d.withColumn("sorted", F.when(F.col("repeats"), F.sort_array(numbered)))
     same = lambda x, i: F.get(F.col("sorted"), i)["mark"] == x["mark"]
-    places = F.transform(F.filter("sorted", lambda x, i: F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False))), lambda x: x["at"])
+    places = F.transform(
+        F.filter("sorted", lambda x, i: F.coalesce(same(x, i - 1), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False))),
+        lambda x: x["at"],
+    )
     d = d.withColumn("places", F.when(F.col("repeats"), F.sort_array(places)))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("covered"))
-    covered = F.aggregate("places", start, lambda s, p: F.struct(p.alias("last"), (s["covered"] + F.least(F.lit(3), p - s["last"])).alias("covered")), lambda s: s["covered"])
+    covered = F.aggregate(
+        "places",
+        start,
+        lambda s, p: F.struct(p.alias("last"), (s["covered"] + F.least(F.lit(3), p - s["last"])).alias("covered")),
+        lambda s: s["covered"],
+    )
     count = lambda pattern: F.regexp_count(F.col("text"), F.lit(pattern)).cast("long")
     stop = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
     return d.select(
@@ -75,7 +85,11 @@ RULES = (
     Rule("repeats", "20 * n_repeat_words <= n_words", "10 * n_repeat_words > 3 * n_words"),
     Rule("capitals", "10 * n_upper <= word_chars", "10 * n_upper > 3 * word_chars"),
     Rule("stop_words", "100 * n_stop_words >= 6 * n_words", "100 * n_stop_words < 2 * n_words"),
-    Rule("word_length", "word_chars BETWEEN 4 * n_words AND 7 * n_words", "word_chars NOT BETWEEN 3 * n_words AND 10 * n_words"),
+    Rule(
+        "word_length",
+        "word_chars BETWEEN 4 * n_words AND 7 * n_words",
+        "word_chars NOT BETWEEN 3 * n_words AND 10 * n_words",
+    ),
     Rule("sentences", "10 * n_ended_lines >= 8 * n_lines AND n_lines > 0", "10 * n_ended_lines < n_lines"),
 )
 
@@ -117,7 +131,9 @@ class RuleModel:
 
 def votes(measures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The measures with a column vote_<rule> for each rule."""
-    return measures.withColumns({f"vote_{r.name}": F.when(F.expr(r.bad), -1).when(F.expr(r.good), 1).otherwise(0) for r in rules})
+    return measures.withColumns(
+        {f"vote_{r.name}": F.when(F.expr(r.bad), -1).when(F.expr(r.good), 1).otherwise(0) for r in rules}
+    )
 
 
 def fit_rules(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 40) -> RuleModel:
@@ -137,15 +153,23 @@ def fit_rules(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 4
     for _ in range(rounds):
         rows = counts.select("count", *names, F.posexplode(model.posterior(rules)).alias("class", "likely"))
         own = F.col("count") * F.col("likely")
-        cast = lambda test: [F.sum(F.when(F.expr(f"{n} {test}"), own).otherwise(0.0)).alias(f"{n} {test}") for n in names]
-        found = {r["class"]: r for r in rows.groupBy("class").agg(F.sum(own).alias("all"), *cast("= 1"), *cast("<> 0")).collect()}
+        cast = lambda test: [
+            F.sum(F.when(F.expr(f"{n} {test}"), own).otherwise(0.0)).alias(f"{n} {test}") for n in names
+        ]
+        found = {
+            r["class"]: r for r in rows.groupBy("class").agg(F.sum(own).alias("all"), *cast("= 1"), *cast("<> 0")).collect()
+        }
         if not found:
             break
         total = sum(r["all"] for r in found.values())
         shares, rates = [], []
         for c, (share, rate) in enumerate(zip(start.shares, start.rates, strict=True)):
             shares.append((found[c]["all"] + weight * share) / (total + weight))
-            right = [(found[c][f"{n} = 1"] + weight * x) / (found[c][f"{n} <> 0"] + weight) for n, x in zip(names, rate, strict=True)]
+            right = [
+                (
+                    found[c][f"{n} = 1"] + weight * x
+                ) / (found[c][f"{n} <> 0"] + weight) for n, x in zip(names, rate, strict=True)
+            ]
             rates.append(tuple(min(0.99, max(0.01, x)) for x in right))
         before, model = model, RuleModel(tuple(shares), tuple(rates))
         moved = zip((*before.shares, *sum(before.rates, ())), (*model.shares, *sum(model.rates, ())), strict=True)
@@ -154,7 +178,9 @@ def fit_rules(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 4
     return model
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def quality_verdicts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES
+) -> DataFrame:
     """One row per document: the measures, base_failed, kept and quality (posterior probability).
 
     base_failed: fewer than 50 words, or over half of them in repeated three-word windows. kept:
@@ -170,5 +196,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     voted = voted.withColumn("quality", fit_rules(voted, rules).posterior(rules)[0])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return voted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("quality") >= 0.5)).alias("kept"), "quality"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (
+            ~failed & (F.col("quality") >= 0.5)
+        ).alias("kept"), "quality"
     )

@@ -87,7 +87,9 @@ class TokenRollup:
         if batch_id <= latest:
             return False
         seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
-        known = changes.where(F.col("doc_id").isNotNull() & F.col("version").isNotNull() & F.col("op").isin("insert", "revise", "delete"))
+        known = changes.where(
+            F.col("doc_id").isNotNull() & F.col("version").isNotNull() & F.col("op").isin("insert", "revise", "delete")
+        )
         row = F.struct(
             seq.alias("seq"), (F.col("op") != "delete").alias("live"), F.col("source").cast("string").alias("source"),
             F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"),

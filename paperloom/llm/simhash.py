@@ -93,7 +93,9 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(sketch(text, width, seed)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting: SimHashSetting = BY_BITS) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting: SimHashSetting = BY_BITS
+) -> DataFrame:
     """(doc_id, fingerprint, sketch): one row per document; the first 64 bits as a signed number,
     and all of them as bytes."""
 
@@ -107,7 +109,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return keys.mapInPandas(run, "doc_id long, fingerprint long, sketch binary")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting: SimHashSetting = BY_BITS) -> DataFrame:
+def simhash_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting: SimHashSetting = BY_BITS
+) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Two documents are linked if their fingerprints differ in no more bits than the setting says; a
@@ -133,7 +137,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marks.join(named, marks["node"] == named["own"]).select("doc_id", hexed, "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting: SimHashSetting = BY_SIMILARITY) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting: SimHashSetting = BY_SIMILARITY
+) -> DataFrame:
     """The documents with the smallest id of each component, once each, with all their columns.
 
     Rows that repeat an id are one document, which goes if one of them is linked to a smaller id.
@@ -166,7 +172,11 @@ def near_fingerprints(nodes: DataFrame, setting: SimHashSetting = BY_BITS, task_
     """
     n = nodes.count()
     budgets = setting.budgets()
-    turns = [F.struct(F.lit(k).alias("turn"), _rotated(F.col("fingerprint"), k * (64 // setting.turns)).alias("path")) for k in range(setting.turns)]
+    turns = [
+        F.struct(
+            F.lit(k).alias("turn"), _rotated(F.col("fingerprint"), k * (64 // setting.turns)).alias("path")
+        ) for k in range(setting.turns)
+    ]
     rows = nodes.select("node", "sketch", F.explode(F.array(*turns)).alias("t")).select("node", "sketch", "t.turn", "t.path")
     if setting.words == 1:
         rows = rows.drop("sketch")
@@ -265,7 +275,11 @@ def trie_links(
             continue
         turns = np.r_[0, np.cumsum(label[1:] != label[:-1])]  # equal at two places: one group in between
         live = (a0 < a1) & (b0 < b1) & (diff <= budgets[d])
-        live[live] = ~((label[a0[live]] == label[b0[live]]) & (turns[a1[live] - 1] == turns[a0[live]]) & (turns[b1[live] - 1] == turns[b0[live]]))
+        live[live] = ~(
+            (label[a0[live]] == label[b0[live]]) & (turns[a1[live] - 1] == turns[a0[live]]) & (
+                turns[b1[live] - 1] == turns[b0[live]]
+            )
+        )
         a0, a1, b0, b1, diff = (x[live] for x in (a0, a1, b0, b1, diff))
         leaf = (np.maximum(a1 - a0, b1 - b0) <= leaf_rows) if d < 64 else np.ones(len(a0), bool)
         for lo in range(0, int(leaf.sum()), frontier // leaf_rows**2 + 1):

@@ -109,7 +109,9 @@ def swapped(words: set[str], pick: int, identities: tuple[tuple[str, ...], ...]
     return {other.get(w, w) for w in words}
 
 
-def counterfactuals(text: str | None, pick: int, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> list[tuple[set[str], set[str]]]:
+def counterfactuals(
+    text: str | None, pick: int, identities: tuple[tuple[str, ...], ...] = IDENTITIES
+) -> list[tuple[set[str], set[str]]]:
     """Pairs of word sets whose scores must not differ: sentences of a text, and what they become.
 
     Each sentence with identity terms is paired with itself after a swap. If none has any, a
@@ -167,7 +169,9 @@ def chosen_features(rows: DataFrame, features: int) -> list[str]:
                 for label, words in zip(b["toxic"].iloc[at : at + 1000], b["words"].iloc[at : at + 1000], strict=True):
                     (toxic if label else clean).update({f for w in words for f in word_features(w)})
                 names = list(toxic | clean)
-                yield pd.DataFrame({"feature": names, "toxic": [toxic[n] for n in names], "clean": [clean[n] for n in names]})
+                yield pd.DataFrame(
+                    {"feature": names, "toxic": [toxic[n] for n in names], "clean": [clean[n] for n in names]}
+                )
 
     n = rows.agg(F.sum("toxic"), F.count("*")).first()
     if not n[0] or n[0] == n[1]:
@@ -214,7 +218,9 @@ def fit_toxicity(
     bias = float(np.log(rate / (1 - rate)))
     if not names:
         return ToxicityModel(bias, {})
-    pairs = rows.select(F.explode("pairs").alias("p")).groupBy("p.minus", "p.plus").count().orderBy("minus", "plus").collect()
+    pairs = rows.select(
+        F.explode("pairs").alias("p")
+    ).groupBy("p.minus", "p.plus").count().orderBy("minus", "plus").collect()
     known = lambda side: [number[f] for f in side if f in number]
     sides = [(known(r["minus"]), known(r["plus"]), r["count"]) for r in pairs]
     bias, w = _fit([r["has"] for r in got], y, sides, len(names), bias, swap_weight, ridge)
@@ -249,7 +255,9 @@ def _fit(
     return float(x[n]), x[:n]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def toxicity_scores(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5
+) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1) and predicted (score >= threshold).
 
     The score comes from the whole text alone. Null and empty texts have the score of a text
@@ -262,7 +270,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5
+) -> DataFrame:
     """The documents that score below the threshold, with all their columns.
 
     Null and empty texts score as texts without known words; rows without an id and repeated rows

@@ -30,7 +30,9 @@ def roots(nodes, links):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rng = random.Random(seed)
-    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(0, n) for n in range(100, 130)] + [(n, n + 1) for n in range(200, 230)]
+    links = [
+        (rng.randrange(60), rng.randrange(60)) for _ in range(35)
+    ] + [(0, n) for n in range(100, 130)] + [(n, n + 1) for n in range(200, 230)]
     expected = roots({n for link in links if link[0] != link[1] for n in link}, links)
     frame = spark.createDataFrame([*links, (None, 3)], "src long, dst long")
     found = components.connected_components(frame)
@@ -50,7 +52,9 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("text", [None, "", " \n", "One", "A b", "É one two three é", "a a a a a b", "x " * 3000, "Tab\tand\x0bline\nends İ"])
+@pytest.mark.parametrize(
+    "text", [None, "", " \n", "One", "A b", "É one two three é", "a a a a a b", "x " * 3000, "Tab\tand\x0bline\nends İ"]
+)
 def test_fingerprint(text):
     assert simhash.fingerprint(text) == brute_fingerprint(text)
 
@@ -71,7 +75,9 @@ def near_copies():
 
 def test_simhash_components(spark):
     rows = near_copies()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("fingerprint", "component_id", "node", "mark", "path", "sketch", "own", "member")})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {c: F.lit(1) for c in ("fingerprint", "component_id", "node", "mark", "path", "sketch", "own", "member")}
+    )
     marks = [brute_fingerprint(t) for _, t in rows]
     distinct = sorted(set(marks))
     root = roots(distinct, [(a, b) for a, b in combinations(distinct, 2) if (a ^ b).bit_count() <= 3])
@@ -80,7 +86,9 @@ def test_simhash_components(spark):
         if i is not None:
             first[root[m]] = min(i, first.get(root[m], i))
     expected = sorted((repr(i), f"{m:016x}", first[root[m]]) for (i, _), m in zip(rows, marks, strict=True))
-    assert sorted((repr(r.doc_id), r.fingerprint, r.component_id) for r in simhash.simhash_components(docs).collect()) == expected
+    assert sorted(
+        (repr(r.doc_id), r.fingerprint, r.component_id) for r in simhash.simhash_components(docs).collect()
+    ) == expected
     kept = [r.doc_id for r in simhash.one_of_each(docs, setting=simhash.BY_BITS).collect()]
     assert sorted(i for i in kept if i is not None) == sorted(set(first.values())) and kept.count(None) == 1
     assert simhash.simhash_components(docs.where("doc_id > 99999")).count() == 0
@@ -98,7 +106,9 @@ def linked(marks, most):
     return roots(marks.tolist(), [(int(a), int(b)) for a, b in combinations(marks, 2) if int(a ^ b).bit_count() <= most])
 
 
-@pytest.mark.parametrize(("most", "turns", "leaf_rows", "cell_rows"), [(3, 2, 1, 20_000), (3, 2, 1, 8), (3, 1, 1, 30), (9, 4, 8, 50)])
+@pytest.mark.parametrize(
+    ("most", "turns", "leaf_rows", "cell_rows"), [(3, 2, 1, 20_000), (3, 2, 1, 8), (3, 1, 1, 30), (9, 4, 8, 50)]
+)
 def test_trie_join_against_all_pairs(spark, most, turns, leaf_rows, cell_rows):
     """Also where sub-tries are too large for a task and go down further before they are dealt."""
     marks = near_marks(np.random.default_rng(3), 4, 60, max(2, most // 2))
@@ -119,8 +129,14 @@ def test_pairs_are_found_by_descent(monkeypatch):
     marks = near_marks(np.random.default_rng(1), 20, 100, 2)
     budgets = simhash.SimHashSetting(turns=1).budgets()
     seen, plain = [], simhash._leaf_pairs
-    monkeypatch.setattr(simhash, "_leaf_pairs", lambda a0, a1, b0, b1: seen.append((a1 - a0).max() * (b1 - b0).max() * len(a0)) or plain(a0, a1, b0, b1))
-    monkeypatch.setattr(simhash, "_union", lambda label, left, right, union=simhash._union: union(label, left, right) if len(seen) else None)
+    monkeypatch.setattr(
+        simhash,
+        "_leaf_pairs",
+        lambda a0, a1, b0, b1: seen.append((a1 - a0).max() * (b1 - b0).max() * len(a0)) or plain(a0, a1, b0, b1),
+    )
+    monkeypatch.setattr(
+        simhash, "_union", lambda label, left, right, union=simhash._union: union(label, left, right) if len(seen) else None
+    )
     expected = linked(marks, 3)
     for frontier in (50, 10**6):
         seen.clear()
@@ -175,9 +191,21 @@ def vectors(n=1500, dim=24):
 
 def test_nearest_against_brute_force(spark):
     v = vectors()
-    bad = [(5001, None), (5050, [0.0] * 24), (5100, [1.0] * 23 + [float("nan")]), (5150, [1.0] * 23 + [None]), (5200, [float("inf")] * 24), (5250, []), (None, [1.0] * 24), (5300, [1.0] * 7), (5350, [2.0] * 7)]
+    bad = [
+        (5001, None),
+        (5050, [0.0] * 24),
+        (5100, [1.0] * 23 + [float("nan")]),
+        (5150, [1.0] * 23 + [None]),
+        (5200, [float("inf")] * 24),
+        (5250, []),
+        (None, [1.0] * 24),
+        (5300, [1.0] * 7),
+        (5350, [2.0] * 7),
+    ]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(50, v[50].tolist())] + bad
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("vector", "code", "rank", "score", "dim")})
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns(
+        {c: F.lit(1) for c in ("vector", "code", "rank", "score", "dim")}
+    )
     found = {}
     for r in nearest.nearest_of_every(frame).collect():
         found.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
@@ -191,15 +219,23 @@ def test_nearest_against_brute_force(spark):
         assert all(abs(found[q][k][1] - s[found[q][k][0]]) < 1e-12 for k in range(1, 6))
     assert hits / (5 * 30) >= 0.97
     assert [found[50][k][0] for k in range(1, 6)] == [100, 101, 102, 103, 104]  # ties go to the smaller id
-    assert [found[5300][k] for k in found[5300]] == [(5350, pytest.approx(1.0))] and set(found) == {*range(0, 1500, 50), 5300, 5350}
+    assert [
+        found[5300][k] for k in found[5300]
+    ] == [(5350, pytest.approx(1.0))] and set(found) == {*range(0, 1500, 50), 5300, 5350}
     assert nearest.nearest_of_every(frame.where("vec_id > 99999")).count() == 0
 
 
 def test_cells_change_nothing(spark):
-    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors(900, 16))], "vec_id long, embedding array<float>")
+    frame = spark.createDataFrame(
+        [(i, x.tolist()) for i, x in enumerate(vectors(900, 16))], "vec_id long, embedding array<float>"
+    )
     index = nearest.build_index(frame).cache()
     asked = index.where("vec_id % 30 = 0")
-    out = [sorted(map(tuple, nearest.nearest_neighbours(asked, index, slab_rows=s, chunk_rows=c).collect())) for s, c in ((65_536, 4_096), (100, 7))]
+    out = [
+        sorted(
+            map(tuple, nearest.nearest_neighbours(asked, index, slab_rows=s, chunk_rows=c).collect())
+        ) for s, c in ((65_536, 4_096), (100, 7))
+    ]
     assert out[0] == out[1] and len(out[0]) == 150
 
 
@@ -207,13 +243,19 @@ def test_estimates_from_packed_bits():
     """Counts of common bits give the inner products with the corners, and bounds hold about as often as they should."""
     rng = np.random.default_rng(5)
     for dim in (7, 64, 100):
-        v, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.standard_normal((800, dim)), rng.standard_normal((40, dim))))
+        v, q = (
+            x / np.linalg.norm(x, axis=1, keepdims=True) for x in (
+                rng.standard_normal((800, dim)), rng.standard_normal((40, dim))
+            )
+        )
         words, factors = nearest.encode(v, 42)
         codes, asked = nearest.Codes(words, factors, dim), nearest.Queries(q, 42)
         guess = asked.estimates(slice(0, 40), codes, slice(0, 800))
         corner = np.where(v @ nearest.rotation(dim, 42) > 0, 1, -1) / np.sqrt(dim)
         plain = (q @ nearest.rotation(dim, 42)) @ corner.T / factors
-        assert np.abs(guess - plain).max() < 10 * asked.rest.max() / factors.min() and np.corrcoef(guess.ravel(), (q @ v.T).ravel())[0, 1] > 0.6
+        assert np.abs(guess - plain).max() < 10 * asked.rest.max() / factors.min() and np.corrcoef(
+            guess.ravel(), (q @ v.T).ravel()
+        )[0, 1] > 0.6
         width = nearest.ERROR_WIDTH * (codes.error() + asked.rest[:, None] / factors)
         assert (np.abs(guess - q @ v.T) <= width).mean() > 0.97
 
@@ -256,13 +298,17 @@ def test_shared_passages(spark):
         (5, " ".join(sentences(rng, 3)) + " " + " ".join(changed) + "."),
         (6, "Short one. " * 3), (7, "Short one. " * 3), (8, None), (9, ""), (None, passage), (2, "again " + passage),
     ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("mark", "start", "component", "node")})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {c: F.lit(1) for c in ("mark", "start", "component", "node")}
+    )
     found = passages.shared_passages(docs).collect()
     assert {r.doc_id for r in found} >= {1, 2} and not {r.doc_id for r in found} & {3, 6, 7, 8, 9}
     assert {r.first_doc for r in found if r.doc_id == 2} == {1} and not any(r.removed for r in found if r.doc_id == 1)
     assert all(r.removed for r in found if r.doc_id == 2)
     text = dict(rows[:7])
-    assert all(text[r.doc_id][r.start : r.end].strip().lower() in passage.lower() or r.doc_id > 3 for r in found if r.doc_id == 1)
+    assert all(
+        text[r.doc_id][r.start : r.end].strip().lower() in passage.lower() or r.doc_id > 3 for r in found if r.doc_id == 1
+    )
     assert passages.shared_passages(docs.where("doc_id > 99")).count() == 0
 
 
@@ -285,7 +331,11 @@ def brute_passages(texts):
     """All rows of shared_passages, from all pairs of paragraphs; the cutting alone is the operator's."""
     ids = sorted(texts)
     p = passages.Paragraphs([texts[i] for i in ids])
-    own = [(ids[t], int(k), int(a), int(b), int(n)) for t, k, a, b, n in zip(p.text, p.number, p.start, p.end, p.count, strict=True)]
+    own = [
+        (ids[t], int(k), int(a), int(b), int(n)) for t, k, a, b, n in zip(
+            p.text, p.number, p.start, p.end, p.count, strict=True
+        )
+    ]
     words = {(i, k): tuple(texts[i][a:b].lower().split()) for i, k, a, b, _ in own}
     names = {w: (i, k) for (i, k), w in sorted(words.items(), reverse=True)}  # the first place of each paragraph
     sets = {names[w]: word_runs(" ".join(w), 0, None) for w in names}
@@ -304,16 +354,30 @@ def brute_passages(texts):
 
 
 def test_shared_passages_against_all_pairs(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(9_000_001, None), (9_000_002, "")], "doc_id long, text string"))
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").union(
+        spark.createDataFrame([(9_000_001, None), (9_000_002, "")], "doc_id long, text string")
+    )
     expected = brute_passages({r.doc_id: r.text or "" for r in docs.collect()})
-    found = sorted(tuple(r[c] for c in ("doc_id", "paragraph", "start", "end", "n_words", "passage", "first_doc", "removed")) for r in passages.shared_passages(docs).collect())
+    found = sorted(
+        tuple(
+            r[c] for c in ("doc_id", "paragraph", "start", "end", "n_words", "passage", "first_doc", "removed")
+        ) for r in passages.shared_passages(docs).collect()
+    )
     assert len(expected) > 100 and found == expected
 
 
 def test_equal_rows_and_very_long_texts(spark):
     rng = random.Random(3)
     passage, rest = " ".join(sentences(rng, 8)), " ".join(sentences(rng, 9000))
-    one = [(1, passage), (1, passage), (2, rest + " " + passage), (3, "word " * 300_000), (4, "x" * 3_000_000), (5, passage), (5, "other words " + passage)]
+    one = [
+        (1, passage),
+        (1, passage),
+        (2, rest + " " + passage),
+        (3, "word " * 300_000),
+        (4, "x" * 3_000_000),
+        (5, passage),
+        (5, "other words " + passage),
+    ]
     found = passages.shared_passages(spark.createDataFrame(one, "doc_id long, text string")).collect()
     assert {r.doc_id for r in found} == {1, 2, 5} and {r.first_doc for r in found} == {1}
     assert len({(r.doc_id, r.paragraph) for r in found}) == len(found)
@@ -324,7 +388,18 @@ def test_equal_rows_and_very_long_texts(spark):
 def test_paragraphs_do_not_hang_on_their_neighbours():
     """Each text is cut as it would be alone, and words hash alike wherever they stand."""
     rng = random.Random(8)
-    texts = [" ".join(sentences(rng, 3)), "", "\n", "One. two\n\nthree?\" four", " ", "İstanbul ÄÖ " * 30, "a b c d e f g h. i", " ".join(sentences(rng, 2)), "no end " * 60, "x"]
+    texts = [
+        " ".join(sentences(rng, 3)),
+        "",
+        "\n",
+        "One. two\n\nthree?\" four",
+        " ",
+        "İstanbul ÄÖ " * 30,
+        "a b c d e f g h. i",
+        " ".join(sentences(rng, 2)),
+        "no end " * 60,
+        "x",
+    ]
     whole = passages.Paragraphs(texts)
     at = 0
     for i, t in enumerate(texts):
@@ -356,7 +431,9 @@ def test_near_paragraphs_against_brute_force(spark):
     found = [(r.src, r.dst) for r in passages.near_paragraphs(table).collect()]
     made, wanted = roots(sets, found), roots(sets, true)
     assert sum(made[a] == made[b] for a, b in true) >= 0.95 * len(true) and len(true) > 10
-    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in found) and all(wanted[a] == wanted[b] for a, b in found)
+    assert all(
+        len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in found
+    ) and all(wanted[a] == wanted[b] for a, b in found)
 
 
 def test_bands_meet_at_the_threshold():

@@ -7,7 +7,14 @@ from paperloom.llm import pii
 
 def test_reliabilities_are_of_all_candidates(spark, monkeypatch):
     """The limit on rows of the classifier leaves the counts of votes whole."""
-    texts = ["call (826) 555-4081", "call (826) 555-4081", "order 4111 1111 1111 1112", "mail me at a.b@c.org", "at 10.0.0.256", "write to jane at example dot com now"]
+    texts = [
+        "call (826) 555-4081",
+        "call (826) 555-4081",
+        "order 4111 1111 1111 1112",
+        "mail me at a.b@c.org",
+        "at 10.0.0.256",
+        "write to jane at example dot com now",
+    ]
     table = pii.span_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     seen, fit = [], pii.reliabilities
     monkeypatch.setattr(pii, "reliabilities", lambda votes, n: seen.append((len(votes), n.sum())) or fit(votes, n))

@@ -18,11 +18,15 @@ from paperloom.llm import chat, mixing, packing, pii, quality, queries, rollup,
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (4, "one"), (None, "two words"), (6, "a b c a b c"), (7, "Ä ß x " * 4000)]
+ODD = [
+    (1, None), (2, ""), (3, " \n\t"), (4, "one"), (4, "one"), (None, "two words"), (6, "a b c a b c"), (7, "Ä ß x " * 4000)
+]
 
 
 def odd(spark, *clashing):
-    return spark.createDataFrame([(i, t, "en", None if i == 3 else f"s{i % 2}" if i else "s1", 0) for i, t in ODD], DOCS).withColumns({c: F.lit("x") for c in clashing})
+    return spark.createDataFrame(
+        [(i, t, "en", None if i == 3 else f"s{i % 2}" if i else "s1", 0) for i, t in ODD], DOCS
+    ).withColumns({c: F.lit("x") for c in clashing})
 
 
 # packing
@@ -42,7 +46,9 @@ def check_layout(rows, capacity):
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for places in by.values():
         places.sort()
-        assert [o for o, _ in places] == list(np.cumsum([0] + [n for _, n in places])[:-1]) and sum(n for _, n in places) <= capacity
+        assert [o for o, _ in places] == list(
+            np.cumsum([0] + [n for _, n in places])[:-1]
+        ) and sum(n for _, n in places) <= capacity
     return len(by)
 
 
@@ -53,7 +59,9 @@ def test_packed_documents(spark, small, whole_tokenizer):
     for doc_id in text:
         own = sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r.piece)
         ids = np.array([*whole_tokenizer.encode(text[doc_id], add_special_tokens=False).ids, 0], dtype="<u4")
-        assert [r.start for r in own] == list(np.cumsum([0] + [r.length for r in own])[:-1]) and sum(r.length for r in own) == len(ids)
+        assert [r.start for r in own] == list(
+            np.cumsum([0] + [r.length for r in own])[:-1]
+        ) and sum(r.length for r in own) == len(ids)
         assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
         assert all(r.length == 2048 for r in own[1:]) and (len(own) == 1 or len(ids) > 2048)
     assert check_layout(rows, 2048) <= -(-sum(r.length for r in rows) // 2048) + 2
@@ -73,10 +81,22 @@ def test_packing_odd_rows(spark, whole_tokenizer):
 
 def test_long_white_space_takes_the_whole_tokenizer(whole_tokenizer):
     text = "a" + " " * 1_000_000 + "b"
-    assert packing.encoder(packing.RANKS, packing.FULL)(text).tolist() == whole_tokenizer.encode(text, add_special_tokens=False).ids
-
-
-@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>x", "<|endoftext", "|><|endoftext|>é 漢", "a" + " " * 600_000 + "<|endoftext|> b"])
+    assert packing.encoder(packing.RANKS, packing.FULL)(text).tolist() == whole_tokenizer.encode(
+        text, add_special_tokens=False
+    ).ids
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a<|endoftext|>b",
+        "<|endoftext|>",
+        " <|endoftext|> \n<|endoftext|><|endoftext|>x",
+        "<|endoftext",
+        "|><|endoftext|>é 漢",
+        "a" + " " * 600_000 + "<|endoftext|> b",
+    ],
+)
 def test_added_tokens_are_tokens(spark, whole_tokenizer, text):
     ids = whole_tokenizer.encode(text, add_special_tokens=False).ids
     assert packing.encoder(packing.RANKS, packing.FULL)(text).tolist() == ids
@@ -117,7 +137,9 @@ def test_same_rows_as_sql(spark, small, duck, name):
     columns = [c[0] for c in expected.description]
     pick = lambda r: repr(tuple(r[c] for c in sorted(columns)))
     assert sorted(columns) == sorted(found.columns)
-    assert sorted(map(pick, (r.asDict() for r in found.collect()))) == sorted(pick(dict(zip(columns, r, strict=True))) for r in expected.fetchall())
+    assert sorted(map(pick, (r.asDict() for r in found.collect()))) == sorted(
+        pick(dict(zip(columns, r, strict=True))) for r in expected.fetchall()
+    )
 
 
 def test_mixing_odd_rows(spark):
@@ -181,15 +203,27 @@ def brute_measures(text):
     often = Counter(windows)
     covered = {p for i, w in enumerate(windows) if often[w] > 1 for p in (i, i + 1, i + 2)}
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+    return len(words), sum(map(len, words)), len(
+        re.findall(r"[#*$%&|<>]", text or "")
+    ), len(lines) - len(set(lines)), len(covered)
 
 
 def test_measures(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
-    found = quality.quality_verdicts(docs.withColumns({c: F.lit("x") for c in ("words", "lines", "n_words", "quality")})).collect()
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(
+        odd(spark).select("doc_id", "text")
+    )
+    found = quality.quality_verdicts(
+        docs.withColumns({c: F.lit("x") for c in ("words", "lines", "n_words", "quality")})
+    ).collect()
     given_ = Counter((r.doc_id, brute_measures(r.text)) for r in docs.collect())
-    assert Counter((r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in found) == given_
-    assert all(r.base_failed == (r.n_words < 50 or 2 * r.n_repeat_words > r.n_words) and not (r.base_failed and r.kept) for r in found)
+    assert Counter(
+        (r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in found
+    ) == given_
+    assert all(
+        r.base_failed == (
+            r.n_words < 50 or 2 * r.n_repeat_words > r.n_words
+        ) and not (r.base_failed and r.kept) for r in found
+    )
     assert quality.quality_verdicts(docs.where("doc_id > 9999999")).count() == 0
 
 
@@ -197,7 +231,9 @@ def test_measures(spark, small):
 def test_verdicts_agree_with_labels(spark, sf):
     folder = f"/root/testdata/{sf}"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    rows = quality.quality_verdicts(spark.read.parquet(f"{folder}/documents.parquet")).join(labels.withColumnRenamed("quality", "label"), "doc_id").where("NOT base_failed").collect()
+    rows = quality.quality_verdicts(spark.read.parquet(f"{folder}/documents.parquet")).join(
+        labels.withColumnRenamed("quality", "label"), "doc_id"
+    ).where("NOT base_failed").collect()
     good, bad = [r.kept for r in rows if r.label == 1], [r.kept for r in rows if r.label == 0]
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
 
@@ -211,7 +247,11 @@ def test_rule_fit_against_plain_em(spark):
     for _ in range(40):
         likely = []
         for row in rows:
-            p = [s * np.prod([{1: r, -1: 1 - r, 0: 1}[v] for v, r in zip(row, rate, strict=True)]) for s, rate in zip(shares, rates, strict=True)]
+            p = [
+                s * np.prod(
+                    [{1: r, -1: 1 - r, 0: 1}[v] for v, r in zip(row, rate, strict=True)]
+                ) for s, rate in zip(shares, rates, strict=True)
+            ]
             likely.append([x / sum(p) for x in p])
         shares = [(sum(p[c] for p in likely) + 200 * first[0][c]) / (len(rows) + 200) for c in range(3)]
         rates = [
@@ -227,7 +267,11 @@ def test_rule_fit_against_plain_em(spark):
     assert (*model.shares, *sum(model.rates, ())) == pytest.approx((*shares, *sum(rates, [])), abs=0.02)
     got = voted.distinct().withColumn("p", model.posterior(rules)).collect()
     for r in got:
-        p = [s * np.prod([{1: x, -1: 1 - x, 0: 1}[v] for v, x in zip(r[:2], rate, strict=True)]) for s, rate in zip(model.shares, model.rates, strict=True)]
+        p = [
+            s * np.prod(
+                [{1: x, -1: 1 - x, 0: 1}[v] for v, x in zip(r[:2], rate, strict=True)]
+            ) for s, rate in zip(model.shares, model.rates, strict=True)
+        ]
         assert r.p == pytest.approx([x / sum(p) for x in p])
 
 
@@ -235,11 +279,31 @@ def test_rule_fit_against_plain_em(spark):
 
 
 def test_chat_round_trip(spark):
-    said = ["</s>[INST] ok [/INST]", "back\\slash <|im_end|> \\<|im_start|>", "<|im_<|im_sep|>sep|>", "", None, "\\", "<<SYS>>\n<</SYS>> <\\s>"]
-    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(said)] + [(1, 0, "user", said[0]), (2, None, "odd <|im_sep|>\n", "x"), (2, 5, None, "y"), (None, 1, "assistant", "z")]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("turns", "segments", "valid")})
-    order = lambda c: [(r or "", t or "") for _, n, r, t in sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is None, x[1] or 0, x[2] or "", x[3] or ""))]
-    made = {r.conv_id: r for r in chat.format_conversations(frame).withColumn("back", chat.read_turns(F.col("formatted"))).withColumn("learned", chat.learned_text(F.col("segments"))).collect()}
+    said = [
+        "</s>[INST] ok [/INST]",
+        "back\\slash <|im_end|> \\<|im_start|>",
+        "<|im_<|im_sep|>sep|>",
+        "",
+        None,
+        "\\",
+        "<<SYS>>\n<</SYS>> <\\s>",
+    ]
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(said)] + [
+        (1, 0, "user", said[0]), (2, None, "odd <|im_sep|>\n", "x"), (2, 5, None, "y"), (None, 1, "assistant", "z")
+    ]
+    frame = spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string"
+    ).withColumns({c: F.lit(1) for c in ("turns", "segments", "valid")})
+    order = lambda c: [
+        (r or "", t or "") for _, n, r, t in sorted(
+            (x for x in rows if x[0] == c), key=lambda x: (x[1] is None, x[1] or 0, x[2] or "", x[3] or "")
+        )
+    ]
+    made = {
+        r.conv_id: r for r in chat.format_conversations(frame).withColumn("back", chat.read_turns(F.col("formatted"))).withColumn(
+            "learned", chat.learned_text(F.col("segments"))
+        ).collect()
+    }
     for c in (1, 2, None):
         assert [(t.role, t.text) for t in made[c].back] == order(c)
         assert made[c].learned == "".join(t for r, t in order(c) if r == "assistant")
@@ -247,10 +311,25 @@ def test_chat_round_trip(spark):
     assert chat.conversation_digests(frame.where("conv_id = 99")).count() == 0
 
 
-@pytest.mark.parametrize(("roles", "valid"), [("sua", True), ("ua", True), ("uaua", True), ("u", False), ("a", False), ("uu", False), ("uaa", False), ("us", False), ("x", False)])
+@pytest.mark.parametrize(
+    ("roles", "valid"),
+    [
+        ("sua", True),
+        ("ua", True),
+        ("uaua", True),
+        ("u", False),
+        ("a", False),
+        ("uu", False),
+        ("uaa", False),
+        ("us", False),
+        ("x", False),
+    ],
+)
 def test_turn_order(spark, roles, valid):
     names = {"s": "system", "u": "user", "a": "assistant", "x": "tool"}
-    frame = spark.createDataFrame([(1, i, names[r], "t") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    frame = spark.createDataFrame(
+        [(1, i, names[r], "t") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string"
+    )
     row = chat.format_conversations(frame).first()
     assert row.valid is valid
     # bad orders are written all the same, and their learned texts are marked
@@ -258,9 +337,19 @@ def test_turn_order(spark, roles, valid):
 
 
 def test_digests_tell_bad_orders_and_take_very_long_texts(spark):
-    rows = [(1, 0, "user", "x<|im_end|>" * 200_000), (1, 1, "assistant", "\\" * 1_000_000), (2, 0, "assistant", "y"), (2, 1, "assistant", "z"), (3, 0, None, None)]
+    rows = [
+        (1, 0, "user", "x<|im_end|>" * 200_000),
+        (1, 1, "assistant", "\\" * 1_000_000),
+        (2, 0, "assistant", "y"),
+        (2, 1, "assistant", "z"),
+        (3, 0, None, None),
+    ]
     rows += [(4, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(3000)]
-    found = {r.conv_id: r for r in chat.conversation_digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    found = {
+        r.conv_id: r for r in chat.conversation_digests(
+            spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        ).collect()
+    }
     assert {i: r.valid for i, r in found.items()} == {1: True, 2: False, 3: False, 4: True}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for c in found:
@@ -271,7 +360,12 @@ def test_digests_tell_bad_orders_and_take_very_long_texts(spark):
 
 # personal data
 
-KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
 
 
 def brute_spans(text):
@@ -280,10 +374,14 @@ def brute_spans(text):
         if kind == "ip":
             return all(int(p) <= 255 for p in s.split("."))
         if kind == "card":
-            return 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+            return 16 <= len(d) <= 19 and sum(
+                x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))
+            ) % 10 == 0
         return kind == "email" or 8 <= len(d) <= 15
 
-    return [(i, *m.span()) for i, (kind, pattern) in enumerate(KINDS) for m in re.finditer(pattern, text) if passes(kind, m.group())]
+    return [
+        (i, *m.span()) for i, (kind, pattern) in enumerate(KINDS) for m in re.finditer(pattern, text) if passes(kind, m.group())
+    ]
 
 
 @settings(max_examples=400, deadline=None)
@@ -293,13 +391,24 @@ def test_base_spans(text):
 
 
 def test_personal_data(spark):
-    texts = ["mail me at a.b@c.org, card 4111 1111 1111 1111.", "call (826) 555-4081 or +1 (826) 555-4081", "order 4111 1111 1111 1112 at 10.0.0.256", "write to jane at example dot com now", None, ""]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("spans", "base", "n_email")})
+    texts = [
+        "mail me at a.b@c.org, card 4111 1111 1111 1111.",
+        "call (826) 555-4081 or +1 (826) 555-4081",
+        "order 4111 1111 1111 1112 at 10.0.0.256",
+        "write to jane at example dot com now",
+        None,
+        "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns(
+        {c: F.lit(1) for c in ("spans", "base", "n_email")}
+    )
     rows = {r.doc_id: r for r in pii.personal_data(docs).collect()}
     listed = lambda s: ",".join(f"{KINDS[k][0]}:{a}:{b}" for k, a, b in s)
     for i, t in enumerate(texts):
         base = brute_spans(t or "")
-        assert rows[i].base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest() and rows[i].n_card == sum(k == 2 for k, _, _ in base)
+        assert rows[i].base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest() and rows[i].n_card == sum(
+            k == 2 for k, _, _ in base
+        )
         assert set(listed(base).split(",")) - {""} <= set(rows[i].spans.split(","))
     assert "phone:5:19" in rows[1].spans and rows[2].spans == ""
     clean = {r.doc_id: r.text for r in pii.without_personal_data(docs).collect()}
@@ -310,7 +419,9 @@ def test_personal_data(spark):
 def test_personal_data_odd_rows(spark):
     long = "words of no kind " * 100_000 + "a.b@c.org " + "1 " * 200_000
     more = [(8, long, "en", "s", 0), (None, "x@y.de", "en", "s", 0), (None, "x@y.de", "en", "s", 0)]
-    docs = odd(spark).unionByName(spark.createDataFrame(more, DOCS)).withColumns({c: F.lit("x") for c in ("spans", "base", "others", "kind", "n_ip")})
+    docs = odd(spark).unionByName(spark.createDataFrame(more, DOCS)).withColumns(
+        {c: F.lit("x") for c in ("spans", "base", "others", "kind", "n_ip")}
+    )
     rows = pii.personal_data(docs).collect()
     assert Counter(r.doc_id for r in rows) == Counter([*(i for i, _ in ODD), 8, None, None])
     at = long.index("a.b@")
@@ -373,7 +484,12 @@ def biased(spark, term="women"):
     for i in range(900):
         toxic = i % 3 == 0
         group = term if toxic and i % 2 == 0 else "neighbours"
-        rows.append((i, f"Some words{i % 7} first. The {group} next door are {'rotten scum' if toxic else 'kind people'} word{i % 50}."))
+        rows.append(
+            (
+                i,
+                f"Some words{i % 7} first. The {group} next door are {'rotten scum' if toxic else 'kind people'} word{i % 50}.",
+            )
+        )
         marks.append((i, int(toxic)))
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
 
@@ -389,13 +505,17 @@ def test_neutral_mentions_keep_their_scores(spark):
         return np.abs(scores - scores[:, 2:]).max()
 
     assert held.pairs > 500 and gap(free) > 0.5 and gap(held) < 0.2 * gap(free)
-    assert held.weights["scum"] > 0.5 and held.scores(pd.Series(["kind people", "rotten scum"]), {}).round().tolist() == [0, 1]
+    assert held.weights["scum"] > 0.5 and held.scores(
+        pd.Series(["kind people", "rotten scum"]), {}
+    ).round().tolist() == [0, 1]
 
 
 def test_counterfactuals():
     kinds = (("cat", "dog"), ("red", "blue", "green"))
     found = toxicity.counterfactuals("A cat sat. No more! The red dog ran", 0, kinds)
-    assert found == [({"a", "cat", "sat"}, {"a", "dog", "sat"}), ({"the", "red", "dog", "ran"}, {"the", "blue", "cat", "ran"})]
+    assert found == [
+        ({"a", "cat", "sat"}, {"a", "dog", "sat"}), ({"the", "red", "dog", "ran"}, {"the", "blue", "cat", "ran"})
+    ]
     for text in (None, "", "Plain words. Nothing else."):
         plain, other = toxicity.counterfactuals(text, 5, kinds)
         assert plain[1] == other[0] and len(plain[1] - plain[0]) == 1 and len(other[0] ^ other[1]) == 2
@@ -423,7 +543,9 @@ def test_fit_against_a_dense_one():
 
     def loss(b, w):
         z = x @ w + b
-        return np.mean(np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z) + 0.5e-3 * w @ w + 10 * often @ (change @ w) ** 2
+        return np.mean(
+            np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z
+        ) + 0.5e-3 * w @ w + 10 * often @ (change @ w) ** 2
 
     b, w = 0.0, np.zeros(12)
     for _ in range(40_000):
@@ -450,7 +572,13 @@ def test_toxicity_odd_rows(spark):
 def test_rollup_batches(spark, tmp_path, compact_every):
     schema = "doc_id long, version string, op string, source string, lang string, tokens long, seq long"
     batches = [
-        [(1, "v", "insert", "a", "en", 10, 0), (2, "v", "insert", "a", None, None, 0), (3, "v", "insert", "b", "en", 7, 0), (3, "v", "insert", "b", "en", 8, 1), (None, "v", "insert", "a", "en", 5, 0)],
+        [
+            (1, "v", "insert", "a", "en", 10, 0),
+            (2, "v", "insert", "a", None, None, 0),
+            (3, "v", "insert", "b", "en", 7, 0),
+            (3, "v", "insert", "b", "en", 8, 1),
+            (None, "v", "insert", "a", "en", 5, 0),
+        ],
         [(1, "v", "delete", "zz", "zz", 99, 0), (9, "v", "delete", "a", "en", 1, 0), (2, "v", "revise", "a", "fr", 4, 0)],
         [(1, "v", "insert", "a", "en", 3, 0), (3, "w", "insert", "b", "en", 2, 0)],
     ]
@@ -462,15 +590,22 @@ def test_rollup_batches(spark, tmp_path, compact_every):
     assert totals(kept) == {("a", "en", "v"): (1, 10), ("a", None, "v"): (1, 0), ("b", "en", "v"): (1, 8)}
     assert [kept.commit(1, frames[1]), kept.commit(1, frames[1]), kept.commit(2, frames[2])] == [True, False, True]
     assert not any(kept.commit(again, frames[again]) for again in (0, 2, 1))
-    assert totals(kept) == {("a", "en", "v"): (1, 3), ("a", "fr", "v"): (1, 4), ("b", "en", "v"): (1, 8), ("b", "en", "w"): (1, 2)}
-    assert {(r.doc_id, r.version): r.tokens for r in kept.counts().collect()} == {(1, "v"): 3, (2, "v"): 4, (3, "v"): 8, (3, "w"): 2}
+    assert totals(kept) == {
+        ("a", "en", "v"): (1, 3), ("a", "fr", "v"): (1, 4), ("b", "en", "v"): (1, 8), ("b", "en", "w"): (1, 2)
+    }
+    assert {
+        (r.doc_id, r.version): r.tokens for r in kept.counts().collect()
+    } == {(1, "v"): 3, (2, "v"): 4, (3, "v"): 8, (3, "w"): 2}
 
 
 @pytest.mark.parametrize("broken", ["ledger", "deltas"])
 def test_a_commit_that_fails_leaves_nothing(spark, tmp_path, monkeypatch, broken):
     from pyspark.sql.readwriter import DataFrameWriter
 
-    change = lambda n: spark.createDataFrame([(1, "v", "insert", "a", "en", n)], "doc_id long, version string, op string, source string, lang string, tokens long")
+    change = lambda n: spark.createDataFrame(
+        [(1, "v", "insert", "a", "en", n)],
+        "doc_id long, version string, op string, source string, lang string, tokens long",
+    )
     kept = rollup.TokenRollup(spark, str(tmp_path / "one"))
     kept.commit(0, change(5))
     plain = DataFrameWriter.parquet
@@ -490,7 +625,9 @@ def test_a_commit_that_fails_leaves_nothing(spark, tmp_path, monkeypatch, broken
 
 def test_corpus_totals_against_plain_counts(spark, small, tmp_path, whole_tokenizer):
     """Also with odd rows: null, empty and very long texts, repeated and missing ids, clashing columns."""
-    real = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("doc_id > 10")
+    real = spark.read.parquet(f"{small}/documents.parquet").select(
+        "doc_id", "text", "lang", "source", "n_chars"
+    ).where("doc_id > 10")
     more = spark.createDataFrame([(7, "one", "en", "s1", 0), (8, "a #b", "fr", None, 0), (9, None, None, "s", 0)], DOCS)
     for n, docs in enumerate((real.unionByName(odd(spark)).unionByName(more), odd(spark).where("doc_id > 99"))):
         rows = [r for r in docs.collect() if r.doc_id is not None]
@@ -498,7 +635,9 @@ def test_corpus_totals_against_plain_counts(spark, small, tmp_path, whole_tokeni
         for r in sorted(rows, key=lambda r: r.doc_id):
             first.setdefault(r.text, r.doc_id)
         for r in rows:
-            words, tokens = len(WORD.findall(r.text or "")), len(whole_tokenizer.encode(r.text or "", add_special_tokens=False).ids)
+            words, tokens = len(WORD.findall(r.text or "")), len(
+                whole_tokenizer.encode(r.text or "", add_special_tokens=False).ids
+            )
             for version, count in ((rollup.WORDS_VERSION, words), (rollup.BPE, tokens)):
                 row = (True, r.source is not None, r.source or "", r.lang is not None, r.lang or "", count)
                 held[r.doc_id, version] = max(row, held.get((r.doc_id, version), row))
@@ -534,7 +673,9 @@ def test_pipeline(spark, small):
     marks = [r.component_id for r in simhash.simhash_components(clean, setting=simhash.BY_SIMILARITY).collect()]
     assert sorted(r.doc_id for r in single.collect()) == sorted(set(marks))
     private = stages["personal_data"](spark, single, small)
-    assert private.columns == docs.columns and all(not brute_spans(r.text) and r.n_chars == len(r.text) for r in private.collect())
+    assert private.columns == docs.columns and all(
+        not brute_spans(r.text) and r.n_chars == len(r.text) for r in private.collect()
+    )
     mixed = stages["mixing"](spark, private, small)
     taken = {r.doc_id: r.taken // r.size for r in mixing.mixed_sizes(private).collect() if r.taken}
     assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == taken
