@@ -17,7 +17,9 @@ class Node:
         return " ".join(p for c in self.children for p in [c.words() if isinstance(c, Node) else c.strip()] if p)
 
     def raw(self) -> str:
-        return "".join("\n" if isinstance(c, Node) and c.tag == "br" else c.raw() if isinstance(c, Node) else c for c in self.children)
+        return "".join(
+            "\n" if isinstance(c, Node) and c.tag == "br" else c.raw() if isinstance(c, Node) else c for c in self.children
+        )
 
     def all(self, *tags: str) -> list[Node]:
         return [n for c in self.children if isinstance(c, Node) for n in ([c] if c.tag in tags else []) + c.all(*tags)]
@@ -48,7 +50,11 @@ class _Tree(HTMLParser):
 
 def markdown_table(rows: list[list[str]]) -> str:
     width = max(map(len, rows), default=0)
-    lines = ["| " + " | ".join(c.replace("|", "\\|").replace("\n", "<br>") for c in [*r, *[""] * (width - len(r))]) + " |" for r in rows]
+    lines = [
+        "| " + " | ".join(
+            c.replace("|", "\\|").replace("\n", "<br>") for c in [*r, *[""] * (width - len(r))]
+        ) + " |" for r in rows
+    ]
     return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) if width else ""
 
 

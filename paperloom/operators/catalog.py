@@ -17,12 +17,16 @@ def dedupe_ingest(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
     stored = catalog.select("file_hash").distinct().withColumn("known", F.lit(True))
     first = F.row_number().over(Window.partitionBy("file_hash").orderBy("arrival")) == 1
     marked = incoming.join(stored, "file_hash", "left").withColumn("first", first)
-    return marked.withColumn("status", F.when(F.col("known").isNull() & F.col("first"), "stored").otherwise("failed: duplicate")).drop("known", "first")
+    return marked.withColumn(
+        "status", F.when(F.col("known").isNull() & F.col("first"), "stored").otherwise("failed: duplicate")
+    ).drop("known", "first")
 
 
 def replace_ingest(catalog: DataFrame, new: DataFrame) -> DataFrame:
     """The catalog where the new rows stand for all old ones of their file hashes."""
-    return catalog.join(new.select("file_hash").distinct(), "file_hash", "left_anti").unionByName(new, allowMissingColumns=True)
+    return catalog.join(
+        new.select("file_hash").distinct(), "file_hash", "left_anti"
+    ).unionByName(new, allowMissingColumns=True)
 
 
 def delete_document(catalog: DataFrame, filename: str) -> tuple[DataFrame, DataFrame]:
@@ -35,15 +39,26 @@ def list_documents(catalog: DataFrame) -> DataFrame:
     """One row per filename: chunk_count, and upload_time and file_hash of its first row; newest first."""
     first = F.min(F.struct("pk", "upload_time", "file_hash")).alias("first")
     files = catalog.groupBy("filename").agg(F.count("*").alias("chunk_count"), first)
-    return files.select("filename", "chunk_count", F.coalesce("first.upload_time", F.lit(0)).alias("upload_time"), "first.file_hash").orderBy(F.desc("upload_time"), "filename")
+    return files.select(
+        "filename", "chunk_count", F.coalesce("first.upload_time", F.lit(0)).alias("upload_time"), "first.file_hash"
+    ).orderBy(F.desc("upload_time"), "filename")
 
 
 def legacy_inventory(catalog: DataFrame) -> DataFrame:
     """Chunks and latest upload of each (filename, file_hash), sorted."""
-    return catalog.groupBy("filename", "file_hash").agg(F.count("*").alias("chunks"), F.max("upload_time").alias("upload_time")).orderBy("filename", "file_hash")
-
-
-def inspect_chunks(catalog: DataFrame, positions: list[int] | None = None, filename: str | None = None, content: str | None = None, limit: int = 0, preview: int = 200) -> DataFrame:
+    return catalog.groupBy("filename", "file_hash").agg(
+        F.count("*").alias("chunks"), F.max("upload_time").alias("upload_time")
+    ).orderBy("filename", "file_hash")
+
+
+def inspect_chunks(
+    catalog: DataFrame,
+    positions: list[int] | None = None,
+    filename: str | None = None,
+    content: str | None = None,
+    limit: int = 0,
+    preview: int = 200,
+) -> DataFrame:
     """Chunks at 1-based places in their file, of some file name and content, with a preview."""
     found = catalog.withColumn("position", F.row_number().over(Window.partitionBy("filename").orderBy("chunk_index")))
     if positions:
@@ -61,11 +76,15 @@ def schema_upgrade(old: DataFrame, schema: T.StructType) -> DataFrame:
     rows if they have all columns already."""
     if all(f.name in old.columns for f in schema):
         return old
-    missing = lambda f: F.lit("" if isinstance(f.dataType, T.StringType) else None).cast(f.dataType).alias(f.name)
+    missing = lambda f: F.lit(
+        "" if isinstance(f.dataType, T.StringType) else None
+    ).cast(f.dataType).alias(f.name)
     return old.select(*(F.col(f.name).cast(f.dataType) if f.name in old.columns else missing(f) for f in schema))
 
 
-def schema_violations(chunks: DataFrame, dim: int | None = None, limits: dict[str, int] | None = None, nullable: tuple[str, ...] = NULLABLE) -> DataFrame:
+def schema_violations(
+    chunks: DataFrame, dim: int | None = None, limits: dict[str, int] | None = None, nullable: tuple[str, ...] = NULLABLE
+) -> DataFrame:
     """(rule, rows): how many rows break each declared limit; rules that none breaks are left out."""
     limits = MAX_LENGTHS if limits is None else limits
     rules = {f"{c} longer than {n}": F.length(c) > n for c, n in limits.items() if c in chunks.columns}
@@ -81,4 +100,6 @@ def siblings_by_parent(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """(parent_id, children): the chunks of each wanted parent in order; repeats and blanks are left out."""
     ids = wanted.where("trim(parent_id) <> ''").select("parent_id").distinct()
     child = F.struct("child_index", "chunk_index", "raw_text", "page_start", "page_end")
-    return chunks.join(ids, "parent_id", "left_semi").groupBy("parent_id").agg(F.array_sort(F.collect_list(child)).alias("children"))
+    return chunks.join(ids, "parent_id", "left_semi").groupBy("parent_id").agg(
+        F.array_sort(F.collect_list(child)).alias("children")
+    )

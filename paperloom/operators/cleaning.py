@@ -31,16 +31,24 @@ def strip_repeated_lines(units: DataFrame, max_share: float = 0.4, least_pages:
     """
     paged = units.where("page IS NOT NULL")
     line = F.col("line")
-    counted = (stripped(line) != "") & ~stripped(line).rlike(r"^[|#]") & (F.length(stripped(line)) <= longest) & (F.length(line_key(line)) >= 2)
-    keys = paged.select("file", "page", F.explode(F.split("text", "\n")).alias("line")).where(counted).select("file", "page", line_key(line).alias("key"))
+    counted = (stripped(line) != "") & ~stripped(line).rlike(r"^[|#]") & (
+        F.length(stripped(line)) <= longest
+    ) & (F.length(line_key(line)) >= 2)
+    keys = paged.select(
+        "file", "page", F.explode(F.split("text", "\n")).alias("line")
+    ).where(counted).select("file", "page", line_key(line).alias("key"))
     pages = paged.groupBy("file").agg(F.countDistinct("page").alias("pages"))
     seen = keys.groupBy("file", "key").agg(F.countDistinct("page").alias("on"))
     noise = seen.join(pages, "file").where((F.col("pages") >= least_pages) & (F.col("on") > F.col("pages") * max_share))
     noise = noise.groupBy("file").agg(F.collect_set("key").alias("noise"))
-    is_noise = lambda x: F.array_contains("noise", line_key(x)) & ~stripped(x).rlike(r"^[|#]") & (F.length(stripped(x)) <= longest)
+    is_noise = lambda x: F.array_contains("noise", line_key(x)) & ~stripped(x).rlike(r"^[|#]") & (
+        F.length(stripped(x)) <= longest
+    )
     clean = stripped(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~is_noise(x)), "\n"))
     joined_ = units.join(noise, "file", "left")
-    return joined_.withColumn("text", F.when(F.col("noise").isNotNull() & F.col("page").isNotNull(), clean).otherwise(F.col("text"))).drop("noise")
+    return joined_.withColumn(
+        "text", F.when(F.col("noise").isNotNull() & F.col("page").isNotNull(), clean).otherwise(F.col("text"))
+    ).drop("noise")
 
 
 def scanned_pages(pages: DataFrame, most_chars: int = 50) -> DataFrame:
@@ -51,18 +59,32 @@ def scanned_pages(pages: DataFrame, most_chars: int = 50) -> DataFrame:
 def image_budget(images: DataFrame, cache: DataFrame, budget: int = 30) -> DataFrame:
     """The images (job, task, seq, content) to describe: not in the cache (task, image_hash), each once
     in a job, and only the first `budget` of a job in order."""
-    hashed = images.withColumn("image_hash", F.sha2("content", 256)).join(cache.select("task", "image_hash").distinct(), ["task", "image_hash"], "left_anti")
+    hashed = images.withColumn("image_hash", F.sha2("content", 256)).join(
+        cache.select("task", "image_hash").distinct(), ["task", "image_hash"], "left_anti"
+    )
     first = Window.partitionBy("job", "task", "image_hash").orderBy("seq")
     new = hashed.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    return new.withColumn("n", F.row_number().over(Window.partitionBy("job").orderBy("seq", "task"))).where(F.col("n") <= budget).select("job", "task", "seq", "image_hash", "n")
+    return new.withColumn(
+        "n", F.row_number().over(Window.partitionBy("job").orderBy("seq", "task"))
+    ).where(F.col("n") <= budget).select("job", "task", "seq", "image_hash", "n")
 
 
 def image_text_merge(pages: DataFrame, images: DataFrame) -> DataFrame:
     """Pages (page_id, text) with their images' (page_id, n, description) in place of [图片n], or after
     the text; descriptions that say nothing are left out."""
     useful = images.where(~is_blank(F.col("description")) & ~stripped(F.col("description")).isin("空字符串", "无内容", "无法识别"))
-    found = useful.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("n", F.col("description").alias("text")))).alias("images"))
+    found = useful.groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.struct("n", F.col("description").alias("text")))).alias("images")
+    )
     mark = lambda i: F.concat(F.lit("[图片"), i["n"].cast("string"), F.lit("]"))
     said = lambda i: F.concat(F.lit("[图片: "), i["text"], F.lit("]"))
-    fold = F.aggregate("images", F.col("text"), lambda t, i: F.when(F.contains(t, mark(i)), F.replace(t, mark(i), said(i))).otherwise(F.concat(t, F.lit("\n\n"), said(i))))
-    return pages.join(found, "page_id", "left").withColumn("text", F.coalesce(F.when(F.col("images").isNotNull(), fold), F.col("text"))).drop("images")
+    fold = F.aggregate(
+        "images",
+        F.col("text"),
+        lambda t, i: F.when(
+            F.contains(t, mark(i)), F.replace(t, mark(i), said(i))
+        ).otherwise(F.concat(t, F.lit("\n\n"), said(i))),
+    )
+    return pages.join(found, "page_id", "left").withColumn(
+        "text", F.coalesce(F.when(F.col("images").isNotNull(), fold), F.col("text"))
+    ).drop("images")

@@ -20,7 +20,12 @@ def newest(messages: DataFrame, most: int, order: str) -> DataFrame:
 def history_window(messages: DataFrame, turns: int = 6) -> DataFrame:
     """(conv_id, history): the last turns, two messages each, oldest first."""
     kept = newest(messages, 2 * turns, "turn")
-    return kept.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("history"))
+    return kept.groupBy("conv_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
+            lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")),
+        ).alias("history")
+    )
 
 
 def memory_retention(messages: DataFrame, most: int = 100) -> DataFrame:
@@ -39,11 +44,17 @@ def format_history(messages: DataFrame, most: int = 6, longest: int = 500) -> Da
     return lines.groupBy("conv_id").agg(F.when(whole == "", NONE).otherwise(whole).alias("history"))
 
 
-def jobs_latest_state(updates: DataFrame, fields: tuple[str, ...] = ("filename", "status", "progress", "message", "result", "error")) -> DataFrame:
+def jobs_latest_state(
+    updates: DataFrame, fields: tuple[str, ...] = ("filename", "status", "progress", "message", "result", "error")
+) -> DataFrame:
     """One row per job: the last value that was set of each field, created_at of its first update and
     updated_at of its last. Updates are ordered by seq."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    return updates.groupBy("job_id").agg(*(last(c) for c in fields if c in updates.columns), F.min_by("updated_at", "seq").alias("created_at"), F.max_by("updated_at", "seq").alias("updated_at"))
+    return updates.groupBy("job_id").agg(
+        *(last(c) for c in fields if c in updates.columns),
+        F.min_by("updated_at", "seq").alias("created_at"),
+        F.max_by("updated_at", "seq").alias("updated_at"),
+    )
 
 
 def jobs_recent(jobs: DataFrame, most: int = 50) -> DataFrame:
@@ -65,5 +76,10 @@ def sse_fold(lines: DataFrame) -> DataFrame:
     event = F.from_json(F.when(body != "[DONE]", body), "delta string, answer string, sources string")
     events = lines.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seq", event.alias("e")))).alias("events"))
     start = F.struct(F.lit("").alias("answer"), F.lit(None).cast("string").alias("sources"))
-    step = lambda acc, x: F.struct(F.concat(F.coalesce(x["e"]["answer"], acc["answer"]), F.coalesce(x["e"]["delta"], F.lit(""))).alias("answer"), F.coalesce(x["e"]["sources"], acc["sources"]).alias("sources"))
-    return events.select("request_id", F.aggregate("events", start, step).alias("s")).select("request_id", "s.answer", "s.sources")
+    step = lambda acc, x: F.struct(
+        F.concat(F.coalesce(x["e"]["answer"], acc["answer"]), F.coalesce(x["e"]["delta"], F.lit(""))).alias("answer"),
+        F.coalesce(x["e"]["sources"], acc["sources"]).alias("sources"),
+    )
+    return events.select(
+        "request_id", F.aggregate("events", start, step).alias("s")
+    ).select("request_id", "s.answer", "s.sources")

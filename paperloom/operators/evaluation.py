@@ -19,16 +19,26 @@ def testset_rows(sets: DataFrame) -> DataFrame:
     A set whose arrays differ in length is an error. Blank references are marked as skipped.
     """
     same = F.size("questions") == F.size("ground_truths")
-    checked = F.when(same, F.arrays_zip("questions", "ground_truths")).otherwise(F.raise_error(F.lit("questions and ground truths differ in number")))
+    checked = F.when(same, F.arrays_zip("questions", "ground_truths")).otherwise(
+        F.raise_error(F.lit("questions and ground truths differ in number"))
+    )
     rows = sets.select("set_id", F.posexplode(checked).alias("q_no", "r"))
     reference = F.get(F.col("r.ground_truths"), F.lit(0))
-    return rows.select("set_id", "q_no", F.col("r.questions").alias("question"), reference.alias("reference"), is_blank(reference).alias("skipped"))
+    return rows.select(
+        "set_id",
+        "q_no",
+        F.col("r.questions").alias("question"),
+        reference.alias("reference"),
+        is_blank(reference).alias("skipped"),
+    )
 
 
 def eval_cache_join(samples: DataFrame, cache: DataFrame, fingerprint: str, version: int = CACHE_VERSION) -> DataFrame:
     """Samples with response, contexts and `hit`: a stored answer of this version and fingerprint that
     isn't blank and has contexts; the others are to be answered anew."""
-    good = (F.col("version") == version) & (F.col("fingerprint") == fingerprint) & ~is_blank(F.col("response")) & (F.size("contexts") > 0)
+    good = (F.col("version") == version) & (
+        F.col("fingerprint") == fingerprint
+    ) & ~is_blank(F.col("response")) & (F.size("contexts") > 0)
     stored = cache.where(good).select("question", "response", "contexts")
     return samples.join(stored, "question", "left").withColumn("hit", F.col("response").isNotNull())
 
@@ -54,13 +64,27 @@ def corpus_manifest(chunks: DataFrame, config: dict[str, object]) -> DataFrame:
 
 def stacked(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """(metric, value): a row for each number of the columns, NaN as null."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("metric"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value")) for c in columns))
+    pairs = F.array(
+        *(
+            F.struct(
+                F.lit(c).alias("metric"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value")
+            ) for c in columns
+        )
+    )
     return rows.select(F.inline(pairs))
 
 
-def run_metrics(runs: DataFrame, columns: tuple[str, ...] = ("retrieval_s", "generation_s", "context_chars", "source_count")) -> DataFrame:
+def run_metrics(
+    runs: DataFrame, columns: tuple[str, ...] = ("retrieval_s", "generation_s", "context_chars", "source_count")
+) -> DataFrame:
     """(metric, mean, p50, p95) of the columns, nulls left out, rounded to 4 digits."""
-    return stacked(runs, columns).groupBy("metric").agg(*(F.round(x, 4).alias(n) for n, x in (("mean", F.avg("value")), ("p50", F.percentile("value", 0.5)), ("p95", F.percentile("value", 0.95)))))
+    return stacked(runs, columns).groupBy("metric").agg(
+        *(
+            F.round(x, 4).alias(n) for n, x in (
+                ("mean", F.avg("value")), ("p50", F.percentile("value", 0.5)), ("p95", F.percentile("value", 0.95))
+            )
+        )
+    )
 
 
 def metric_nan_counts(scores: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -86,17 +110,32 @@ def nan_policy(scores: DataFrame, policy: str, metrics: tuple[str, ...] = METRIC
 def metric_summary(scores: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """(metric, mean, min, p25, p50, p75, max) without NaN, rounded to 4 digits; `overall` is the mean of means."""
     value = F.col("value")
-    figures = {"mean": F.avg(value), "min": F.min(value), "p25": F.percentile(value, 0.25), "p50": F.percentile(value, 0.5), "p75": F.percentile(value, 0.75), "max": F.max(value)}
+    figures = {
+        "mean": F.avg(value),
+        "min": F.min(value),
+        "p25": F.percentile(value, 0.25),
+        "p50": F.percentile(value, 0.5),
+        "p75": F.percentile(value, 0.75),
+        "max": F.max(value),
+    }
     each = stacked(scores, metrics).groupBy("metric").agg(*(x.alias(n) for n, x in figures.items()))
     nothing = F.lit(None).cast("double")
-    overall = each.agg(F.avg("mean").alias("mean")).select(F.lit("overall").alias("metric"), "mean", *(nothing.alias(n) for n in figures if n != "mean"))
+    overall = each.agg(F.avg("mean").alias("mean")).select(
+        F.lit("overall").alias("metric"), "mean", *(nothing.alias(n) for n in figures if n != "mean")
+    )
     return each.unionByName(overall).select("metric", *(F.round(n, 4).alias(n) for n in figures))
 
 
 def metric_details(scores: DataFrame, metrics: tuple[str, ...] = METRICS, longest: int = 50) -> DataFrame:
     """(q_no, question, metrics): questions cut with an ellipsis, scores rounded, NaN as null."""
-    short = F.when(F.length("question") > longest, F.concat(F.substring("question", 1, longest), F.lit("…"))).otherwise(F.col("question"))
-    return scores.select("q_no", short.alias("question"), *(F.round(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), 4).alias(c) for c in metrics))
+    short = F.when(
+        F.length("question") > longest, F.concat(F.substring("question", 1, longest), F.lit("…"))
+    ).otherwise(F.col("question"))
+    return scores.select(
+        "q_no",
+        short.alias("question"),
+        *(F.round(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), 4).alias(c) for c in metrics),
+    )
 
 
 def context_metrics(verdicts: DataFrame, statements: DataFrame) -> DataFrame:
@@ -104,9 +143,17 @@ def context_metrics(verdicts: DataFrame, statements: DataFrame) -> DataFrame:
     statements (q_no, covered 0/1): the mean precision at the relevant ranks, and the share covered."""
     upto = Window.partitionBy("q_no").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     at = verdicts.withColumn("at", F.sum("relevant").over(upto) / F.count("*").over(upto))
-    precision = at.groupBy("q_no").agg(F.coalesce(F.try_divide(F.sum(F.col("at") * F.col("relevant")), F.sum("relevant").cast("double")), F.lit(0.0)).alias("context_precision"))
+    precision = at.groupBy("q_no").agg(
+        F.coalesce(
+            F.try_divide(F.sum(F.col("at") * F.col("relevant")), F.sum("relevant").cast("double")), F.lit(0.0)
+        ).alias("context_precision")
+    )
     recall = statements.groupBy("q_no").agg(F.avg(F.col("covered").cast("double")).alias("context_recall"))
-    return precision.join(recall, "q_no", "full").select("q_no", F.round("context_precision", 6).alias("context_precision"), F.round("context_recall", 6).alias("context_recall"))
+    return precision.join(recall, "q_no", "full").select(
+        "q_no",
+        F.round("context_precision", 6).alias("context_precision"),
+        F.round("context_recall", 6).alias("context_recall"),
+    )
 
 
 def sample_chunks(chunks: DataFrame, n: int, seed: str = "42") -> DataFrame:
@@ -130,9 +177,15 @@ def overlap_edges(chunks: DataFrame, threshold: float = 0.01) -> DataFrame:
     # entities that no other chunk has come first and count towards the prefix
     alone = F.col("n") - F.count("*").over(Window.partitionBy("pk"))
     ranked = ranked.withColumn("alone", alone).withColumn("place", place + F.col("alone"))
-    kept = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.lit(float(threshold)) * F.col("n") - 1e-9) + 1).select("entity", "pk")
-    pairs = kept.withColumnRenamed("pk", "left_pk").join(kept.withColumnRenamed("pk", "right_pk"), "entity").where("left_pk < right_pk").select("left_pk", "right_pk").distinct()
+    kept = ranked.where(
+        F.col("place") <= F.col("n") - F.ceil(F.lit(float(threshold)) * F.col("n") - 1e-9) + 1
+    ).select("entity", "pk")
+    pairs = kept.withColumnRenamed("pk", "left_pk").join(
+        kept.withColumnRenamed("pk", "right_pk"), "entity"
+    ).where("left_pk < right_pk").select("left_pk", "right_pk").distinct()
     side = lambda s: own.select(F.col("pk").alias(f"{s}_pk"), F.col("entities").alias(s))
     both = pairs.join(side("left"), "left_pk").join(side("right"), "right_pk")
     score = F.size(F.array_intersect("left", "right")) / F.size(F.array_union("left", "right"))
-    return both.select("left_pk", "right_pk", score.alias("score")).where(F.col("score") >= threshold).withColumn("score", F.round("score", 6))
+    return both.select(
+        "left_pk", "right_pk", score.alias("score")
+    ).where(F.col("score") >= threshold).withColumn("score", F.round("score", 6))

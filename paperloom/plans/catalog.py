@@ -13,8 +13,12 @@ from paperloom.plans.registry import query, table
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
-        F.col("doc_id").alias("pk"), "text", F.col("source").alias("filename"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("chunk_index"),
-        (F.col("doc_id") % 97 + 1_700_000_000).alias("upload_time"), F.sha2(F.concat("source", F.lit("/"), "lang"), 256).alias("file_hash"), F.concat("source", F.lit("-"), "lang").alias("parent_id"),
+        F.col("doc_id").alias("pk"), "text", F.col("source").alias("filename"), (
+            F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+        ).cast("long").alias("chunk_index"),
+        (F.col("doc_id") % 97 + 1_700_000_000).alias("upload_time"), F.sha2(
+            F.concat("source", F.lit("/"), "lang"), 256
+        ).alias("file_hash"), F.concat("source", F.lit("-"), "lang").alias("parent_id"),
         F.col("doc_id").alias("child_index"), F.col("text").alias("raw_text"), F.lit(None).cast("long").alias("page_start"), F.lit(None).cast("long").alias("page_end"), "lang",
     )
 
@@ -31,7 +35,9 @@ CHUNKS_SQL = """chunks AS (
 def dedupe_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     stored = d.where("lang = 'es' AND n_chars < 1000").select(F.sha2("text", 256).alias("file_hash"))
-    return C.dedupe_ingest(d.select("doc_id", F.col("doc_id").alias("arrival"), F.sha2("text", 256).alias("file_hash")), stored).select("doc_id", "status")
+    return C.dedupe_ingest(
+        d.select("doc_id", F.col("doc_id").alias("arrival"), F.sha2("text", 256).alias("file_hash")), stored
+    ).select("doc_id", "status")
 
 
 @query(f"""WITH {CHUNKS_SQL}
@@ -40,7 +46,9 @@ UNION ALL SELECT file_hash, 1800000000, count(*) FROM chunks WHERE lang = 'fr' G
 def replace_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = chunks(spark, sf_dir)
     new = old.where("lang = 'fr'").withColumn("upload_time", F.lit(1_800_000_000).cast("long"))
-    return C.replace_ingest(old, new).groupBy("file_hash").agg(F.max("upload_time").alias("upload_time"), F.count("*").alias("n"))
+    return C.replace_ingest(old, new).groupBy("file_hash").agg(
+        F.max("upload_time").alias("upload_time"), F.count("*").alias("n")
+    )
 
 
 @query("SELECT count(*) FILTER (source = 'src7') AS deleted, count(*) FILTER (source <> 'src7') AS kept FROM documents")
@@ -55,22 +63,32 @@ def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.list_documents(chunks(spark, sf_dir))
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT filename, file_hash, count(*) AS chunks, max(upload_time) AS upload_time FROM chunks GROUP BY filename, file_hash")
+@query(
+    f"WITH {CHUNKS_SQL} SELECT filename, file_hash, count(*) AS chunks, max(upload_time) AS upload_time FROM chunks GROUP BY filename, file_hash"
+)
 def legacy_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.legacy_inventory(chunks(spark, sf_dir))
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT pk, chunk_index + 1 AS position, substr(text, 1, 200) AS preview FROM chunks WHERE chunk_index + 1 IN (1, 2, 5, 8) AND contains(filename, 'src1') AND contains(text, 'e')")
+@query(
+    f"WITH {CHUNKS_SQL} SELECT pk, chunk_index + 1 AS position, substr(text, 1, 200) AS preview FROM chunks WHERE chunk_index + 1 IN (1, 2, 5, 8) AND contains(filename, 'src1') AND contains(text, 'e')"
+)
 def inspect_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = C.inspect_chunks(chunks(spark, sf_dir), [1, 2, 5, 8], "src1", "e")
     return found.select("pk", F.col("position").cast("long").alias("position"), "preview")
 
 
-@query("SELECT vec_id AS pk, label AS upload_time, '' AS section, NULL::BIGINT AS page, len(embedding) AS dim FROM embeddings")
+@query(
+    "SELECT vec_id AS pk, label AS upload_time, '' AS section, NULL::BIGINT AS page, len(embedding) AS dim FROM embeddings"
+)
 def schema_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pk"), F.col("label").alias("upload_time"), F.col("embedding").alias("vector"))
+    old = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("pk"), F.col("label").alias("upload_time"), F.col("embedding").alias("vector")
+    )
     newer = T.StructType.fromDDL("pk long, upload_time int, vector array<float>, section string, page long")
-    return C.schema_upgrade(old, newer).select("pk", "upload_time", "section", "page", F.size("vector").cast("long").alias("dim"))
+    return C.schema_upgrade(old, newer).select(
+        "pk", "upload_time", "section", "page", F.size("vector").cast("long").alias("dim")
+    )
 
 
 @query("""WITH found AS (
@@ -90,6 +108,12 @@ WHERE filename IN (SELECT source FROM documents WHERE n_chars > 20000) GROUP BY
 def siblings_by_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = chunks(spark, sf_dir)
     hit = table(spark, sf_dir, "documents").where("n_chars > 20000").select(F.col("source").alias("filename")).distinct()
-    wanted = own.join(hit, "filename", "left_semi").select("parent_id").unionByName(own.select(F.lit(" ").alias("parent_id")))
+    wanted = own.join(hit, "filename", "left_semi").select("parent_id").unionByName(
+        own.select(F.lit(" ").alias("parent_id"))
+    )
     found = C.siblings_by_parent(own, wanted)
-    return found.select("parent_id", F.size("children").alias("n"), F.md5(F.array_join(F.transform("children", lambda c: c["child_index"].cast("string")), ",")).alias("children_md5"))
+    return found.select(
+        "parent_id",
+        F.size("children").alias("n"),
+        F.md5(F.array_join(F.transform("children", lambda c: c["child_index"].cast("string")), ",")).alias("children_md5"),
+    )

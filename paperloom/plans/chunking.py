@@ -12,20 +12,37 @@ from paperloom.plans.registry import query, table
 def file_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
-    return d.select(F.sha2(F.concat(name, F.lit("\n"), "text"), 256).alias("file_hash"), name.alias("filename"), F.lit(0).cast("long").alias("unit_no"), F.lit(None).cast("long").alias("page"), "text", "doc_id", "source")
+    return d.select(
+        F.sha2(F.concat(name, F.lit("\n"), "text"), 256).alias("file_hash"),
+        name.alias("filename"),
+        F.lit(0).cast("long").alias("unit_no"),
+        F.lit(None).cast("long").alias("page"),
+        "text",
+        "doc_id",
+        "source",
+    )
 
 
 def paged_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")
-    return d.select(F.sha2("source", 256).alias("file_hash"), F.col("source").alias("filename"), page.alias("unit_no"), page.alias("page"), "text", "doc_id")
+    return d.select(
+        F.sha2("source", 256).alias("file_hash"),
+        F.col("source").alias("filename"),
+        page.alias("unit_no"),
+        page.alias("page"),
+        "text",
+        "doc_id",
+    )
 
 
 def marked_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as Markdown files: of seven lines one is a heading, and two each are text, a list and a table."""
     line, i = F.col("x"), F.col("i")
     head = F.concat(F.when((i / 7).cast("int") % 2 == 0, "# ").otherwise("## "), line)
-    marked = F.when(i % 7 == 0, head).when(i % 7 < 3, line).when(i % 7 < 5, F.concat(F.lit("- "), line)).otherwise(F.concat(F.lit("| "), line, F.lit(" |")))
+    marked = F.when(i % 7 == 0, head).when(i % 7 < 3, line).when(i % 7 < 5, F.concat(F.lit("- "), line)).otherwise(
+        F.concat(F.lit("| "), line, F.lit(" |"))
+    )
     units = file_units(spark, sf_dir)
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     texts = units.select("doc_id", F.explode(lines).alias("l")).select("doc_id", "l.*")
@@ -38,8 +55,12 @@ def marked_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT engine, source, total_chars, CASE WHEN split_mode = 'markdown' THEN 'parent_child' WHEN split_mode = 'fixed' THEN 'fixed'
   WHEN engine = 2 THEN 'parent_child' WHEN total_chars <= 3000 THEN 'semantic' ELSE 'fixed' END AS strategy FROM files, (VALUES (1), (2)) e(engine)""")
 def resolve_split_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mode = F.when(F.col("source") == "src1", "markdown").when(F.col("source") == "src2", "fixed").when(F.col("source") == "src3", "auto")
-    files = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.sum(F.length("text")).cast("long").alias("total_chars")).withColumn("split_mode", mode)
+    mode = F.when(
+        F.col("source") == "src1", "markdown"
+    ).when(F.col("source") == "src2", "fixed").when(F.col("source") == "src3", "auto")
+    files = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(
+        F.sum(F.length("text")).cast("long").alias("total_chars")
+    ).withColumn("split_mode", mode)
     both = [C.resolve_split_mode(files, engine=e).withColumn("engine", F.lit(e)) for e in (1, 2)]
     return both[0].unionByName(both[1]).select("engine", "source", "total_chars", "strategy")
 
@@ -60,7 +81,9 @@ SELECT 'doc-' || doc_id AS filename, row_number() OVER (PARTITION BY doc_id ORDE
   ['text', 'list', 'table'][part] AS kind, section, CASE part WHEN 1 THEN trim(text) ELSE text END AS text
 FROM blocks JOIN paths USING (doc_id, period)""")
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.markdown_blocks(marked_units(spark, sf_dir), one_unit=True).select("filename", "block_no", "kind", "section", "text")
+    return C.markdown_blocks(marked_units(spark, sf_dir), one_unit=True).select(
+        "filename", "block_no", "kind", "section", "text"
+    )
 
 
 @query()
@@ -96,7 +119,17 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
   row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_start, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_end FROM documents""")
 def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = C.chunk_metadata(paged_units(spark, sf_dir), ["unit_no"])
-    return done.select("doc_id", "filename", "chunk_index", "parent_id", "parent_index", "child_index", F.md5("raw_text").alias("raw_md5"), "page_start", "page_end")
+    return done.select(
+        "doc_id",
+        "filename",
+        "chunk_index",
+        "parent_id",
+        "parent_index",
+        "child_index",
+        F.md5("raw_text").alias("raw_md5"),
+        "page_start",
+        "page_end",
+    )
 
 
 @query("""SELECT source AS filename, sha256(source) AS file_hash, CASE source WHEN 'src1' THEN 'fixed' ELSE 'parent_child' END AS chunk_type,
@@ -104,4 +137,11 @@ def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     kind = F.when(F.col("source") == "src1", "fixed").otherwise("parent_child")
-    return C.ingest_summary(d.select(F.col("source").alias("filename"), F.sha2("source", 256).alias("file_hash"), kind.alias("chunk_type"), F.col("lang").alias("parent_id")))
+    return C.ingest_summary(
+        d.select(
+            F.col("source").alias("filename"),
+            F.sha2("source", 256).alias("file_hash"),
+            kind.alias("chunk_type"),
+            F.col("lang").alias("parent_id"),
+        )
+    )

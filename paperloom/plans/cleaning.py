@@ -20,7 +20,12 @@ def strip_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("file"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("page"), "doc_id", "text")
+    return d.select(
+        F.col("source").alias("file"),
+        F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("page"),
+        "doc_id",
+        "text",
+    )
 
 
 @query(r"""WITH lines AS (
@@ -44,7 +49,9 @@ def strip_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.strip_repeated_lines(paged(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_md5"))
 
 
-@query(r"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) <= 50 AND contains(text, '.')")
+@query(
+    r"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) <= 50 AND contains(text, '.')"
+)
 def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("n_images", F.regexp_count("text", F.lit(r"\.")))
     return C.scanned_pages(d).select("doc_id")
@@ -60,7 +67,12 @@ SELECT job, task, seq, image_hash, (row_number() OVER (PARTITION BY job ORDER BY
 QUALIFY row_number() OVER (PARTITION BY job ORDER BY seq) <= 30""")
 def image_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    images = d.select(F.col("source").alias("job"), F.col("lang").alias("task"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
+    images = d.select(
+        F.col("source").alias("job"),
+        F.col("lang").alias("task"),
+        F.col("doc_id").alias("seq"),
+        F.col("text").alias("content"),
+    )
     cache = d.where("n_chars < 100").select(F.col("lang").alias("task"), F.sha2("text", 256).alias("image_hash"))
     return C.image_budget(images, cache)
 
@@ -74,6 +86,10 @@ FROM pages p LEFT JOIN (
 ) i USING (page_id)""")
 def image_text_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    pages = c.where("turn = 0").select(F.col("conv_id").alias("page_id"), F.concat("text", F.lit(" [图片1] "), "role").alias("text"))
-    images = c.where("turn > 0").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("n"), F.col("text").alias("description"))
+    pages = c.where("turn = 0").select(
+        F.col("conv_id").alias("page_id"), F.concat("text", F.lit(" [图片1] "), "role").alias("text")
+    )
+    images = c.where("turn > 0").select(
+        F.col("conv_id").alias("page_id"), F.col("turn").alias("n"), F.col("text").alias("description")
+    )
     return C.image_text_merge(pages, images).select("page_id", F.md5("text").alias("text_md5"))

@@ -12,7 +12,15 @@ from paperloom.plans.registry import query, table
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("context_no"), F.concat("role", F.lit(".md")).alias("filename"), F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("").alias("section"), F.when(F.col("turn") > 0, F.col("turn")).alias("page_start"), (F.col("turn") + F.col("conv_id") % 2).alias("page_end"), "text")
+    return c.select(
+        F.col("conv_id").alias("query_id"),
+        (F.col("turn") + 1).alias("context_no"),
+        F.concat("role", F.lit(".md")).alias("filename"),
+        F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("").alias("section"),
+        F.when(F.col("turn") > 0, F.col("turn")).alias("page_start"),
+        (F.col("turn") + F.col("conv_id") % 2).alias("page_end"),
+        "text",
+    )
 
 
 CONTEXTS_SQL = """contexts AS (
@@ -44,14 +52,22 @@ UNION ALL SELECT conv_id, turn + 1, turn FROM conversations WHERE conv_id NOT IN
 def select_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     n = lambda k, plus: F.concat(F.lit("["), (F.col("conv_id") % k + plus).cast("string"), F.lit("]"))
-    answers = c.select(F.col("conv_id").alias("query_id"), F.concat_ws(" ", n(5, 1), F.lit("[99]"), n(3, 0), n(5, 1)).alias("answer")).distinct()
+    answers = c.select(
+        F.col("conv_id").alias("query_id"), F.concat_ws(" ", n(5, 1), F.lit("[99]"), n(3, 0), n(5, 1)).alias("answer")
+    ).distinct()
     sources = c.select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("source_no"), "role")
     return C.select_sources(answers, sources).select("query_id", "source_no", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT doc_id AS query_id, '未知来源' AS filename, doc_id AS chunk_index, '' AS section, n_chars AS page_start, n_chars AS page_end, '' AS parent_id, text AS content FROM documents")
+@query(
+    "SELECT doc_id AS query_id, '未知来源' AS filename, doc_id AS chunk_index, '' AS section, n_chars AS page_start, n_chars AS page_end, '' AS parent_id, text AS content FROM documents"
+)
 def source_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.source_payload(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("chunk_index"), F.col("n_chars").alias("page"), "text"))
+    return C.source_payload(
+        table(spark, sf_dir, "documents").select(
+            F.col("doc_id").alias("query_id"), F.col("doc_id").alias("chunk_index"), F.col("n_chars").alias("page"), "text"
+        )
+    )
 
 
 def web_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +83,9 @@ def web_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.normalize_search_results(p.select(F.col("page_id").alias("response_id"), body.alias("body")))
 
 
-@query("""SELECT page_id AS response_id, 0 AS result_no, CASE WHEN page_id % 3 = 0 THEN url ELSE 'T' || page_id END AS title, url, html AS content FROM pages""")
+@query(
+    """SELECT page_id AS response_id, 0 AS result_no, CASE WHEN page_id % 3 = 0 THEN url ELSE 'T' || page_id END AS title, url, html AS content FROM pages"""
+)
 def normalize_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web_results(spark, sf_dir)
 
@@ -80,5 +98,7 @@ def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source AS query_id, min(doc_id) AS source_no FROM documents GROUP BY source, substr(text, 1, 100)")
 def dedupe_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("source_no"), F.col("text").alias("content"))
+    d = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("query_id"), F.col("doc_id").alias("source_no"), F.col("text").alias("content")
+    )
     return C.dedupe_sources(d).select("query_id", "source_no")

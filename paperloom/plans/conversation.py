@@ -13,12 +13,18 @@ from paperloom.plans.registry import query, table
 FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) GROUP BY conv_id""")
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
-    return C.history_window(table(spark, sf_dir, "conversations"), turns=2).select("conv_id", F.md5(said).alias("history_md5"))
+    return C.history_window(
+        table(spark, sf_dir, "conversations"), turns=2
+    ).select("conv_id", F.md5(said).alias("history_md5"))
 
 
-@query("SELECT conv_id, turn FROM (SELECT lang AS conv_id, doc_id AS turn FROM documents) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 100")
+@query(
+    "SELECT conv_id, turn FROM (SELECT lang AS conv_id, doc_id AS turn FROM documents) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 100"
+)
 def memory_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("conv_id"), F.col("doc_id").alias("turn"), F.col("n_chars").alias("created_at"))
+    d = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("conv_id"), F.col("doc_id").alias("turn"), F.col("n_chars").alias("created_at")
+    )
     return C.memory_retention(d).select("conv_id", "turn")
 
 
@@ -33,8 +39,12 @@ def format_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("status"),
-        F.when(F.col("event_type") == "view", F.floor("value").cast("int")).alias("progress"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"), F.col("ts").alias("updated_at"),
+        F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(
+            F.col("event_type") != "view", F.col("event_type")
+        ).alias("status"),
+        F.when(
+            F.col("event_type") == "view", F.floor("value").cast("int")
+        ).alias("progress"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"), F.col("ts").alias("updated_at"),
     )
 
 
@@ -44,10 +54,19 @@ JOBS_SQL = """jobs AS (
 )"""
 
 
-@query(f"WITH {JOBS_SQL} SELECT job_id, status, progress, error, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us FROM jobs")
+@query(
+    f"WITH {JOBS_SQL} SELECT job_id, status, progress, error, epoch_us(created_at) AS created_us, epoch_us(updated_at) AS updated_us FROM jobs"
+)
 def jobs_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = C.jobs_latest_state(job_updates(spark, sf_dir))
-    return jobs.select("job_id", "status", "progress", "error", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"), F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
+    return jobs.select(
+        "job_id",
+        "status",
+        "progress",
+        "error",
+        F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"),
+        F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"),
+    )
 
 
 @query(f"WITH {JOBS_SQL} SELECT job_id, status FROM jobs ORDER BY created_at DESC, job_id LIMIT 50")
@@ -57,7 +76,9 @@ def jobs_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {JOBS_SQL} SELECT job_id FROM jobs WHERE created_at >= TIMESTAMP '2024-01-02 06:00:00' - INTERVAL 29 HOUR")
 def jobs_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.jobs_expire(C.jobs_latest_state(job_updates(spark, sf_dir)), F.to_timestamp(F.lit("2024-01-02 06:00:00")), 29).select("job_id")
+    return C.jobs_expire(
+        C.jobs_latest_state(job_updates(spark, sf_dir)), F.to_timestamp(F.lit("2024-01-02 06:00:00")), 29
+    ).select("job_id")
 
 
 @query("""WITH said AS (SELECT *, max(turn) FILTER (turn % 4 = 3) OVER (PARTITION BY conv_id) AS whole FROM conversations)
@@ -66,6 +87,12 @@ def sse_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     delta, whole = F.to_json(F.struct(F.col("text").alias("delta"))), F.to_json(F.struct(F.col("text").alias("answer")))
     sources = F.to_json(F.struct(F.array(F.col("turn").cast("string")).alias("sources")))
-    lines = F.array(F.concat(F.lit("data: "), F.when(F.col("turn") % 4 == 3, whole).otherwise(delta)), F.concat(F.lit("data: "), sources), F.lit("data: {broken"), F.lit(": ping"), F.lit("data: [DONE]"))
+    lines = F.array(
+        F.concat(F.lit("data: "), F.when(F.col("turn") % 4 == 3, whole).otherwise(delta)),
+        F.concat(F.lit("data: "), sources),
+        F.lit("data: {broken"),
+        F.lit(": ping"),
+        F.lit("data: [DONE]"),
+    )
     events = c.select(F.col("conv_id").alias("request_id"), "turn", F.posexplode(lines).alias("i", "line"))
     return C.sse_fold(events.select("request_id", (F.col("turn") * 10 + F.col("i")).alias("seq"), "line"))

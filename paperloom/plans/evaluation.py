@@ -11,12 +11,18 @@ from paperloom.plans.registry import query, table
 METRICS = ("faithfulness", "answer_relevancy")
 
 
-@query("""SELECT conv_id AS set_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS q_no, text AS question, CASE WHEN turn % 3 = 0 THEN ' ' ELSE role END AS reference, turn % 3 = 0 AS skipped FROM conversations""")
+@query(
+    """SELECT conv_id AS set_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS q_no, text AS question, CASE WHEN turn % 3 = 0 THEN ' ' ELSE role END AS reference, turn % 3 = 0 AS skipped FROM conversations"""
+)
 def testset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    rows = c.groupBy(F.col("conv_id").alias("set_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("r"))
+    rows = c.groupBy(F.col("conv_id").alias("set_id")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("r")
+    )
     truths = F.transform("r", lambda m: F.array(F.when(m["turn"] % 3 == 0, " ").otherwise(m["role"]), F.lit("other")))
-    return E.testset_rows(rows.select("set_id", F.transform("r", lambda m: m["text"]).alias("questions"), truths.alias("ground_truths")))
+    return E.testset_rows(
+        rows.select("set_id", F.transform("r", lambda m: m["text"]).alias("questions"), truths.alias("ground_truths"))
+    )
 
 
 @query("""WITH cache AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN ' ' ELSE 'r' || item_id END AS response, item_id % 5 AS n, CASE WHEN item_id % 3 = 0 THEN 'old' ELSE 'now' END AS fingerprint FROM benchmark)
@@ -25,8 +31,12 @@ def eval_cache_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     item = F.col("item_id")
     cache = b.select(
-        F.concat(item.cast("string"), F.lit("?")).alias("question"), F.when(item % 4 == 0, " ").otherwise(F.concat(F.lit("r"), item.cast("string"))).alias("response"),
-        F.array_repeat(F.lit("c"), (item % 5).cast("int")).alias("contexts"), F.when(item % 3 == 0, "old").otherwise("now").alias("fingerprint"), F.lit(E.CACHE_VERSION).alias("version"),
+        F.concat(item.cast("string"), F.lit("?")).alias("question"), F.when(item % 4 == 0, " ").otherwise(
+            F.concat(F.lit("r"), item.cast("string"))
+        ).alias("response"),
+        F.array_repeat(
+            F.lit("c"), (item % 5).cast("int")
+        ).alias("contexts"), F.when(item % 3 == 0, "old").otherwise("now").alias("fingerprint"), F.lit(E.CACHE_VERSION).alias("version"),
     )
     samples = b.select("item_id", F.concat(item.cast("string"), F.lit("?")).alias("question"))
     return E.eval_cache_join(samples, cache, "now").select("item_id", "response", "hit")
@@ -56,7 +66,12 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: its quality label, and a number from its length that some lack."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     relevancy = F.when(F.col("n_chars") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("n_chars") % 64 / 64.0)
-    return d.join(labels, "doc_id", "left").select(F.col("doc_id").alias("q_no"), F.col("text").alias("question"), F.col("quality").cast("double").alias("faithfulness"), relevancy.alias("answer_relevancy"))
+    return d.join(labels, "doc_id", "left").select(
+        F.col("doc_id").alias("q_no"),
+        F.col("text").alias("question"),
+        F.col("quality").cast("double").alias("faithfulness"),
+        relevancy.alias("answer_relevancy"),
+    )
 
 
 SCORES_SQL = """scores AS (
@@ -64,7 +79,9 @@ SCORES_SQL = """scores AS (
 )"""
 
 
-@query(f"""WITH {SCORES_SQL} SELECT 'faithfulness' AS metric, count(*) FILTER (faithfulness IS NULL) AS n_nan FROM scores UNION ALL SELECT 'answer_relevancy', count(*) FILTER (answer_relevancy IS NULL) FROM scores""")
+@query(
+    f"""WITH {SCORES_SQL} SELECT 'faithfulness' AS metric, count(*) FILTER (faithfulness IS NULL) AS n_nan FROM scores UNION ALL SELECT 'answer_relevancy', count(*) FILTER (answer_relevancy IS NULL) FROM scores"""
+)
 def metric_nan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.metric_nan_counts(scores(spark, sf_dir), METRICS)
 
@@ -85,7 +102,9 @@ def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.metric_summary(scores(spark, sf_dir), METRICS)
 
 
-@query(f"""WITH {SCORES_SQL} SELECT q_no, CASE WHEN length(question) > 50 THEN substr(question, 1, 50) || '…' ELSE question END AS question, round(faithfulness, 4) AS faithfulness, round(answer_relevancy, 4) AS answer_relevancy FROM scores""")
+@query(
+    f"""WITH {SCORES_SQL} SELECT q_no, CASE WHEN length(question) > 50 THEN substr(question, 1, 50) || '…' ELSE question END AS question, round(faithfulness, 4) AS faithfulness, round(answer_relevancy, 4) AS answer_relevancy FROM scores"""
+)
 def metric_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.metric_details(scores(spark, sf_dir), METRICS)
 

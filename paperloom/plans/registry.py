@@ -9,7 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("sources", "cleaning", "chunking", "catalog", "planning", "retrieval", "context", "conversation", "evaluation", "streaming")
+MODULES = (
+    "sources",
+    "cleaning",
+    "chunking",
+    "catalog",
+    "planning",
+    "retrieval",
+    "context",
+    "conversation",
+    "evaluation",
+    "streaming",
+)
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

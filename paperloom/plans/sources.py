@@ -13,9 +13,19 @@ from paperloom.sources.scratch import scratch_path
 def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files: names by source and language, sizes of a thousand bytes a character."""
     d = table(spark, sf_dir, "documents")
-    ext = F.when(F.col("lang") == "en", ".TXT").when(F.col("lang") == "fr", ".md").when(F.col("lang") == "de", ".exe").otherwise("")
-    mode = F.when(F.col("source") == "src1", "auto").when(F.col("source") == "src2", "sentences").when(F.col("source") == "src3", "fixed")
-    return d.select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("filename"), (F.col("n_chars") * 1000).alias("size_bytes"), mode.alias("split_mode"), "text")
+    ext = F.when(F.col("lang") == "en", ".TXT").when(F.col("lang") == "fr", ".md").when(
+        F.col("lang") == "de", ".exe"
+    ).otherwise("")
+    mode = F.when(F.col("source") == "src1", "auto").when(
+        F.col("source") == "src2", "sentences"
+    ).when(F.col("source") == "src3", "fixed")
+    return d.select(
+        "doc_id",
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("filename"),
+        (F.col("n_chars") * 1000).alias("size_bytes"),
+        mode.alias("split_mode"),
+        "text",
+    )
 
 
 FILES_SQL = """
@@ -42,9 +52,13 @@ def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("file_hash", "stored_name").agg(F.count("*").alias("uploads"))
 
 
-@query(f"WITH {FILES_SQL} SELECT sha256(text) AS file_hash, filename, 0::BIGINT AS unit_no, length(text)::BIGINT AS chars FROM files")
+@query(
+    f"WITH {FILES_SQL} SELECT sha256(text) AS file_hash, filename, 0::BIGINT AS unit_no, length(text)::BIGINT AS chars FROM files"
+)
 def read_text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.text_units(stored_files(spark, sf_dir)).select("file_hash", "filename", "unit_no", F.length("text").cast("long").alias("chars"))
+    return S.text_units(stored_files(spark, sf_dir)).select(
+        "file_hash", "filename", "unit_no", F.length("text").cast("long").alias("chars")
+    )
 
 
 @query("""WITH rows AS (
@@ -63,14 +77,18 @@ def table_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.withColumn("row_no", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1)
     debt = F.when(F.col("c_acctbal") < 0, F.array(F.lit(" in |debt|"))).otherwise(F.array().cast("array<string>"))
     values = F.concat(F.array(F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")), debt)
-    cells = c.select(F.col("c_nationkey").cast("string").alias("sheet"), "row_no", F.posexplode(values).alias("col_no", "value"))
+    cells = c.select(
+        F.col("c_nationkey").cast("string").alias("sheet"), "row_no", F.posexplode(values).alias("col_no", "value")
+    )
     return S.table_to_markdown(cells)
 
 
 @query("""SELECT c_custkey, concat_ws(chr(10), 'c_custkey: ' || c_custkey, 'c_name: ' || c_name,
   CASE WHEN c_mktsegment <> 'BUILDING' THEN 'c_mktsegment: ' || c_mktsegment END) AS text FROM customer""")
 def rows_to_kv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").withColumn("c_mktsegment", F.when(F.col("c_mktsegment") == "BUILDING", "  ").otherwise(F.col("c_mktsegment")))
+    c = table(spark, sf_dir, "customer").withColumn(
+        "c_mktsegment", F.when(F.col("c_mktsegment") == "BUILDING", "  ").otherwise(F.col("c_mktsegment"))
+    )
     return S.rows_to_kv_docs(c, ["c_custkey", "c_name", "c_mktsegment"]).select("c_custkey", "text")
 
 
@@ -79,13 +97,17 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.html_to_markdown(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT substr(sha256(text), 1, 1) AS hash_prefix, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
+@query(
+    "SELECT substr(sha256(text), 1, 1) AS hash_prefix, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1"
+)
 def write_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     chunks = d.select(F.sha2("text", 256).alias("file_hash"), F.col("doc_id").alias("chunk_index"), "text")
     path = scratch_path(spark, "chunks")
     S.write_chunk_table(chunks, path)
-    return spark.read.parquet(path).groupBy(F.col("hash_prefix").cast("string").alias("hash_prefix")).agg(F.count("*").alias("chunks"), F.sum(F.length("text")).cast("long").alias("chars"))
+    return spark.read.parquet(path).groupBy(F.col("hash_prefix").cast("string").alias("hash_prefix")).agg(
+        F.count("*").alias("chunks"), F.sum(F.length("text")).cast("long").alias("chars")
+    )
 
 
 @query("""WITH lines AS (
@@ -95,9 +117,13 @@ SELECT sheet, '# CSV: ' || sheet || chr(10) || chr(10) || '| c_custkey | c_name
   || string_agg(line, chr(10) ORDER BY c_custkey) AS text FROM lines GROUP BY sheet""")
 def read_csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as CSV files by nation and read as tables."""
-    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name", F.replace("c_mktsegment", F.lit("I"), F.lit("|")).alias("c_mktsegment"))
+    c = table(spark, sf_dir, "customer").select(
+        "c_nationkey", "c_custkey", "c_name", F.replace("c_mktsegment", F.lit("I"), F.lit("|")).alias("c_mktsegment")
+    )
     lines = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit('"')), "c_mktsegment")
-    files = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", lines.alias("line")))).alias("rows"))
+    files = c.groupBy("c_nationkey").agg(
+        F.array_sort(F.collect_list(F.struct("c_custkey", lines.alias("line")))).alias("rows")
+    )
     text = F.concat(F.lit("c_custkey,c_name,c_mktsegment\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
     path = scratch_path(spark, "csv")
     # a folder a nation, each with one file

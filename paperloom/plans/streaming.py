@@ -29,12 +29,20 @@ def stream_dedupe_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     updates = streamed(spark, sf_dir, "events").select(
-        F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(kind != "view", kind).alias("status"), F.when(kind == "view", F.floor("value").cast("int")).alias("progress"), F.when(kind == "error", F.col("props")).alias("error")
+        F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(kind != "view", kind).alias("status"), F.when(
+            kind == "view", F.floor("value").cast("int")
+        ).alias("progress"), F.when(kind == "error", F.col("props")).alias("error")
     )
     return S.run_to_table(S.stream_job_state(updates), scratch_path(spark, "jobs"), "update", ("job_id",))
 
 
-@query("SELECT conv_id, list(turn ORDER BY turn)::VARCHAR AS turns FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) GROUP BY conv_id")
+@query(
+    "SELECT conv_id, list(turn ORDER BY turn)::VARCHAR AS turns FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) GROUP BY conv_id"
+)
 def stream_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = S.run_to_table(S.stream_memory(streamed(spark, sf_dir, "conversations"), 5), scratch_path(spark, "memory"), "update", ("conv_id",))
-    return kept.select("conv_id", F.concat(F.lit("["), F.array_join(F.col("turns").cast("array<string>"), ", "), F.lit("]")).alias("turns"))
+    kept = S.run_to_table(
+        S.stream_memory(streamed(spark, sf_dir, "conversations"), 5), scratch_path(spark, "memory"), "update", ("conv_id",)
+    )
+    return kept.select(
+        "conv_id", F.concat(F.lit("["), F.array_join(F.col("turns").cast("array<string>"), ", "), F.lit("]")).alias("turns")
+    )

@@ -24,36 +24,55 @@ MAX_BYTES = 20 * 1024 * 1024
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(filename, size_bytes, content) of the files under a path; Spark passes over empty ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"), "content")
+    return files.select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size_bytes"), "content"
+    )
 
 
 def upload_validate(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The files with `accepted` and, for rejected ones, `reason`: type, then split mode, then size."""
     mode = F.col("split_mode")
-    reason = F.when(~extension(F.col("filename")).isin(*extensions), "extension").when(mode.isNotNull() & ~mode.isin(*SPLIT_MODES), "split_mode").when(F.col("size_bytes") > max_bytes, "size")
+    reason = F.when(
+        ~extension(F.col("filename")).isin(*extensions), "extension"
+    ).when(mode.isNotNull() & ~mode.isin(*SPLIT_MODES), "split_mode").when(F.col("size_bytes") > max_bytes, "size")
     return files.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
 
 
 def file_fingerprint(files: DataFrame, content: str = "content") -> DataFrame:
     """The files with file_hash (SHA-256 of the bytes) and stored_name, under which it is kept once."""
     ext = extension(F.col("filename"))
-    return files.withColumn("file_hash", F.sha2(F.col(content), 256)).withColumn("stored_name", F.concat("file_hash", F.when(ext == "", ".bin").otherwise(ext)))
+    return files.withColumn("file_hash", F.sha2(F.col(content), 256)).withColumn(
+        "stored_name", F.concat("file_hash", F.when(ext == "", ".bin").otherwise(ext))
+    )
 
 
 def read_text_units(spark: SparkSession, path: str) -> DataFrame:
     """One unit per text file: (file_hash, filename, unit_no, page, sheet, text)."""
-    return text_units(spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("filename"), F.col("value").alias("text")))
+    return text_units(
+        spark.read.text(path, wholetext=True).select(
+            F.element_at(F.split(F.input_file_name(), "/"), -1).alias("filename"), F.col("value").alias("text")
+        )
+    )
 
 
 def text_units(files: DataFrame) -> DataFrame:
     """One unit per (filename, text) row."""
     nothing = F.lit(None)
-    return files.select(F.sha2("text", 256).alias("file_hash"), "filename", F.lit(0).cast("long").alias("unit_no"), nothing.cast("long").alias("page"), nothing.cast("string").alias("sheet"), "text")
+    return files.select(
+        F.sha2("text", 256).alias("file_hash"),
+        "filename",
+        F.lit(0).cast("long").alias("unit_no"),
+        nothing.cast("long").alias("page"),
+        nothing.cast("string").alias("sheet"),
+        "text",
+    )
 
 
 def _cell(value: Column) -> Column:
     text = F.coalesce(value, F.lit(""))
-    return stripped(F.replace(F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>")), F.lit("\r"), F.lit(" ")))
+    return stripped(
+        F.replace(F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>")), F.lit("\r"), F.lit(" "))
+    )
 
 
 def table_to_markdown(cells: DataFrame, heading: str = "Sheet") -> DataFrame:
@@ -62,20 +81,31 @@ def table_to_markdown(cells: DataFrame, heading: str = "Sheet") -> DataFrame:
     Short rows are filled up to the widest. Rows are built first, so a sheet's cells meet as lines.
     """
     width = cells.groupBy("sheet").agg((F.max("col_no") + 1).alias("width"))
-    rows = cells.groupBy("sheet", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col_no", _cell(F.col("value"))))).alias("by_col")).join(width, "sheet")
-    columns = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda c: F.coalesce(F.try_element_at(F.col("by_col"), c), F.lit("")))
+    rows = cells.groupBy("sheet", "row_no").agg(
+        F.map_from_entries(F.collect_list(F.struct("col_no", _cell(F.col("value"))))).alias("by_col")
+    ).join(width, "sheet")
+    columns = F.transform(
+        F.sequence(F.lit(0), F.col("width") - 1), lambda c: F.coalesce(F.try_element_at(F.col("by_col"), c), F.lit(""))
+    )
     line = F.concat(F.lit("| "), F.array_join(columns, " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("width")), " | "), F.lit(" |"))
     lines = rows.select("sheet", "row_no", rule.alias("rule"), line.alias("text"))
-    tables = lines.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("row_no", "text"))).alias("rows"), F.first("rule").alias("rule"))
+    tables = lines.groupBy("sheet").agg(
+        F.array_sort(F.collect_list(F.struct("row_no", "text"))).alias("rows"), F.first("rule").alias("rule")
+    )
     texts = F.transform("rows", lambda r: r["text"])
-    whole = F.array_join(F.concat(F.slice(texts, 1, 1), F.array("rule"), F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0)))), "\n")
+    whole = F.array_join(
+        F.concat(F.slice(texts, 1, 1), F.array("rule"), F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0)))),
+        "\n",
+    )
     return tables.select("sheet", F.concat(F.lit(f"# {heading}: "), "sheet", F.lit("\n\n"), whole).alias("text"))
 
 
 def rows_to_kv_docs(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The rows with `text`: a line `column: value` for each cell that isn't blank; rows with none go."""
-    line = lambda c: F.when(~is_blank(F.col(c).cast("string")), F.concat(F.lit(f"{c}: "), F.col(c).cast("string")))
+    line = lambda c: F.when(
+        ~is_blank(F.col(c).cast("string")), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))
+    )
     return rows.withColumn("text", F.concat_ws("\n", *map(line, columns))).where("text <> ''")
 
 
@@ -98,7 +128,9 @@ def write_chunk_table(chunks: DataFrame, path: str, prefix: int = 1) -> int:
     table only the keys under the prefixes at hand are read.
     """
     spark = chunks.sparkSession
-    keyed = chunks.withColumn("pk", F.xxhash64("file_hash", "chunk_index")).withColumn("hash_prefix", F.substring("file_hash", 1, prefix))
+    keyed = chunks.withColumn("pk", F.xxhash64("file_hash", "chunk_index")).withColumn(
+        "hash_prefix", F.substring("file_hash", 1, prefix)
+    )
     new = keyed.dropDuplicates(["pk"])
     if has_parquet(spark, path):
         held = spark.read.schema(keyed.select("pk", "hash_prefix").schema).parquet(path)
@@ -111,13 +143,17 @@ def write_chunk_table(chunks: DataFrame, path: str, prefix: int = 1) -> int:
 def has_parquet(spark: SparkSession, path: str) -> bool:
     """Whether a table has been written at a path."""
     try:
-        spark.read.option("recursiveFileLookup", "true").format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+        spark.read.option("recursiveFileLookup", "true").format("binaryFile").option(
+            "pathGlobFilter", "*.parquet"
+        ).load(path)
     except AnalysisException:
         return False
     return True
 
 
-def read_csv_tables(spark: SparkSession, path: str, pattern: str = "*.[cC][sS][vV]", name: Column | None = None) -> DataFrame:
+def read_csv_tables(
+    spark: SparkSession, path: str, pattern: str = "*.[cC][sS][vV]", name: Column | None = None
+) -> DataFrame:
     """(sheet, row_no, col_no, value): the cells of the CSV files under a path, for table_to_markdown.
 
     A file is a table named after it (or by `name`, a column of input_file_name), in UTF-8 with or without a byte order mark; its rows follow

@@ -26,7 +26,9 @@ def stream_dedupe_ingest(files: DataFrame, path: str) -> DataFrame:
 
     def write(batch: DataFrame, number: int) -> None:
         rest = [c for c in files.columns if c != "file_hash"]
-        new = batch.where("file_hash IS NOT NULL").groupBy("file_hash").agg(F.min(F.struct(*rest)).alias("r")).select("file_hash", "r.*")
+        new = batch.where("file_hash IS NOT NULL").groupBy("file_hash").agg(
+            F.min(F.struct(*rest)).alias("r")
+        ).select("file_hash", "r.*")
         if number:
             new = new.join(stored().where(F.col("batch") < number), "file_hash", "left_anti")
         new.select(files.columns).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
@@ -60,7 +62,9 @@ def stream_memory(messages: DataFrame, most: int = 100) -> DataFrame:
         state.update((turns,))
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [turns]})
 
-    return messages.select("conv_id", "turn").groupBy("conv_id").applyInPandasWithState(keep, MESSAGES, "turns array<long>", "update", GroupStateTimeout.NoTimeout)
+    return messages.select("conv_id", "turn").groupBy("conv_id").applyInPandasWithState(
+        keep, MESSAGES, "turns array<long>", "update", GroupStateTimeout.NoTimeout
+    )
 
 
 def run_to_table(stream: DataFrame, path: str, mode: str = "append", latest: tuple[str, ...] = ()) -> DataFrame:
@@ -74,9 +78,13 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append", latest: tup
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    sink: Callable = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint")
+    sink: Callable = stream.writeStream.foreachBatch(write).outputMode(mode).option(
+        "checkpointLocation", f"{path}/checkpoint"
+    )
     sink.trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.IntegerType())])).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    rows = spark.read.schema(
+        T.StructType([*stream.schema, T.StructField("batch", T.IntegerType())])
+    ).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
     if not latest:
         return rows.drop("batch")
     rest = [c for c in stream.columns if c not in latest]

@@ -29,7 +29,10 @@ def test_candidate_k(spark):
 
 
 def test_rerank_fallbacks(spark):
-    rows = spark.createDataFrame([(1, "quality", i, s) for i, s in ((1, 0.1), (2, None), (3, 0.9))], "query_id long, mode string, fused_rank int, relevance_score double")
+    rows = spark.createDataFrame(
+        [(1, "quality", i, s) for i, s in ((1, 0.1), (2, None), (3, 0.9))],
+        "query_id long, mode string, fused_rank int, relevance_score double",
+    )
     order = lambda **k: [r.fused_rank for r in retrieval.rerank_topn(rows, 2, **k).orderBy("rank").collect()]
     assert order() == [3, 1]
     assert order(failed=F.lit(True)) == [1, 2]
@@ -37,7 +40,9 @@ def test_rerank_fallbacks(spark):
 
 
 def test_gate(spark):
-    rows = spark.createDataFrame([(1, 0.1), (1, 0.05), (2, None), (3, float("nan")), (4, 0.3), (4, 0.0)], "query_id long, relevance_score double")
+    rows = spark.createDataFrame(
+        [(1, 0.1), (1, 0.05), (2, None), (3, float("nan")), (4, 0.3), (4, 0.0)], "query_id long, relevance_score double"
+    )
     assert sorted(r.query_id for r in retrieval.answerability_gate(rows, 0.2).collect()) == [2, 3, 4, 4]
 
 
@@ -53,41 +58,66 @@ def test_bm25(spark):
 
 
 def test_dense_search_by_each_metric(spark):
-    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [9.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "chunk_id long, vector array<double>")
+    v = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [9.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "chunk_id long, vector array<double>"
+    )
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
     first = lambda m: retrieval.dense_search(v, q, 1, m).first().chunk_id
     assert (first("cosine"), first("dot"), first("l2")) == (1, 2, 1)
     cut = retrieval.dense_search(v, q, 2, slab_rows=1, block_rows=1)
-    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, retrieval.dense_search(v, q, 2).collect())) and cut.count() == 2
+    assert sorted(map(tuple, cut.collect())) == sorted(
+        map(tuple, retrieval.dense_search(v, q, 2).collect())
+    ) and cut.count() == 2
 
 
 def chunk_rows(spark):
     rows = [(f"p{p}", c, 10 * p + c, f"text {p}{c}", c + 1, c + 1) for p in (1, 2) for c in range(5)]
-    return spark.createDataFrame(rows, "parent_id string, child_index long, chunk_index long, raw_text string, page_start long, page_end long").withColumns({"filename": F.lit("f"), "section": F.lit("s")})
+    return spark.createDataFrame(
+        rows, "parent_id string, child_index long, chunk_index long, raw_text string, page_start long, page_end long"
+    ).withColumns({"filename": F.lit("f"), "section": F.lit("s")})
 
 
 def test_parent_context(spark):
     chunks = chunk_rows(spark)
     picked = spark.createDataFrame([(1, 1, 12), (1, 2, 10), (1, 3, 24)], "query_id long, rank int, chunk_index long")
     found = retrieval.parent_context(picked.join(chunks, "chunk_index"), chunks).orderBy("context_no").collect()
-    assert [(r.parent_id, r.matched_chunk_index, r.window_start, r.window_end, r.page_start, r.page_end) for r in found] == [("p1", 12, 1, 3, 2, 4), ("p2", 24, 3, 4, 4, 5)]
+    assert [
+        (r.parent_id, r.matched_chunk_index, r.window_start, r.window_end, r.page_start, r.page_end) for r in found
+    ] == [("p1", 12, 1, 3, 2, 4), ("p2", 24, 3, 4, 4, 5)]
     assert found[0].text == "text 11\n\ntext 12\n\ntext 13"
     whole = retrieval.parent_context(picked.join(chunks, "chunk_index"), chunks, radius=-1, max_chars=40).collect()
     assert [(r.parent_id, r.child_count) for r in whole] == [("p1", 5)]  # the second would pass the limit
-    alone = retrieval.parent_context(picked.join(chunks, "chunk_index"), chunks.where("parent_id = 'none'")).orderBy("context_no").collect()
+    alone = retrieval.parent_context(
+        picked.join(chunks, "chunk_index"), chunks.where("parent_id = 'none'")
+    ).orderBy("context_no").collect()
     assert [r.text for r in alone] == ["text 12", "text 24"]
 
 
 def test_query_plan_lists(spark):
-    rows = [(1, " q ", "quality", "r", "h"), (2, "PT-001 是什么问题呢请说明白一点", "quality", "r", "h"), (3, "它呢", "balanced", None, "h"), (4, "它呢", "fast", "r", "h")]
-    made = planning.enhancement_policy(spark.createDataFrame(rows, "query_id long, query string, mode string, rewrite string, hyde string"))
-    lists = {i: [(r.kind, r.text) for r in sorted(planning.query_plan(made).where(f"query_id = {i}").collect(), key=lambda r: r.list_no)] for i in (1, 2, 3, 4)}
+    rows = [
+        (1, " q ", "quality", "r", "h"),
+        (2, "PT-001 是什么问题呢请说明白一点", "quality", "r", "h"),
+        (3, "它呢", "balanced", None, "h"),
+        (4, "它呢", "fast", "r", "h"),
+    ]
+    made = planning.enhancement_policy(
+        spark.createDataFrame(rows, "query_id long, query string, mode string, rewrite string, hyde string")
+    )
+    lists = {
+        i: [
+            (r.kind, r.text) for r in sorted(
+                planning.query_plan(made).where(f"query_id = {i}").collect(), key=lambda r: r.list_no
+            )
+        ] for i in (1, 2, 3, 4)
+    }
     assert lists[1] == [("dense", "q"), ("sparse", "q"), ("dense", "r"), ("dense", "h"), ("sparse", "r")]
     assert all(len(lists[i]) == 2 for i in (2, 3, 4))
 
 
 def test_repeated_lines(spark):
-    rows = [("f", p, f"Report 2024 page {p}\nbody {'abcde'[p]} text\n| kept |") for p in range(4)] + [("g", 1, "a line\nb"), ("g", 2, "a line\nc"), ("f", None, "Report 2024 page 9")]
+    rows = [
+        ("f", p, f"Report 2024 page {p}\nbody {'abcde'[p]} text\n| kept |") for p in range(4)
+    ] + [("g", 1, "a line\nb"), ("g", 2, "a line\nc"), ("f", None, "Report 2024 page 9")]
     found = cleaning.strip_repeated_lines(spark.createDataFrame(rows, "file string, page long, text string")).collect()
     texts = {(r.file, r.page): r.text for r in found}
     assert texts["f", 0] == "body a text\n| kept |" and texts["g", 1] == "a line\nb" and texts["f", None] == "Report 2024 page 9"
@@ -95,13 +125,17 @@ def test_repeated_lines(spark):
 
 def test_exactly_the_share_is_no_noise(spark):
     rows = [("f", p, "footer" if p < 2 else f"own {'abcde'[p]}x") for p in range(5)]
-    assert cleaning.strip_repeated_lines(spark.createDataFrame(rows, "file string, page long, text string")).where("text = 'footer'").count() == 2
+    assert cleaning.strip_repeated_lines(
+        spark.createDataFrame(rows, "file string, page long, text string")
+    ).where("text = 'footer'").count() == 2
 
 
 def test_image_budget_over_jobs(spark):
     schema = "job string, task string, seq long, content string"
     cache = spark.createDataFrame([], "task string, image_hash string")
-    first = cleaning.image_budget(spark.createDataFrame([("1", "ocr", 1, "a"), ("1", "ocr", 2, "b"), ("1", "ocr", 3, "a")], schema), cache, 1)
+    first = cleaning.image_budget(
+        spark.createDataFrame([("1", "ocr", 1, "a"), ("1", "ocr", 2, "b"), ("1", "ocr", 3, "a")], schema), cache, 1
+    )
     assert [r.seq for r in first.collect()] == [1]
     assert cleaning.image_budget(spark.createDataFrame([("2", "ocr", 1, "a")], schema), first, 1).count() == 0
 
@@ -111,7 +145,13 @@ def test_semantic_chunks(spark):
     none = chunking.semantic_chunks(units, ["doc_id"], embed=lambda t: F.array(F.lit(0.0)))  # zero vectors: no breaks
     assert sorted((r.doc_id, r.text) for r in none.collect()) == [(1, "甲乙丙。" * 3), (2, "only one")]
     text = "".join(f"{'a' * 30}{i}。" for i in range(9)) + "zz。"
-    away = chunking.semantic_chunks(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"], embed=lambda t: F.when(F.startswith(t, F.lit("zz")), F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))))
+    away = chunking.semantic_chunks(
+        spark.createDataFrame([(1, text)], "doc_id long, text string"),
+        ["doc_id"],
+        embed=lambda t: F.when(
+            F.startswith(t, F.lit("zz")), F.array(F.lit(0.0), F.lit(1.0))
+        ).otherwise(F.array(F.lit(1.0), F.lit(0.0))),
+    )
     assert away.orderBy("part").collect()[-1].text == "zz。"  # a short tail is a text of its own
 
 
@@ -124,8 +164,13 @@ def test_partitions_make_no_difference(spark):
 
 def test_schema_violations_and_listing(spark):
     rows = spark.createDataFrame([(1, "a" * 40, None), (2, "b", [1.0])], "pk long, chunk_type string, vector array<float>")
-    assert {(r.rule, r.rows) for r in catalog.schema_violations(rows, dim=2).collect()} == {("chunk_type longer than 32", 1), ("vector is null", 1), ("vector size is not 2", 1)}
-    files = spark.createDataFrame([(1, "b", None, "h"), (2, "a", None, "h"), (3, "c", 5, "h")], "pk long, filename string, upload_time long, file_hash string")
+    assert {(r.rule, r.rows) for r in catalog.schema_violations(rows, dim=2).collect()} == {
+        ("chunk_type longer than 32", 1), ("vector is null", 1), ("vector size is not 2", 1)
+    }
+    files = spark.createDataFrame(
+        [(1, "b", None, "h"), (2, "a", None, "h"), (3, "c", 5, "h")],
+        "pk long, filename string, upload_time long, file_hash string",
+    )
     assert [r.filename for r in catalog.list_documents(files).collect()] == ["c", "a", "b"]
 
 
@@ -136,9 +181,13 @@ def test_replace_ingest(spark):
 
 
 def test_citations(spark):
-    sources = spark.createDataFrame([(q, n, f"{'ab'[n - 1]}.md") for q in (1, 2) for n in (1, 2)], "query_id long, source_no int, filename string")
+    sources = spark.createDataFrame(
+        [(q, n, f"{'ab'[n - 1]}.md") for q in (1, 2) for n in (1, 2)], "query_id long, source_no int, filename string"
+    )
     answers = spark.createDataFrame([(1, "see [2], [2] and [7]"), (2, "nothing")], "query_id long, answer string")
-    assert sorted((r.query_id, r.filename, r.citation_index) for r in context.select_sources(answers, sources).collect()) == [(1, "b.md", 2), (2, "a.md", 1), (2, "b.md", 2)]
+    assert sorted(
+        (r.query_id, r.filename, r.citation_index) for r in context.select_sources(answers, sources).collect()
+    ) == [(1, "b.md", 2), (2, "a.md", 1), (2, "b.md", 2)]
 
 
 def test_memory_keeps_the_newest_hundred(spark):
@@ -148,22 +197,34 @@ def test_memory_keeps_the_newest_hundred(spark):
 
 
 def test_history_labels(spark):
-    rows = spark.createDataFrame([(1, 0, "user", " 你好 "), (1, 1, "assistant", " "), (2, 0, "system", " ")], "conv_id long, turn long, role string, text string")
+    rows = spark.createDataFrame(
+        [(1, 0, "user", " 你好 "), (1, 1, "assistant", " "), (2, 0, "system", " ")],
+        "conv_id long, turn long, role string, text string",
+    )
     assert {r.conv_id: r.history for r in conversation.format_history(rows).collect()} == {1: "用户: 你好", 2: "（无）"}
 
 
 def test_cache_and_manifest(spark):
     samples = spark.createDataFrame([("q",)], "question string")
-    stored = lambda print_, version=evaluation.CACHE_VERSION: spark.createDataFrame([("q", "a", ["c"], print_, version)], "question string, response string, contexts array<string>, fingerprint string, version int")
+    stored = lambda print_, version=evaluation.CACHE_VERSION: spark.createDataFrame(
+        [("q", "a", ["c"], print_, version)],
+        "question string, response string, contexts array<string>, fingerprint string, version int",
+    )
     hit = lambda cache: evaluation.eval_cache_join(samples, cache, "f").first().hit
     assert (hit(stored("f")), hit(stored("g")), hit(stored("f", 1))) == (True, False, False)
     keys = spark.createDataFrame([(i, i % 3) for i in range(50)], "pk long, upload_time long")
-    prints = {evaluation.corpus_manifest(k, {"b": 1, "a": 2}).first().fingerprint for k in (keys, keys.orderBy(F.desc("pk")).repartition(7))}
+    prints = {
+        evaluation.corpus_manifest(k, {"b": 1, "a": 2}).first().fingerprint for k in (
+            keys, keys.orderBy(F.desc("pk")).repartition(7)
+        )
+    }
     assert len(prints) == 1 and evaluation.corpus_manifest(keys, {"a": 2, "b": 1}).first().fingerprint in prints
 
 
 def test_uneven_test_set_is_an_error(spark):
-    rows = spark.createDataFrame([(1, ["q"], [["a"], ["b"]])], "set_id long, questions array<string>, ground_truths array<array<string>>")
+    rows = spark.createDataFrame(
+        [(1, ["q"], [["a"], ["b"]])], "set_id long, questions array<string>, ground_truths array<array<string>>"
+    )
     with pytest.raises(Exception, match="differ in number"):
         evaluation.testset_rows(rows).collect()
 
@@ -182,9 +243,13 @@ def test_overlap_edges_against_all_pairs(spark, threshold):
 
     rng = random.Random(2)
     sets = [["all", *(f"e{rng.randrange(12)}" for _ in range(rng.randrange(8)))] for _ in range(40)] + [[], ["all", "all"]]
-    found = evaluation.overlap_edges(spark.createDataFrame(list(enumerate(sets)), "pk long, entities array<string>"), threshold).collect()
+    found = evaluation.overlap_edges(
+        spark.createDataFrame(list(enumerate(sets)), "pk long, entities array<string>"), threshold
+    ).collect()
     jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0
-    assert sorted((r.left_pk, r.right_pk) for r in found) == [(i, j) for i, j in combinations(range(len(sets)), 2) if jaccard(sets[i], sets[j]) >= threshold]
+    assert sorted((r.left_pk, r.right_pk) for r in found) == [
+        (i, j) for i, j in combinations(range(len(sets)), 2) if jaccard(sets[i], sets[j]) >= threshold
+    ]
 
 
 def plain_semantic(text, spread=1.5, least=40, most=1000):
@@ -232,7 +297,11 @@ def test_chunks_of_the_tables(spark, small):
         plain = [b for b in markdown.markdown_blocks([(text[name], None)])]
         letters = lambda s: re.sub(r"\s", "", s)
         body = letters("".join(r.raw_text for r in own if r.content_type == "text"))
-        assert all(p in letters("".join(b.text for b in plain)) for p in [letters(r.raw_text) for r in own if r.content_type == "text"])
+        assert all(
+            p in letters("".join(b.text for b in plain)) for p in [
+                letters(r.raw_text) for r in own if r.content_type == "text"
+            ]
+        )
         assert len(body) <= len(letters(text[name])) and {r.section for r in own} <= {b.section for b in plain}
         assert all(len(r.raw_text) <= 450 + 120 + 2 * r.raw_text.count("\n\n") for r in own if r.content_type == "text")
         assert all(r.text == (f"[章节: {r.section}]\n{r.raw_text}" if r.section else r.raw_text) for r in own)

@@ -22,7 +22,10 @@ def test_files_are_read_validated_and_named(spark, tmp_path):
     digest = hashlib.sha256("héllo".encode()).hexdigest()
     assert (rows["A.TXT"].reason, rows["A.TXT"].stored_name, rows["A.TXT"].size_bytes) == ("split_mode", f"{digest}.txt", 6)
     assert rows["b.exe"].reason == "extension" and rows["noext"].stored_name.endswith(".bin")
-    limit = spark.createDataFrame([("a.md", 20 * 2**20, None), ("b.md", 20 * 2**20 + 1, "auto")], "filename string, size_bytes long, split_mode string")
+    limit = spark.createDataFrame(
+        [("a.md", 20 * 2**20, None), ("b.md", 20 * 2**20 + 1, "auto")],
+        "filename string, size_bytes long, split_mode string",
+    )
     assert [r.accepted for r in files.upload_validate(limit).orderBy("filename").collect()] == [True, False]
 
 
@@ -35,14 +38,21 @@ def test_text_files_become_chunks_in_a_table(spark, tmp_path):
     assert set(chunks.columns) | {"pk", "upload_time"} == {f.name for f in T.StructType.fromDDL(CHUNK)}
     assert files.write_chunk_table(chunks, str(tmp_path / "out")) == 2
     again = chunks.where("filename = 'two.txt'")
-    assert files.write_chunk_table(again.unionByName(again.withColumn("chunk_index", F.lit(7).cast("long"))), str(tmp_path / "out")) == 1  # what was added
+    assert files.write_chunk_table(
+        again.unionByName(again.withColumn("chunk_index", F.lit(7).cast("long"))), str(tmp_path / "out")
+    ) == 1  # what was added
     kept = spark.read.parquet(str(tmp_path / "out"))
     assert kept.count() == kept.select("pk").distinct().count() == 3  # the same chunk has the same key and is there once
-    assert {(r.filename, r.content_type, r.section) for r in kept.collect()} == {("one.md", "mixed", "Head"), ("two.txt", "text", "")}
+    assert {
+        (r.filename, r.content_type, r.section) for r in kept.collect()
+    } == {("one.md", "mixed", "Head"), ("two.txt", "text", "")}
 
 
 def test_tables(spark):
-    cells = spark.createDataFrame([("s", 0, 0, "a|b"), ("s", 0, 1, "c\nd"), ("s", 1, 0, " e\r "), ("t", 0, 0, None)], "sheet string, row_no int, col_no int, value string")
+    cells = spark.createDataFrame(
+        [("s", 0, 0, "a|b"), ("s", 0, 1, "c\nd"), ("s", 1, 0, " e\r "), ("t", 0, 0, None)],
+        "sheet string, row_no int, col_no int, value string",
+    )
     found = {r.sheet: r.text for r in files.table_to_markdown(cells).collect()}
     assert found == {"s": "# Sheet: s\n\n| a\\|b | c<br>d |\n| --- | --- |\n| e |  |", "t": "# Sheet: t\n\n|  |\n| --- |"}
     rows = spark.createDataFrame([("1", " "), (None, None)], "a string, b string")
@@ -56,17 +66,26 @@ def test_csv_files_become_tables(spark, tmp_path):
     (tmp_path / "other.txt").write_text("a,b")
     cells = files.read_csv_tables(spark, str(tmp_path))
     found = {r.sheet: r.text for r in files.table_to_markdown(cells, "CSV").collect()}
-    assert found == {"a b.csv": "# CSV: a b.csv\n\n| name | note |\n| --- | --- |\n| x | one, two |\n| y | line<br>end |\n| z |  |"}
+    assert found == {
+        "a b.csv": "# CSV: a b.csv\n\n| name | note |\n| --- | --- |\n| x | one, two |\n| y | line<br>end |\n| z |  |"
+    }
 
 
 def stream_of(spark, folder, batches, schema):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{i}")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet"
+    ).parquet(folder)
 
 
 def test_stream_keeps_the_newest_messages_over_batches(spark, tmp_path):
-    stream = stream_of(spark, str(tmp_path / "in"), [[(1, t) for t in range(5)], [(1, t) for t in range(3, 9)] + [(2, 1)]], "conv_id long, turn long")
+    stream = stream_of(
+        spark,
+        str(tmp_path / "in"),
+        [[(1, t) for t in range(5)], [(1, t) for t in range(3, 9)] + [(2, 1)]],
+        "conv_id long, turn long",
+    )
     kept = state.run_to_table(state.stream_memory(stream, 4), str(tmp_path / "out"), "update", ("conv_id",))
     assert {r.conv_id: r.turns for r in kept.collect()} == {1: [5, 6, 7, 8], 2: [1]}
 
