@@ -682,3 +682,24 @@ def test_pipeline(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert {r.doc_id for r in rows} == set(taken) and check_layout(rows, 2048)
     assert Counter(r.doc_id for r in rows if r.piece == 0) == taken
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_odd_rows(spark, tmp_path, empty):
+    """Null, empty and very long texts, repeated rows, missing ids and columns with clashing names go through all stages."""
+    import corpus_pipeline
+
+    names = ("size", "taken", "mix_row", "dropped", "component_id", "node", "score", "spans", "length", "share", "path")
+    docs = odd(spark, *names).where("doc_id > 99" if empty else "true")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(4, 0, 0), (6, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns, name
+    left = [r.doc_id for r in now.collect()]
+    assert set(left) <= {4, None, 6, 7} and (empty or 7 in left)
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter(left)
+    check_layout(rows, 2048)
