@@ -26,6 +26,10 @@ BATCH_CHARS = 500_000
 #: Marks that a task remembers to have given shingles for.
 MEMORY = 500_000
 
+#: Bits a shared band key has in the filter that spares a shuffle of all others, and the filter's most
+#: bits (32 MB). Where there are more keys there is no filter; the join alone decides what meets.
+FILTER_SHARE, FILTER_MOST = 16, 1 << 28
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _P = 0x100000001B3
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -193,19 +197,43 @@ def paragraph_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return texts.where("doc_id IS NOT NULL").mapInPandas(run, schema)
 
 
-def band_rows(table: DataFrame) -> DataFrame:
-    """(band, mark): the keys of the bands of each paragraph that has shingles."""
+def band_rows(table: DataFrame, wanted: bytes | None = None) -> DataFrame:
+    """(band, mark): the keys of the bands of each paragraph that has shingles; those in a filter, if given."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             count = b["shingles"].map(len).to_numpy(dtype=np.int64)
             value = np.concatenate(b["shingles"].to_list()).astype(np.int32).view(np.uint32)
-            keys = bands(value, np.cumsum(count) - count)
-            yield pd.DataFrame({"band": keys.reshape(-1), "mark": np.repeat(b["mark"].to_numpy(), BANDS)})
+            keys = bands(value, np.cumsum(count) - count).reshape(-1)
+            mark = np.repeat(b["mark"].to_numpy(), BANDS)
+            kept = slice(None) if wanted is None else in_filter(keys, wanted)
+            yield pd.DataFrame({"band": keys[kept], "mark": mark[kept]})
 
     return table.where("shingles IS NOT NULL").select("mark", "shingles").mapInPandas(run, "band long, mark long")
 
 
+def bit_filter(values: DataFrame, column: str) -> bytes | None:
+    """A bitmap with the bits of the column's values set, of a size that follows their number: FILTER_SHARE
+    to twice as many bits each. None if it would have more than FILTER_MOST bits."""
+    size = 1 << max(15, (FILTER_SHARE * values.count()).bit_length())
+    if size > FILTER_MOST:
+        return None
+    bit = F.pmod(column, F.lit(size)) + 1  # position n + 1 is bit n % 32768 of bucket n / 32768 + 1
+    parts = values.groupBy(F.bitmap_bucket_number(bit).alias("bucket"))
+    parts = parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    out = np.zeros((size // 32768, 4096), dtype=np.uint8)
+    for r in parts.collect():
+        raw = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[r["bucket"] - 1, : len(raw)] = raw
+    return out.tobytes()
+
+
+def in_filter(values: np.ndarray, bits: bytes) -> np.ndarray:
+    """Whether each value's bit is set; all that were put in pass, and few others."""
+    at = values % (8 * len(bits))
+    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (src, dst) of marks whose sets of shingles have a Jaccard score of THRESHOLD or more."""
     left, right = (sets.select(F.col("mark").alias(end), F.col("shingles").alias(f"{end}_set")) for end in ("src", "dst"))
@@ -229,7 +257,9 @@ def near_paragraphs(table: DataFrame) -> DataFrame:
     """
     rows = band_rows(table)
     shared = rows.groupBy("band").agg(F.min("mark").alias("hub"), F.max("mark").alias("last")).where("hub < last")
-    met = written(rows.join(written(shared.select("band", "hub"), "bands"), "band").distinct(), "met")
+    shared = written(shared.select("band", "hub"), "bands")
+    rows = band_rows(table, bit_filter(shared, "band"))
+    met = written(rows.join(shared, "band").distinct(), "met")
     wanted = written(met.select("mark").distinct(), "wanted")
     sets = table.where("shingles IS NOT NULL").select("mark", "shingles").join(wanted, "mark", "left_semi")
     sets = written(sets.groupBy("mark").agg(F.array_distinct(F.first("shingles")).alias("shingles")), "sets")

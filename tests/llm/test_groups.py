@@ -436,6 +436,23 @@ def test_near_paragraphs_against_brute_force(spark):
     ) and all(wanted[a] == wanted[b] for a, b in found)
 
 
+def test_the_filter_keeps_all_keys_and_few_others(spark):
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5000):
+        keys = rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64)
+        bits = passages.bit_filter(spark.createDataFrame([(int(k),) for k in keys], "band long"), "band")
+        others = rng.integers(-(1 << 63), 1 << 63, 20_000, dtype=np.int64)
+        assert passages.in_filter(keys, bits).all() and passages.in_filter(others, bits).mean() < 0.08
+
+
+@pytest.mark.parametrize("most", [1 << 28, 1])
+def test_the_filter_changes_no_rows(spark, small, monkeypatch, most):
+    monkeypatch.setattr(passages, "FILTER_MOST", most)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = sorted(tuple(r[c] for c in ("doc_id", "paragraph", "first_doc", "removed")) for r in passages.shared_passages(docs).collect())
+    assert rows == sorted((r[0], r[1], r[6], r[7]) for r in brute_passages({r.doc_id: r.text for r in docs.collect()}))
+
+
 def test_bands_meet_at_the_threshold():
     """The share of pairs that meet is that of the bands' formula, near 1 at 0.8 and small at 0.3."""
     rng = np.random.default_rng(6)
