@@ -291,21 +291,24 @@ def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> Reliabi
 
 
 def _classifier(
-    rows: list[list[str]], target: np.ndarray, n: np.ndarray, steps: int = 500, ridge: float = 1e-4
+    rows: list[list[str]], target: np.ndarray, n: np.ndarray, steps: int = 300, ridge: float = 1e-4
 ) -> SpanModel:
-    """Logistic regression of soft labels, rows weighted by the root of how often they were seen."""
+    """Logistic regression of soft labels, rows weighted by the root of how often they were seen.
+
+    Only the features that a row has are held, so memory follows their number, not that of all names.
+    """
     names = sorted({f for r in rows for f in r})
     if not names:
         return SpanModel(0.0, {})
     number = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names) + 1))
-    for i, r in enumerate(rows):
-        x[i, [number[f] for f in r]] = 1
-    x[:, -1] = 1
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.array([number[f] for r in rows for f in r])
     weight = np.sqrt(n) / np.sqrt(n).sum()
     w, m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, steps + 1):
-        grad = x.T @ (weight * (1 / (1 + np.exp(-np.clip(x @ w, -50, 50))) - target)) + ridge * w
+        z = np.bincount(row, w[col], len(rows)) + w[-1]
+        off = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target)
+        grad = np.r_[np.bincount(col, off[row], len(names)), off.sum()] + ridge * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return SpanModel(float(w[-1]), {f: float(w[i]) for f, i in number.items()})
