@@ -126,7 +126,7 @@ def whole_trie(marks):
 
 def test_pairs_are_found_by_descent(monkeypatch):
     """Only leaves within the budget meet; their number is far below that of all pairs, and long frontiers are cut."""
-    marks = near_marks(np.random.default_rng(1), 20, 100, 2)
+    marks = near_marks(np.random.default_rng(1), 20, 70, 2)
     budgets = simhash.SimHashSetting(turns=1).budgets()
     seen, plain = [], simhash._leaf_pairs
     monkeypatch.setattr(
