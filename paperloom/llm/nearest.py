@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.storage import written
 
-#: Codes of a slab of the index and queries of a chunk: one task searches one chunk in one slab.
-SLAB_ROWS, CHUNK_ROWS = 65_536, 512
+#: Rows of a slab of the index and queries of a chunk: one task searches one chunk in one slab.
+SLAB_ROWS, CHUNK_ROWS = 65_536, 4_096
 #: Half-width of an estimate's interval, in standard deviations of the rotation's error.
 ERROR_WIDTH = 2.5
 #: Bits that a query's components are rounded to, and best estimates that are reranked first, in k.
@@ -85,48 +85,50 @@ class Queries:
         return corner / (math.sqrt(codes.dim) * codes.factors[part])
 
 
-def _blocks(n_queries: int, n_codes: int) -> Iterator[tuple[slice, slice]]:
-    for q in range(0, n_queries, BLOCK[0]):
-        for c in range(0, n_codes, BLOCK[1]):
-            yield slice(q, q + BLOCK[0]), slice(c, c + BLOCK[1])
-
-
-def best_estimates(
-    queries: Queries, q_ids: np.ndarray, codes: Codes, ids: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, code row, estimate): the k best estimates of each query, itself left out."""
-    found, held = [], None
-    for mine, part in _blocks(len(q_ids), len(ids)):
-        if part.start == 0:
-            held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-            least = np.full(len(q_ids[mine]), -np.inf)
-        guess = queries.estimates(mine, codes, part)
-        guess[q_ids[mine][:, None] == ids[part][None, :]] = -np.inf
-        n = guess.shape[1]
-        floor = np.maximum(least, np.partition(guess, n - k, axis=1)[:, n - k]) if n > k else least
-        row, col = np.nonzero((guess >= floor[:, None]) & (guess > -np.inf))
-        row, col, score = (np.concatenate(x) for x in zip(held, (row, col + part.start, guess[row, col]), strict=True))
-        order = np.lexsort((ids[col], -score, row))
-        row, col, score = row[order], col[order], score[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        least[row[nth == k - 1]] = score[nth == k - 1]
-        held = tuple(x[nth < k] for x in (row, col, score))
-        if part.stop >= len(ids):
-            found.append((held[0] + mine.start, *held[1:]))
+def search(
+    q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: Codes, k: int, seed: int,
+    width: float = ERROR_WIDTH,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, cosine): the k best of the given vectors for each query, itself left out.
+
+    Block by block, inner products are estimated from the bits. Of the first block the best
+    estimates are scored exactly; from then on a vector is, if its estimate's upper bound reaches
+    the k-th best score found so far.
+    """
+    q_norm, norm = np.sqrt((queries**2).sum(axis=1)), np.sqrt((vectors**2).sum(axis=1))
+    asked, error = Queries(queries / q_norm[:, None], seed), codes.error()
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for q0 in range(0, len(q_ids), BLOCK[0]):
+        mine = slice(q0, q0 + BLOCK[0])
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        least = np.full(len(q_ids[mine]), -np.inf)
+        for d0 in range(0, len(ids), BLOCK[1]):
+            part = slice(d0, d0 + BLOCK[1])
+            guess = asked.estimates(mine, codes, part)
+            guess[q_ids[mine][:, None] == ids[part][None, :]] = -np.inf
+            reach = width * (error[part] + asked.rest[mine, None] / codes.factors[part])
+            n = guess.shape[1]
+            for first in (True, False) if d0 == 0 and n > FIRST * k else (False,):
+                near = guess >= np.partition(guess, n - FIRST * k, axis=1)[:, n - FIRST * k, None] if first else guess + reach >= least[:, None]
+                row, col = np.nonzero(near & (guess > -np.inf))
+                exact = np.empty(len(row))
+                for c in range(0, len(row), 65_536):
+                    r, v = row[c : c + 65_536] + q0, col[c : c + 65_536] + d0
+                    exact[c : c + 65_536] = (queries[r] * vectors[v]).sum(axis=1) / (q_norm[r] * norm[v])
+                guess[row, col] = -np.inf  # scored
+                both = (np.concatenate(x) for x in zip(best, (row, ids[part][col], exact), strict=True))
+                best, least = _best(*both, k, least)
+        found.append((best[0] + q0, *best[1:]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def within_bounds(
-    queries: Queries, q_ids: np.ndarray, least: np.ndarray, codes: Codes, ids: np.ndarray, width: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, code row, estimate): all whose upper bound reaches `least` of the query."""
-    found, error = [], codes.error()
-    for mine, part in _blocks(len(q_ids), len(ids)):
-        guess = queries.estimates(mine, codes, part)
-        upper = guess + width * (error[part] + queries.rest[mine, None] / codes.factors[part])
-        row, col = np.nonzero((upper >= least[mine, None]) & (q_ids[mine][:, None] != ids[part][None, :]))
-        found.append((row + mine.start, col + part.start, guess[row, col]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+def _best(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int, least: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The k best of each row, ties to the smaller id, and the rows' k-th best scores."""
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    least[row[nth == k - 1]] = score[nth == k - 1]
+    return tuple(x[nth < k] for x in (row, ids, score)), least
 
 
 def usable(vector: Column) -> Column:
@@ -163,78 +165,38 @@ def nearest_neighbours(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best in the index by cosine, nearest first.
 
-    Both tables come from build_index and are stored. Only codes and factors are scanned: queries
-    are dealt over chunks and codes over slabs, each of bounded size by the hash of the id, and a
-    task compares one chunk with one slab. The first scan gives each query its best estimates, and
-    the vectors of these its k-th best score so far. The second gives all codes whose upper bound
-    reaches that score; their vectors are joined and scored exactly. Of equal vectors, whose codes
-    are equal, only the k + 1 smallest ids are scanned, since ties go to the smaller id.
+    Both tables come from build_index and are stored. Queries are dealt over chunks and the index
+    over slabs, each of bounded size by the hash of the id, and a task searches one chunk in one
+    slab. Vectors go with their codes, so that those within the bounds are scored where they are and
+    only k rows a query leave a task. Of equal vectors only the k + 1 smallest ids are searched,
+    since ties go to the smaller id.
     """
-    first = F.row_number().over(Window.partitionBy(F.xxhash64("vector")).orderBy("vec_id"))
-    codes = index.select("vec_id", "dim", "code", "factor", first.alias("nth")).where(F.col("nth") <= k + 1).drop("nth")
-    codes = written(codes, "codes")
-    n, m = codes.count(), queries.count()
+    nth = F.row_number().over(Window.partitionBy(F.xxhash64("vector")).orderBy("vec_id"))
+    held = written(index.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"), "codes")
+    n, m = held.count(), queries.count()
     spread = 2 * index.sparkSession.sparkContext.defaultParallelism
     slabs = max(1, math.ceil(n / slab_rows), min(spread, n // 1024))
     chunks = max(1, math.ceil(m / chunk_rows))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cell = ["dim", "chunk", "slab"]
-    right = codes.select("vec_id", "dim", "code", "factor", deal(slabs).alias("slab"), every(chunks).alias("chunk"))
-
-    def scanned(asked: DataFrame, search: Callable) -> DataFrame:
-        left = asked.select("*", deal(chunks).alias("chunk"), every(slabs).alias("slab"))
-
-        def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(d):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "guess": []})
-            v = np.stack(q["vector"].to_numpy()).astype(np.float64)
-            unit = v / np.sqrt((v**2).sum(axis=1, keepdims=True))
-            words = np.frombuffer(b"".join(d["code"]), np.uint64).reshape(len(d), -1)
-            held = Codes(words, d["factor"].to_numpy(), unit.shape[1])
-            at, found, guess = search(Queries(unit, seed), q, held, d["vec_id"].to_numpy())
-            return pd.DataFrame(
-                {"query_id": q["vec_id"].to_numpy()[at], "vec_id": d["vec_id"].to_numpy()[found], "guess": guess}
-            )
-
-        cells = left.groupBy(*cell).cogroup(right.groupBy(*cell))
-        return cells.applyInPandas(run, "query_id long, vec_id long, guess double")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        side = lambda t, name, v: t.select(F.col("vec_id").alias(name), F.col("vector").alias(v))
-        both = pairs.select("query_id", "vec_id").join(
-            side(queries, "query_id", "q"), "query_id"
-        ).join(side(index, "vec_id", "v"), "vec_id")
-        return both.select("query_id", "vec_id", _cosine(F.col("q"), F.col("v")).alias("score"))
-
-    def ranked(pairs: DataFrame, score: str, most: int) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "vec_id"))
-        return pairs.withColumn("rank", rank).where(F.col("rank") <= most)
-
-    many = FIRST * k
-    own = queries.select("vec_id", "vector", "dim")
-    guesses = scanned(own, lambda q, frame, held, ids: best_estimates(q, frame["vec_id"].to_numpy(), held, ids, many))
-    sure = ranked(scored(ranked(guesses, "guess", many)), "score", k)
-    sure = written(
-        sure.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"), F.count("*").alias("n")), "sure"
-    )
-    # a query with fewer than k others has all of them
-    least = F.when(F.col("n") == k, F.col("least")).otherwise(-2.0)
-    asked = own.join(sure, "vec_id").select("vec_id", "vector", "dim", (least - 1e-9).alias("least"))
-    near = scanned(
-        asked,
-        lambda q, frame, held, ids: within_bounds(
-            q, frame["vec_id"].to_numpy(), frame["least"].to_numpy(), held, ids, width
-        ),
-    )
-    return ranked(scored(near), "score", k).select("query_id", "rank", "vec_id", "score")
-
-
-def _cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(
-        F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v
-    )
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    left = queries.select("vec_id", "vector", "dim", deal(chunks).alias("chunk"), every(slabs).alias("slab"))
+    right = held.select("*", deal(slabs).alias("slab"), every(chunks).alias("chunk"))
+
+    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(d):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        qv, dv = (np.stack(x["vector"].to_numpy()).astype(np.float64) for x in (q, d))
+        words = np.frombuffer(b"".join(d["code"]), np.uint64).reshape(len(d), -1)
+        codes = Codes(words, d["factor"].to_numpy(), dv.shape[1])
+        q_ids = q["vec_id"].to_numpy()
+        at, found, score = search(q_ids, qv, d["vec_id"].to_numpy(), dv, codes, k, seed, width)
+        return pd.DataFrame({"query_id": q_ids[at], "vec_id": found, "score": score})
+
+    cells = left.groupBy(*cell).cogroup(right.groupBy(*cell))
+    found = cells.applyInPandas(run, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_of_every(
