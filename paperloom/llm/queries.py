@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.alignment import align_tokenizers
 from paperloom.llm.chat import conversation_digests
 from paperloom.llm.mixing import mixed_sizes
 from paperloom.llm.nearest import nearest_of_every
 from paperloom.llm.packing import packed_documents
 from paperloom.llm.passages import shared_passages
 from paperloom.llm.pii import personal_data
+from paperloom.llm.products import products_of_every
 from paperloom.llm.quality import quality_verdicts
+from paperloom.llm.repair import repaired_digests_of_damaged
 from paperloom.llm.rollup import corpus_totals
 from paperloom.llm.simhash import simhash_components
 from paperloom.llm.storage import new_path
@@ -110,6 +113,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_totals(_table(spark, sf_dir, "documents"), new_path(spark, "rollup"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"))[0]
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_digests_of_damaged(_table(spark, sf_dir, "conversations"))
+
+
+def op13_norm_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products_of_every(_table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 OP8_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -144,9 +173,13 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_personal_data": op9_personal_data,
     "op10_token_counts": op10_token_counts,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_norm_bucket_search": op13_norm_bucket_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_source_mixing": OP6_SQL,
     "op8_chat_formatting": OP8_SQL,
+    "op13_norm_bucket_search": OP13_SQL,
 }
