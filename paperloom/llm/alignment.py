@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -22,8 +22,8 @@ from paperloom.llm.storage import written
 PIECE_BPE = "piece_bpe_32k.model"
 #: Runs are cut by so many low bits of the B id; records of a task's buffer and of a cell of runs at most.
 RADIX_BITS, BUFFER_RECORDS, CELL_RECORDS = 5, 1_000_000, 4_000_000
-#: Chunks of text that a worker remembers, the longest one it does, and pairs that a merge reads of a run at once.
-REMEMBERED, CHUNK_CHARS, READ_PAIRS = 200_000, 64, 4_096
+#: Pairs that a merge reads of a run at once.
+READ_PAIRS = 4_096
 #: A pair as one number: the B id above, the A id below.
 SHIFT = np.uint64(32)
 
@@ -31,41 +31,10 @@ DIGESTS = "doc_id long, key long, n_a long, n_b long, n_groups long, n_links lon
 RUN = "radix int, run long, records long, pairs binary, times binary, lengths binary, keys binary, each binary"
 
 
-class Chunk:
-    """What a piece of text becomes: its groups as text, numbers of tokens and the linked pairs."""
-
-    __slots__ = ("groups", "n_a", "n_b", "pairs", "faithful")
-
-    def __init__(self, a: list[int], a_bytes: list[bytes], b: list[int], b_bytes: list[bytes], text: bytes):
-        self.faithful = b"".join(a_bytes) == text == b"".join(b_bytes)
-        self.n_a, self.n_b = len(a), len(b)
-        self.groups, self.pairs = "", []
-        if not self.faithful:
-            return
-        a_ends, b_ends = np.cumsum([len(x) for x in a_bytes]).tolist(), np.cumsum([len(x) for x in b_bytes]).tolist()
-        both, parts, i, j = set(a_ends).intersection(b_ends), [], 0, 0
-        for end in sorted(both):
-            i0, j0 = i, j
-            while i < len(a) and a_ends[i] <= end:
-                i += 1
-            while j < len(b) and b_ends[j] <= end:
-                j += 1
-            parts.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-            self.pairs.append(b[j - 1] << 32 | a[i - 1])
-        self.groups = ";".join(parts)
-
-
 class Aligner:
-    """Encodes texts by two tokenizers and cuts the tokens where both end.
-
-    Neither joins anything across a single space between two characters that aren't white space: the
-    first splits texts there, and no piece of the second goes on after a word with a space. So
-    texts are cut there, and what a short chunk becomes is remembered.
-    """
+    """Encodes texts by two tokenizers and cuts the tokens where both end."""
 
     def __init__(self, ranks: str, full: str, pieces: str):
-        import base64
-
         import public_tokenizers
         import sentencepiece
         import tiktoken
@@ -75,16 +44,18 @@ class Aligner:
             merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
         self.full = place(full)
-        self.a_bytes = {rank: token for token, rank in merges.items()}
+        a_bytes = [b""] * (max(merges.values()) + 1)
+        for token, rank in merges.items():
+            a_bytes[rank] = token
         self.b = sentencepiece.SentencePieceProcessor(model_file=place(pieces))
         names = self.b.id_to_piece(list(range(self.b.get_piece_size())))
-        self.b_bytes = [
-            bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)
-        ]
-        # where a piece goes on after a word with a space, texts can't be cut
-        self.cuttable = not any(re.search("[^▁]▁", x) for x in names)
-        self.cut = re.compile(r"(?<=\S)(?= \S)")
-        self.known: dict[str, Chunk] = {}
+        b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
+        self.a_bytes, self.b_bytes = a_bytes, b_bytes
+        self.a_size, self.b_size = (np.array([len(t) for t in x]) for x in (a_bytes, b_bytes))
+        # what is written for a token that its group goes on after, and for its side's last one of a group
+        written_as = [b"%d%b" % (i, end) for i in range(len(a_bytes)) for end in (b",", b"|")]
+        written_as += [b"%d%b" % (i, end) for i in range(len(b_bytes)) for end in (b",", b";")]
+        self.written_as = np.array(written_as, dtype=object)
 
     def _a(self, text: str) -> list[int]:
         try:
@@ -98,25 +69,32 @@ class Aligner:
             whole.encode_special_tokens = True
             return whole.encode(text, add_special_tokens=False).ids
 
-    def chunk(self, text: str) -> Chunk:
-        """A chunk that starts with a space, which the second tokenizer adds itself."""
-        found = self.known.get(text)
-        if found is None:
-            a, b = self._a(text), self.b.encode(text[1:], num_threads=1)
-            found = Chunk(a, [self.a_bytes[x] for x in a], b, [self.b_bytes[x] for x in b], text.encode())
-            if len(text) <= CHUNK_CHARS:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[text] = found
-        return found
-
-    def chunks(self, text: str) -> list[Chunk]:
-        """The chunks of a text, none if its tokens' bytes aren't the text with a space ahead."""
-        whole = f" {text}"
-        out = [self.chunk(x) for x in self.cut.split(whole)] if self.cuttable else [self.chunk(whole)]
-        if not all(c.faithful for c in out):
-            out = [self.chunk(whole)]  # as a whole they decide
-        return out if all(c.faithful for c in out) else []
+    def align(self, text: str | None) -> tuple[int, int, np.ndarray, bytes]:
+        """(numbers of both tokenizers' tokens, linked pairs, groups as they are written) of a text.
+
+        The second tokenizer adds the space ahead itself. A text whose tokens' bytes aren't the text with
+        a space ahead has none.
+        """
+        none = (0, 0, np.empty(0, np.uint64), b"")
+        if not text:
+            return none
+        whole, a, b = f" {text}".encode(), self._a(f" {text}"), self.b.encode(text, num_threads=1)
+        if not b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b)):
+            return none
+        a, b = np.array(a), np.array(b)
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        at = np.searchsorted(b_ends, a_ends)
+        a_last = np.flatnonzero(b_ends[at] == a_ends)  # both end with the text
+        b_last = at[a_last]
+        pairs = b[b_last].astype(np.uint64) << SHIFT | a[a_last].astype(np.uint64)
+        # a group's tokens of the first side stand behind all earlier groups, those of the second behind them
+        codes = np.empty(len(a) + len(b), np.int64)
+        a_ended, b_ended = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_ended[a_last], b_ended[b_last] = 1, 1
+        a_group, b_group = np.cumsum(a_ended) - a_ended, np.cumsum(b_ended) - b_ended
+        codes[np.arange(len(a)) + np.concatenate(([0], b_last + 1))[a_group]] = 2 * a + a_ended
+        codes[np.arange(len(b)) + (a_last + 1)[b_group]] = 2 * (len(self.a_bytes) + b) + b_ended
+        return len(a), len(b), pairs, b"".join(self.written_as[codes].tolist())[:-1]
 
 
 @lru_cache(maxsize=2)
@@ -189,11 +167,9 @@ def encode_and_spill(
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                chunks = made.chunks(text) if text else []
-                pairs = np.array([p for c in chunks for p in c.pairs], dtype=np.uint64)
+                n_a, n_b, pairs, groups = made.align(text)
                 own, each = np.unique(pairs, return_counts=True)
-                n_a, n_b = sum(c.n_a for c in chunks), sum(c.n_b for c in chunks)
-                digest = hashlib.sha256(";".join(c.groups for c in chunks).encode()).hexdigest() if chunks else ""
+                digest = hashlib.sha256(groups).hexdigest() if n_a else ""
                 # a group ends where one token of each does, and that is its link
                 rows.append((None if pd.isna(doc_id) else int(doc_id), key, n_a, n_b, len(pairs), len(pairs), digest) + (None,) * 8)
                 if len(own):

@@ -336,9 +336,10 @@ def test_products_of_no_rows_and_one(spark):
 
 def test_search_tells_by_length_and_by_coordinates():
     rng = np.random.default_rng(8)
-    spiky = lambda n: rng.normal(size=(n, 32)) ** 5  # a few components stand out
-    v = np.concatenate([near := spiky(60), 1.02 * near, spiky(20_000) * rng.uniform(0.05, 1.0, (20_000, 1))])
-    v = np.floor(64 * v).astype(np.int64)
+    spiky = rng.normal(size=(20_060, 32)) ** 5  # a few components stand out
+    spiky /= np.linalg.norm(spiky, axis=1, keepdims=True)
+    v = np.concatenate([spiky[:60], 0.98 * spiky[:60], spiky[60:] * rng.uniform(0.9, 1.0, (20_000, 1))])  # one bucket
+    v = np.floor(1024 * v).astype(np.int64)
     ids, q = np.arange(len(v)), np.arange(60)
     for floors in (np.full(60, products.NONE), None):
         if floors is None:
