@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from paperloom.operators import catalog as C
 from paperloom.plans.registry import query, table
+from paperloom.sources.chunk_table import ChunkTable
+from paperloom.sources.scratch import scratch_path
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,17 +46,22 @@ def dedupe_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file_hash, max(upload_time) AS upload_time, count(*) AS n FROM chunks WHERE lang <> 'fr' GROUP BY file_hash
 UNION ALL SELECT file_hash, 1800000000, count(*) FROM chunks WHERE lang = 'fr' GROUP BY file_hash""")
 def replace_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table whose French chunks are replaced by ones that were uploaded later."""
     old = chunks(spark, sf_dir)
     new = old.where("lang = 'fr'").withColumn("upload_time", F.lit(1_800_000_000).cast("long"))
-    return C.replace_ingest(old, new).groupBy("file_hash").agg(
-        F.max("upload_time").alias("upload_time"), F.count("*").alias("n")
-    )
+    stored = ChunkTable(spark, scratch_path(spark, "chunks"))
+    stored.append(old)
+    stored.replace(new)
+    return stored.read().groupBy("file_hash").agg(F.max("upload_time").alias("upload_time"), F.count("*").alias("n"))
 
 
 @query("SELECT count(*) FILTER (source = 'src7') AS deleted, count(*) FILTER (source <> 'src7') AS kept FROM documents")
 def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, deleted = C.delete_document(chunks(spark, sf_dir), "src7")
-    return deleted.join(left.agg(F.count("*").alias("kept")))
+    """A stored table that a file's chunks are deleted from."""
+    stored = ChunkTable(spark, scratch_path(spark, "chunks"))
+    stored.append(chunks(spark, sf_dir))
+    deleted = stored.delete("src7")
+    return stored.read().agg(F.lit(deleted).cast("long").alias("deleted"), F.count("*").alias("kept"))
 
 
 @query(f"""WITH {CHUNKS_SQL}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.plans.registry import query, table
 from paperloom.sources import files as S
+from paperloom.sources.chunk_table import ChunkTable
 from paperloom.sources.scratch import scratch_path
 
 
@@ -105,7 +106,8 @@ def write_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = d.select(F.sha2("text", 256).alias("file_hash"), F.col("doc_id").alias("chunk_index"), "text")
     path = scratch_path(spark, "chunks")
     S.write_chunk_table(chunks, path)
-    return spark.read.parquet(path).groupBy(F.col("hash_prefix").cast("string").alias("hash_prefix")).agg(
+    prefix = F.substring("file_hash", 1, 1).alias("hash_prefix")
+    return ChunkTable(spark, path).read().groupBy(prefix).agg(
         F.count("*").alias("chunks"), F.sum(F.length("text")).cast("long").alias("chars")
     )
 

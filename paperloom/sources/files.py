@@ -7,14 +7,15 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.html import page_markdown
 from paperloom.functions.text import extension, is_blank, stripped
-from paperloom.sources.scratch import written
+from paperloom.sources.chunk_table import ChunkTable
 
+#: Characters of a cell of a CSV file at most, as many as a text can have.
+LONGEST_CELL = 2**31 - 1
 #: Accepted file types, split modes and the size limit.
 EXTENSIONS = (".pdf", ".docx", ".txt", ".md", ".csv", ".html", ".xlsx", ".pptx")
 SPLIT_MODES = ("auto", "parent_child", "semantic", "fixed", "markdown")
@@ -121,34 +122,13 @@ def html_to_markdown(pages: DataFrame) -> DataFrame:
 
 
 def write_chunk_table(chunks: DataFrame, path: str, prefix: int = 1) -> int:
-    """Appends chunks to the table at a path, by the first digits of the file's hash; the number appended.
+    """Appends chunks to the chunk table at a path (`ChunkTable`), by the first digits of the file's hash; the number appended.
 
     pk follows from the file and the chunk's place in it. Chunks whose key the table already has, or
     that come twice, are not written again, so a write that failed half-way can be repeated. Of the
     table only the keys under the prefixes at hand are read.
     """
-    spark = chunks.sparkSession
-    keyed = chunks.withColumn("pk", F.xxhash64("file_hash", "chunk_index")).withColumn(
-        "hash_prefix", F.substring("file_hash", 1, prefix)
-    )
-    new = keyed.dropDuplicates(["pk"])
-    if has_parquet(spark, path):
-        held = spark.read.schema(keyed.select("pk", "hash_prefix").schema).parquet(path)
-        new = new.join(held, ["pk", "hash_prefix"], "left_anti")
-    new = written(new.select(keyed.columns), "chunks")  # the table must not change while it is read
-    new.write.mode("append").partitionBy("hash_prefix").parquet(path)
-    return new.count()
-
-
-def has_parquet(spark: SparkSession, path: str) -> bool:
-    """Whether a table has been written at a path."""
-    try:
-        spark.read.option("recursiveFileLookup", "true").format("binaryFile").option(
-            "pathGlobFilter", "*.parquet"
-        ).load(path)
-    except AnalysisException:
-        return False
-    return True
+    return ChunkTable(chunks.sparkSession, path, prefix).append(chunks)
 
 
 def read_csv_tables(
@@ -162,6 +142,7 @@ def read_csv_tables(
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(LONGEST_CELL)
         for b in batches:
             for name, text in zip(b["sheet"], b["text"], strict=True):
                 rows = csv.reader(io.StringIO((text or "").removeprefix("\ufeff"), newline=""))
