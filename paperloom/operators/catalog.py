@@ -12,14 +12,16 @@ from paperloom.schemas import MAX_LENGTHS, NULLABLE
 def dedupe_ingest(incoming: DataFrame, catalog: DataFrame) -> DataFrame:
     """The files (file_hash, arrival, ...) with `status`: stored, or failed as a copy.
 
-    A file fails if the catalog has its hash, or if an earlier one of the batch has it.
+    A file fails if the catalog has its hash, or if an earlier one of the batch has it; arrivals differ.
+    Each hash's first arrival is found before anything is shuffled, so files that come often
+    meet in no one place.
     """
-    stored = catalog.select("file_hash").distinct().withColumn("known", F.lit(True))
-    first = F.row_number().over(Window.partitionBy("file_hash").orderBy("arrival")) == 1
-    marked = incoming.join(stored, "file_hash", "left").withColumn("first", first)
-    return marked.withColumn(
-        "status", F.when(F.col("known").isNull() & F.col("first"), "stored").otherwise("failed: duplicate")
-    ).drop("known", "first")
+    stored = catalog.select("file_hash").distinct()
+    first = incoming.groupBy("file_hash").agg(F.min("arrival").alias("arrival")).join(stored, "file_hash", "left_anti")
+    first = first.select(F.col("file_hash").alias("own_hash"), F.col("arrival").alias("own_arrival"), F.lit(True).alias("first"))
+    same = F.col("file_hash").eqNullSafe(F.col("own_hash")) & F.col("arrival").eqNullSafe(F.col("own_arrival"))
+    marked = incoming.join(first, same, "left").select(*incoming.columns, "first")
+    return marked.withColumn("status", F.when(F.col("first"), "stored").otherwise("failed: duplicate")).drop("first")
 
 
 def replace_ingest(catalog: DataFrame, new: DataFrame) -> DataFrame:

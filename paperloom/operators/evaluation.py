@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import is_blank, stripped
+from paperloom.operators.quantiles import exact_quantiles
 
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 CACHE_VERSION = 2
@@ -35,11 +36,17 @@ def testset_rows(sets: DataFrame) -> DataFrame:
 
 def eval_cache_join(samples: DataFrame, cache: DataFrame, fingerprint: str, version: int = CACHE_VERSION) -> DataFrame:
     """Samples with response, contexts and `hit`: a stored answer of this version and fingerprint that
-    isn't blank and has contexts; the others are to be answered anew."""
+    isn't blank and has contexts; the others are to be answered anew.
+
+    A question has one entry, the newest by stored_at, if the cache has that column; of several
+    of one time, and where there is no such column, the largest response stands.
+    """
     good = (F.col("version") == version) & (
         F.col("fingerprint") == fingerprint
     ) & ~is_blank(F.col("response")) & (F.size("contexts") > 0)
-    stored = cache.where(good).select("question", "response", "contexts")
+    when = F.col("stored_at") if "stored_at" in cache.columns else F.lit(None).cast("timestamp")
+    newest = F.max_by(F.struct("response", "contexts"), F.struct(when.alias("at"), "response", "contexts"))
+    stored = cache.where(good).groupBy("question").agg(newest.alias("entry")).select("question", "entry.*")
     return samples.join(stored, "question", "left").withColumn("hit", F.col("response").isNotNull())
 
 
@@ -78,13 +85,12 @@ def run_metrics(
     runs: DataFrame, columns: tuple[str, ...] = ("retrieval_s", "generation_s", "context_chars", "source_count")
 ) -> DataFrame:
     """(metric, mean, p50, p95) of the columns, nulls left out, rounded to 4 digits."""
-    return stacked(runs, columns).groupBy("metric").agg(
-        *(
-            F.round(x, 4).alias(n) for n, x in (
-                ("mean", F.avg("value")), ("p50", F.percentile("value", 0.5)), ("p95", F.percentile("value", 0.95))
-            )
-        )
-    )
+    rows = stacked(runs, columns)
+    figures = rows.groupBy("metric").agg(F.avg("value").alias("mean"))
+    figures = figures.join(exact_quantiles(rows, (0.5, 0.95)), "metric", "left")
+    quantile = lambda i: F.get("quantiles", F.lit(i))
+    named = (("mean", F.col("mean")), ("p50", quantile(0)), ("p95", quantile(1)))
+    return figures.select("metric", *(F.round(x, 4).alias(n) for n, x in named))
 
 
 def metric_nan_counts(scores: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -109,16 +115,13 @@ def nan_policy(scores: DataFrame, policy: str, metrics: tuple[str, ...] = METRIC
 
 def metric_summary(scores: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """(metric, mean, min, p25, p50, p75, max) without NaN, rounded to 4 digits; `overall` is the mean of means."""
+    rows = stacked(scores, metrics)
+    figures = ("mean", "min", "p25", "p50", "p75", "max")
     value = F.col("value")
-    figures = {
-        "mean": F.avg(value),
-        "min": F.min(value),
-        "p25": F.percentile(value, 0.25),
-        "p50": F.percentile(value, 0.5),
-        "p75": F.percentile(value, 0.75),
-        "max": F.max(value),
-    }
-    each = stacked(scores, metrics).groupBy("metric").agg(*(x.alias(n) for n, x in figures.items()))
+    each = rows.groupBy("metric").agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    each = each.join(exact_quantiles(rows, (0.25, 0.5, 0.75)), "metric", "left")
+    quantiles = {n: F.get("quantiles", F.lit(i)) for i, n in enumerate(("p25", "p50", "p75"))}
+    each = each.select("metric", *(quantiles.get(n, F.col(n)).alias(n) for n in figures))
     nothing = F.lit(None).cast("double")
     overall = each.agg(F.avg("mean").alias("mean")).select(
         F.lit("overall").alias("metric"), "mean", *(nothing.alias(n) for n in figures if n != "mean")

@@ -36,13 +36,9 @@ def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_to_table(S.stream_job_state(updates), scratch_path(spark, "jobs"), "update", ("job_id",))
 
 
-@query(
-    "SELECT conv_id, list(turn ORDER BY turn)::VARCHAR AS turns FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5) GROUP BY conv_id"
-)
+@query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5")
 def stream_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = S.run_to_table(
         S.stream_memory(streamed(spark, sf_dir, "conversations"), 5), scratch_path(spark, "memory"), "update", ("conv_id",)
     )
-    return kept.select(
-        "conv_id", F.concat(F.lit("["), F.array_join(F.col("turns").cast("array<string>"), ", "), F.lit("]")).alias("turns")
-    )
+    return kept.select("conv_id", F.inline("messages"))

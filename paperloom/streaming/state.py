@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 
 def stream_dedupe_ingest(files: DataFrame, path: str) -> DataFrame:
@@ -44,27 +45,60 @@ def stream_job_state(updates: DataFrame, fields: tuple[str, ...] = ("status", "p
     return updates.groupBy("job_id").agg(*map(last, fields), F.max("seq").alias("seq"))
 
 
-MESSAGES = "conv_id long, turns array<long>"
+#: What a conversation's state holds for each message.
+MESSAGE = "turn long, role string, text string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_memory(messages: DataFrame, most: int = 100) -> DataFrame:
-    """(conv_id, turns): the newest `most` turns of each conversation that got messages, oldest first.
+class _Memory(StatefulProcessor):
+    """The newest messages of a conversation, as a list in its state."""
 
-    The state of a conversation is that list, so it is bounded whatever comes in.
-    """
+    def __init__(self, most: int, keep_ms: int | None):
+        self.most, self.keep_ms = most, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("messages", MESSAGE, self.keep_ms)
 
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = set(state.get[0]) if state.exists else set()
+    def _add(self, batches: Iterator[pd.DataFrame]) -> list[tuple]:
+        held = {m[0]: m for m in self.held.get()} if self.held.exists() else {}
         for b in batches:
-            held.update(int(t) for t in b["turn"].dropna())
-            held = set(sorted(held)[-most:])
-        turns = sorted(held)
-        state.update((turns,))
-        yield pd.DataFrame({"conv_id": [key[0]], "turns": [turns]})
-
-    return messages.select("conv_id", "turn").groupBy("conv_id").applyInPandasWithState(
-        keep, MESSAGES, "turns array<long>", "update", GroupStateTimeout.NoTimeout
-    )
+            b = b.dropna(subset="turn").sort_values(["turn", "role", "text"])
+            held |= {int(t): (int(t), *m) for t, *m in zip(b["turn"], b["role"], b["text"], strict=True)}
+            held = {t: held[t] for t in sorted(held)[-self.most :]}
+        messages = list(held.values())
+        if messages:
+            self.held.put(messages)
+        return messages
+
+    def handleInitialState(self, key: tuple, stored: pd.DataFrame, timers: TimerValues) -> None:  # noqa: N802
+        self._add(iter([stored]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        messages = [dict(zip(("turn", "role", "text"), m, strict=True)) for m in self._add(rows)]
+        yield pd.DataFrame({"conv_id": [key[0]], "messages": [messages]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_memory(
+    messages: DataFrame, most: int = 100, stored: DataFrame | None = None, keep_ms: int | None = None
+) -> DataFrame:
+    """(conv_id, messages): the newest `most` messages of each conversation that got some, oldest first.
+
+    A message is (turn, role, text). The state of a conversation is that list, so it is bounded
+    whatever comes in. A turn that comes again stands for the one before, late turns go to
+    their place, and messages without a turn are left out. `stored` has messages that are there before
+    the stream begins, as a table of the same columns; it is read by the first run alone. With `keep_ms` a
+    conversation's messages go that long after it last got some. The session's streams keep
+    their state in RocksDB from then on, which this kind of state needs.
+    """
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    columns = lambda df: df.select("conv_id", "turn", "role", "text").groupBy("conv_id")
+    return columns(messages).transformWithStateInPandas(
+        _Memory(most, keep_ms), f"conv_id long, messages array<struct<{MESSAGE.replace(' ', ': ').replace(',: ', ', ')}>>", "Update",
+        "None" if keep_ms is None else "ProcessingTime", None if stored is None else columns(stored),
+    )
 
 
 def run_to_table(stream: DataFrame, path: str, mode: str = "append", latest: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import markdown
 from paperloom.operators import catalog, chunking, cleaning, context, conversation, evaluation, planning, retrieval
+from paperloom.operators import quantiles as Q
+from paperloom.operators.quantiles import exact_quantiles
 from paperloom.plans import chunking as chunk_plans
 
 
@@ -308,3 +310,54 @@ def test_chunks_of_the_tables(spark, small):
     for r in chunking.markdown_section_chunks(units).collect():
         prefix = f"[章节: {r.section}]\n"
         assert r.text.startswith(prefix) and len(r.text) - len(prefix) <= max(500 - len(prefix), 100) if r.content_type == "text" else r.text.startswith(f"{prefix}| ")
+
+
+def test_a_question_that_is_cached_twice_is_one_sample(spark):
+    samples = spark.createDataFrame([(1, "q"), (2, "r")], "q_no int, question string")
+    rows = [("q", "old", ["c"], 1), ("q", "new", ["d"], 5), ("q", "", ["e"], 9), ("r", "b", ["c"], 1), ("r", "a", ["c"], 1)]
+    cache = spark.createDataFrame([(*r, 2, "f") for r in rows], "question string, response string, contexts array<string>, stored_at int, version int, fingerprint string")
+    got = {r.q_no: (r.response, r.contexts) for r in evaluation.eval_cache_join(samples, cache, "f").collect()}
+    assert got == {1: ("new", ["d"]), 2: ("b", ["c"])}
+    assert evaluation.eval_cache_join(samples, cache.drop("stored_at"), "f").count() == 2
+
+
+def test_first_arrival_of_each_hash_is_stored(spark):
+    rows = [("a", 3), ("a", 1), ("b", 2), ("a", 2), ("k", 1), (None, 2), (None, 1)]
+    found = catalog.dedupe_ingest(spark.createDataFrame(rows, "file_hash string, arrival int"), spark.createDataFrame([("k",)], "file_hash string"))
+    assert sorted((r.file_hash or "", r.arrival) for r in found.where("status = 'stored'").collect()) == [("", 1), ("a", 1), ("b", 2)]
+    assert found.count() == len(rows)
+
+
+def quantiles_of(spark, rows, at, **kwargs):
+    df = spark.createDataFrame(rows, "metric string, value double").repartition(4)
+    return {r.metric: r.quantiles for r in exact_quantiles(df, at, **kwargs).collect()}
+
+
+@pytest.mark.parametrize("most", [5, 100_000])
+def test_quantiles_equal_those_of_sorted_values(spark, most):
+    rng = np.random.default_rng(0)
+    given = {
+        "even": rng.random(3_000), "steep": rng.lognormal(0, 8, 3_000), "few": rng.integers(0, 3, 2_000).astype(float),
+        "heavy": np.concatenate([np.full(5_000, 1.5), rng.random(500) * 3]), "one": np.array([7.0]), "two": np.array([1.0, 2.0]),
+        "same": np.full(4_000, -2.0),
+    }
+    rows = [(m, float(v)) for m, vs in given.items() for v in vs] + [("even", None), ("none", None)]
+    at = (0.0, 0.25, 0.5, 0.95, 1.0)
+    got = quantiles_of(spark, rows, at, most=most, cells=8)
+    assert got.keys() == given.keys()
+    for m, vs in given.items():
+        assert got[m] == pytest.approx(np.quantile(vs, at).tolist(), rel=1e-12)
+
+
+def test_quantiles_of_no_rows(spark):
+    assert quantiles_of(spark, [], (0.5,)) == {} == quantiles_of(spark, [("a", None)], (0.5,))
+
+
+def test_quantiles_of_ten_million_values_sort_few_in_a_task(spark, monkeypatch):
+    n, seen = 10_000_000, []
+    rows = spark.range(n).select(F.lit("m").alias("metric"), ((F.col("id") * 7_919) % n).cast("double").alias("value"))
+    ranked = Q._ranked
+    monkeypatch.setattr(Q, "_ranked", lambda held, ranges: seen.extend(ranges) or ranked(held, ranges))
+    got = exact_quantiles(rows, (0.5, 0.95)).first().quantiles
+    assert got == pytest.approx([(n - 1) * 0.5, (n - 1) * 0.95])
+    assert seen and sum(r.inside for r in seen) <= 2 * Q.SORTED

@@ -71,6 +71,12 @@ def test_csv_files_become_tables(spark, tmp_path):
     }
 
 
+def test_csv_cells_may_be_long(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x," + "y" * 300_000)
+    cells = files.read_csv_tables(spark, str(tmp_path)).collect()
+    assert [(c.col_no, len(c.value)) for c in cells] == [(0, 1), (1, 300_000)]
+
+
 def stream_of(spark, folder, batches, schema):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{i}")
@@ -79,15 +85,44 @@ def stream_of(spark, folder, batches, schema):
     ).parquet(folder)
 
 
-def test_stream_keeps_the_newest_messages_over_batches(spark, tmp_path):
-    stream = stream_of(
-        spark,
-        str(tmp_path / "in"),
-        [[(1, t) for t in range(5)], [(1, t) for t in range(3, 9)] + [(2, 1)]],
-        "conv_id long, turn long",
-    )
-    kept = state.run_to_table(state.stream_memory(stream, 4), str(tmp_path / "out"), "update", ("conv_id",))
-    assert {r.conv_id: r.turns for r in kept.collect()} == {1: [5, 6, 7, 8], 2: [1]}
+MESSAGES = "conv_id long, turn long, role string, text string"
+
+
+def message(conv: int, turn: int | None, text: str = "") -> tuple:
+    return (conv, turn, "user" if (turn or 0) % 2 else "assistant", text or f"{conv}.{turn}")
+
+
+def memory_of(stream, out, **kwargs):
+    kept = state.run_to_table(state.stream_memory(stream, 4, **kwargs), out, "update", ("conv_id",))
+    return {r.conv_id: [(m.turn, m.role, m.text) for m in r.messages] for r in kept.collect()}
+
+
+def test_stream_keeps_the_newest_messages_over_restarts_repeats_and_late_turns(spark, tmp_path):
+    batches = [
+        [message(1, t) for t in range(5)],
+        [message(1, t) for t in range(3, 7)] + [message(2, 1), message(1, None)],
+        [message(1, 20), message(2, 1), message(2, 0), message(1, 2)],  # repeats and late turns
+        [message(3, 9), message(1, 10), message(2, 1, "said anew")],
+    ]
+    out, seen = str(tmp_path / "out"), []
+    for upto in range(1, 5):  # every run is a restart of the stream
+        for i in range(upto - 1, upto):
+            spark.createDataFrame(batches[i], MESSAGES).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(MESSAGES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/in")
+        got = memory_of(stream, out)
+        seen += batches[upto - 1]
+        want: dict[int, dict] = {}
+        for conv, turn, role, text in seen:
+            if turn is not None:
+                want.setdefault(conv, {})[turn] = (turn, role, text)
+        assert got == {c: [m[t] for t in sorted(m)[-4:]] for c, m in want.items()}
+
+
+def test_stream_memory_goes_on_from_a_stored_table(spark, tmp_path):
+    stored = spark.createDataFrame([message(1, t) for t in range(8)] + [message(2, 5)], MESSAGES)
+    stream = stream_of(spark, str(tmp_path / "in"), [[message(1, 6, "anew"), message(1, 9)], [message(3, 1)]], MESSAGES)
+    got = memory_of(stream, str(tmp_path / "out"), stored=stored)
+    assert got == {1: [(5, "user", "1.5"), (6, "assistant", "anew"), (7, "user", "1.7"), (9, "user", "1.9")], 3: [(1, "user", "3.1")]}
 
 
 def test_stream_takes_each_hash_once_over_batches(spark, tmp_path):
