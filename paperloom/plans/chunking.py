@@ -81,9 +81,10 @@ SELECT 'doc-' || doc_id AS filename, row_number() OVER (PARTITION BY doc_id ORDE
   ['text', 'list', 'table'][part] AS kind, section, CASE part WHEN 1 THEN trim(text) ELSE text END AS text
 FROM blocks JOIN paths USING (doc_id, period)""")
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.markdown_blocks(marked_units(spark, sf_dir), one_unit=True).select(
-        "filename", "block_no", "kind", "section", "text"
-    )
+    """Files of many units: each line is one."""
+    lines = F.posexplode(F.split("text", "\n")).alias("unit_no", "text")
+    units = marked_units(spark, sf_dir).select("file_hash", "filename", "page", lines)
+    return C.markdown_blocks(units.withColumn("unit_no", F.col("unit_no").cast("long"))).select("filename", "block_no", "kind", "section", "text")
 
 
 @query()
