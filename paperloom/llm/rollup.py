@@ -33,44 +33,57 @@ class TokenRollup:
     Each batch has a number and writes two tables into folders of their own: the counts it sets
     (ledger) and the differences (deltas). It counts from the moment that its row in the manifest
     is there, which is one small file and written last. So a batch that fails half-way leaves
-    nothing, one that comes again does nothing, and new ones come in the order of their numbers.
+    nothing, and one that comes again does nothing. New ones come in the order of their numbers:
+    one that comes late, behind a larger number, is an error and not passed over.
 
-    A batch reads the counts of its own keys alone. After every `compact_every` batches a snapshot
-    of all counts and totals takes their place, so what is read doesn't grow with their number.
+    Ledgers are dealt over partitions by the hash of the document, and a batch reads those
+    partitions alone that its own keys are in. After every `compact_every` batches a snapshot of all counts
+    and totals takes their place. The manifest has a row a batch and is read whole.
     """
 
     spark: SparkSession
     path: str
     compact_every: int = 16
+    parts: int = 16
 
-    def _manifest(self) -> list[tuple[str, int, str, str]]:
-        """The rows of the manifest that count: the last snapshot and the batches after it, or all batches."""
+    def _entries(self) -> list[tuple[str, int, str, str]]:
+        """All rows of the manifest."""
         try:
-            found = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+            return [tuple(r) for r in self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest").collect()]
         except AnalysisException:
             return []
-        last = found.where("kind = 'snapshot'").agg(F.max("number")).first()[0]
-        if last is not None:
-            found = found.where((F.col("number") > last) | ((F.col("number") == last) & (F.col("kind") == "snapshot")))
-        return [tuple(r) for r in found.collect()]
+
+    def _manifest(self) -> list[tuple[str, int, str, str]]:
+        """The rows of the manifest that count: the last snapshot and the batches after it, or all batches."""
+        found = self._entries()
+        last = max((number for kind, number, _, _ in found if kind == "snapshot"), default=-1)
+        return [r for r in found if r[1] > last or (r[1] == last and r[0] == "snapshot")]
 
     def _read(self, table: str, schema: str, rows: list[tuple[str, int, str, str]]) -> DataFrame:
         paths = [f"{self.path}/{r[2 if table == 'ledger' else 3]}" for r in rows]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        # the base path makes the partitions of all folders one column
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*paths)
 
     def _enter(self, kind: str, number: int, ledger: DataFrame, deltas: DataFrame) -> None:
         """Writes both tables into new folders, then the row that makes them count."""
-        name = f"{kind}-{number}-{uuid.uuid4().hex}"
-        ledger.write.parquet(f"{self.path}/ledger/{name}")
+        name = f"entry={kind}-{number}-{uuid.uuid4().hex}"
+        dealt = ledger.withColumn("part", self._part()).repartition("part")
+        dealt.write.partitionBy("part").parquet(f"{self.path}/ledger/{name}")
         deltas.write.parquet(f"{self.path}/deltas/{name}")
         row = self.spark.createDataFrame([(kind, number, f"ledger/{name}", f"deltas/{name}")], MANIFEST)
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
+
     def counts(self, keys: DataFrame | None = None) -> DataFrame:
         """The counts that the batches left, one row a document and version; of some keys only, if given."""
-        held = self._read("ledger", LEDGER, self._manifest())
+        held = self._read("ledger", f"{LEDGER}, part int", self._manifest())
         if keys is not None:
-            held = held.join(keys.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
+            parts = [r[0] for r in keys.select(self._part()).distinct().collect()]  # at most self.parts
+            held = held.where(F.col("part").isin(parts)).join(keys.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
         last = F.max_by(F.struct("source", "lang", "tokens", "live"), "batch_id").alias("last")
         rows = held.groupBy("doc_id", "version").agg(last, F.max("batch_id").alias("batch_id")).where("last.live")
         return rows.select("batch_id", "doc_id", "version", "last.source", "last.lang", "last.tokens", "last.live")
@@ -81,11 +94,13 @@ class TokenRollup:
         Rows without a document id, version or known op are left out; null tokens count as 0.
         """
         rows = self._manifest()
-        latest = max((number for _, number, _, _ in rows), default=-1)
+        applied = {number for kind, number, _, _ in self._entries() if kind == "batch"}
         if batch_id < 0:
             raise ValueError("batches are numbered from 0")
-        if batch_id <= latest:
+        if batch_id in applied:
             return False
+        if batch_id < max(applied, default=-1):
+            raise ValueError(f"batch {batch_id} comes after batch {max(applied)}")
         seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
         known = changes.where(
             F.col("doc_id").isNotNull() & F.col("version").isNotNull() & F.col("op").isin("insert", "revise", "delete")

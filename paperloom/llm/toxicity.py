@@ -136,7 +136,7 @@ def training_rows(
     """(doc_id, toxic, words, pairs) of at most `sample_rows` labelled documents that aren't held out.
 
     They are those with the smallest hashes of their ids. A document with several labels is toxic
-    if one of them says so. The sample's ids are broadcast; they are as many at most. pairs has
+    if one of them says so; of rows that repeat an id one counts, with the smallest text. The sample's ids are broadcast; they are as many at most. pairs has
     the features that only one side of each counterfactual pair has, on either side.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic"))
@@ -154,7 +154,7 @@ def training_rows(
             pairs = [differences(t, int(d)) for t, d in zip(b["text"], b["doc_id"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "words": words, "pairs": pairs})
 
-    own = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("key")).select("doc_id", "toxic", "text")
+    own = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("key")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     pair = "array<struct<minus:array<string>,plus:array<string>>>"
     return own.mapInPandas(run, f"doc_id long, toxic int, words array<string>, pairs {pair}")
 

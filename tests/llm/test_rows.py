@@ -565,6 +565,14 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.toxicity_scores(docs.where("doc_id > 99"), labels).count() == 0
 
 
+def test_the_sample_bounds_rows_and_not_ids(spark):
+    docs = spark.createDataFrame([(n % 2 + 1, f"text {n}") for n in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (6, 0)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, 10, "doc_id", "text").collect()
+    assert sorted(r.doc_id for r in rows) == sorted({r.doc_id for r in rows})
+    assert toxicity.training_rows(docs, labels, 1, "doc_id", "text").count() <= 1
+
+
 # rollups
 
 
@@ -598,6 +606,32 @@ def test_rollup_batches(spark, tmp_path, compact_every):
     } == {(1, "v"): 3, (2, "v"): 4, (3, "v"): 8, (3, "w"): 2}
 
 
+CHANGE = "doc_id long, version string, op string, source string, lang string, tokens long"
+
+
+def test_a_late_batch_is_an_error_and_not_passed_over(spark, tmp_path):
+    kept = rollup.TokenRollup(spark, str(tmp_path / "one"), 2)
+    batch = lambda n: spark.createDataFrame([(n, "v", "insert", "a", "en", n)], CHANGE)
+    for n in (1, 3, 4):
+        assert kept.commit(n, batch(n))
+    assert not kept.commit(3, batch(3))  # applied, although a snapshot stands for it
+    for n in (0, 2):
+        with pytest.raises(ValueError, match="comes after"):
+            kept.commit(n, batch(n))
+    assert [r.tokens for r in kept.totals().collect()] == [8]
+
+
+def test_a_batch_reads_the_partitions_of_its_keys(spark, tmp_path):
+    import re
+
+    kept = rollup.TokenRollup(spark, str(tmp_path / "one"))
+    kept.commit(0, spark.createDataFrame([(n, "v", "insert", "a", "en", n) for n in range(200)], CHANGE))
+    found = kept.counts(spark.createDataFrame([(7, "v"), (7, "w")], "doc_id long, version string"))
+    plan = found._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part#\d+ = \d+\)?\]", plan)
+    assert [(r.doc_id, r.tokens) for r in found.collect()] == [(7, 7)]
+
+
 @pytest.mark.parametrize("broken", ["ledger", "deltas"])
 def test_a_commit_that_fails_leaves_nothing(spark, tmp_path, monkeypatch, broken):
     from pyspark.sql.readwriter import DataFrameWriter
