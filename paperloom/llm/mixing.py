@@ -11,8 +11,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 EPOCHS = 2
-#: A document with more than this part of its source's words goes ahead of the shuffled ones.
-LONG = 64
 #: Documents whose running sums one task works out.
 SHARE_ROWS = 100_000
 
@@ -53,26 +51,20 @@ def source_targets(
     )
 
 
-def mixed_sizes(
+def fair_queue(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, source.
-
-    Documents of a source queue in the order of their ids' MD5, twice over; the few that hold more
-    than 1 / LONG of the source's words go ahead, longest first, so that none of them stands at the
-    cut. Finish time is the source's words up to and with a document, over the source's target.
-    All sources' documents are taken by finish time up to the last at which the words taken stay
-    within the budget: never more than that, and every source gets to its target but for a
-    document. The same rows always give the same mix.
+    """One row per document: doc_id, size, source_size, target, source, start, first and second.
 
-    Null texts have no words and take none; null sources are one source, null ids queue by the MD5
-    of their texts. Repeated rows queue one after the other. Documents that finish at one time are
-    taken together or not at all. No rows give no rows. Only the three named columns are read.
+    All documents of a source are shuffled: they queue by their ids' MD5, twice over. start is the source's words
+    ahead of a document, first and second are the virtual times at which its two entries finish: the source's words
+    up to and with it, over the source's target. As targets add up to the budget, all sources' queues served in the
+    order of these times have used the budget up at time 1.
 
-    Running sums are made of the sums of shares of a source's queue and sums within a share, so a
-    source that holds most rows is dealt over many tasks. The driver sees the number of documents
-    and the time of the cut.
+    Running sums are made of the sums of shares of a source's queue and sums within a share, so a source
+    that holds most rows is dealt over many tasks; equal rows are one in them. The driver sees the
+    number of documents.
     """
     doc_id = F.col(id_col).cast("long")
     place = F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit(":"), F.md5(F.col(text_col).cast("string"))), F.lit("")))
@@ -82,62 +74,61 @@ def mixed_sizes(
     sizes = written(sizes, "sizes")
     shares = max(64, sizes.count() // SHARE_ROWS)
     targets = source_targets(sizes, weights, budget).withColumnRenamed("source", "name")
-    queue = sizes.join(targets, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    long = F.col("size") * LONG > F.col("source_size")
+    rows = sizes.groupBy("source", "place", "doc_id", "size").agg(F.count("*").alias("times"))
+    queue = rows.join(targets, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     share = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * shares / F.lit(1 << 32)).cast("int")
-    queue = queue.withColumn("share", F.when(long, -1).otherwise(share))
+    queue = queue.withColumn("share", share).withColumn("words", F.col("size") * F.col("times"))
 
     before = Window.partitionBy("source").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
-    starts = queue.groupBy("source", "share").agg(F.sum("size").alias("words"))
+    starts = queue.groupBy("source", "share").agg(F.sum("words").alias("words"))
     starts = starts.select(
         F.col("source").alias("of"),
         F.col("share").alias("part"),
         F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"),
     )
-    order = F.when(F.col("share") < 0, -F.col("size")), "place", "doc_id", "size"
-    within = Window.partitionBy("source", "share").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = queue.withColumn("within", F.sum("size").over(within))
+    within = Window.partitionBy("source", "share").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    own = queue.withColumn("within", F.sum("words").over(within))
     own = own.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("share") == F.col("part")))
-    words = F.col("before") + F.col("within")
+    each = own.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    start = F.col("before") + F.col("within") - F.col("words") + F.col("nth") * F.col("size")
+    each = each.withColumn("start", start)
     finish = lambda w: F.try_divide(w.cast("double"), F.col("target"))  # noqa: E731  no target: never
-    timed = own.select(
-        "doc_id", "size", "source_size", "target", "source",
-        finish(words).alias("first"), finish(words + F.col("source_size")).alias("second"),
-    )
-    timed = written(timed, "queue")
-    cut = _cut(timed, sizes.agg(F.sum("size")).first()[0], budget, shares)
-    taken = sum(F.when(F.col(c) <= F.lit(cut), F.col("size")).otherwise(0) for c in ("first", "second")).cast("long")
-    return timed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    upto = F.col("start") + F.col("size")
+    return each.select(
+        "doc_id", "size", "source_size", "target", "source", "start", finish(upto).alias("first"), finish(upto + F.col("source_size")).alias("second")
+    )
+
 
+def mixed_sizes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET,
+) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, source.
 
-def _cut(timed: DataFrame, words: int | None, budget: float, shares: int) -> float:
-    """The latest finish time up to which all taken words stay within the budget.
+    All documents are queued by source (`fair_queue`) and the mix is cut where the budget is used up, at the
+    queue's virtual time 1: entries that finish by then are taken whole, and one that is in service gives the
+    words served by then. So every source's words are its target but for less than one word, however
+    long its documents are, and never more. The same rows always give the same mix.
 
-    Words are summed by ranges of time; only the range in which the budget runs out is looked at
-    document by document.
+    Null texts have no words and take none, nor do empty ones; very long ones are counted whole and queue like
+    any other. Null sources are one source, null ids queue by the MD5 of their texts. Repeated rows
+    queue one after the other. No rows give no rows. Only the three named columns are read, whatever
+    else there is.
     """
-    total = (words or 0) * float(budget)
-    entries = timed.where("size > 0").select(
-        "size", F.explode(F.array("first", "second")).alias("finish")
-    ).where("finish IS NOT NULL")
-    entries = entries.withColumn("range", F.floor(F.col("finish") * F.lit(16 * shares)))
-    running = F.sum("words").over(Window.orderBy("range"))
-    ranges = entries.groupBy("range").agg(F.sum("size").alias("words")).withColumn("upto", running)
-    over = ranges.where(F.col("upto") > total).orderBy("range").first()
-    if over is None:
-        return float("inf")
-    left = total - (over["upto"] - over["words"])
-    at = Window.orderBy("finish")
-    inside = entries.where(F.col("range") == over["range"]).withColumn("upto", F.sum("size").over(at))
-    last = inside.where(F.col("upto") <= left).agg(F.max("finish")).first()[0]
-    return last if last is not None else over["range"] / (16 * shares)
+    queue = fair_queue(docs, id_col, text_col, source_col, weights, budget)
+    served = F.floor("target")
+
+    # by time 1 a source has served its target; what of that lies behind an entry's start is the entry's
+    by_then = lambda start: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), served - start))
+    both = by_then(F.col("start")) + by_then(F.col("start") + F.col("source_size"))
+    return queue.select("doc_id", "size", "source_size", "target", both.alias("taken"), "source")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents that the mix takes, each as often as it takes them, with all their own columns.
+    """The documents that the mix takes, each as often as it takes them whole, with all their own columns.
 
     Documents without a word (null and empty texts among them) are never taken: the mix is of
-    words. Rows that repeat id, size and source are each taken as often as the one of them that is
+    words. One that is taken in part, of which each source has one at most, isn't taken for that part. Rows that repeat id, size and source are each taken as often as the one of them that is
     taken least, so that the budget holds. Null ids are matched like any others, columns of any
     other name are kept, and no rows give no rows.
     """

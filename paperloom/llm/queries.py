@@ -65,29 +65,13 @@ WITH sizes AS (
 ), targets AS (
   SELECT source, source_size, least(cap::DOUBLE, weight * max(CASE WHEN rate * weight <= cap THEN rate END) OVER ()) AS target FROM rates
 ), queue AS (
-  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
-    sum(s.size) OVER (
-      PARTITION BY s.source
-      ORDER BY CASE WHEN s.size * 64 > t.source_size THEN -s.size ELSE 0 END, md5(s.doc_id::VARCHAR), s.doc_id, s.size
-      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW
-    )::BIGINT AS words
+  SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target)::BIGINT AS served,
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(s.doc_id::VARCHAR), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - s.size AS start
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-), timed AS (
-  SELECT *,
-    CASE WHEN target > 0 THEN words::DOUBLE / target END AS first,
-    CASE WHEN target > 0 THEN (words + source_size)::DOUBLE / target END AS second
-  FROM queue
-), entries AS (
-  SELECT size, first AS finish FROM timed WHERE first IS NOT NULL AND size > 0
-  UNION ALL SELECT size, second FROM timed WHERE first IS NOT NULL AND size > 0
-), running AS (
-  SELECT *, sum(size) OVER (ORDER BY finish) AS upto FROM entries
-), cut AS (
-  SELECT max(finish) AS finish FROM running WHERE upto <= (SELECT sum(size) * 1.5::DOUBLE FROM sizes)
 )
 SELECT doc_id, size, source_size, target,
-  ((CASE WHEN first <= cut.finish THEN size ELSE 0 END) + (CASE WHEN second <= cut.finish THEN size ELSE 0 END))::BIGINT AS taken
-FROM timed, cut
+  (greatest(0, least(size, served - start)) + greatest(0, least(size, served - start - source_size)))::BIGINT AS taken
+FROM queue
 """
 
 
