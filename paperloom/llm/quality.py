@@ -142,36 +142,36 @@ def fit_rules(voted: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = 4
     A document is good or has one kind of damage, a kind for each rule that looks for it. In each of
     these classes a rule's votes are for a document as often as its accuracy there says, so that a
     common kind of damage is a class of its own and doesn't pass for a trait of good documents.
-    Documents are counted by their votes, of which there are at most 3 to the number of rules; a
-    round is one aggregation of these counts, and the driver sees a row for each class. It starts
+    Documents are counted by their votes in one aggregation; of these counts there are at most 3 to the number of
+    rules, whatever there is of documents, so the driver has them and goes round. It starts
     from what is expected, which counts as EXPECTED_VOTES throughout.
     """
     names = [f"vote_{r.name}" for r in rules]
-    counts = written(voted.groupBy(*names).count(), "votes").coalesce(1)
+    counts = [((*(r[n] for n in names),), r["count"]) for r in voted.groupBy(*names).count().orderBy(*names).collect()]
     start = model = RuleModel.expected(len(rules))
     weight = EXPECTED_VOTES
-    for _ in range(rounds):
-        rows = counts.select("count", *names, F.posexplode(model.posterior(rules)).alias("class", "likely"))
-        own = F.col("count") * F.col("likely")
-        cast = lambda test: [
-            F.sum(F.when(F.expr(f"{n} {test}"), own).otherwise(0.0)).alias(f"{n} {test}") for n in names
-        ]
-        found = {
-            r["class"]: r for r in rows.groupBy("class").agg(F.sum(own).alias("all"), *cast("= 1"), *cast("<> 0")).collect()
-        }
-        if not found:
-            break
-        total = sum(r["all"] for r in found.values())
-        shares, rates = [], []
-        for c, (share, rate) in enumerate(zip(start.shares, start.rates, strict=True)):
-            shares.append((found[c]["all"] + weight * share) / (total + weight))
-            right = [
-                (
-                    found[c][f"{n} = 1"] + weight * x
-                ) / (found[c][f"{n} <> 0"] + weight) for n, x in zip(names, rate, strict=True)
+    total = sum(n for _, n in counts)
+    for _ in range(rounds if counts else 0):
+        members = [0.0] * len(start.shares)
+        cast, right = ([[0.0] * len(rules) for _ in start.shares] for _ in range(2))
+        for vote, n in counts:
+            likely = [
+                share * math.prod(x if v == 1 else 1 - x for v, x in zip(vote, rate, strict=True) if v)
+                for share, rate in zip(model.shares, model.rates, strict=True)
             ]
-            rates.append(tuple(min(0.99, max(0.01, x)) for x in right))
-        before, model = model, RuleModel(tuple(shares), tuple(rates))
+            whole = sum(likely)
+            for c, x in enumerate(likely):
+                own = n * x / whole
+                members[c] += own
+                for j, v in enumerate(vote):
+                    cast[c][j] += own if v else 0.0
+                    right[c][j] += own if v == 1 else 0.0
+        shares = tuple((m + weight * share) / (total + weight) for m, share in zip(members, start.shares, strict=True))
+        rates = tuple(
+            tuple(min(0.99, max(0.01, (r + weight * x) / (k + weight))) for r, k, x in zip(*of_class, strict=True))
+            for of_class in zip(right, cast, start.rates, strict=True)
+        )
+        before, model = model, RuleModel(shares, rates)
         moved = zip((*before.shares, *sum(before.rates, ())), (*model.shares, *sum(model.rates, ())), strict=True)
         if max(abs(x - y) for x, y in moved) < 1e-3:
             break
