@@ -24,16 +24,22 @@ def stream_dedupe_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.stream_dedupe_ingest(files, scratch_path(spark, "ingested")).select("file_hash")
 
 
-@query("""SELECT user_id AS job_id, arg_max(event_type, event_id) FILTER (event_type <> 'view') AS status, arg_max(floor(value)::INTEGER, event_id) FILTER (event_type = 'view') AS progress,
-  arg_max(props, event_id) FILTER (event_type = 'error') AS error, max(event_id) AS seq FROM events GROUP BY user_id""")
-def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+JOBS_SQL = """SELECT user_id AS job_id, arg_max(event_type, event_id) FILTER (event_type <> 'view') AS status, arg_max(floor(value)::INTEGER, event_id) FILTER (event_type = 'view') AS progress,
+  arg_max(props, event_id) FILTER (event_type = 'error') AS error, max(event_id) AS seq FROM events GROUP BY user_id"""
+
+
+def job_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
-    updates = streamed(spark, sf_dir, "events").select(
+    return streamed(spark, sf_dir, "events").select(
         F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(kind != "view", kind).alias("status"), F.when(
             kind == "view", F.floor("value").cast("int")
         ).alias("progress"), F.when(kind == "error", F.col("props")).alias("error")
     )
-    return S.run_to_table(S.stream_job_state(updates), scratch_path(spark, "jobs"), "update", ("job_id",))
+
+
+@query(JOBS_SQL)
+def stream_job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.run_to_table(S.stream_job_state(job_updates(spark, sf_dir)), scratch_path(spark, "jobs"), "update", ("job_id",))
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import TimerValues
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def stream_dedupe_ingest(files: DataFrame, path: str) -> DataFrame:
@@ -45,6 +45,67 @@ def stream_job_state(updates: DataFrame, fields: tuple[str, ...] = ("status", "p
     return updates.groupBy("job_id").agg(*map(last, fields), F.max("seq").alias("seq"))
 
 
+class _Jobs(StatefulProcessor):
+    """The latest values of a job's fields, which go by a timer."""
+
+    def __init__(self, fields: tuple[str, ...], state: str, keep_ms: int):
+        self.fields, self.state, self.keep_ms = fields, state, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("job", self.state)
+
+    def _row(self, key: tuple, seq: int | None, values: tuple, expired: bool) -> pd.DataFrame:
+        out = {"job_id": [key[0]], **{f: [v] for f, v in zip(self.fields, values, strict=True)}, "seq": [seq], "expired": [expired]}
+        return pd.DataFrame(out, dtype=object)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
+        if self.held.exists():
+            seq, *held = self.held.get()
+        else:
+            seq, held = None, [None] * (2 * len(self.fields))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
+        values, at = held[::2], held[1::2]
+        for b in rows:
+            for r in b.itertuples(index=False):
+                seq = int(r.seq) if seq is None else max(seq, int(r.seq))
+                for i, f in enumerate(self.fields):
+                    x = getattr(r, f)
+                    if not pd.isna(x) and (at[i] is None or r.seq >= at[i]):
+                        values[i], at[i] = x.item() if hasattr(x, "item") else x, int(r.seq)
+        values = [int(v) if isinstance(v, float) and v.is_integer() and f in self.whole else v for f, v in zip(self.fields, values, strict=True)]
+        self.held.update((seq, *(x for pair in zip(values, at, strict=True) for x in pair)))
+        yield self._row(key, seq, tuple(values), False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
+        self.held.clear()
+        yield self._row(key, None, (None,) * len(self.fields), True)
+
+    def close(self) -> None:
+        pass
+
+    #: Fields of whole numbers, which pandas may hand over as floats.
+    whole: tuple[str, ...] = ()
+
+
+def stream_job_expiry(
+    updates: DataFrame, fields: tuple[str, ...] = ("status", "progress", "error"), keep_ms: int = 24 * 3_600_000
+) -> DataFrame:
+    """`stream_job_state` with an end: a job goes `keep_ms` after it was first seen, and a row with `expired` says so.
+
+    So the state has the jobs of that time alone, whatever comes in. The clock is that of the stream's batches; an
+    update of a job that has gone begins it anew. A stream with timers runs until it is stopped, also when
+    it is started for what is available. The session's streams keep their state in RocksDB from then on.
+    """
+    updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kinds = {f: updates.schema[f].dataType for f in fields}
+    state = "seq long, " + ", ".join(f"{f} {k.simpleString()}, {f}_seq long" for f, k in kinds.items())
+    job = _Jobs(fields, state, keep_ms)
+    job.whole = tuple(f for f, k in kinds.items() if isinstance(k, T.IntegralType))
+    out = f"job_id {updates.schema['job_id'].dataType.simpleString()}, " + "".join(f"{f} {k.simpleString()}, " for f, k in kinds.items())
+    jobs = updates.select("job_id", "seq", *fields).groupBy("job_id")
+    return jobs.transformWithStateInPandas(job, f"{out}seq long, expired boolean", "Update", "ProcessingTime")
+
+
 #: What a conversation's state holds for each message.
 MESSAGE = "turn long, role string, text string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -70,10 +131,10 @@ class _Memory(StatefulProcessor):
             self.held.put(messages)
         return messages
 
-    def handleInitialState(self, key: tuple, stored: pd.DataFrame, timers: TimerValues) -> None:  # noqa: N802
-        self._add(iter([stored]))
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802,N803
+        self._add(iter([initialState]))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
         messages = [dict(zip(("turn", "role", "text"), m, strict=True)) for m in self._add(rows)]
         yield pd.DataFrame({"conv_id": [key[0]], "messages": [messages]})
 
@@ -90,8 +151,9 @@ def stream_memory(
     whatever comes in. A turn that comes again stands for the one before, late turns go to
     their place, and messages without a turn are left out. `stored` has messages that are there before
     the stream begins, as a table of the same columns; it is read by the first run alone. With `keep_ms` a
-    conversation's messages go that long after it last got some. The session's streams keep
-    their state in RocksDB from then on, which this kind of state needs.
+    conversation's messages go that long after it last got some; such a stream runs until it is stopped, also
+    when it is started for what is available. The session's streams keep their state in RocksDB from then on,
+    which this kind of state needs.
     """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     columns = lambda df: df.select("conv_id", "turn", "role", "text").groupBy("conv_id")

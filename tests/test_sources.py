@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,3 +133,42 @@ def test_stream_takes_each_hash_once_over_batches(spark, tmp_path):
     found = state.stream_dedupe_ingest(stream, str(tmp_path / "out"))
     assert sorted((r.file_hash, r.at) for r in found.collect()) == [("a", 1), ("b", 2), ("c", 0), ("d", 6)]
     assert state.stream_dedupe_ingest(stream, str(tmp_path / "out")).count() == 4
+
+
+JOBS = "job_id string, seq long, status string, progress int, error string"
+
+
+def run_until(stream, folder, done):
+    """Runs a stream that doesn't end by itself until its rows are as they should be, or a minute has gone."""
+    rows = []
+    sink = stream.writeStream.foreachBatch(lambda batch, _: rows.extend(batch.collect())).outputMode("update")
+    query = sink.option("checkpointLocation", folder).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            if done(list(rows)):
+                return rows
+        raise AssertionError(rows)
+    finally:
+        query.stop()
+
+
+def test_jobs_keep_their_latest_values_and_go_by_their_timers(spark, tmp_path):
+    batches = [
+        [("a", 1, "new", None, None), ("a", 3, None, 5, None), ("b", 2, "new", 1, None)],
+        [("a", 2, "late", 3, None), ("c", 4, "new", None, "e")],
+    ]
+    stream = stream_of(spark, str(tmp_path / "in"), batches, JOBS)
+    ended = lambda rows: {r.job_id for r in rows if r.expired} == {"a", "b", "c"}
+    rows = run_until(state.stream_job_expiry(stream, keep_ms=8_000), str(tmp_path / "c"), ended)
+    last = {r.job_id: (r.status, r.progress, r.error, r.seq) for r in rows if not r.expired}
+    assert last == {"a": ("late", 5, None, 3), "b": ("new", 1, None, 2), "c": ("new", None, "e", 4)}
+
+
+def test_messages_go_after_their_time(spark, tmp_path):
+    stream = stream_of(spark, str(tmp_path / "in"), [[message(1, 1)]], MESSAGES)
+    memory = state.stream_memory(stream, 4, keep_ms=1)
+    run_until(memory, str(tmp_path / "c"), lambda rows: len(rows) == 1)
+    spark.createDataFrame([message(1, 2)], MESSAGES).coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    rows = run_until(memory, str(tmp_path / "c"), lambda rows: len(rows) == 1)
+    assert [m.turn for m in rows[0].messages] == [2]
