@@ -361,3 +361,48 @@ def test_quantiles_of_ten_million_values_sort_few_in_a_task(spark, monkeypatch):
     got = exact_quantiles(rows, (0.5, 0.95)).first().quantiles
     assert got == pytest.approx([(n - 1) * 0.5, (n - 1) * 0.95])
     assert seen and sum(r.inside for r in seen) <= 2 * Q.SORTED
+
+
+def one_file(spark, *pages: str):
+    rows = [("0123456789abcdef" * 4, "f.md", i, i + 1, text) for i, text in enumerate(pages)]
+    return spark.createDataFrame(rows, "file_hash string, filename string, unit_no long, page long, text string")
+
+
+def test_rows_of_parents_and_children(spark):
+    units = one_file(
+        spark,
+        "# A\nOne. Two.\n\n| h |\n| --- |\n| r1 |",
+        "## B\nThree is here. Four.\n# C\nAaaa bbbb. Cccc dddd. Ee.",
+        "# D\nXxxx yyyy zzzz wwww. Q.\n\nGoes",
+        "on",
+    )
+    expected = [  # section, content, parent, child, raw text, first and last page
+        ("A", "text", 0, 0, "One. Two.", 1, 1),
+        ("A", "table", 0, 1, "| h |\n| --- |\n| r1 |", 1, 1),
+        ("A > B", "text", 1, 0, "Three is here. Four.", 2, 2),
+        ("C", "text", 2, 0, "Aaaa bbbb.", 2, 2),
+        ("C", "text", 2, 1, "Cccc dddd. Ee.", 2, 2),
+        ("D", "text", 3, 0, "Xxxx yyyy zzzz wwww.", 3, 3),
+        ("D", "text", 3, 1, "Q.\n\nGoes\non", 3, 4),
+    ]
+    rows = chunking.parent_child_chunks(units, parent_size=60, child_size=20, least=5).orderBy("chunk_index").collect()
+    assert [tuple(r[c] for c in ("section", "content_type", "parent_index", "child_index", "raw_text", "page_start", "page_end")) for r in rows] == expected
+    for i, (r, (section, _, parent, _, raw, first, _)) in enumerate(zip(rows, expected, strict=True)):
+        assert (r.chunk_index, r.filename, r.file_hash, r.chunk_type, r.page) == (i, "f.md", "0123456789abcdef" * 4, "parent_child", first)
+        assert (r.text, r.parent_id) == (f"[章节: {section}]\n{raw}", f"0123456789abcdef-p{parent:05d}")
+    short = chunking.parent_child_chunks(one_file(spark, "Xxxx yyyy zzzz wwww. Q."), parent_size=60, child_size=20, least=5)
+    assert [(r.raw_text, r.text, r.section) for r in short.collect()] == [("Xxxx yyyy zzzz wwww.\n\nQ.",) * 2 + ("",)]  # too short to be alone
+
+
+def test_rows_of_fixed_pieces_and_sections(spark):
+    fixed = chunking.fixed_chunks(one_file(spark, "aa bb cc dd ee", "one\n\ntwo"), size=5, overlap=2).orderBy("unit_no", "piece").collect()
+    assert [(r.unit_no, r.piece, r.page, r.chunk_type, r.section, r.content_type, r.text) for r in fixed] == [
+        (0, i, 1, "fixed", "", "text", t) for i, t in enumerate(["aa bb", "bb cc", "cc dd", "dd ee"])
+    ] + [(1, i, 2, "fixed", "", "text", t) for i, t in enumerate(["one", "two"])]
+    text = "# A\nA text that is long enough.\n| h |\n| --- |\n| r |\n# B\nshort\n## C\nAnother text that is long enough."
+    sections = chunking.markdown_section_chunks(one_file(spark, text)).orderBy("piece").collect()
+    assert [(r.piece, r.section, r.content_type, r.text) for r in sections] == [
+        (0, "A", "text", "[章节: A]\nA text that is long enough."),
+        (1, "A", "table", "[章节: A]\n| h |\n| --- |\n| r |"),
+        (2, "B > C", "text", "[章节: B > C]\nAnother text that is long enough."),
+    ]
