@@ -719,7 +719,7 @@ def test_pipeline(spark, small):
         not brute_spans(r.text) and r.n_chars == len(r.text) for r in private.collect()
     )
     mixed = stages["mixing"](spark, private, small)
-    taken = {r.doc_id: r.taken // r.size for r in mixing.mixed_sizes(private).collect() if r.taken}
+    taken = {r.doc_id: r.taken // r.size for r in mixing.mixed_sizes(private).collect() if r.size and r.taken >= r.size}
     assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == taken
     rows = corpus_pipeline.run(spark, small).collect()
     assert {r.doc_id for r in rows} == set(taken) and check_layout(rows, 2048)
