@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import joined, stripped
 
+#: Labels of roles, and what stands for no history.
 ROLES = {"user": "用户"}
 ASSISTANT, NONE = "助手", "（无）"
 
