@@ -11,32 +11,21 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from paperloom.streaming.hashes import HashStore
 
-def stream_dedupe_ingest(files: DataFrame, path: str) -> DataFrame:
+
+def stream_dedupe_ingest(files: DataFrame, path: str, parts: int = 64, expected: int = 1 << 20) -> DataFrame:
     """Runs a stream of arriving files into a table at a path and reads it: each hash once, the first that came.
 
-    The table is the memory: a batch takes the hashes that no earlier batch has stored, however long
-    ago, and writes its own folder, so one that is run again gives the same. Files without a hash
-    are left out. A later run of the stream goes on where the last one ended.
+    The table is the memory (`HashStore`): a batch takes the hashes that no earlier batch has stored, however long
+    ago, and writes its own folders, so one that is run again gives the same. It opens the parts alone whose
+    hashes may have come again. Files without a hash are left out. A later run of the stream goes on where
+    the last one ended, with the same `parts` and `expected`.
     """
-    spark: SparkSession = files.sparkSession
-    schema = T.StructType([*files.schema, T.StructField("batch", T.IntegerType())])
-
-    def stored() -> DataFrame:
-        return spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
-
-    def write(batch: DataFrame, number: int) -> None:
-        rest = [c for c in files.columns if c != "file_hash"]
-        new = batch.where("file_hash IS NOT NULL").groupBy("file_hash").agg(
-            F.min(F.struct(*rest)).alias("r")
-        ).select("file_hash", "r.*")
-        if number:
-            new = new.join(stored().where(F.col("batch") < number), "file_hash", "left_anti")
-        new.select(files.columns).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
-
-    sink = files.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+    store = HashStore(files.sparkSession, path, files.schema, parts, expected)
+    sink = files.writeStream.foreachBatch(store.add).option("checkpointLocation", f"{path}/checkpoint")
     sink.trigger(availableNow=True).start().awaitTermination()
-    return stored().drop("batch")
+    return store.read()
 
 
 def stream_job_state(updates: DataFrame, fields: tuple[str, ...] = ("status", "progress", "error")) -> DataFrame:

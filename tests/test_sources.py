@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.operators import chunking
 from paperloom.schemas import CHUNK
 from paperloom.sources import files
-from paperloom.streaming import state
+from paperloom.streaming import hashes, state
+from paperloom.streaming.hashes import BITS, CELL, HashStore, sketched
 
 
 def test_files_are_read_validated_and_named(spark, tmp_path):
@@ -135,6 +137,42 @@ def test_stream_takes_each_hash_once_over_batches(spark, tmp_path):
     assert state.stream_dedupe_ingest(stream, str(tmp_path / "out")).count() == 4
 
 
+def test_a_batch_opens_only_the_parts_that_may_hold_its_hashes(spark, tmp_path, monkeypatch):
+    schema = T.StructType.fromDDL("file_hash string, at long")
+    store = HashStore(spark, str(tmp_path / "out"), schema, parts=8, expected=1000)
+    opened, read = [], HashStore.stored
+    monkeypatch.setattr(HashStore, "stored", lambda self, parts, before: (opened.append(parts), read(self, parts, before))[1])
+    batches = [[(f"{b}.{i}", b) for i in range(20)] for b in range(8)] + [[("3.7", 99), ("new", 99)]]
+    want = {}
+    for number, rows in enumerate(batches):
+        store.add(spark.createDataFrame(rows, schema), number)
+        want |= {h: at for h, at in rows if h not in want}
+    store.add(spark.createDataFrame(batches[-1], schema), len(batches) - 1)  # run again
+    assert {r.file_hash: r.at for r in store.read().collect()} == want and store.read().count() == len(want)
+    assert [len(p) for p in opened] == [1, 1]  # new hashes open nothing, a copy opens its part
+    sizes = [sum(f.stat().st_size for f in (tmp_path / f"out/sketches/{i}").glob("*.parquet")) for i in (0, 1)]
+    assert max(sizes) < CELL * BITS / 8 + 20_000
+
+
+def test_sketches_lose_nothing_and_mistake_few():
+    rng = np.random.default_rng(1)
+    one, other = rng.integers(-(2**63), 2**63, size=(2, 40_000))
+    maybe, held = sketched(None, one[:20_000], other[:20_000], 20_000 * BITS)
+    assert not maybe.any()
+    maybe, held = sketched(held, one, other, 20_000 * BITS)
+    assert maybe[:20_000].all() and maybe[20_000:].mean() < 0.02
+    assert sketched(held, one[:0], other[:0], 20_000 * BITS)[1] == held
+
+
+def test_more_hashes_than_expected_and_rows_of_hashes_alone(spark, tmp_path, monkeypatch):
+    """A full sketch says maybe to all; the rows are right all the same."""
+    monkeypatch.setattr(hashes, "CELL", 8)
+    store = HashStore(spark, str(tmp_path / "out"), T.StructType.fromDDL("file_hash string"), parts=3, expected=10)
+    for number in range(4):
+        store.add(spark.createDataFrame([(str(i),) for i in range(40 * number, 40 * number + 60)] + [(None,)], "file_hash string"), number)
+    assert sorted(int(r.file_hash) for r in store.read().collect()) == list(range(180))
+
+
 JOBS = "job_id string, seq long, status string, progress int, error string"
 
 
