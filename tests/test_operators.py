@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
 
 import numpy as np
@@ -9,8 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import markdown
+from paperloom.functions.text import folded
 from paperloom.operators import catalog, chunking, cleaning, context, conversation, evaluation, planning, retrieval
 from paperloom.operators import quantiles as Q
+from paperloom.operators.lexicon import best_path, tokenize_by_lexicon
 from paperloom.operators.quantiles import exact_quantiles
 from paperloom.plans import chunking as chunk_plans
 
@@ -406,3 +410,66 @@ def test_rows_of_fixed_pieces_and_sections(spark):
         (1, "A", "table", "[章节: A]\n| h |\n| --- |\n| r |"),
         (2, "B > C", "text", "[章节: B > C]\nAnother text that is long enough."),
     ]
+
+
+def test_folding_is_that_of_all_letters(spark):
+    """Characters of any case form the groups that full case folding forms."""
+    cased = [c for c in map(chr, [*range(1, 0xD800), *range(0xE000, 0x1F000)]) if c.isprintable() and len({c, c.lower(), c.upper(), c.casefold()}) > 1]
+    got, want = {}, {}
+    for r in spark.createDataFrame([(c,) for c in cased], "c string").select("c", folded(F.col("c")).alias("f")).collect():
+        got.setdefault(r.f, set()).add(r.c)
+        want.setdefault(r.c.casefold(), set()).add(r.c)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_requests_that_differ_in_case_alone_are_one(spark):
+    asked = ["Straße", " STRASSE\n", "strasse", "ΟΔΟΣ", "οδος", "οδοσ", "ıx", "ix", "IX", "１", "1", "\u212a", "k", None]
+    rows = [(i, "c", q, 4, ["h"], "m", "s") for i, q in enumerate(asked)]
+    schema = "request_id int, collection string, query string, top_k int, history array<string>, model string, switches string"
+    once, members = planning.request_dedupe(spark.createDataFrame(rows, schema))
+    assert sorted(r.request_id for r in once.collect()) == [0, 3, 6, 7, 9, 10, 11, 13]
+    assert members.count() == len(asked)
+
+
+def every_cut(run):
+    if not run:
+        yield []
+    for i in range(1, len(run) + 1):
+        for rest in every_cut(run[i:]):
+            yield [run[:i], *rest]
+
+
+def test_best_path_is_the_likeliest_of_all_cuts(spark):
+    rng = random.Random(4)
+    letters = "天地人大小中"
+    lexicon = {"".join(rng.choices(letters, k=rng.randint(1, 4))): rng.randint(1, 9) for _ in range(25)}
+    total = sum(lexicon.values())
+    runs = ["".join(rng.choices(letters, k=n)) for n in range(1, 10) for _ in range(6)]
+    texts = [f"a1 {r}, x_y{r[:1]} -- é" for r in runs] + ["plain words", "", None]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "pk int, text string").withColumn("raw_text", F.lit(" "))
+    words = spark.createDataFrame([*lexicon.items(), ("", 5), ("不", 0), (None, 3)], "word string, count long")
+    found = {r.pk: r.tokens for r in tokenize_by_lexicon(chunks, words).collect()}
+    for i, run in enumerate(runs):
+        def weight(cut):
+            return sum(math.log(lexicon.get(w, 1) / total) for w in cut)
+        cuts = [c for c in every_cut(run) if all(w in lexicon or len(w) == 1 for w in c)]
+        got = found[i]
+        assert got[0] == "a1" and got[-1] == "é" and got[-3:-1] == ["x_y", run[0]]
+        assert "".join(got[1:-3]) == run and got[1:-3] in cuts
+        assert weight(got[1:-3]) == pytest.approx(max(map(weight, cuts)), abs=1e-9)
+    assert found[len(runs)] == ["plain", "words"] and found[len(runs) + 1] == [] and found[len(runs) + 2] is None
+    with pytest.raises(ValueError, match="more than 3"):
+        tokenize_by_lexicon(chunks, words, most_words=3)
+
+
+def test_of_equal_cuts_the_longest_first_word_counts_and_no_lexicon_means_characters(spark):
+    assert best_path("天地人", {"天地": -1.0, "地人": -1.0, "天": -1.0, "人": -1.0}, 2, -9.0) == ["天地", "人"]
+    assert best_path("天地", {}, 1, 0.0) == ["天", "地"]
+
+
+def test_searches_find_words_of_a_lexicon(spark):
+    chunks = spark.createDataFrame([(0, "北京大学生活"), (1, "大学"), (2, "生活"), (3, "x")], "chunk_id long, text string").withColumn("raw_text", F.col("text"))
+    words = spark.createDataFrame([("北京", 9), ("大学", 9), ("学生", 3), ("生活", 9), ("北京大学", 5)], "word string, count long")
+    asked = spark.createDataFrame([(0, "北京大学")], "query_id long, text string").withColumn("raw_text", F.col("text"))
+    found = retrieval.bm25_search(tokenize_by_lexicon(chunks, words), tokenize_by_lexicon(asked, words), 5)
+    assert [r.chunk_id for r in found.collect()] == [0]
