@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.text import is_blank, stripped
 from paperloom.operators.quantiles import exact_quantiles
+from paperloom.sources.scratch import written
 
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 CACHE_VERSION = 2
@@ -165,30 +166,81 @@ def sample_chunks(chunks: DataFrame, n: int, seed: str = "42") -> DataFrame:
     return chunks.where(~is_blank(stripped(F.coalesce("text", F.lit(""))))).orderBy(place, "pk").limit(n)
 
 
-def overlap_edges(chunks: DataFrame, threshold: float = 0.01) -> DataFrame:
+def overlap_classes(chunks: DataFrame, threshold: float = 0.01, most: int = 2_000) -> tuple[DataFrame, DataFrame]:
+    """((left, right, score), (pk, class)): which sets of entities have a Jaccard score of `threshold` or more, and
+    which chunks (pk, entities) have them.
+
+    Chunks with the same entities are one class, named by its smallest pk; pairs are of different classes, and
+    chunks without entities have none. Null entities don't count. Scores aren't rounded.
+
+    Sets meet on an entity, with the rarest first: of n entities, a set offers the n - ceil(threshold * n) + 1 rarest,
+    one of which a pair that reaches the threshold must share. Of the sets that meet, those whose sizes, or whose
+    places of that entity, leave no room for enough common ones aren't paired. The sets of an entity are dealt over
+    parts of about `most`, and each pair of parts is a task's own, so an entity that very many have gives many
+    tasks of that size. No pair is lost.
+    """
+    t = F.lit(float(threshold))
+    sets = chunks.select("pk", F.array_sort(F.array_distinct(F.array_compact("entities"))).alias("entities"))
+    sets = sets.where(F.size("entities") > 0)
+    classes = sets.groupBy("entities").agg(F.min("pk").alias("class"))
+    classes = written(classes.select("class", "entities", F.size("entities").alias("n")), "classes")
+    # as a digest, entities are compared by 32 bytes whatever their number
+    digest = F.sha2(F.to_json("entities"), 256)
+    members = sets.select("pk", digest.alias("d")).join(classes.select(digest.alias("d"), "class"), "d").select("pk", "class")
+
+    has = classes.select("class", "n", F.explode("entities").alias("entity"))
+    common = has.groupBy("entity").agg(F.count("*").alias("on")).where("on > 1")
+    ranked = has.join(common, "entity")
+    own = Window.partitionBy("class")
+    # entities that no other set has come first and count towards the prefix
+    place = F.row_number().over(own.orderBy("on", "entity")) + F.col("n") - F.count("*").over(own)
+    offered = ranked.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1)
+    offered = written(offered.select("entity", "class", "n", "place"), "offered")
+    parts = offered.groupBy("entity").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    dealt = offered.join(parts, "entity").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+
+    def side(name: str, other: Column) -> DataFrame:
+        cells = dealt.withColumn("other", F.explode(other))
+        lower, upper = ("part", "other") if name == "left" else ("other", "part")
+        return cells.select("entity", F.col(lower).alias("i"), F.col(upper).alias("j"), *(F.col(c).alias(f"{name}_{c}") for c in ("class", "n", "place")))
+
+    left = side("left", F.sequence(F.col("part"), F.col("parts") - 1))
+    right = side("right", F.sequence(F.lit(0), F.col("part")))
+    n, m = F.col("left_n"), F.col("right_n")
+    # at the first entity that a pair shares, all that it shares is from there on
+    room = F.least(n - F.col("left_place"), m - F.col("right_place")) + 1
+    fits = (F.least(n, m) >= t * F.greatest(n, m) - 1e-9) & (room >= t / (1 + t) * (n + m) - 1e-9)
+    once = (F.col("i") < F.col("j")) | (F.col("left_class") < F.col("right_class"))
+    pairs = left.join(right, ["entity", "i", "j"]).where(once & (F.col("left_class") != F.col("right_class")) & fits)
+    pairs = pairs.select(
+        F.least("left_class", "right_class").alias("left"), F.greatest("left_class", "right_class").alias("right")
+    ).distinct()
+    named = lambda s: classes.select(F.col("class").alias(s), F.col("entities").alias(f"{s}_set"))
+    both = pairs.join(named("left"), "left").join(named("right"), "right")
+    shared = F.size(F.array_intersect("left_set", "right_set"))
+    score = shared / (F.size("left_set") + F.size("right_set") - shared)
+    return both.select("left", "right", score.alias("score")).where(F.col("score") >= threshold), members
+
+
+def overlap_edges(chunks: DataFrame, threshold: float = 0.01, most: int = 2_000) -> DataFrame:
     """(left_pk, right_pk, score): all pairs of chunks (pk, entities) with a Jaccard score of `threshold` or more.
 
-    Pairs meet on an entity. A chunk offers its rarest ones only: of n entities, a pair that reaches
-    the threshold must share one of the n - ceil(threshold * n) + 1 rarest, so common entities
-    join chunks only as far as the threshold asks for it, and no pair is lost.
+    Entities are compared once for all chunks that have the same ones (`overlap_classes`, which to take where such
+    groups are large: here each pair of their chunks is a row). Large groups are dealt as entities are.
     """
-    own = chunks.select("pk", F.array_distinct("entities").alias("entities")).where(F.size("entities") > 0)
-    has = own.select("pk", F.size("entities").alias("n"), F.explode("entities").alias("entity"))
-    common = has.groupBy("entity").agg(F.count("*").alias("on"))
-    place = F.row_number().over(Window.partitionBy("pk").orderBy("on", "entity"))
-    ranked = has.join(common.where("on > 1"), "entity")
-    # entities that no other chunk has come first and count towards the prefix
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("pk"))
-    ranked = ranked.withColumn("alone", alone).withColumn("place", place + F.col("alone"))
-    kept = ranked.where(
-        F.col("place") <= F.col("n") - F.ceil(F.lit(float(threshold)) * F.col("n") - 1e-9) + 1
-    ).select("entity", "pk")
-    pairs = kept.withColumnRenamed("pk", "left_pk").join(
-        kept.withColumnRenamed("pk", "right_pk"), "entity"
-    ).where("left_pk < right_pk").select("left_pk", "right_pk").distinct()
-    side = lambda s: own.select(F.col("pk").alias(f"{s}_pk"), F.col("entities").alias(s))
-    both = pairs.join(side("left"), "left_pk").join(side("right"), "right_pk")
-    score = F.size(F.array_intersect("left", "right")) / F.size(F.array_union("left", "right"))
-    return both.select(
-        "left_pk", "right_pk", score.alias("score")
-    ).where(F.col("score") >= threshold).withColumn("score", F.round("score", 6))
+    pairs, members = overlap_classes(chunks, threshold, most)
+    members = written(members, "members")
+    same = members.select(F.col("class").alias("left"), F.col("class").alias("right"), F.lit(1.0).alias("score")).distinct()
+    # parts of a class, so that neither side of a large one is a single task's
+    parts = members.groupBy("class").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    dealt = members.join(parts, "class").withColumn("part", F.pmod(F.xxhash64("pk"), F.col("parts")).cast("int"))
+    sizes = lambda s: parts.select(F.col("class").alias(s), F.col("parts").alias(f"{s}_parts"))
+    cells = pairs.unionAll(same).join(sizes("left"), "left").join(sizes("right"), "right")
+    for s in ("left", "right"):
+        cells = cells.withColumn(f"{s}_part", F.explode(F.sequence(F.lit(0), F.col(f"{s}_parts") - 1)))
+    for s in ("left", "right"):
+        cells = cells.join(dealt.select(F.col("class").alias(s), F.col("part").alias(f"{s}_part"), F.col("pk").alias(f"{s}_pk")), [s, f"{s}_part"])
+    kept = cells.where((F.col("left") != F.col("right")) | (F.col("left_pk") < F.col("right_pk")))
+    return kept.select(
+        F.least("left_pk", "right_pk").alias("left_pk"), F.greatest("left_pk", "right_pk").alias("right_pk"), F.round("score", 6).alias("score")
+    )

@@ -54,12 +54,17 @@ def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {FILES_SQL} SELECT sha256(text) AS file_hash, filename, 0::BIGINT AS unit_no, length(text)::BIGINT AS chars FROM files"
+    f"WITH {FILES_SQL} SELECT sha256(text || chr(10)) AS file_hash, filename, 0::BIGINT AS unit_no, length(text)::BIGINT + 1 AS chars FROM files"
 )
 def read_text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.text_units(stored_files(spark, sf_dir)).select(
-        "file_hash", "filename", "unit_no", F.length("text").cast("long").alias("chars")
-    )
+    """Documents written as text files, each with a line end after its text, and read as units."""
+    path = scratch_path(spark, "texts")
+    files = stored_files(spark, sf_dir).select("filename", F.col("text").alias("value"))
+    # a folder a name, each with one file
+    files.repartition("filename").write.partitionBy("filename").text(path)
+    folder = F.regexp_extract(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "filename=([^/]+)/", 1)
+    units = S.read_text_units(spark, path, "*.txt", F.url_decode(folder))
+    return units.select("file_hash", "filename", "unit_no", F.length("text").cast("long").alias("chars"))
 
 
 @query("""WITH rows AS (

@@ -47,13 +47,32 @@ def file_fingerprint(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
-def read_text_units(spark: SparkSession, path: str) -> DataFrame:
-    """One unit per text file: (file_hash, filename, unit_no, page, sheet, text)."""
-    return text_units(
-        spark.read.text(path, wholetext=True).select(
-            F.element_at(F.split(F.input_file_name(), "/"), -1).alias("filename"), F.col("value").alias("text")
-        )
-    )
+#: The part of a path that is the file's name, escaped as in addresses.
+FILE_NAME = r"([^/]+)$"
+
+
+def _file_name(path: Column) -> Column:
+    return F.url_decode(F.replace(F.regexp_extract(path, FILE_NAME, 1), F.lit("+"), F.lit("%2B")))
+
+
+def read_text_units(
+    spark: SparkSession, path: str, pattern: str = "*", name: Column | None = None, per_batch: int | None = None
+) -> DataFrame:
+    """One unit per text file under a path: (file_hash, filename, unit_no, page, sheet, text).
+
+    Files are in UTF-8, with or without a byte order mark, which is no text; file_hash is that of the bytes
+    (what isn't UTF-8 counts as replaced). A file is named after itself or by `name`, a column of input_file_name.
+    Small files share tasks; one file is one row, so its size is bounded by what `upload_validate` accepts.
+    Spark passes over empty files, which would give no chunks.
+
+    With `per_batch` the units are a stream, of that many files a batch, oldest first; files that are added
+    later come in later batches, and each file comes once.
+    """
+    reader = spark.read if per_batch is None else spark.readStream.option("maxFilesPerTrigger", per_batch)
+    files = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
+    named = _file_name(F.input_file_name()) if name is None else name
+    units = text_units(files.select(named.alias("filename"), F.col("value").alias("text")))
+    return units.withColumn("text", F.regexp_replace("text", "^\ufeff", ""))
 
 
 def text_units(files: DataFrame) -> DataFrame:
@@ -150,7 +169,6 @@ def read_csv_tables(
                 yield pd.DataFrame(cells, columns=["sheet", "row_no", "col_no", "value"])
 
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
-    # names in paths are escaped as in addresses
-    own = F.url_decode(F.replace(F.element_at(F.split(F.input_file_name(), "/"), -1), F.lit("+"), F.lit("%2B")))
-    files = files.select((own if name is None else name).alias("sheet"), F.col("value").alias("text"))
+    own = _file_name(F.input_file_name()) if name is None else name
+    files = files.select(own.alias("sheet"), F.col("value").alias("text"))
     return files.mapInPandas(run, "sheet string, row_no int, col_no int, value string")

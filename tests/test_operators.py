@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -242,20 +243,43 @@ def test_context_metrics(spark):
     assert (row.context_precision, row.context_recall) == (round((1 + 2 / 3) / 2, 6), 0.5)
 
 
-@pytest.mark.parametrize("threshold", [0.01, 0.3, 0.6, 1.0])
-def test_overlap_edges_against_all_pairs(spark, threshold):
-    import random
-    from itertools import combinations
+def jaccard(a, b):
+    a, b = set(a) - {None}, set(b) - {None}
+    return len(a & b) / len(a | b) if a or b else 0
+
 
+@pytest.mark.parametrize("most", [3, 2_000])
+@pytest.mark.parametrize("threshold", [0.01, 0.3, 0.6, 1.0])
+def test_overlap_edges_against_all_pairs(spark, threshold, most):
     rng = random.Random(2)
-    sets = [["all", *(f"e{rng.randrange(12)}" for _ in range(rng.randrange(8)))] for _ in range(40)] + [[], ["all", "all"]]
-    found = evaluation.overlap_edges(
-        spark.createDataFrame(list(enumerate(sets)), "pk long, entities array<string>"), threshold
-    ).collect()
-    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 0
-    assert sorted((r.left_pk, r.right_pk) for r in found) == [
-        (i, j) for i, j in combinations(range(len(sets)), 2) if jaccard(sets[i], sets[j]) >= threshold
-    ]
+    sets = [["all", *(f"e{rng.randrange(12)}" for _ in range(rng.randrange(8)))] for _ in range(40)] + [[], ["all", "all"], None, [None], [None, "all"]]
+    found = evaluation.overlap_edges(spark.createDataFrame(list(enumerate(sets)), "pk long, entities array<string>"), threshold, most).collect()
+    assert sorted((r.left_pk, r.right_pk, r.score) for r in found) == [
+        (i, j, round(jaccard(sets[i], sets[j]), 6)) for i, j in combinations(range(len(sets)), 2)
+        if sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= threshold
+    ]
+
+
+def test_classes_stand_for_groups_of_copies(spark):
+    """A group of copies is compared once, and an entity that all chunks have meets by parts."""
+    made = spark.range(30_000).select(
+        F.col("id").alias("pk"),
+        F.when(F.col("id") < 20_000, F.array(F.lit("hot"), F.lit("copy"))).otherwise(
+            F.array(F.lit("hot"), F.concat(F.lit("own"), F.col("id")), F.concat(F.lit("two"), (F.col("id") / 2).cast("long")))
+        ).alias("entities"),
+    )
+    pairs, members = evaluation.overlap_classes(made, 0.5, most=500)
+    want = {(i, i + 1, 0.5) for i in range(20_000, 30_000, 2)}
+    assert {(r.left, r.right, r.score) for r in pairs.collect()} == want
+    groups = members.groupBy("class").count().collect()
+    assert len(groups) == 10_001 and {r["class"]: r["count"] for r in groups}[0] == 20_000
+
+
+def test_sets_of_a_hot_entity_are_dealt_over_cells(spark):
+    """All sets share one entity and nothing else: the pairs of parts hold about a part's sets a side."""
+    made = spark.range(3_000).select(F.col("id").alias("pk"), F.array(F.lit("hot"), F.col("id").cast("string")).alias("entities"))
+    pairs, _ = evaluation.overlap_classes(made, 0.3, most=200)
+    assert pairs.agg(F.count("*"), F.min("score"), F.max("score")).first() == (3_000 * 2_999 // 2, 1 / 3, 1 / 3)
 
 
 def plain_semantic(text, spread=1.5, least=40, most=1000):

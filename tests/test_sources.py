@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from paperloom.operators import chunking
 from paperloom.schemas import CHUNK
 from paperloom.sources import files
+from paperloom.sources.chunk_table import ChunkTable
 from paperloom.streaming import hashes, state
 from paperloom.streaming.hashes import BITS, CELL, HashStore, sketched
 
@@ -44,13 +45,35 @@ def test_text_files_become_chunks_in_a_table(spark, tmp_path):
     assert files.write_chunk_table(
         again.unionByName(again.withColumn("chunk_index", F.lit(7).cast("long"))), str(tmp_path / "out")
     ) == 1  # what was added
-    kept = spark.read.parquet(str(tmp_path / "out"))
+    kept = ChunkTable(spark, str(tmp_path / "out")).read()
     assert kept.count() == kept.select("pk").distinct().count() == 3  # the same chunk has the same key and is there once
     assert {
         (r.filename, r.content_type, r.section) for r in kept.collect()
     } == {("one.md", "mixed", "Head"), ("two.txt", "text", "")}
 
 
+def test_text_files_are_units_by_bytes_and_name(spark, tmp_path):
+    texts = {"a b+c%.txt": "héllo\n", "deep/é.md": "\ufeffwith a mark", "empty.txt": "", "many.txt": "line\n" * 50_000}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "other.bin").write_bytes(b"x")
+    found = {r.filename: r for r in files.read_text_units(spark, str(tmp_path), "*.{txt,md}").collect()}
+    assert texts.pop("empty.txt") == ""  # Spark passes over empty files
+    assert {n: r.text for n, r in found.items()} == {n.split("/")[-1]: t.removeprefix("\ufeff") for n, t in texts.items()}
+    assert {r.file_hash for r in found.values()} == {hashlib.sha256(t.encode()).hexdigest() for t in texts.values()}
+
+
+def test_arriving_files_are_units_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for run in range(2):
+        for i in range(3):
+            (tmp_path / f"in/{run}{i}.txt").write_text(f"text {i * (1 + run)}")
+        units = files.read_text_units(spark, str(tmp_path / "in"), per_batch=2)
+        kept = state.stream_dedupe_ingest(units.select("file_hash", "filename", "text"), str(tmp_path / "out"), parts=2)
+    assert sorted(r.text for r in kept.collect()) == ["text 0", "text 1", "text 2", "text 4"]
+
+
 def test_tables(spark):
     cells = spark.createDataFrame(
         [("s", 0, 0, "a|b"), ("s", 0, 1, "c\nd"), ("s", 1, 0, " e\r "), ("t", 0, 0, None)],
