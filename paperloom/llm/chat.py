@@ -16,6 +16,8 @@ MOVES = {
     ("user", "assistant"): "assistant",
     ("assistant", "user"): "user",
 }
+#: Turns that the machine takes before their states are put to those before.
+BLOCK = 64
 #: Goes before the name of the state that a move leads to which the machine doesn't have.
 WRONG = "!"
 
@@ -43,14 +45,25 @@ class ChatTemplate:
     learned: tuple[str, ...] = ("assistant",)
 
     def states(self, turns: Column) -> Column:
-        """The states that the roles of an array of turns lead to, one after each turn."""
+        """The states that the roles of an array of turns lead to, one after each turn.
+
+        Turns go in blocks, so that what is added to is a block's states or the list of blocks, and not the list of all.
+        """
         moves = F.create_map(*(F.lit(x) for (state, role), to in self.moves.items() for x in (f"{state}>{role}", to)))
+        last = lambda seen: F.element_at(seen, -1)
 
         def step(seen: Column, turn: Column) -> Column:
-            move = F.try_element_at(moves, F.concat(F.element_at(seen, -1), F.lit(">"), turn["role"]))
+            move = F.try_element_at(moves, F.concat(last(seen), F.lit(">"), turn["role"]))
             return F.concat(seen, F.array(F.coalesce(move, F.concat(F.lit(WRONG), turn["role"]))))
 
-        return F.slice(F.aggregate(turns, F.array(F.lit(self.start)), step), F.lit(2), F.size(turns))
+        def block(done: Column, own: Column) -> Column:
+            after = F.aggregate(own, F.array(last(last(done))), step)
+            return F.concat(done, F.array(F.slice(after, F.lit(2), F.size(own))))
+
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(turns), F.lit(1)), F.lit(BLOCK))
+        blocks = F.transform(firsts, lambda i: F.slice(turns, i, F.lit(BLOCK)))
+        done = F.aggregate(blocks, F.array(F.array(F.lit(self.start))), block)
+        return F.flatten(F.slice(done, F.lit(2), F.size(blocks)))
 
     def segments(self, turn: Column, state: Column) -> Column:
         """What the machine emits when a turn leads to a state: segments of (text, loss)."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import hashlib
 import re
 import zlib
@@ -286,6 +287,20 @@ def test_rule_fit_against_plain_em(spark):
 # chat
 
 
+def test_chat_states_are_those_of_the_machine_turn_by_turn(spark):
+    """Whatever the number of turns, before, at and after the end of a block."""
+    rng = random.Random(3)
+    roles = [[rng.choice(["system", "user", "assistant", "user", "tool", ""]) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 128, 129)]
+    roles += [["user", "assistant"] * n for n in (32, 100)] + [["system", *["user", "assistant"] * 70, "tool", "user"]]
+    rows = spark.createDataFrame([(i, [(r,) for r in own]) for i, own in enumerate(roles)], "i int, turns array<struct<role:string>>")
+    for r in rows.select("i", chat.CHAT.states(F.col("turns")).alias("states")).collect():
+        state, want = "start", []
+        for role in roles[r.i]:
+            state = chat.MOVES.get((state, role), chat.WRONG + role)
+            want.append(state)
+        assert r.states == want
+
+
 def test_chat_round_trip(spark):
     said = [
         "</s>[INST] ok [/INST]",
