@@ -47,11 +47,10 @@ SELECT file_hash, max(upload_time) AS upload_time, count(*) AS n FROM chunks WHE
 UNION ALL SELECT file_hash, 1800000000, count(*) FROM chunks WHERE lang = 'fr' GROUP BY file_hash""")
 def replace_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored table whose French chunks are replaced by ones that were uploaded later."""
-    old = chunks(spark, sf_dir)
-    new = old.where("lang = 'fr'").withColumn("upload_time", F.lit(1_800_000_000).cast("long"))
     stored = ChunkTable(spark, scratch_path(spark, "chunks"))
-    stored.append(old)
-    stored.replace(new)
+    stored.append(chunks(spark, sf_dir))
+    # taken from the table, as numbering the chunks shuffles all of them
+    stored.replace(stored.read().where("lang = 'fr'").withColumn("upload_time", F.lit(1_800_000_000).cast("long")))
     return stored.read().groupBy("file_hash").agg(F.max("upload_time").alias("upload_time"), F.count("*").alias("n"))
 
 

@@ -13,6 +13,10 @@ from paperloom.sources.scratch import written
 from paperloom.sources.versions import Versions
 
 
+#: Files of a change whose hashes go to all tasks, 64 characters each.
+FEW_FILES = 100_000
+
+
 @dataclass(frozen=True)
 class ChunkTable:
     """Chunks at a path, dealt over partitions by the first digits of their file's hash.
@@ -55,10 +59,17 @@ class ChunkTable:
     def _keyed(self, chunks: DataFrame) -> DataFrame:
         return chunks.withColumn("pk", F.xxhash64("file_hash", "chunk_index"))
 
+    def _once(self, chunks: DataFrame) -> DataFrame:
+        """Keyed chunks, once each, dealt by partition and key: one shuffle for both."""
+        spread = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16**self.prefix)
+        rows = self._keyed(chunks).withColumns({"hash_prefix": self._part(), "cell": F.pmod("pk", F.lit(spread))})
+        return rows.repartition("hash_prefix", "cell").dropDuplicates(["hash_prefix", "cell", "pk"]).drop("cell")
+
     def _write(self, rows: DataFrame) -> tuple[str, dict[str, int]]:
         """(folder, rows of each partition) of newly written rows; large partitions become several files."""
         folder = self.versions.folder("data")
-        dealt = rows.withColumn("hash_prefix", self._part()).hint("rebalance", "hash_prefix")
+        # rows with their partition have been dealt
+        dealt = rows if "hash_prefix" in rows.columns else rows.withColumn("hash_prefix", self._part()).hint("rebalance", "hash_prefix")
         dealt.write.partitionBy("hash_prefix").parquet(f"{self.path}/{folder}")
         kept = T.StructType([T.StructField("hash_prefix", T.StringType())])
         counts = self.spark.read.schema(kept).parquet(f"{self.path}/{folder}").groupBy("hash_prefix").count()
@@ -79,9 +90,9 @@ class ChunkTable:
         new version.
         """
         number, state = self.versions.state()
-        new = self._keyed(chunks).dropDuplicates(["pk"])
+        new = self._once(chunks)
         if state:
-            new = written(new, "chunks")
+            new = written(new.drop("hash_prefix"), "chunks")
             held = self._rows(state, self._at_hand(new)).select("pk")
             new = new.join(held, "pk", "left_anti")
         folder, counts = self._write(new)
@@ -89,9 +100,9 @@ class ChunkTable:
             parts = dict(state.get("parts", {}))
             for p in counts:
                 parts[p] = [*parts.get(p, ()), folder]
-            self.versions.commit(number, {"schema": self._widened(state, new), "parts": parts})
+            self.versions.commit(number, {"schema": self._widened(state, new.drop("hash_prefix")), "parts": parts})
         elif not state:
-            self.versions.commit(number, {"schema": self._widened(state, new), "parts": {}})
+            self.versions.commit(number, {"schema": self._widened(state, new.drop("hash_prefix")), "parts": {}})
         return sum(counts.values())
 
     def replace(self, chunks: DataFrame) -> int:
@@ -100,8 +111,10 @@ class ChunkTable:
         Where it has the same rows already there is no new version.
         """
         number, state = self.versions.state()
-        new = written(self._keyed(chunks).dropDuplicates(["pk"]), "chunks")
+        new = written(self._once(chunks).drop("hash_prefix"), "chunks")
         files, touched = new.select("file_hash").distinct(), self._at_hand(new)
+        if files.limit(FEW_FILES + 1).count() <= FEW_FILES:
+            files = F.broadcast(files)  # else all that is held would be shuffled to meet them
         schema = self._widened(state, new)
         parts = dict(state.get("parts", {}))
         if state:

@@ -242,3 +242,27 @@ def test_pruning_scores_a_fifth_of_the_pairs(spark):
     pairs = each.join(b.select("query_id", F.explode("tokens").alias("token")), "token").select("query_id", "chunk_id").distinct()
     assert found.count() == 20 * b.count()
     assert 5 * scored.count() <= pairs.count()
+
+
+def test_rows_to_be_stored_are_shuffled_once(spark, tmp_path):
+    """Taking each key once and dealing rows over partitions is one shuffle."""
+    rows = spark.range(1000).select(F.sha2((F.col("id") % 7).cast("string"), 256).alias("file_hash"), (F.col("id") % 500).alias("chunk_index"), F.lit("x").alias("text"))
+    table = ChunkTable(spark, str(tmp_path / "t"))
+    once = table._once(rows)
+    assert once._jdf.queryExecution().sparkPlan().toString() and once._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    keys = rows.distinct().count()
+    assert table.append(rows) == keys and table.read().count() == keys == table.read().select("pk").distinct().count()
+    assert "cell" not in table.read().columns and "hash_prefix" not in table.read().columns
+
+
+def test_a_replaced_file_meets_held_rows_whatever_their_number(spark, tmp_path, monkeypatch):
+    import paperloom.sources.chunk_table as module
+
+    rows = spark.range(60).select((F.col("id") % 6).cast("string").alias("file_hash"), F.col("id").alias("chunk_index"), F.lit("old").alias("text"))
+    for most in (0, 100):
+        monkeypatch.setattr(module, "FEW_FILES", most)
+        table = ChunkTable(spark, str(tmp_path / f"t{most}"))
+        table.append(rows)
+        table.replace(rows.where("file_hash < '2' AND chunk_index < 30").withColumn("text", F.lit("new")))
+        got = {tuple(r) for r in table.read().groupBy("file_hash", "text").count().collect()}
+        assert got == {("0", "new", 5), ("1", "new", 5), *((str(i), "old", 10) for i in range(2, 6))}
