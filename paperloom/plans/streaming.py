@@ -10,12 +10,13 @@ from paperloom.sources.scratch import scratch_path
 from paperloom.streaming import state as S
 
 
-def streamed(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> DataFrame:
-    """A table as a stream of a few micro-batches, from a copy in several files."""
+def streamed(spark: SparkSession, sf_dir: str, name: str, batches: int = 4) -> DataFrame:
+    """A table as a stream of a few micro-batches, from a copy in several files: as many a batch as follow from its size."""
     rows = table(spark, sf_dir, name)
     path = scratch_path(spark, name)
-    rows.repartitionByRange(files, rows.columns[0]).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    per_batch = max(1, -(-rows.rdd.getNumPartitions() // batches))
+    rows.repartitionByRange(batches * per_batch, rows.columns[0]).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 @query("SELECT DISTINCT sha256(text) AS file_hash FROM documents")

@@ -266,3 +266,20 @@ def test_a_replaced_file_meets_held_rows_whatever_their_number(spark, tmp_path,
         table.replace(rows.where("file_hash < '2' AND chunk_index < 30").withColumn("text", F.lit("new")))
         got = {tuple(r) for r in table.read().groupBy("file_hash", "text").count().collect()}
         assert got == {("0", "new", 5), ("1", "new", 5), *((str(i), "old", 10) for i in range(2, 6))}
+
+
+def test_a_larger_table_is_streamed_from_more_files(spark, small, tmp_path, monkeypatch):
+    from paperloom.plans import streaming
+
+    monkeypatch.setattr(streaming, "scratch_path", lambda _, name: str(tmp_path / name))
+    for most, cost in (("128m", "4m"), ("48k", "1k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        parts = spark.read.parquet(f"{small}/documents.parquet").rdd.getNumPartitions()
+        monkeypatch.setattr(streaming, "scratch_path", lambda _, name, most=most: str(tmp_path / f"{name}-{most}"))
+        streaming.streamed(spark, small, "documents")
+        files = list((tmp_path / f"documents-{most}").glob("*.parquet"))
+        assert len(files) <= 4 * -(-parts // 4) and (most == "128m" or len(files) > 4)
+        assert spark.read.parquet(str(tmp_path / f"documents-{most}")).count() == spark.read.parquet(f"{small}/documents.parquet").count()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
