@@ -233,3 +233,14 @@ def test_messages_go_after_their_time(spark, tmp_path):
     spark.createDataFrame([message(1, 2)], MESSAGES).coalesce(1).write.parquet(f"{tmp_path}/in/9")
     rows = run_until(memory, str(tmp_path / "c"), lambda rows: len(rows) == 1)
     assert [m.turn for m in rows[0].messages] == [2]
+
+
+def test_written_text_files_lie_under_a_bounded_number_of_folders(spark, small, tmp_path, monkeypatch):
+    from paperloom.plans import sources as plans
+
+    monkeypatch.setattr(plans, "scratch_path", lambda _, name: str(tmp_path / name))
+    units = plans.read_text_units(spark, small)
+    top = [p for p in (tmp_path / "texts").iterdir() if p.is_dir()]
+    docs = spark.read.parquet(f"{small}/documents.parquet").count()
+    assert units.select("filename").distinct().count() == units.count() == docs
+    assert 32 < len(top) <= plans.TEXT_FOLDERS and len(list((tmp_path / "texts").glob("*/*/*.txt"))) == docs
