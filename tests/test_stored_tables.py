@@ -283,3 +283,11 @@ def test_a_larger_table_is_streamed_from_more_files(spark, small, tmp_path, monk
         assert spark.read.parquet(str(tmp_path / f"documents-{most}")).count() == spark.read.parquet(f"{small}/documents.parquet").count()
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_texts_below_the_first_han_character_are_cut_without_looking_up_scripts(spark):
+    low = spark.createDataFrame([("".join(chr(i) for i in range(1, 0x2E80)),), ("né 漢字語 a_1",), ("ab漢c",), ("日本 \U00020000\U00020001x",)], "text string")
+    assert low.where(F.col("text").rlike(r"\p{IsHan}")).count() == 3
+    got = [r[0] for r in low.select(R.tokens(F.col("text"))).collect()]
+    assert got[1:] == [["né", "漢字", "字語", "a_1"], ["ab", "漢", "c"], ["日本", "\U00020000\U00020001", "x"]]
+    assert "IsHan" not in str(low.select(R.tokens(F.col("text")))._jdf.queryExecution().analyzed()).split("ELSE")[-1]
