@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -97,9 +97,15 @@ def stream_job_expiry(
 
 #: What a conversation's state holds for each message.
 MESSAGE = "turn long, role string, text string"
+FIELDS = ("turn", "role", "text")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _order(message: tuple) -> tuple:
+    """Of messages of one turn that come at once, the largest by role and text stands, null being the largest."""
+    return tuple((x is None, x or "") for x in message[1:])
+
+
 class _Memory(StatefulProcessor):
     """The newest messages of a conversation, as a list in its state."""
 
@@ -109,28 +115,44 @@ class _Memory(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getListState("messages", MESSAGE, self.keep_ms)
 
-    def _add(self, batches: Iterator[pd.DataFrame]) -> list[tuple]:
-        held = {m[0]: m for m in self.held.get()} if self.held.exists() else {}
-        for b in batches:
-            b = b.dropna(subset="turn").sort_values(["turn", "role", "text"])
-            held |= {int(t): (int(t), *m) for t, *m in zip(b["turn"], b["role"], b["text"], strict=True)}
-            held = {t: held[t] for t in sorted(held)[-self.most :]}
-        messages = list(held.values())
-        if messages:
-            self.held.put(messages)
-        return messages
-
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802,N803
-        self._add(iter([initialState]))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        messages = [dict(zip(("turn", "role", "text"), m, strict=True)) for m in self._add(rows)]
-        yield pd.DataFrame({"conv_id": [key[0]], "messages": [messages]})
+    def _newest(self, held: dict[int, tuple]) -> dict[int, tuple]:
+        return {t: held[t] for t in sorted(held)[-self.most :]}
+
+    def _add(self, messages: Iterable[tuple]) -> list[tuple]:
+        """Puts a batch's messages into the state, by one read and one write of it."""
+        new: dict[int, tuple] = {}
+        for m in messages:
+            if m[0] is not None and (m[0] not in new or _order(new[m[0]]) < _order(m)):
+                new[m[0]] = m
+                if len(new) > 2 * self.most:
+                    new = self._newest(new)
+        held = {m[0]: m for m in self.held.get()}
+        if not new:
+            return list(held.values())
+        kept = list(self._newest(held | new).values())
+        self.held.put(kept)
+        return kept
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:  # noqa: N802,N803
+        self._add(tuple(m[f] for f in FIELDS) for m in initialState.messages)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802,N803
+        kept = self._add((r.turn, r.role, r.text) for r in rows)
+        yield Row(conv_id=key[0], messages=[dict(zip(FIELDS, m, strict=True)) for m in kept])
 
     def close(self) -> None:
         pass
 
 
+def _stored_messages(stored: DataFrame, most: int) -> DataFrame:
+    """(conv_id, messages): the newest messages of each conversation of a table, as one row that goes into the state at once."""
+    turn = Window.partitionBy("conv_id", "turn").orderBy(F.desc_nulls_first("role"), F.desc_nulls_first("text"))
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    one = stored.where("turn IS NOT NULL").withColumn("at", F.row_number().over(turn)).where("at = 1")
+    kept = one.withColumn("at", F.row_number().over(newest)).where(F.col("at") <= most)
+    return kept.groupBy("conv_id").agg(F.collect_list(F.struct(*FIELDS)).alias("messages"))
+
+
 def stream_memory(
     messages: DataFrame, most: int = 100, stored: DataFrame | None = None, keep_ms: int | None = None
 ) -> DataFrame:
@@ -145,10 +167,9 @@ def stream_memory(
     which this kind of state needs.
     """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    columns = lambda df: df.select("conv_id", "turn", "role", "text").groupBy("conv_id")
-    return columns(messages).transformWithStateInPandas(
+    return messages.select("conv_id", *FIELDS).groupBy("conv_id").transformWithState(
         _Memory(most, keep_ms), f"conv_id long, messages array<struct<{MESSAGE.replace(' ', ': ').replace(',: ', ', ')}>>", "Update",
-        "None" if keep_ms is None else "ProcessingTime", None if stored is None else columns(stored),
+        "None" if keep_ms is None else "ProcessingTime", None if stored is None else _stored_messages(stored, most).groupBy("conv_id"),
     )
 
 

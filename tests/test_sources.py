@@ -6,6 +6,7 @@ import hashlib
 import time
 
 import numpy as np
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,6 +152,38 @@ def test_stream_memory_goes_on_from_a_stored_table(spark, tmp_path):
     assert got == {1: [(5, "user", "1.5"), (6, "assistant", "anew"), (7, "user", "1.7"), (9, "user", "1.9")], 3: [(1, "user", "3.1")]}
 
 
+def test_a_conversation_costs_one_read_and_one_write_of_its_state_a_batch():
+    """However many messages it gets; a call to the state goes to the JVM and back, and frames for few rows cost more than that."""
+    calls: list[str] = []
+
+    class Held:
+        messages: list[tuple] = []
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (setattr(self, "messages", a[0]) if a else iter(self.messages))
+
+    memory = state._Memory(4, None)
+    memory.held = Held()
+    said = Row("conv_id", "turn", "role", "text")
+    for turns in (range(40), (38, None, 50, 3), (None,)):
+        (out,) = memory.handleInputRows((1,), iter([said(*message(1, t)) for t in turns]), None)
+    assert [m["turn"] for m in out.messages] == [37, 38, 39, 50] == [m[0] for m in memory.held.messages]
+    assert calls == ["get", "put", "get", "put", "get"]
+
+
+def test_stream_keeps_long_turns_whole_beside_messages_without_one_and_takes_the_largest_of_equal_ones(spark, tmp_path):
+    """In both orders of arrival, and from a stored table; a null is the largest."""
+    far = 2**53 + 1
+    rows = [(1, far, "user", "a"), (1, None, "user", "b"), (1, 7, "user", "x"), (1, 7, "user", "y"), (1, 7, "assistant", "z"), (1, 8, "user", None), (1, 8, "user", "q")]
+    rows += [(None, 1, "user", "c"), (None, None, None, None), (2, None, "user", "d")]
+    want = [(7, "user", "y"), (8, "user", None), (far, "user", "a")]
+    for name, given in (("a", rows), ("b", rows[::-1])):
+        assert memory_of(stream_of(spark, f"{tmp_path}/{name}", [given], MESSAGES), f"{tmp_path}/out-{name}") == {1: want, None: [(1, "user", "c")], 2: []}
+    stream = stream_of(spark, f"{tmp_path}/c", [[(1, 6, "user", "late")]], MESSAGES)
+    stored = spark.createDataFrame(rows, MESSAGES)
+    assert memory_of(stream, f"{tmp_path}/out-c", stored=stored) == {1: [(6, "user", "late"), *want]}
+
+
 def test_stream_takes_each_hash_once_over_batches(spark, tmp_path):
     """However late a copy comes, and also if a batch is run again."""
     batches = [[("a", 1), ("b", 2), ("b", 2)], [("a", 99_999_999), ("c", 0), (None, 1)], [("c", 5), ("d", 6)]]
