@@ -98,6 +98,7 @@ def stream_job_expiry(
 #: What a conversation's state holds for each message.
 MESSAGE = "turn long, role string, text string"
 FIELDS = ("turn", "role", "text")
+SHUFFLE = "spark.sql.shuffle.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -173,11 +174,14 @@ def stream_memory(
     )
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "append", latest: tuple[str, ...] = ()) -> DataFrame:
+def run_to_table(
+    stream: DataFrame, path: str, mode: str = "append", latest: tuple[str, ...] = (), partitions: int | None = None
+) -> DataFrame:
     """Runs a stream over all that is there into a table of its batches and reads what it says last.
 
     A batch writes its own folder, so one that is run again overwrites itself. With `latest`, rows
-    of a later batch stand for earlier ones of the same key.
+    of a later batch stand for earlier ones of the same key. A stream's state is dealt over as many `partitions`
+    from its first run on, or else over the session's shuffle partitions; each costs a task and a commit a batch.
     """
     spark: SparkSession = stream.sparkSession
 
@@ -187,7 +191,13 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append", latest: tup
     sink: Callable = stream.writeStream.foreachBatch(write).outputMode(mode).option(
         "checkpointLocation", f"{path}/checkpoint"
     )
-    sink.trigger(availableNow=True).start().awaitTermination()
+    shuffled = spark.conf.get(SHUFFLE)
+    spark.conf.set(SHUFFLE, str(partitions or shuffled))
+    try:
+        run = sink.trigger(availableNow=True).start()  # takes a copy of the session's settings
+    finally:
+        spark.conf.set(SHUFFLE, shuffled)
+    run.awaitTermination()
     rows = spark.read.schema(
         T.StructType([*stream.schema, T.StructField("batch", T.IntegerType())])
     ).option("basePath", f"{path}/rows").parquet(f"{path}/rows")

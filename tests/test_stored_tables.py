@@ -285,6 +285,26 @@ def test_a_larger_table_is_streamed_from_more_files(spark, small, tmp_path, monk
     spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_the_state_of_messages_is_dealt_by_their_table_and_not_by_the_sessions_partitions(spark, small, tmp_path, monkeypatch):
+    """Each partition costs a task, a worker and a commit a batch."""
+    from paperloom.plans import streaming
+
+    monkeypatch.setattr(streaming, "scratch_path", lambda _, name: str(tmp_path / name))
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        kept = streaming.stream_memory(spark, small)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+        newest = spark.read.parquet(f"{small}/conversations.parquet").groupBy("conv_id").count()
+        assert kept.count() == newest.select(F.sum(F.least("count", F.lit(5)))).first()[0]
+        dealt = [p for p in (tmp_path / "memory/checkpoint/state/0").iterdir() if p.name.isdigit()]
+        assert len(dealt) == 2 * spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.shuffle.partitions", "3")  # what a session asks for is the most
+        assert streaming.state_partitions(spark, small, "conversations") == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+
+
 def test_texts_below_the_first_han_character_are_cut_without_looking_up_scripts(spark):
     low = spark.createDataFrame([("".join(chr(i) for i in range(1, 0x2E80)),), ("né 漢字語 a_1",), ("ab漢c",), ("日本 \U00020000\U00020001x",)], "text string")
     assert low.where(F.col("text").rlike(r"\p{IsHan}")).count() == 3
