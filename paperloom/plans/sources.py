@@ -53,7 +53,7 @@ def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("file_hash", "stored_name").agg(F.count("*").alias("uploads"))
 
 
-#: Folders that written text files are dealt over; above 32 Spark lists them in tasks.
+#: Folders that written text files are dealt over.
 TEXT_FOLDERS = 128
 
 
@@ -63,12 +63,8 @@ TEXT_FOLDERS = 128
 def read_text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as text files, each with a line end after its text, and read as units."""
     path = scratch_path(spark, "texts")
-    files = stored_files(spark, sf_dir).select("filename", F.col("text").alias("value"))
-    # a folder a name, each with one file, under folders that are each written, moved and listed by one task
-    files = files.withColumn("bucket", F.pmod(F.xxhash64("filename"), F.lit(TEXT_FOLDERS)))
-    files.repartition(TEXT_FOLDERS, "bucket").write.partitionBy("bucket", "filename").text(path)
-    folder = F.regexp_extract(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "filename=([^/]+)/", 1)
-    units = S.read_text_units(spark, path, "*.txt", F.url_decode(folder))
+    S.write_text_files(stored_files(spark, sf_dir), path, TEXT_FOLDERS)
+    units = S.read_text_units(spark, path, "*.txt", S.written_name())
     return units.select("file_hash", "filename", "unit_no", F.length("text").cast("long").alias("chars"))
 
 

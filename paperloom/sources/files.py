@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
+import os
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.html import page_markdown
@@ -55,6 +58,10 @@ def _file_name(path: Column) -> Column:
     return F.url_decode(F.replace(F.regexp_extract(path, FILE_NAME, 1), F.lit("+"), F.lit("%2B")))
 
 
+#: Of a scan of text files, bytes and partitions that a task reads.
+TASK_BYTES, TASK_PARTS = 16_000_000, 32
+
+
 def read_text_units(
     spark: SparkSession, path: str, pattern: str = "*", name: Column | None = None, per_batch: int | None = None
 ) -> DataFrame:
@@ -70,11 +77,64 @@ def read_text_units(
     """
     reader = spark.read if per_batch is None else spark.readStream.option("maxFilesPerTrigger", per_batch)
     files = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
+    files = _shared_tasks(files) if per_batch is None else files
     named = _file_name(F.input_file_name()) if name is None else name
     units = text_units(files.select(named.alias("filename"), F.col("value").alias("text")))
     return units.withColumn("text", F.regexp_replace("text", "^\ufeff", ""))
 
 
+#: What stands for a missing name in the name of a folder.
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_text_files(texts: DataFrame, path: str, folders: int = 128) -> None:
+    """A text file for each (filename, text), with a line end after its text, which `read_text_units` reads by `written_name`.
+
+    A file lies in a folder of its name, and these under as many others as tasks write; above 32 Spark lists them in
+    tasks. Rows of one name are files beside each other. In a local or mounted folder tasks make the files
+    themselves, as Hadoop starts a process or more for each that it makes there; other stores get them by Spark's writer.
+    """
+    spark = texts.sparkSession
+    dealt = texts.select("filename", F.col("text").alias("value")).repartition(folders, "filename")
+    nth = F.row_number().over(Window.partitionBy("filename").orderBy("value"))
+    rows = dealt.withColumns({"bucket": F.spark_partition_id(), "nth": nth})
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri()
+    if whole.getScheme() != "file":
+        rows.write.partitionBy("bucket", "filename", "nth").text(path)
+        return
+    folder = whole.getPath()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, text, bucket, n in zip(b["filename"], b["value"], b["bucket"], b["nth"], strict=True):
+                own = f"{folder}/bucket={bucket}/filename={NO_NAME if name is None else quote(name, safe=' ')}"
+                os.makedirs(own, exist_ok=True)
+                # whole or not at all, also where a task runs twice
+                part = f"{own}/{n}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(f"{text or ''}\n".encode())
+                os.replace(part, f"{own}/{n}.txt")
+            yield b[["bucket"]].iloc[:0]
+
+    os.makedirs(folder, exist_ok=True)
+    rows.mapInPandas(run, "bucket int").write.format("noop").mode("overwrite").save()
+
+
+def written_name() -> Column:
+    """The name that a file of `write_text_files` was given."""
+    path = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+    return F.url_decode(F.replace(F.nullif(F.regexp_extract(path, "filename=([^/]+)/", 1), F.lit(NO_NAME)), F.lit("+"), F.lit("%2B")))
+
+
+def _shared_tasks(files: DataFrame) -> DataFrame:
+    """The scan of small files in fewer tasks, as Spark gives a task only as many as 4 MB each would fill; what large ones need stays."""
+    parts = files.rdd.getNumPartitions()
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES), -(-parts // TASK_PARTS))
+    return files.coalesce(least) if least < parts else files
+
+
 def text_units(files: DataFrame) -> DataFrame:
     """One unit per (filename, text) row."""
     nothing = F.lit(None)

@@ -277,3 +277,34 @@ def test_written_text_files_lie_under_a_bounded_number_of_folders(spark, small,
     docs = spark.read.parquet(f"{small}/documents.parquet").count()
     assert units.select("filename").distinct().count() == units.count() == docs
     assert 32 < len(top) <= plans.TEXT_FOLDERS and len(list((tmp_path / "texts").glob("*/*/*.txt"))) == docs
+
+
+def test_tasks_make_local_text_files_and_rows_of_one_name_stay_apart(spark, tmp_path):
+    rows = [("a/b+c %=é:.TXT", "x\r\ny"), ("same", "one"), ("same", "two"), ("same", "two"), ("empty", ""), (None, "no name")]
+    files.write_text_files(spark.createDataFrame(rows, "filename string, text string"), str(tmp_path / "out"), 3)
+    units = files.read_text_units(spark, str(tmp_path / "out"), "*.txt", files.written_name())
+    assert sorted((str(r.filename), r.text) for r in units.collect()) == sorted((str(n), f"{t}\n") for n, t in rows)
+    assert not list((tmp_path / "out").rglob("*.crc"))  # Hadoop's, which starts processes for each file
+
+
+def test_other_stores_get_text_files_by_the_writer(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.texts.link./t", f"file://{tmp_path}")
+    rows = [("a/b+c %.TXT", "x"), ("same", "one"), ("same", "two"), (None, "no name")]
+    files.write_text_files(spark.createDataFrame(rows, "filename string, text string"), "viewfs://texts/t/out", 3)
+    units = files.read_text_units(spark, "viewfs://texts/t/out", "*.txt", files.written_name())
+    assert sorted((str(r.filename), r.text) for r in units.collect()) == sorted((str(n), f"{t}\n") for n, t in rows)
+
+
+def test_many_small_text_files_share_tasks(spark, tmp_path, monkeypatch):
+    for i in range(60):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    bytes_a_task = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # one file each
+    try:
+        units = files.read_text_units(spark, str(tmp_path))
+        assert units.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert sorted((r.filename, r.text) for r in units.collect()) == sorted((f"{i}.txt", f"text {i}") for i in range(60))
+        monkeypatch.setattr(files, "TASK_BYTES", 1)  # as if they were large
+        assert files.read_text_units(spark, str(tmp_path)).rdd.getNumPartitions() == 60
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_a_task)
