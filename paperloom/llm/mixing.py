@@ -103,12 +103,13 @@ def mixed_sizes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, source.
+    """One row per document: doc_id, size, source_size, target, first, second, taken, source.
 
     All documents are queued by source (`fair_queue`) and the mix is cut where the budget is used up, at the
     queue's virtual time 1: entries that finish by then are taken whole, and one that is in service gives the
     words served by then. So every source's words are its target but for less than one word, however
-    long its documents are, and never more. The same rows always give the same mix.
+    long its documents are, and never more. first and second, the times at which a document's entries finish, are the
+    order of the mix over all sources; a source without a word has none. The same rows always give the same mix.
 
     Null texts have no words and take none, nor do empty ones; very long ones are counted whole and queue like
     any other. Null sources are one source, null ids queue by the MD5 of their texts. Repeated rows
@@ -121,7 +122,7 @@ def mixed_sizes(
     # by time 1 a source has served its target; what of that lies behind an entry's start is the entry's
     by_then = lambda start: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), served - start))
     both = by_then(F.col("start")) + by_then(F.col("start") + F.col("source_size"))
-    return queue.select("doc_id", "size", "source_size", "target", both.alias("taken"), "source")
+    return queue.select("doc_id", "size", "source_size", "target", "first", "second", both.alias("taken"), "source")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

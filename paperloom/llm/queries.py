@@ -46,7 +46,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_sizes(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    rows = mixed_sizes(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first", "second")
 
 
 OP6_SQL = r"""
@@ -70,7 +71,9 @@ WITH sizes AS (
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, served - start)) + greatest(0, least(size, served - start - source_size)))::BIGINT AS taken
+  (greatest(0, least(size, served - start)) + greatest(0, least(size, served - start - source_size)))::BIGINT AS taken,
+  CASE WHEN target > 0 THEN (start + size)::DOUBLE / target END AS first,
+  CASE WHEN target > 0 THEN (start + size + source_size)::DOUBLE / target END AS second
 FROM queue
 """
 

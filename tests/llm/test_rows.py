@@ -168,6 +168,16 @@ def test_mix_stays_within_its_budget(spark, sf):
     assert 1.5 * total - len(target) <= sum(taken.values()) <= 1.5 * total
 
 
+def test_the_mix_is_cut_in_the_order_of_finish_times_over_all_sources(spark, small):
+    rows = mixing.mixed_sizes(spark.read.parquet(f"{small}/documents.parquet")).collect()
+    queue = sorted((f, r.size) for r in rows for f in (r["first"], r["second"]) if r.size)
+    whole = [size for f, size in queue if f <= 1]
+    assert len({r.source for r in rows}) > 1 and 0 < sum(whole) <= 1.5 * sum(r.size for r in rows) and len(whole) < len(queue)
+    for r in rows:
+        done = (r["first"] <= 1) + (r["second"] <= 1)
+        assert done * r.size <= r.taken <= min(2, done + 1) * r.size
+
+
 def test_one_document_of_most_words_is_served_in_part(spark):
     rows = [(i, "w " * (40_000 if i == 3 else 5), "en", "a" if i < 20 else "b", 0) for i in range(200)]
     got = mixing.mixed_sizes(spark.createDataFrame(rows, DOCS)).collect()
