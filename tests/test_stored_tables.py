@@ -311,3 +311,20 @@ def test_texts_below_the_first_han_character_are_cut_without_looking_up_scripts(
     got = [r[0] for r in low.select(R.tokens(F.col("text"))).collect()]
     assert got[1:] == [["né", "漢字", "字語", "a_1"], ["ab", "漢", "c"], ["日本", "\U00020000\U00020001", "x"]]
     assert "IsHan" not in str(low.select(R.tokens(F.col("text")))._jdf.queryExecution().analyzed()).split("ELSE")[-1]
+
+
+def test_searches_in_passes_give_the_same_hits_and_leave_nothing_but_them(spark, monkeypatch, tmp_path):
+    words = [f"w{i}" for i in range(30)]
+    chunks = spark.createDataFrame([(i, [words[(i * j) % 30] for j in range(1, 8)]) for i in range(200)], "chunk_id long, tokens array<string>")
+    queries = spark.createDataFrame([(i, [words[i], words[(7 * i) % 30]]) for i in range(20)], "query_id long, tokens array<string>")
+    from paperloom.sources import scratch
+
+    for m in (scratch, W):
+        monkeypatch.setattr(m, "scratch_path", lambda _, name: f"{tmp_path}/{name}-{len(list(tmp_path.rglob('*')))}")
+    index = WordIndex(spark, str(tmp_path / "index"))
+    index.rebuild(chunks)
+    whole = sorted(map(tuple, index.search(queries, 5).collect()))
+    monkeypatch.setattr(W, "PASS_PAIRS", 1_000)
+    assert sorted(map(tuple, index.search(queries, 5).collect())) == whole and whole
+    left = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert left == {"index", "hits"} and len(list(tmp_path.glob("hits-*"))) == 5
